@@ -40,6 +40,9 @@ FENCE_ESCAPES = [
 # ---------------------------------------------------------------------------
 
 WS = f"[{WS_CLASS}]"
+# the same 29 code points as a literal set for ``btrim``
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 LABEL_REGEX = "(?i)" + LABEL_PATTERN.replace("[WS]", WS)
 CJK_CLASS = r"\x{4E00}-\x{9FFF}"
 
@@ -73,8 +76,8 @@ def fullwidth_table() -> tuple[str, str, dict[str, str]]:
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: Spark ``trim`` only removes U+0020."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    """Python ``str.strip()``: plain ``trim`` only removes U+0020."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def replace_fullwidth_chars(c: Column) -> Column:
@@ -82,7 +85,8 @@ def replace_fullwidth_chars(c: Column) -> Column:
     out = F.translate(F.regexp_replace(c, "　+", " "), src, dst)
     for k, v in multi.items():
         out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    # most text has none of these characters: a cheap scan skips the rewrite
+    return F.when(c.rlike("[　\uFF01-\uFF60\uFFE0-\uFFE6]"), out).otherwise(c)
 
 
 def is_label_number_format(c: Column) -> Column:
@@ -103,32 +107,41 @@ def is_punctuation(c: Column) -> Column:
     return c.rlike(f"^[^\\p{{L}}\\p{{N}}{WS_CLASS}]$")
 
 
-def _line_separator(line: Column, prev_raw: Column) -> Column:
-    """Separator placed before a non-first line by the line-repair rules."""
-    prev = py_strip(prev_raw)
-    last = F.substring(prev, -1, 1)
-    in_set = lambda s: last.rlike(f"^[{_regex_class_escape(s)}]$")
+def _in_set(ch: Column, chars: str) -> Column:
+    return F.instr(F.lit(chars), ch) > 0
+
+
+def _line_separator(line: Column, last: Column) -> Column:
+    """Separator placed before a non-first line by the line-repair rules.
+
+    ``last`` is the last character of the previous raw line after stripping
+    ('' when that line is blank).
+    """
     return (
         F.when(py_strip(line) == "", "\n")
         .when(F.substring(line, 1, 1) == " ", "\n")
         .when(is_label_number_format(line), "\n")
-        .when(prev == "", "\n")
-        .when(in_set(JOIN_BARE), "")
-        .when(in_set(JOIN_SPACE), " ")
-        .when(in_set(NEW_LINE_END), "\n")
+        .when(last == "", "\n")
+        .when(_in_set(last, JOIN_BARE), "")
+        .when(_in_set(last, JOIN_SPACE), " ")
+        .when(_in_set(last, NEW_LINE_END), "\n")
         .when(is_character_valid(last), "")
         .otherwise("\n")
     )
 
 
 def fix_newlines(c: Column) -> Column:
-    """Repair hard line breaks; each boundary depends on two adjacent raw lines."""
+    """Repair hard line breaks; each boundary depends on two adjacent raw lines.
+
+    Lines are zipped with the last character of their predecessor, so no
+    lambda reaches outside its own arguments (an outer reference would be
+    re-evaluated per element).
+    """
     lines = F.split(c, "\n", -1)
-    pieces = F.transform(
-        lines,
-        lambda l, i: F.when(i == 0, l).otherwise(
-            F.concat(_line_separator(l, F.get(lines, i - 1)), l)),
-    )
+    prev = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    lasts = F.concat(F.array(F.lit(None).cast("string")),
+                     F.transform(prev, lambda p: F.substring(py_strip(p), -1, 1)))
+    pieces = F.zip_with(lines, lasts, lambda l, ch: F.when(ch.isNull(), l).otherwise(F.concat(_line_separator(l, ch), l)))
     return F.replace(F.array_join(pieces, ""), F.lit("\n\n"), F.lit("\n"))
 
 
@@ -201,41 +214,43 @@ def stable_id(md5_hex: Column) -> Column:
 
 # --- markdown-ish rendering (show_text) ------------------------------------
 
+def _escape_in_fence(l: Column) -> Column:
+    for a, b in FENCE_ESCAPES:
+        l = F.replace(l, F.lit(a), F.lit(b))
+    return l
+
+
 def show_text(c: Column) -> Column:
     """Render text to HTML the way the chat view does.
 
     Empty lines are dropped; a running count of fence lines decides whether a
     line is inside a code block. The first kept line is never prefixed nor
-    escaped. All per-line, inside one row: no shuffle.
+    escaped. One fold per text, carrying (count, rendered lines).
     """
     lines = F.filter(F.split(c, "\n", -1), lambda l: l != "")
-    fences = _fence_positions(lines)
-    count_at = lambda i: F.size(F.filter(fences, lambda j: j <= i))
-
-    def render(l, i):
-        n = count_at(i)
-        escaped = l
-        for a, b in FENCE_ESCAPES:
-            escaped = F.replace(escaped, F.lit(a), F.lit(b))
-        body = F.when(n % 2 == 1, escaped).otherwise(l)
-        lang = F.element_at(F.split(l, "`", -1), -1)
-        return (F.when(l.contains(FENCE),
-                       F.when(n % 2 == 1, F.concat(F.lit('<pre><code class="language-'), lang, F.lit('">')))
-                       .otherwise(F.lit("<br></code></pre>")))
-                .when(i > 0, F.concat(F.lit("<br>"), body))
-                .otherwise(l))
-
-    return F.when(c == "", F.lit("")).otherwise(F.array_join(F.transform(lines, render), ""))
 
+    def step(acc, l):
+        n = acc["n"] + F.when(l.contains(FENCE), 1).otherwise(0)
+        first = F.size(acc["out"]) == 0
+        lang = F.element_at(F.split(l, "`", -1), -1)
+        rendered = (F.when(l.contains(FENCE),
+                           F.when(n % 2 == 1, F.concat(F.lit('<pre><code class="language-'), lang, F.lit('">')))
+                           .otherwise(F.lit("<br></code></pre>")))
+                    .when(first, l)
+                    .otherwise(F.concat(F.lit("<br>"), F.when(n % 2 == 1, _escape_in_fence(l)).otherwise(l))))
+        return F.struct(n.alias("n"), F.array_append(acc["out"], rendered).alias("out"))
 
-def _fence_positions(lines: Column) -> Column:
-    """0-based indices of fence lines; counting them up to i is O(fences)."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1),
-                    lambda i: (F.size(lines) > 0) & F.get(lines, i).contains(FENCE))
+    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    body = F.aggregate(lines, init, step, lambda acc: F.array_join(acc["out"], ""))
+    return F.when(c == "", F.lit("")).otherwise(body)
 
 
 def fence_depth(c: Column) -> Column:
     """Per non-empty line: running count of fence lines (odd = inside a block)."""
     lines = F.filter(F.split(c, "\n", -1), lambda l: l != "")
-    fences = _fence_positions(lines)
-    return F.transform(lines, lambda l, i: F.size(F.filter(fences, lambda j: j <= i)))
+
+    def step(acc, l):
+        n = F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.when(l.contains(FENCE), 1).otherwise(0)
+        return F.array_append(acc, n)
+
+    return F.aggregate(lines, F.array().cast("array<int>"), step)

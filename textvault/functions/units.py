@@ -45,54 +45,84 @@ def text_to_units(c: Column, size: int = 400, word_tokenizer=word_tokens) -> Col
     return F.flatten(F.transform(lines, per_line))
 
 
+def _last(arr: Column, k: int) -> Column:
+    """The last k elements (all of them when shorter)."""
+    return F.slice(arr, F.greatest(F.lit(1), F.size(arr) - k + 1), k)
+
+
 def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int = 100) -> Column:
     """array<struct<s:int,e:int>>: 0-based inclusive unit ranges of each chunk.
 
     Greedy rule: add units until the running length exceeds ``size``; close the
     chunk; seed the next one with the last ``overlap`` units (clamped at the
-    first unit); stop after ``limit`` chunks; emit a non-empty tail.
+    first unit); stop after ``limit`` chunks; emit a non-empty tail. The fold
+    reads only its own state and the current length, never the outer array.
     """
     limit = max(int(limit), 1)  # a first chunk is always kept, as in the rule being matched
     lens = F.transform(units, lambda u: F.length(u).cast("long"))
-    n = F.size(units)
-
-    def carry(i):
-        if overlap <= 0:
-            return F.lit(0).cast("long")
-        first = F.greatest(F.lit(0), i - overlap + 1)
-        return F.aggregate(F.slice(lens, first + 1, i - first + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def step(acc, i):
-        run = acc["run"] + F.get(lens, i)
-        closed = F.struct(
-            F.greatest(F.lit(0), i - overlap + 1).alias("start") if overlap > 0 else (i + 1).alias("start"),
-            carry(i).alias("run"),
-            F.array_append(acc["ends"], i).alias("ends"))
-        open_ = F.struct(acc["start"].alias("start"), run.alias("run"), acc["ends"].alias("ends"))
-        return (F.when(F.size(acc["ends"]) >= limit, acc)
-                .when(run > size, closed)
-                .otherwise(open_))
-
-    init = F.struct(F.lit(0).alias("start"), F.lit(0).cast("long").alias("run"),
-                    F.array().cast("array<int>").alias("ends"))
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0).cast("long")
+
+    def step(acc, ln):
+        i = acc["i"]
+        run = acc["run"] + ln
+        recent = _last(F.array_append(acc["recent"], ln), overlap) if overlap > 0 else acc["recent"]
+        carry = F.aggregate(recent, zero, lambda a, x: a + x) if overlap > 0 else zero
+        done = F.size(acc["ends"]) >= limit
+        closed = run > size
+        return F.struct(
+            (i + 1).alias("i"),
+            F.when(done, acc["run"]).when(closed, carry).otherwise(run).alias("run"),
+            F.when(done | ~closed, acc["ends"]).otherwise(F.array_append(acc["ends"], i)).alias("ends"),
+            recent.alias("recent"))
+
+    init = F.struct(F.lit(0).alias("i"), zero.alias("run"), F.array().cast("array<int>").alias("ends"),
+                    F.array().cast("array<long>").alias("recent"))
 
     def finish(acc):
         ends = acc["ends"]
         tail = (F.size(ends) < limit) & (acc["run"] > 0)
-        all_ends = F.when(tail, F.array_append(ends, n - 1)).otherwise(ends)
-        return F.transform(all_ends, lambda e, k: F.struct(
-            F.when(k == 0, F.lit(0)).otherwise(
-                F.greatest(F.lit(0), F.get(all_ends, k - 1) - overlap + 1)).alias("s"),
-            e.alias("e")))
+        all_ends = F.when(tail, F.array_append(ends, acc["i"] - 1)).otherwise(ends)
+        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(all_ends, 1, F.greatest(F.size(all_ends) - 1, F.lit(0))),
+                                                           lambda e: F.greatest(F.lit(0), e - overlap + 1)))
+        return F.zip_with(starts, all_ends, lambda s_, e: F.struct(s_.alias("s"), e.alias("e")))
 
-    return F.aggregate(idx, init, step, finish)
+    return F.aggregate(lens, init, step, finish)
 
 
 def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int = 100) -> Column:
-    """array<string>: chunk texts, units joined by one space."""
-    bounds = chunk_bounds(units, size, overlap, limit)
-    return F.transform(bounds, lambda b: F.array_join(F.slice(units, b["s"] + 1, b["e"] - b["s"] + 1), " "))
+    """array<string>: chunk texts, units joined by one space.
+
+    A single fold builds the texts directly: the state holds the finished
+    chunks, the open chunk's text and length, and the last ``overlap`` units
+    (the seed of the next chunk), so each step costs at most one chunk copy.
+    """
+    limit = max(int(limit), 1)
+    zero = F.lit(0).cast("long")
+    k = max(overlap, 1)
+
+    def step(acc, u):
+        ln = F.length(u).cast("long")
+        run = acc["run"] + ln
+        cur = F.when(acc["run"] == 0, u).otherwise(F.concat(acc["cur"], F.lit(" "), u))
+        recent = _last(F.array_append(acc["recent"], u), k) if overlap > 0 else acc["recent"]
+        seed_len = F.aggregate(recent, zero, lambda a, x: a + F.length(x)) if overlap > 0 else zero
+        seed = F.array_join(recent, " ") if overlap > 0 else F.lit("")
+        done = F.size(acc["chunks"]) >= limit
+        closed = run > size
+        return (F.when(done, acc)
+                .when(closed, F.struct(F.array_append(acc["chunks"], cur).alias("chunks"), seed.alias("cur"),
+                                       seed_len.alias("run"), recent.alias("recent")))
+                .otherwise(F.struct(acc["chunks"].alias("chunks"), cur.alias("cur"), run.alias("run"),
+                                    recent.alias("recent"))))
+
+    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("cur"), zero.alias("run"),
+                    F.array().cast("array<string>").alias("recent"))
+
+    def finish(acc):
+        tail = (F.size(acc["chunks"]) < limit) & (acc["run"] > 0)
+        return F.when(tail, F.array_append(acc["chunks"], acc["cur"])).otherwise(acc["chunks"])
+
+    return F.aggregate(units, init, step, finish)
 
 
 def text_to_chunks(c: Column, size: int = 400, overlap: int = 0, limit: int = 100,

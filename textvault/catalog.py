@@ -195,3 +195,208 @@ def q_doc_chunk_stats(spark, sf):
     return d.select("filename", F.length("text").cast("bigint").alias("text_length"),
                     F.size(ch).cast("bigint").alias("chunks_count"),
                     F.aggregate(ch, F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)).alias("chunks_length"))
+
+
+# ---------------------------------------------------------------------------
+# knowledge-base rows
+# ---------------------------------------------------------------------------
+
+_AS_OF_MS = int(B.BuildParams().as_of.timestamp() * 1000)
+
+
+@register("file_rows", f"""WITH {D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')}
+SELECT ('0x' || substr(md5(filename), 1, 15))::BIGINT AS id, md5(filename) AS filename_md5, filename, '' AS summary,
+       regexp_extract(filename, '^\\.*[^.].*\\.([^./]*)$', 1) AS type, CAST(length(text) AS BIGINT) AS text_length,
+       md5({D.file_fp('filename', 'text')}) AS text_md5, CAST({_AS_OF_MS} AS BIGINT) AS create_ms,
+       CAST({_AS_OF_MS} AS BIGINT) AS update_ms, md5(text) AS body_md5 FROM pre""")
+def q_file_rows(spark, sf):
+    f = B.file_rows(docs_clean(spark, sf), embed=False)
+    return f.select("id", "filename_md5", "filename", "summary", "type", F.col("text_length").cast("bigint"),
+                    "text_md5", F.unix_millis("create_time").alias("create_ms"),
+                    F.unix_millis("update_time").alias("update_ms"), F.md5("text").alias("body_md5"))
+
+
+@register("chunk_rows", f"""WITH RECURSIVE {D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)}
+SELECT ('0x' || substr(md5(md5(filename) || '_' || CAST(chunk_no AS VARCHAR)), 1, 15))::BIGINT AS id,
+       md5(filename) AS filename_md5, md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS filename_md5_no,
+       CAST(chunk_no AS BIGINT) AS chunk_no, CAST(length(chunk) AS BIGINT) AS chunk_length, filename,
+       md5({D.chunk_fp('filename', 'chunk_no', 'chunk')}) AS chunk_md5 FROM chunks""")
+def q_chunk_rows(spark, sf):
+    c = B.chunk_rows(docs_clean(spark, sf), embed=False)
+    return c.select("id", "filename_md5", "filename_md5_no", F.col("chunk_no").cast("bigint"),
+                    F.col("chunk_length").cast("bigint"), "filename", "chunk_md5")
+
+
+# ---------------------------------------------------------------------------
+# embeddings and search
+# ---------------------------------------------------------------------------
+
+def _sparse_of(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """Non-zero components (key, bucket, w) of a dense vector column."""
+    x = df.select(key, F.posexplode(vec).alias("bucket", "w")).filter(F.col("w") != 0)
+    return x.select(key, F.col("bucket").cast("bigint"), _r6(F.col("w").cast("double")).alias("w"))
+
+
+@register("file_embedding", f"""WITH {D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')},
+fp AS (SELECT filename, {D.file_fp('filename', 'text')} AS full_text FROM pre),
+{D.sparse_embedding_ctes('fp', 'filename', 'full_text', 512, 'fw')}
+SELECT filename, CAST(bucket AS BIGINT) AS bucket, round(CAST(w AS DOUBLE), 6) AS w FROM fw""")
+def q_file_embedding(spark, sf):
+    f = B.file_rows(docs_clean(spark, sf))
+    return _sparse_of(f, "filename")
+
+
+def _fw_ctes():
+    return f"""{D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')},
+fp AS (SELECT md5(filename) AS id, filename, {D.file_fp('filename', 'text')} AS full_text FROM pre),
+{D.sparse_embedding_ctes('fp', 'id', 'full_text', 512, 'vw')},
+qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{D.sparse_embedding_ctes('qs', 'query_id', 'text', 512, 'qw')}"""
+
+
+def _cw_ctes():
+    return f"""{D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+cp AS (SELECT md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS id, filename, chunk_no,
+              {D.chunk_fp('filename', 'chunk_no', 'chunk')} AS full_text, chunk FROM chunks),
+{D.sparse_embedding_ctes('cp', 'id', 'full_text', 512, 'vw')},
+qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{D.sparse_embedding_ctes('qs', 'query_id', 'text', 512, 'qw')}"""
+
+
+@register("file_search_l2", f"""WITH {_fw_ctes()},
+top AS ({D.sparse_topk_sql('qw', 'vw', SEARCH_K, 'L2', 'filename_md5')})
+SELECT CAST(t.query_id AS BIGINT) AS query_id, CAST(t.rk AS BIGINT) AS rk, f.filename, t.distance
+FROM top t JOIN fp f ON f.id = t.filename_md5""")
+def q_file_search(spark, sf):
+    files = B.file_rows(docs_clean(spark, sf))
+    qv = R.embed_queries(TB.queries_text(spark, sf))
+    h = R.file_hits(files, qv, SEARCH_K)
+    return h.select(F.col("query_id").cast("bigint"), F.col("rk").cast("bigint"), "filename",
+                    _r6(F.col("distance")).alias("distance"))
+
+
+@register("chunk_search_l2", f"""WITH RECURSIVE {_cw_ctes()},
+top AS ({D.sparse_topk_sql('qw', 'vw', SEARCH_K, 'L2', 'filename_md5_no')})
+SELECT CAST(t.query_id AS BIGINT) AS query_id, CAST(t.rk AS BIGINT) AS rk, c.filename, CAST(c.chunk_no AS BIGINT) AS chunk_no,
+       t.distance, md5(c.chunk) AS chunk_md5
+FROM top t JOIN cp c ON c.id = t.filename_md5_no""")
+def q_chunk_search(spark, sf):
+    return flagship(spark, sf)
+
+
+@register("search_transcript", f"""WITH RECURSIVE {_cw_ctes()},
+ctop AS ({D.sparse_topk_sql('qw', 'vw', 2, 'L2', 'filename_md5_no')}),
+rows_ AS (
+  SELECT query_id, 0 AS ord, text AS label_src, '' AS body FROM qs
+  UNION ALL
+  SELECT t.query_id, t.rk + 1, '文件 ' || c.filename || ' 第' || CAST(c.chunk_no AS VARCHAR) || '部分', c.chunk
+  FROM ctop t JOIN cp c ON c.id = t.filename_md5_no)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(ord AS BIGINT) AS ord, md5(label_src) AS label_src_md5,
+       CAST(length(body) AS BIGINT) AS body_length FROM rows_""")
+def q_search_transcript(spark, sf):
+    chunks = B.chunk_rows(docs_clean(spark, sf))
+    qs = TB.queries_text(spark, sf)
+    qv = R.embed_queries(qs)
+    ch = R.chunk_hits(chunks, qv, 2)
+    rows = (qs.select("query_id", F.lit(0).cast("bigint").alias("ord"), F.col("text").alias("label_src"),
+                      F.lit("").alias("body"))
+            .unionByName(ch.select("query_id", (F.col("rk") + 1).cast("bigint").alias("ord"),
+                                   F.concat(F.lit("文件 "), F.col("filename"), F.lit(" 第"),
+                                            F.col("chunk_no").cast("string"), F.lit("部分")).alias("label_src"),
+                                   F.col("chunk").alias("body"))))
+    return rows.select(F.col("query_id").cast("bigint"), "ord", F.md5("label_src").alias("label_src_md5"),
+                       F.length("body").cast("bigint").alias("body_length"))
+
+
+def _emb_queries(spark, sf):
+    qs = TB.queries_text(spark, sf)
+    return R.embed_queries(qs, HashingEmbedder(Q_DIM_EMB))
+
+
+def _emb_sql(metric: str, k: int) -> str:
+    dist = {"L2": "nq + nv - 2 * dp", "IP": "dp", "COSINE": "1 - dp / (sqrt(nq) * sqrt(nv))"}[metric]
+    order = "round(dist, 9) DESC" if metric == "IP" else "round(dist, 9)"
+    return f"""WITH qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{D.sparse_embedding_ctes('qs', 'query_id', 'text', Q_DIM_EMB, 'qw')},
+v AS (SELECT vec_id AS id, embedding FROM embeddings),
+nv AS (SELECT id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nv FROM v),
+nq AS (SELECT query_id, sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) AS nq FROM qw GROUP BY query_id),
+dp AS (SELECT q.query_id, v.id, sum(CAST(q.w AS DOUBLE) * CAST(v.embedding[q.bucket + 1] AS DOUBLE)) AS dp
+       FROM qw q CROSS JOIN v GROUP BY ALL),
+d AS (SELECT dp.query_id, dp.id, {dist} AS dist FROM dp JOIN nq USING (query_id) JOIN nv USING (id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) AS rk FROM d)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, round(dist, 6) AS distance,
+       CAST(rk AS BIGINT) AS rk FROM r WHERE rk <= {k}"""
+
+
+def _emb_query(metric: str, k: int):
+    def q(spark, sf):
+        v = TB.vectors(spark, sf)
+        top = S.exact_topk(v, _emb_queries(spark, sf), k, metric)
+        return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"),
+                          _r6(F.col("distance")).alias("distance"), F.col("rk").cast("bigint"))
+    return q
+
+
+for _m in ["L2", "IP", "COSINE"]:
+    register(f"vector_search_{_m.lower()}", _emb_sql(_m, VEC_K))(_emb_query(_m, VEC_K))
+
+
+def _pairs(spark, sf):
+    v = TB.vectors(spark, sf)
+    return v.alias("a").join(v.alias("b"), F.col("b.id") == F.col("a.id") + 1).select(
+        F.col("a.id").alias("id"), F.col("a.embedding").alias("ea"), F.col("b.embedding").alias("eb"))
+
+
+@register("vector_pair_metrics", """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.id, a.e AS ea, b.e AS eb FROM v a JOIN v b ON b.id = a.id + 1),
+m AS (SELECT id,
+  list_sum(list_transform(list_zip(ea, eb), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS l2sq,
+  list_sum(list_transform(list_zip(ea, eb), lambda t: t[1] * t[2])) AS ip,
+  list_sum(list_transform(ea, lambda x: x * x)) AS na, list_sum(list_transform(eb, lambda x: x * x)) AS nb,
+  len(list_filter(list_zip(ea, eb), lambda t: (t[1] > 0) <> (t[2] > 0))) AS ham,
+  len(list_filter(list_zip(ea, eb), lambda t: t[1] > 0 AND t[2] > 0)) AS inter,
+  len(list_filter(list_zip(ea, eb), lambda t: t[1] > 0 OR t[2] > 0)) AS uni FROM p)
+SELECT CAST(id AS BIGINT) AS id, round(sqrt(l2sq), 6) AS l2, round(l2sq, 6) AS l2_squared, round(ip, 6) AS ip,
+  round(CASE WHEN na > 0 AND nb > 0 THEN 1 - ip / (sqrt(na) * sqrt(nb)) END, 6) AS cosine,
+  CAST(ham AS BIGINT) AS hamming, round(CASE WHEN uni = 0 THEN 0 ELSE 1 - inter / uni END, 6) AS jaccard,
+  round(CASE WHEN uni = 0 THEN 0 WHEN inter > 0 THEN -log2(inter / uni) END, 6) AS tanimoto FROM m""")
+def q_vector_pair_metrics(spark, sf):
+    p = _pairs(spark, sf)
+    a, b = F.col("ea"), F.col("eb")
+    return p.select(F.col("id").cast("bigint"), _r6(V.l2_distance(a, b)).alias("l2"),
+                    _r6(V.l2_squared(a, b)).alias("l2_squared"), _r6(V.inner_product(a, b)).alias("ip"),
+                    _r6(V.cosine_distance(a, b)).alias("cosine"), V.hamming_distance(a, b).alias("hamming"),
+                    _r6(V.jaccard_distance(a, b)).alias("jaccard"), _r6(V.tanimoto_distance(a, b)).alias("tanimoto"))
+
+
+@register("chunk_to_file_distance", f"""WITH RECURSIVE {D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+fp AS (SELECT filename, {D.file_fp('filename', 'text')} AS full_text FROM pre),
+cp AS (SELECT filename, chunk_no, {D.chunk_fp('filename', 'chunk_no', 'chunk')} AS full_text FROM chunks),
+{D.sparse_embedding_ctes('fp', 'filename', 'full_text', 512, 'fw')},
+cpk AS (SELECT filename || '#' || CAST(chunk_no AS VARCHAR) AS ck, filename, chunk_no, full_text FROM cp),
+{D.sparse_embedding_ctes('cpk', 'ck', 'full_text', 512, 'cw')},
+nf AS (SELECT filename, sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) AS nf FROM fw GROUP BY filename),
+nc AS (SELECT ck, sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) AS nc FROM cw GROUP BY ck),
+dp AS (SELECT c.ck, sum(CAST(c.w AS DOUBLE) * CAST(f.w AS DOUBLE)) AS dp
+       FROM cw c JOIN cpk k ON k.ck = c.ck JOIN fw f ON f.filename = k.filename AND f.bucket = c.bucket GROUP BY c.ck)
+SELECT k.filename, CAST(k.chunk_no AS BIGINT) AS chunk_no,
+       round(sqrt(greatest(nc + nf - 2 * coalesce(dp, 0), 0)), 6) AS l2,
+       round(1 - coalesce(dp, 0) / (sqrt(nc) * sqrt(nf)), 6) AS cosine
+FROM cpk k JOIN nc USING (ck) JOIN nf USING (filename) LEFT JOIN dp USING (ck)""")
+def q_chunk_to_file_distance(spark, sf):
+    d = docs_clean(spark, sf)
+    f = B.file_rows(d).select("filename", F.col("embedding").alias("fe"))
+    c = B.chunk_rows(d).select("filename", "chunk_no", F.col("embedding").alias("ce"))
+    j = c.join(f, "filename")
+    return j.select("filename", F.col("chunk_no").cast("bigint"), _r6(V.l2_distance("ce", "fe")).alias("l2"),
+                    _r6(V.cosine_distance("ce", "fe")).alias("cosine"))

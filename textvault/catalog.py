@@ -400,3 +400,110 @@ def q_chunk_to_file_distance(spark, sf):
     j = c.join(f, "filename")
     return j.select("filename", F.col("chunk_no").cast("bigint"), _r6(V.l2_distance("ce", "fe")).alias("l2"),
                     _r6(V.cosine_distance("ce", "fe")).alias("cosine"))
+
+
+# ---------------------------------------------------------------------------
+# incremental sync
+# ---------------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from textvault.plans import sync as SY  # noqa: E402
+
+_OLD_P = B.BuildParams()
+_NEW_P = SY.with_as_of(B.BuildParams(), _dt.datetime(2024, 2, 1, tzinfo=_dt.timezone.utc))
+_NEW_MS = int(_NEW_P.as_of.timestamp() * 1000)
+
+
+def _snapshots(spark, sf):
+    old, new = TB.snapshots(spark, sf)
+    return B.preprocess(old), B.preprocess(new)
+
+
+def _sync(spark, sf, embed=False):
+    old, new = _snapshots(spark, sf)
+    files = B.file_rows(old, _OLD_P, embed)
+    chunks = B.chunk_rows(old, _OLD_P, embed)
+    return SY.apply(files, chunks, new, _NEW_P, embed)
+
+
+_SNAP_SQL = """docs AS (SELECT doc_id, concat(source, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename, text FROM documents),
+old_src AS (SELECT d.filename, CASE WHEN l.quality = 0 THEN d.text || ' old' ELSE d.text END AS raw_text
+            FROM docs d JOIN labels l USING (doc_id)),
+new_src AS (SELECT filename, text AS raw_text FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+def _sync_status_ctes():
+    return f"""{_SNAP_SQL},
+{D.preprocess_ctes('old_src', 'filename', 'raw_text', 'oldp')},
+{D.preprocess_ctes('new_src', 'filename', 'raw_text', 'newp')},
+oldm AS (SELECT filename, md5({D.file_fp('filename', 'text')}) AS old_md5 FROM oldp),
+newm AS (SELECT filename, md5({D.file_fp('filename', 'text')}) AS new_md5, CAST(length(text) AS BIGINT) AS text_length FROM newp),
+st AS (SELECT coalesce(o.filename, n.filename) AS filename, o.old_md5, n.new_md5, n.text_length,
+              CASE WHEN n.new_md5 IS NULL THEN 'deleted' WHEN n.new_md5 = coalesce(o.old_md5, '') THEN 'unchanged'
+                   WHEN o.old_md5 IS NULL THEN 'new' ELSE 'changed' END AS status
+       FROM oldm o FULL OUTER JOIN newm n ON o.filename = n.filename)"""
+
+
+@register("sync_status", f"""WITH {_sync_status_ctes()}
+SELECT filename, status, CASE status WHEN 'deleted' THEN '已删除' WHEN 'unchanged' THEN '无改动'
+       ELSE '字符数=' || CAST(text_length AS VARCHAR) END AS label, text_length FROM st""")
+def q_sync_status(spark, sf):
+    old, new = _snapshots(spark, sf)
+    st = SY.diff(SY.manifest(B.file_rows(old, _OLD_P, False)), SY.fingerprints(new))
+    return st.select("filename", "status", "label", "text_length")
+
+
+@register("sync_counts", f"""WITH {_sync_status_ctes()}
+SELECT CAST(count(new_md5) AS BIGINT) AS n_disk, CAST(count(old_md5) AS BIGINT) AS n_stored,
+       CAST(count(*) AS BIGINT) AS n_compared,
+       CAST(count(*) FILTER (WHERE status = 'new') AS BIGINT) AS n_new,
+       CAST(count(*) FILTER (WHERE status = 'changed') AS BIGINT) AS n_changed,
+       CAST(count(*) FILTER (WHERE status = 'deleted') AS BIGINT) AS n_deleted,
+       CAST(count(*) FILTER (WHERE status = 'unchanged') AS BIGINT) AS n_unchanged FROM st""")
+def q_sync_counts(spark, sf):
+    old, new = _snapshots(spark, sf)
+    st = SY.diff(SY.manifest(B.file_rows(old, _OLD_P, False)), SY.fingerprints(new))
+    return SY.counts(st)
+
+
+@register("name_set_ops", f"""WITH {_SNAP_SQL},
+o AS (SELECT filename FROM old_src), n AS (SELECT filename FROM new_src)
+SELECT filename, 'deleted' AS kind FROM (SELECT filename FROM o EXCEPT SELECT filename FROM n)
+UNION ALL SELECT filename, 'added' FROM (SELECT filename FROM n EXCEPT SELECT filename FROM o)
+UNION ALL SELECT filename, 'kept' FROM (SELECT filename FROM o INTERSECT SELECT filename FROM n)
+UNION ALL SELECT filename, 'any' FROM (SELECT filename FROM o UNION SELECT filename FROM n)""")
+def q_name_set_ops(spark, sf):
+    old, new = TB.snapshots(spark, sf)
+    o, n = old.select("filename"), new.select("filename")
+    k = lambda df, kind: df.select("filename", F.lit(kind).alias("kind"))
+    return (k(o.subtract(n), "deleted").unionByName(k(n.subtract(o), "added"))
+            .unionByName(k(o.intersect(n), "kept")).unionByName(k(o.union(n).distinct(), "any")))
+
+
+@register("sync_files_after", f"""WITH {_sync_status_ctes()}
+SELECT md5(o.filename) AS filename_md5, o.filename, o.old_md5 AS text_md5, CAST({_AS_OF_MS} AS BIGINT) AS create_ms,
+       CAST({_AS_OF_MS} AS BIGINT) AS update_ms
+FROM oldm o JOIN st USING (filename) WHERE st.status = 'unchanged'
+UNION ALL
+SELECT md5(filename), filename, new_md5, CAST(CASE WHEN status = 'changed' THEN {_AS_OF_MS} ELSE {_NEW_MS} END AS BIGINT),
+       CAST({_NEW_MS} AS BIGINT) FROM st WHERE status IN ('new', 'changed')""")
+def q_sync_files_after(spark, sf):
+    _, fa, _ = _sync(spark, sf)
+    return fa.select("filename_md5", "filename", "text_md5", F.unix_millis("create_time").alias("create_ms"),
+                     F.unix_millis("update_time").alias("update_ms"))
+
+
+@register("sync_chunks_after", f"""WITH RECURSIVE {_sync_status_ctes()},
+{D.chunk_ctes('oldp', 'filename', 'text', 400, 0, 100, 'oc')},
+{D.chunk_ctes('newp', 'filename', 'text', 400, 0, 100, 'nc')}
+SELECT md5(c.filename) || '_' || CAST(c.chunk_no AS VARCHAR) AS filename_md5_no,
+       md5({D.chunk_fp('c.filename', 'c.chunk_no', 'c.chunk')}) AS chunk_md5, CAST({_AS_OF_MS} AS BIGINT) AS update_ms
+FROM oc c JOIN st USING (filename) WHERE st.status = 'unchanged'
+UNION ALL
+SELECT md5(c.filename) || '_' || CAST(c.chunk_no AS VARCHAR), md5({D.chunk_fp('c.filename', 'c.chunk_no', 'c.chunk')}),
+       CAST({_NEW_MS} AS BIGINT)
+FROM nc c JOIN st USING (filename) WHERE st.status IN ('new', 'changed')""")
+def q_sync_chunks_after(spark, sf):
+    _, _, ca = _sync(spark, sf)
+    return ca.select("filename_md5_no", "chunk_md5", F.unix_millis("update_time").alias("update_ms"))

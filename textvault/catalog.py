@@ -507,3 +507,151 @@ FROM nc c JOIN st USING (filename) WHERE st.status IN ('new', 'changed')""")
 def q_sync_chunks_after(spark, sf):
     _, _, ca = _sync(spark, sf)
     return ca.select("filename_md5_no", "chunk_md5", F.unix_millis("update_time").alias("update_ms"))
+
+
+# ---------------------------------------------------------------------------
+# sources (S4-S7, S12) and rendering
+# ---------------------------------------------------------------------------
+
+@register("html_text", f"""SELECT concat('page_', CAST(page_id AS VARCHAR), '.html') AS filename,
+  CAST(length({D.html_text('html')}) AS BIGINT) AS text_length, md5({D.html_text('html')}) AS text_md5 FROM pages""")
+def q_html_text(spark, sf):
+    p = TB.corpus_html(spark, sf)
+    t = FS.html_to_text(F.col("html"))
+    return p.select("filename", F.length(t).cast("bigint").alias("text_length"), F.md5(t).alias("text_md5"))
+
+
+@register("pdf_text", """SELECT concat('conv_', CAST(conv_id AS VARCHAR), '.pdf') AS filename,
+  md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5, CAST(count(*) AS BIGINT) AS pages
+FROM conversations GROUP BY conv_id""")
+def q_pdf_text(spark, sf):
+    pages = TB.corpus_pages(spark, sf)
+    t = FS.pages_to_text(pages)
+    n = pages.groupBy("filename").agg(F.count(F.lit(1)).cast("bigint").alias("pages"))
+    return t.join(n, "filename").select("filename", F.md5("text").alias("text_md5"), "pages")
+
+
+@register("read_documents", f"""WITH src AS (
+  SELECT concat(source, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename, text AS raw FROM documents
+  UNION ALL SELECT concat('page_', CAST(page_id AS VARCHAR), '.html'), {D.html_text('html')} FROM pages
+  UNION ALL SELECT concat('conv_', CAST(conv_id AS VARCHAR), '.pdf'), string_agg(text, chr(10) ORDER BY turn)
+            FROM conversations GROUP BY conv_id),
+{D.preprocess_ctes('src', 'filename', 'raw')}
+SELECT filename, regexp_extract(filename, '\\.([^./]*)$', 1) AS type, CAST(length(text) AS BIGINT) AS text_length,
+       md5(text) AS text_md5 FROM pre""")
+def q_read_documents(spark, sf):
+    txt = TB.corpus(spark, sf).select("filename", F.lit("txt").alias("ext"), F.col("raw_text").alias("body"))
+    html = TB.corpus_html(spark, sf).select("filename", F.lit("html").alias("ext"), F.col("html").alias("body"))
+    pdf = FS.pages_to_text(TB.corpus_pages(spark, sf)).select("filename", F.lit("pdf").alias("ext"),
+                                                               F.col("text").alias("body"))
+    u = txt.unionByName(html).unionByName(pdf)
+    t = FS.read_text(F.col("ext"), F.col("body"))
+    return u.select("filename", TX.extension(F.col("filename")).alias("type"),
+                    F.length(t).cast("bigint").alias("text_length"), F.md5(t).alias("text_md5"))
+
+
+@register("allowed_uploads", """WITH n AS (
+  SELECT concat(source, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename FROM documents
+  UNION ALL SELECT concat('page_', CAST(page_id AS VARCHAR), '.html') FROM pages
+  UNION ALL SELECT url FROM pages)
+SELECT regexp_extract(filename, '^\\.*[^.].*\\.([^./]*)$', 1) AS ext, CAST(count(*) AS BIGINT) AS n
+FROM n WHERE regexp_extract(filename, '^\\.*[^.].*\\.([^./]*)$', 1) IN ('txt', 'md', 'pdf', 'html', 'caj') GROUP BY 1""")
+def q_allowed_uploads(spark, sf):
+    d = TB.corpus(spark, sf).select("filename")
+    p = TB.corpus_html(spark, sf).select("filename")
+    u = TB.table(spark, sf, "pages").select(F.col("url").alias("filename"))
+    names = d.unionByName(p).unionByName(u)
+    return (names.filter(FS.allowed_upload(F.col("filename")))
+            .groupBy(TX.extension(F.col("filename")).alias("ext")).agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+
+
+@register("sql_statements", """WITH p AS (SELECT conv_id, turn, unnest(string_split(text, ';')) AS stmt,
+                                 generate_subscripts(string_split(text, ';'), 1) - 1 AS pos FROM conversations)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(pos AS BIGINT) AS stmt_no,
+       trim(stmt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stmt FROM p
+WHERE trim(stmt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
+def q_sql_statements(spark, sf):
+    c = TB.table(spark, sf, "conversations")
+    parts = c.select("conv_id", "turn", F.posexplode(F.split("text", ";", -1)).alias("pos", "stmt"))
+    st = F.btrim("stmt", F.lit(" \t\n\u000b\f\r"))
+    return parts.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
+                        F.col("pos").cast("bigint").alias("stmt_no"), st.alias("stmt")).filter(F.col("stmt") != "")
+
+
+def _fenced_sql():
+    return ("f AS (SELECT conv_id, turn, 'intro' || chr(10) || '```py' || chr(10) || text || chr(10) || '```' || chr(10) "
+            "|| 'end' AS text FROM conversations)")
+
+
+def _show_text_sql(x: str) -> str:
+    esc = "l"
+    for a, b in TX.FENCE_ESCAPES:
+        esc = f"replace({esc}, {D.lit(a)}, {D.lit(b)})"
+    return f"""CASE WHEN {x} = '' THEN '' ELSE (
+  SELECT string_agg(CASE WHEN contains(l, '```') THEN
+           CASE WHEN n % 2 = 1 THEN '<pre><code class="language-' || split_part(l, '`', -1) || '">' ELSE '<br></code></pre>' END
+         WHEN i = 1 THEN l WHEN n % 2 = 1 THEN '<br>' || {esc} ELSE '<br>' || l END, '' ORDER BY i)
+  FROM (SELECT l, i, sum(CASE WHEN contains(l, '```') THEN 1 ELSE 0 END) OVER (ORDER BY i) AS n
+        FROM (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS i
+              FROM (SELECT list_filter(string_split({x}, chr(10)), lambda s: s <> '') AS ls)))) END"""
+
+
+@register("show_text_fenced", f"""WITH {_fenced_sql()}
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, md5(h) AS html_md5, CAST(length(h) AS BIGINT) AS html_length
+FROM (SELECT conv_id, turn, {_show_text_sql('text')} AS h FROM f)""")
+def q_show_text_fenced(spark, sf):
+    f = TB.fenced(spark, sf)
+    h = TX.show_text(F.col("text"))
+    return f.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.md5(h).alias("html_md5"),
+                    F.length(h).cast("bigint").alias("html_length"))
+
+
+@register("fence_depth", f"""WITH {_fenced_sql()},
+l AS (SELECT conv_id, turn, unnest(ls) AS l, generate_subscripts(ls, 1) AS i
+      FROM (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda s: s <> '') AS ls FROM f)),
+n AS (SELECT conv_id, turn, l, sum(CASE WHEN contains(l, '```') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM l)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       CAST(count(*) FILTER (WHERE n % 2 = 1 AND NOT contains(l, '```')) AS BIGINT) AS lines_inside,
+       CAST(max(n) AS BIGINT) AS fences FROM n GROUP BY conv_id, turn""")
+def q_fence_depth(spark, sf):
+    f = TB.fenced(spark, sf)
+    lines = F.filter(F.split("text", "\n", -1), lambda s: s != "")
+    depth = TX.fence_depth(F.col("text"))
+    z = F.zip_with(lines, depth, lambda l, n: (n % 2 == 1) & ~l.contains(TX.FENCE))
+    return f.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
+                    F.size(F.filter(z, lambda b: b)).cast("bigint").alias("lines_inside"),
+                    F.array_max(depth).cast("bigint").alias("fences"))
+
+
+# ---------------------------------------------------------------------------
+# outline (W7, W9, S18)
+# ---------------------------------------------------------------------------
+
+from textvault.operators import outline as OL  # noqa: E402
+
+_LEVELED_SQL = ("e AS (SELECT conv_id AS doc, turn AS idx, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END "
+                "AS level, text FROM conversations)")
+
+
+@register("outline_links", f"""WITH {_LEVELED_SQL},
+p AS (SELECT a.doc, a.idx, a.level, (SELECT max(b.idx) FROM e b WHERE b.doc = a.doc AND b.idx < a.idx AND b.level < a.level) AS parent FROM e a),
+s AS (SELECT *, lag(idx) OVER (PARTITION BY doc, parent ORDER BY idx) AS prev, lead(idx) OVER (PARTITION BY doc, parent ORDER BY idx) AS next FROM p),
+k AS (SELECT doc, parent AS idx, min(idx) AS first_child, max(idx) AS last_child FROM p WHERE parent IS NOT NULL GROUP BY doc, parent)
+SELECT CAST(s.doc AS BIGINT) AS doc, CAST(s.idx AS BIGINT) AS idx, CAST(s.level AS BIGINT) AS level, CAST(parent AS BIGINT) AS parent,
+       CAST(prev AS BIGINT) AS prev, CAST(next AS BIGINT) AS next, CAST(first_child AS BIGINT) AS first_child,
+       CAST(last_child AS BIGINT) AS last_child FROM s LEFT JOIN k USING (doc, idx)""")
+def q_outline_links(spark, sf):
+    e = TB.leveled(spark, sf)
+    x = OL.outline_links(e)
+    return x.select(*[F.col(c).cast("bigint").alias(c) for c in
+                      ["doc", "idx", "level", "parent", "prev", "next", "first_child", "last_child"]])
+
+
+@register("toc_lines", f"""WITH {_LEVELED_SQL}
+SELECT CAST(doc AS BIGINT) AS doc, CAST(idx AS BIGINT) AS idx, CAST(idx - 1 AS BIGINT) AS page0,
+       md5(repeat('    ', CAST(level - 1 AS BIGINT)) || split_part(text, chr(10), 1) || '    ' || CAST(idx AS VARCHAR)) AS line_md5 FROM e""")
+def q_toc_lines(spark, sf):
+    e = TB.leveled(spark, sf).withColumn("title", F.split("title", "\n", -1)[0]).withColumn("page", F.col("idx"))
+    return e.select(F.col("doc").cast("bigint"), F.col("idx").cast("bigint"), (F.col("idx") - 1).cast("bigint").alias("page0"),
+                    F.md5(OL.toc_line()).alias("line_md5"))

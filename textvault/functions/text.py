@@ -250,7 +250,7 @@ def fence_depth(c: Column) -> Column:
     lines = F.filter(F.split(c, "\n", -1), lambda l: l != "")
 
     def step(acc, l):
-        n = F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.when(l.contains(FENCE), 1).otherwise(0)
+        n = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.when(l.contains(FENCE), 1).otherwise(0)
         return F.array_append(acc, n)
 
     return F.aggregate(lines, F.array().cast("array<int>"), step)

@@ -655,3 +655,148 @@ def q_toc_lines(spark, sf):
     e = TB.leveled(spark, sf).withColumn("title", F.split("title", "\n", -1)[0]).withColumn("page", F.col("idx"))
     return e.select(F.col("doc").cast("bigint"), F.col("idx").cast("bigint"), (F.col("idx") - 1).cast("bigint").alias("page0"),
                     F.md5(OL.toc_line()).alias("line_md5"))
+
+
+# ---------------------------------------------------------------------------
+# reading (R3-R10) with the deterministic reader
+# ---------------------------------------------------------------------------
+
+from textvault.plans import reading as RD  # noqa: E402
+
+QUESTION = "What does this text say?"
+READ_REPEAT = 2
+
+
+def _rd(x: str) -> str:
+    """SQL of the default reader on a prompt/last-answer pair."""
+    return f"('R' || substr(md5({x}), 1, 16))"
+
+
+def _chunked_docs(spark, sf):
+    d = docs_clean(spark, sf)
+    return d.select("filename", UN.text_to_chunks(F.col("text"), 400, 0, 100).alias("chunks"))
+
+
+def _read_text_ctes():
+    return f"""{D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+cl AS (SELECT p.filename, coalesce(list(c.chunk ORDER BY c.chunk_no) FILTER (WHERE c.chunk IS NOT NULL), []) AS cs
+       FROM pre p LEFT JOIN chunks c USING (filename) GROUP BY p.filename)"""
+
+
+_STEP_SQL = ("'当前上下文:' || chr(10) || f.m || chr(10) || '---' || chr(10) || '新的上下文片段:' || chr(10) || "
+             "s.ss[f.t + 1] || chr(10) || '---' || chr(10) || '根据用户关心的问题\"' || {q} || '\"，结合新的上下文片段，生成新的上下文：'")
+
+
+@register("reading_recursive_text", f"""WITH RECURSIVE {_read_text_ctes()},
+seq AS (SELECT filename, flatten([cs for r in range({READ_REPEAT})]) AS ss FROM cl),
+fold(filename, t, m) AS (
+  SELECT filename, 0, '' FROM seq WHERE len(ss) > 1
+  UNION ALL
+  SELECT f.filename, f.t + 1, {_rd(_STEP_SQL.format(q=D.lit(QUESTION)) + " || '|'")}
+  FROM fold f JOIN seq s USING (filename) WHERE f.t < len(s.ss)),
+mem AS (SELECT s.filename, len(s.ss) AS n_steps,
+          CASE WHEN len(s.ss) > 1 THEN f.m WHEN len(s.ss) = 1 THEN s.ss[1] ELSE '' END AS memory
+        FROM seq s LEFT JOIN fold f ON f.filename = s.filename AND f.t = len(s.ss))
+SELECT filename, CAST(n_steps AS BIGINT) AS n_steps, md5(memory) AS memory_md5,
+       {_rd("'上下文: ' || memory || chr(10) || '---' || chr(10) || " + D.lit(QUESTION) + " || '|'")} AS answer FROM mem""")
+def q_reading_recursive_text(spark, sf):
+    d = RD.recursive_read(_chunked_docs(spark, sf), "chunks", F.lit(QUESTION), READ_REPEAT)
+    return d.select("filename", (F.size("chunks") * READ_REPEAT).cast("bigint").alias("n_steps"),
+                    F.md5("memory").alias("memory_md5"), "answer")
+
+
+def _each_sql(chunk: str, refine: bool) -> str:
+    mid = f"'{RD.EACH_REFINE}' || " if refine else ""
+    return f"'上下文片段:' || chr(10) || {chunk} || chr(10) || '---' || chr(10) || {mid}{D.lit(QUESTION)}"
+
+
+@register("reading_foreach_text", f"""WITH RECURSIVE {_read_text_ctes()},
+a1 AS (SELECT filename, chunk_no, chunk, {_rd(_each_sql('chunk', False) + " || '|'")} AS a FROM chunks),
+a2 AS (SELECT filename, chunk_no, {_rd(_each_sql('chunk', True) + " || '|' || a")} AS a FROM a1)
+SELECT cl.filename, CAST(len(cl.cs) AS BIGINT) AS n_chunks,
+       md5(coalesce((SELECT string_agg(a, chr(10) || chr(10) ORDER BY chunk_no) FROM a2 WHERE a2.filename = cl.filename), '')) AS answers_md5
+FROM cl""")
+def q_reading_foreach_text(spark, sf):
+    d = _chunked_docs(spark, sf)
+    ans = RD.foreach_read_text(F.col("chunks"), F.lit(QUESTION), READ_REPEAT)
+    return d.select("filename", F.size("chunks").cast("bigint").alias("n_chunks"), F.md5(ans).alias("answers_md5"))
+
+
+def _turn_docs(spark, sf):
+    c = TB.table(spark, sf, "conversations")
+    fn = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_turn_"), F.col("turn").cast("string"), F.lit(".txt"))
+    t = TX.text_preprocess(F.col("text"))
+    return c.select("conv_id", "turn", fn.alias("filename"), UN.text_to_chunks(t, 400, 0, 100).alias("chunks"))
+
+
+def _turn_chunks_ctes():
+    return f"""src AS (SELECT conv_id, turn, 'conv_' || CAST(conv_id AS VARCHAR) || '_turn_' || CAST(turn AS VARCHAR) || '.txt' AS filename,
+                text FROM conversations),
+{D.preprocess_ctes('src', 'filename', 'text')},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+items AS (SELECT s.conv_id, row_number() OVER (PARTITION BY s.conv_id ORDER BY s.turn, c.chunk_no) AS pos, c.filename, c.chunk_no, c.chunk
+          FROM chunks c JOIN src s USING (filename))"""
+
+
+_STEP_FILE_SQL = ("'当前上下文:' || chr(10) || f.m || chr(10) || '---' || chr(10) || '新的上下文片段:' || chr(10) || "
+                  "'文件名=' || i.filename || ' 片段序号=' || CAST(i.chunk_no AS VARCHAR) || chr(10) || "
+                  "i.chunk || chr(10) || '---' || chr(10) || '根据用户关心的问题\"' || {q} || '\"，结合新的上下文片段，生成新的上下文：'")
+
+
+@register("reading_recursive_files", f"""WITH RECURSIVE {_turn_chunks_ctes()},
+reqs AS (SELECT DISTINCT conv_id FROM conversations),
+fold(conv_id, t, m) AS (
+  SELECT conv_id, 0, '' FROM reqs
+  UNION ALL
+  SELECT f.conv_id, f.t + 1, {_rd(_STEP_FILE_SQL.format(q=D.lit(QUESTION)) + " || '|'")}
+  FROM fold f JOIN items i ON i.conv_id = f.conv_id AND i.pos = f.t + 1),
+mem AS (SELECT conv_id, arg_max(m, t) AS memory, max(t) AS n_steps FROM fold GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_steps AS BIGINT) AS n_steps, md5(memory) AS memory_md5,
+       {_rd("'上下文: ' || memory || chr(10) || '---' || chr(10) || " + D.lit(QUESTION) + " || '|'")} AS answer FROM mem""")
+def q_reading_recursive_files(spark, sf):
+    docs = _turn_docs(spark, sf)
+    req = RD.chunk_list(docs, "conv_id", "turn")
+    allreq = TB.table(spark, sf, "conversations").select("conv_id").distinct()
+    x = allreq.join(req, "conv_id", "left").withColumn(
+        "items", F.coalesce("items", F.array().cast("array<struct<filename:string,chunk_no:int,chunk:string>>")))
+    r = RD.recursive_read(x, "items", F.lit(QUESTION), 1, files=True)
+    return r.select(F.col("conv_id").cast("bigint"), F.size("items").cast("bigint").alias("n_steps"),
+                    F.md5("memory").alias("memory_md5"), "answer")
+
+
+def _each_file_sql(refine: bool) -> str:
+    mid = f"'{RD.EACH_REFINE}' || " if refine else ""
+    return (f"'上下文片段:' || chr(10) || '文件名=' || filename || chr(10) || chunk || chr(10) || '---' || chr(10) || "
+            f"{mid}{D.lit(QUESTION)}")
+
+
+@register("reading_foreach_files", f"""WITH RECURSIVE {_turn_chunks_ctes()},
+a1 AS (SELECT conv_id, pos, filename, chunk, {_rd(_each_file_sql(False) + " || '|'")} AS a FROM items),
+a2 AS (SELECT conv_id, pos, {_rd(_each_file_sql(True) + " || '|' || a")} AS a FROM a1)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, md5(string_agg(a, chr(10) || chr(10) ORDER BY pos)) AS answers_md5,
+       CAST(count(*) AS BIGINT) AS n_chunks FROM a2 GROUP BY conv_id""")
+def q_reading_foreach_files(spark, sf):
+    docs = _turn_docs(spark, sf)
+    a = RD.foreach_answers(docs, "conv_id", "turn", F.lit(QUESTION), READ_REPEAT)
+    return a.select(F.col("conv_id").cast("bigint"), F.md5("answers").alias("answers_md5"), "n_chunks")
+
+
+@register("chat_history", f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS r FROM u JOIN conversations a
+        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'),
+h AS (SELECT conv_id, count(*) AS n_pairs, arg_max(r, turn) AS last_answer FROM p GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_pairs AS BIGINT) AS n_pairs,
+       {_rd(D.lit(QUESTION) + " || '|' || last_answer")} AS response, CAST(n_pairs + 1 AS BIGINT) AS history_after FROM h""")
+def q_chat_history(spark, sf):
+    c = TB.table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
+    pairs = u.join(a, ["conv_id", "turn"])
+    h = pairs.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "q", "r"))),
+                                                 lambda s: RD.turn(s["q"], s["r"])).alias("history"))
+    resp = RD.history_reader(F.lit(QUESTION), F.col("history"))
+    after = F.array_append(F.col("history"), RD.turn(F.lit(QUESTION), resp))
+    return h.select(F.col("conv_id").cast("bigint"), F.size("history").cast("bigint").alias("n_pairs"),
+                    resp.alias("response"), F.size(after).cast("bigint").alias("history_after"))

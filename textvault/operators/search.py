@@ -273,7 +273,7 @@ def _nearest(Q: np.ndarray, C: np.ndarray, m: int) -> np.ndarray:
     S = _scores(Q, C, "L2")
     pre = min(C.shape[0], m + 8)
     cand = np.argpartition(S, pre - 1, axis=1)[:, :pre] if pre < C.shape[0] else np.tile(np.arange(C.shape[0]), (len(Q), 1))
-    exact = ((Q[:, None, :] - C[cand]) ** 2).sum(2)
+    exact = np.round(((Q[:, None, :] - C[cand]) ** 2).sum(2), ORDER_DIGITS)
     out = np.empty((len(Q), m), dtype=np.int64)
     for i in range(len(Q)):
         o = np.lexsort((cand[i], exact[i]))

@@ -800,3 +800,73 @@ def q_chat_history(spark, sf):
     after = F.array_append(F.col("history"), RD.turn(F.lit(QUESTION), resp))
     return h.select(F.col("conv_id").cast("bigint"), F.size("history").cast("bigint").alias("n_pairs"),
                     resp.alias("response"), F.size(after).cast("bigint").alias("history_after"))
+
+
+# ---------------------------------------------------------------------------
+# cell-probed search
+# ---------------------------------------------------------------------------
+
+def _ivf_parts(spark, sf):
+    v = TB.vectors(spark, sf).select("id", "embedding")
+    n = v.count()
+    nlist = S.default_nlist(n)
+    cents = S.sample_centroids(v, nlist)
+    assigned = S.assign_cells(v, cents)
+    return v, cents, assigned, max(1, nlist // 15)
+
+
+_IVF_SQL = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+nl AS (SELECT CAST(greatest(1, round(4 * sqrt(count(*)))) AS BIGINT) AS nlist FROM v),
+c AS (SELECT cell, ce FROM (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR))) - 1 AS cell, e AS ce FROM v)
+      WHERE cell < (SELECT nlist FROM nl)),
+a AS (SELECT id, cell FROM (SELECT v.id, c.cell, row_number() OVER (PARTITION BY v.id ORDER BY
+        round(list_sum(list_transform(list_zip(v.e, c.ce), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9), c.cell) AS rn
+        FROM v CROSS JOIN c) WHERE rn = 1)"""
+
+
+@register("ivf_assign", f"""WITH {_IVF_SQL}
+SELECT CAST(id AS BIGINT) AS id, CAST(cell AS BIGINT) AS cell FROM a""")
+def q_ivf_assign(spark, sf):
+    _, _, assigned, _ = _ivf_parts(spark, sf)
+    return assigned.select(F.col("id").cast("bigint"), F.col("cell").cast("bigint"))
+
+
+def _ivf_search_sql(k: int) -> str:
+    return f"""{_IVF_SQL},
+qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{D.sparse_embedding_ctes('qs', 'query_id', 'text', Q_DIM_EMB, 'qw')},
+qd AS (SELECT query_id, list_transform(range({Q_DIM_EMB}), lambda b: coalesce(
+         list_extract(map_extract(m, b), 1), 0)) AS qe
+       FROM (SELECT query_id, map(list(bucket), list(CAST(w AS DOUBLE))) AS m FROM qw GROUP BY query_id)),
+pr AS (SELECT query_id, cell FROM (SELECT q.query_id, c.cell, row_number() OVER (PARTITION BY q.query_id ORDER BY
+        round(list_sum(list_transform(list_zip(q.qe, c.ce), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9), c.cell) AS rn
+        FROM qd q CROSS JOIN c) WHERE rn <= greatest(1, (SELECT nlist FROM nl) // 15)),
+cand AS (SELECT p.query_id, v.id, list_sum(list_transform(list_zip(q.qe, v.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist
+         FROM pr p JOIN a USING (cell) JOIN v USING (id) JOIN qd q USING (query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rk FROM cand)"""
+
+
+@register("ivf_search", f"""WITH {_ivf_search_sql(VEC_K)}
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, round(dist, 6) AS distance, CAST(rk AS BIGINT) AS rk
+FROM r WHERE rk <= {VEC_K}""")
+def q_ivf_search(spark, sf):
+    _, cents, assigned, nprobe = _ivf_parts(spark, sf)
+    top = S.ivf_topk(assigned, cents, _emb_queries(spark, sf), VEC_K, nprobe)
+    return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"),
+                      _r6(F.col("distance")).alias("distance"), F.col("rk").cast("bigint"))
+
+
+@register("ivf_recall", f"""WITH {_ivf_search_sql(VEC_K)},
+ex AS (SELECT query_id, id FROM (SELECT q.query_id, v.id, row_number() OVER (PARTITION BY q.query_id ORDER BY
+         round(list_sum(list_transform(list_zip(q.qe, v.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9), v.id) AS rk
+         FROM qd q CROSS JOIN v) WHERE rk <= {VEC_K}),
+ivf AS (SELECT query_id, id, rk FROM r WHERE rk <= {VEC_K})
+SELECT CAST(ex.query_id AS BIGINT) AS query_id, round(count(ivf.rk) / count(*), 6) AS recall
+FROM ex LEFT JOIN ivf USING (query_id, id) GROUP BY ex.query_id""")
+def q_ivf_recall(spark, sf):
+    _, cents, assigned, nprobe = _ivf_parts(spark, sf)
+    qv = _emb_queries(spark, sf)
+    exact = S.exact_topk(TB.vectors(spark, sf), qv, VEC_K)
+    approx = S.ivf_topk(assigned, cents, qv, VEC_K, nprobe)
+    rec = S.recall_at_k(exact, approx)
+    return rec.select(F.col("query_id").cast("bigint"), _r6(F.col("recall")).alias("recall"))

@@ -290,7 +290,8 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "id"
     """Add ``cell`` = nearest centroid (L2, ties to the lower cell) to every row."""
     C = _centroid_matrix(centroids, budget)
     bc = vectors.sparkSession.sparkContext.broadcast(C)
-    schema = vectors.schema.add("cell", "int")
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType(list(vectors.schema.fields) + [StructField("cell", IntegerType())])
 
     def assign(batches):
         Cm = bc.value

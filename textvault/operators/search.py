@@ -100,20 +100,20 @@ def _order_value(metric, dist):
     return np.where(np.isnan(key), np.inf, key)
 
 
-def _keep_topk(q, key, ids, dist, k):
+def _keep_topk(q, key, ids, k):
+    """Indices of the first k rows per query in (query, key, id) order."""
     order = np.lexsort((ids, key, q))
-    q, key, ids, dist = q[order], key[order], ids[order], dist[order]
-    if len(q) == 0:
-        return q, key, ids, dist
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-    counts = np.diff(np.r_[starts, len(q)])
-    rank = np.arange(len(q)) - np.repeat(starts, counts)
-    keep = rank < k
-    return q[keep], key[keep], ids[keep], dist[keep]
+    if len(order) == 0:
+        return order
+    qs = q[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
+    counts = np.diff(np.r_[starts, len(qs)])
+    rank = np.arange(len(qs)) - np.repeat(starts, counts)
+    return order[rank < k]
 
 
 def _make_kernel(bq, k: int, metric: str, id_col: str, vec_col: str,
-                 bmask=None, cell_col: str | None = None):
+                 bmask=None, cell_col: str | None = None, payload: list[str] = ()):
     """mapInPandas body: running per-task top-k of every query.
 
     ``bq`` / ``bmask`` are broadcast handles (query matrix, query x cell probes).
@@ -127,6 +127,7 @@ def _make_kernel(bq, k: int, metric: str, id_col: str, vec_col: str,
         acc_key = np.zeros(0)
         acc_dist = np.zeros(0)
         acc_ids = None
+        acc_pl = {c: None for c in payload}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -136,6 +137,7 @@ def _make_kernel(bq, k: int, metric: str, id_col: str, vec_col: str,
                 ids = ids.astype(str)
             vn = (V * V).sum(1)
             cells = pdf[cell_col].to_numpy() if cell_col else None
+            pl = {c: pdf[c].to_numpy(dtype=object) for c in payload}
             for q0 in range(0, Q.shape[0], QUERY_BLOCK):
                 Qb = Q[q0:q0 + QUERY_BLOCK]
                 S = _scores(Qb, V, metric, qn_all[q0:q0 + QUERY_BLOCK], vn)
@@ -153,10 +155,16 @@ def _make_kernel(bq, k: int, metric: str, id_col: str, vec_col: str,
                 acc_key = np.r_[acc_key, key]
                 acc_dist = np.r_[acc_dist, dist]
                 acc_ids = ids[vj] if acc_ids is None else np.r_[acc_ids, ids[vj]]
-            acc_q, acc_key, acc_ids, acc_dist = _keep_topk(acc_q, acc_key, acc_ids, acc_dist, k)
+                for c in payload:
+                    acc_pl[c] = pl[c][vj] if acc_pl[c] is None else np.concatenate([acc_pl[c], pl[c][vj]])
+            sel = _keep_topk(acc_q, acc_key, acc_ids, k)
+            acc_q, acc_key, acc_ids, acc_dist = acc_q[sel], acc_key[sel], acc_ids[sel], acc_dist[sel]
+            acc_pl = {c: v[sel] for c, v in acc_pl.items()}
         if acc_ids is not None and len(acc_q):
-            yield pd.DataFrame({"qpos": acc_q.astype(np.int64), "id": acc_ids,
-                                "distance": acc_dist.astype(np.float64), "okey": acc_key})
+            out = {"qpos": acc_q.astype(np.int64), "id": acc_ids,
+                   "distance": acc_dist.astype(np.float64), "okey": acc_key}
+            out.update({c: acc_pl[c] for c in payload})
+            yield pd.DataFrame(out)
 
     return kernel
 
@@ -187,17 +195,20 @@ def _vector_dim(df: DataFrame, vec_col: str) -> int:
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2", *,
                id_col: str = "id", vec_col: str = "embedding",
                qid_col: str = "query_id", qvec_col: str = "embedding",
-               budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
-    """Rows (query_id, id, distance, rk) with rk = 1..k per query.
+               budget: int = DEFAULT_BROADCAST_BUDGET, payload: list[str] = ()) -> DataFrame:
+    """Rows (query_id, id, distance, rk, *payload) with rk = 1..k per query.
+
+    ``payload`` columns of the vector rows travel with the hits, so no second
+    pass over the table is needed to fetch them.
 
     Order per query: metric ascending (IP: descending), then id. ``distance`` is
     the metric value (L2 is squared, as the search index reports it).
     """
-    return _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, budget)
+    return _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, budget, payload=list(payload))
 
 
 def _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, budget,
-            centroids=None, nprobe=None, cell_col="cell"):
+            centroids=None, nprobe=None, cell_col="cell", payload=()):
     metric = metric.upper()
     if k <= 0:
         spark = vectors.sparkSession
@@ -212,7 +223,7 @@ def _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, bud
     for batch in _collect_bounded(queries, [qid_col, qvec_col], budget, dim):
         qids = [b[0] for b in batch]
         Q = _stack([b[1] for b in batch])
-        cols = [id_col, vec_col]
+        cols = [id_col, vec_col, *payload]
         vsrc = vectors
         mask = None
         if centroids is not None:
@@ -222,12 +233,13 @@ def _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, bud
             mask[np.repeat(np.arange(len(qids)), probes.shape[1]), probes.ravel()] = True
             cells = sorted(set(int(c) for c in np.unique(probes)))
             vsrc = vectors.filter(F.col(cell_col).isin(cells))
-            cols = [id_col, vec_col, cell_col]
+            cols = [id_col, vec_col, cell_col, *payload]
         sc = spark.sparkContext
         kern = _make_kernel(sc.broadcast(Q), k, metric, id_col, vec_col,
                             sc.broadcast(mask) if mask is not None else None,
-                            cell_col if centroids is not None else None)
-        cand = vsrc.select(*cols).mapInPandas(kern, f"qpos long, id {id_type}, distance double, okey double")
+                            cell_col if centroids is not None else None, payload)
+        pl_schema = "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in payload)
+        cand = vsrc.select(*cols).mapInPandas(kern, f"qpos long, id {id_type}, distance double, okey double{pl_schema}")
         qmap = spark.createDataFrame(list(enumerate(qids)), f"qpos long, query_id {qid_type}")
         parts.append(cand.join(F.broadcast(qmap), "qpos").drop("qpos"))
     out = parts[0]
@@ -235,7 +247,7 @@ def _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, bud
         out = out.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.col("okey"), F.col("id"))
     return (out.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-            .select("query_id", "id", "distance", "rk"))
+            .select("query_id", "id", "distance", "rk", *payload))
 
 
 # --- IVF: cells from sampled centroids ---------------------------------------

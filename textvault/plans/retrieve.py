@@ -19,19 +19,16 @@ def embed_queries(queries: DataFrame, embedder=None, text_col: str = "text") ->
 
 def file_hits(files: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str = "L2") -> DataFrame:
     """(query_id, rk, filename_md5, filename, distance); empty when limit <= 0."""
-    top = exact_topk(files.select(F.col("filename_md5").alias("id"), "embedding"), qvecs, limit, metric)
-    # the hit list is bounded (queries x limit): broadcast it into the scan of the file rows
-    return (files.select("filename_md5", "filename")
-            .join(F.broadcast(top.withColumnRenamed("id", "filename_md5")), "filename_md5")
-            .select("query_id", "rk", "filename_md5", "filename", "distance"))
+    top = exact_topk(files.select(F.col("filename_md5").alias("id"), "embedding", "filename"), qvecs, limit,
+                     metric, payload=["filename"])
+    return top.select("query_id", "rk", F.col("id").alias("filename_md5"), "filename", "distance")
 
 
 def chunk_hits(chunks: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str = "L2") -> DataFrame:
     """(query_id, rk, filename_md5_no, filename, chunk_no, chunk, distance)."""
-    top = exact_topk(chunks.select(F.col("filename_md5_no").alias("id"), "embedding"), qvecs, limit, metric)
-    return (chunks.select("filename_md5_no", "filename", "chunk_no", "chunk")
-            .join(F.broadcast(top.withColumnRenamed("id", "filename_md5_no")), "filename_md5_no")
-            .select("query_id", "rk", "filename_md5_no", "filename", "chunk_no", "chunk", "distance"))
+    top = exact_topk(chunks.select(F.col("filename_md5_no").alias("id"), "embedding", "filename", "chunk_no", "chunk"),
+                     qvecs, limit, metric, payload=["filename", "chunk_no", "chunk"])
+    return top.select("query_id", "rk", F.col("id").alias("filename_md5_no"), "filename", "chunk_no", "chunk", "distance")
 
 
 def search_kbs(files: DataFrame, chunks: DataFrame, queries: DataFrame, file_limit: int = 3,

@@ -140,8 +140,8 @@ SELECT filename, CAST(line_no AS BIGINT) AS line_no, CAST(generate_subscripts(ss
 def q_sentences(spark, sf):
     d = docs_clean(spark, sf)
     lines = F.filter(F.transform(F.split("text", "\n", -1), TX.py_strip), lambda l: l != "")
-    x = d.select("filename", F.posexplode(lines).alias("line_no", "line"))
-    y = x.select("filename", "line_no", F.posexplode(UN.text_to_sentences(F.col("line"))).alias("sent_no", "sentence"))
+    x = UN.explode_items(d, lines, "line_no", "line", "filename")
+    y = UN.explode_items(x, UN.text_to_sentences(F.col("line")), "sent_no", "sentence", "filename", "line_no")
     return y.select("filename", F.col("line_no").cast("bigint"), F.col("sent_no").cast("bigint"), "sentence")
 
 
@@ -156,9 +156,8 @@ SELECT filename, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(length(chunk) AS BIG
 
 def _chunks_query(size, overlap, limit):
     def q(spark, sf):
-        d = docs_clean(spark, sf)
-        x = d.select("filename", F.posexplode(UN.text_to_chunks(F.col("text"), size, overlap, limit))
-                     .alias("chunk_no", "chunk"))
+        d = UN.with_chunks(docs_clean(spark, sf), "text", "chunks", size, overlap, limit)
+        x = UN.explode_items(d, F.col("chunks"), "chunk_no", "chunk", "filename")
         return x.select("filename", F.col("chunk_no").cast("bigint"), F.length("chunk").cast("bigint").alias("chunk_length"),
                         F.md5("chunk").alias("chunk_text_md5"),
                         F.md5(TX.chunk_fingerprint_text(F.col("filename"), F.col("chunk_no"), F.col("chunk"))).alias("chunk_md5"))
@@ -236,7 +235,7 @@ def q_chunk_rows(spark, sf):
 
 def _sparse_of(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """Non-zero components (key, bucket, w) of a dense vector column."""
-    x = df.select(key, F.posexplode(vec).alias("bucket", "w")).filter(F.col("w") != 0)
+    x = UN.explode_items(df, F.col(vec), "bucket", "w", key).filter(F.col("w") != 0)
     return x.select(key, F.col("bucket").cast("bigint"), _r6(F.col("w").cast("double")).alias("w"))
 
 
@@ -673,8 +672,7 @@ def _rd(x: str) -> str:
 
 
 def _chunked_docs(spark, sf):
-    d = docs_clean(spark, sf)
-    return d.select("filename", UN.text_to_chunks(F.col("text"), 400, 0, 100).alias("chunks"))
+    return UN.with_chunks(docs_clean(spark, sf), "text", "chunks", 400, 0, 100).select("filename", "chunks")
 
 
 def _read_text_ctes():

@@ -7,7 +7,7 @@ the number of units and never copies growing strings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textvault.functions.text import SENTENCE_END, WS, WS_CLASS, py_strip
@@ -127,8 +127,38 @@ def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int = 10
 
 def text_to_chunks(c: Column, size: int = 400, overlap: int = 0, limit: int = 100,
                    word_tokenizer=word_tokens) -> Column:
+    """Single-expression form (string fold); see :func:`with_chunks` for the fast plan."""
     return pack_units(text_to_units(c, size, word_tokenizer), size, overlap, limit)
 
 
+def explode_items(df: DataFrame, arr, pos: str, item: str, *keep: str) -> DataFrame:
+    """posexplode that keeps the array computation in one place.
+
+    A plain ``posexplode`` makes the optimizer infer ``size(arr) > 0`` and push
+    it below the projection, re-evaluating the whole array expression in a
+    filter; the outer form has no inferred filter, and nulls are dropped after.
+    """
+    x = df.select(*keep, F.posexplode_outer(arr).alias(pos, item))
+    return x.filter(F.col(pos).isNotNull())
+
+
+def with_chunks(df: DataFrame, text_col: str, out: str = "chunks", size: int = 400, overlap: int = 0,
+                limit: int = 100, word_tokenizer=word_tokens) -> DataFrame:
+    """Add ``out`` = chunk texts of ``text_col`` in three narrow projections.
+
+    1. units of each text (one column);
+    2. chunk bounds from a fold over unit lengths (integer state only);
+    3. one ``slice`` + ``array_join`` per chunk.
+    The unit column is referenced twice in step 3, so the optimizer keeps it
+    as its own projection and the slice lambda reads a column instead of
+    recomputing the units.
+    """
+    u = df.withColumn("_units", text_to_units(F.col(text_col), size, word_tokenizer))
+    b = u.withColumn("_bounds", chunk_bounds(F.col("_units"), size, overlap, limit))
+    return b.withColumn(out, F.when(F.size("_units") == 0, F.array().cast("array<string>")).otherwise(
+        F.transform("_bounds", lambda x: F.array_join(F.slice(F.col("_units"), x["s"] + 1, x["e"] - x["s"] + 1), " ")))
+    ).drop("_units", "_bounds")
+
+
 __all__ = ["text_to_sentences", "word_tokens", "text_to_units", "chunk_bounds", "pack_units",
            "text_to_chunks", "SENTENCE_REGEX", "WORD_REGEX", "WS"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textvault.functions import text as TX
-from textvault.functions.units import text_to_chunks
+from textvault.functions.units import explode_items, text_to_chunks, with_chunks
 from textvault.hooks import HashingEmbedder
 
 
@@ -62,10 +62,9 @@ def file_rows(docs: DataFrame, p: BuildParams = BuildParams(), embed: bool = Tru
 
 def chunk_rows(docs: DataFrame, p: BuildParams = BuildParams(), embed: bool = True) -> DataFrame:
     """kbs_chunk rows: one per chunk of each (filename, text)."""
-    exploded = docs.select(
-        "filename",
-        F.posexplode(text_to_chunks(F.col("text"), p.chunk_size, p.chunk_overlap, p.chunk_limit))
-        .alias("chunk_no", "chunk"))
+    chunked = with_chunks(docs.select("filename", "text"), "text", "_chunks", p.chunk_size, p.chunk_overlap,
+                          p.chunk_limit)
+    exploded = explode_items(chunked, F.col("_chunks"), "chunk_no", "chunk", "filename")
     fn, no, ch = F.col("filename"), F.col("chunk_no"), F.col("chunk")
     fmd5 = F.md5(fn)
     full = TX.chunk_fingerprint_text(fn, no, ch)

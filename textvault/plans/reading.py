@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textvault.functions.units import explode_items
 from textvault.hooks import hash_reader
 
 NL = "\n"
@@ -129,7 +130,7 @@ def foreach_read_text(chunks: Column, question: Column, repeat: int = 1, reader=
 
 def chunk_list(docs: DataFrame, request: str, order: str, chunks_col: str = "chunks") -> DataFrame:
     """(request, items): chunks of many files in (file order, chunk_no) order."""
-    x = docs.select(request, order, "filename", F.posexplode(chunks_col).alias("chunk_no", "chunk"))
+    x = explode_items(docs, F.col(chunks_col), "chunk_no", "chunk", request, order, "filename")
     items = F.array_sort(F.collect_list(F.struct(order, "chunk_no", "filename", "chunk")))
     return x.groupBy(request).agg(F.transform(items, lambda s: F.struct(
         s["filename"].alias("filename"), s["chunk_no"].alias("chunk_no"), s["chunk"].alias("chunk"))).alias("items"))
@@ -139,7 +140,7 @@ def foreach_answers(docs_chunks: DataFrame, request: str, order: str, question:
                     reader=history_reader) -> DataFrame:
     """Files variant of ForEach: every (file, chunk) row in parallel, then an
     ordered join of answers per request."""
-    x = docs_chunks.select(request, order, "filename", F.posexplode("chunks").alias("chunk_no", "chunk"))
+    x = explode_items(docs_chunks, F.col("chunks"), "chunk_no", "chunk", request, order, "filename")
     a = x.select(request, order, "chunk_no",
                  foreach_read(F.col("chunk"), question, repeat, reader, F.col("filename"))["answer"].alias("answer"))
     return a.groupBy(request).agg(

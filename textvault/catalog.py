@@ -868,3 +868,21 @@ def q_ivf_recall(spark, sf):
     approx = S.ivf_topk(assigned, cents, qv, VEC_K, nprobe)
     rec = S.recall_at_k(exact, approx)
     return rec.select(F.col("query_id").cast("bigint"), _r6(F.col("recall")).alias("recall"))
+
+
+# ---------------------------------------------------------------------------
+# document profile (P9): chunks, counts, length, md5 of a raw text
+# ---------------------------------------------------------------------------
+
+@register("text_profile", f"""WITH RECURSIVE src AS (SELECT doc_id, text FROM documents),
+{D.chunk_ctes('src', 'doc_id', 'text', 400, 0, 100)}
+SELECT CAST(s.doc_id AS BIGINT) AS doc_id, CAST(count(c.chunk_no) AS BIGINT) AS chunks_count,
+       CAST(length(s.text) AS BIGINT) AS text_length, md5(s.text) AS md5,
+       md5(coalesce(string_agg(c.chunk, '|' ORDER BY c.chunk_no), '')) AS chunks_md5
+FROM src s LEFT JOIN chunks c USING (doc_id) GROUP BY s.doc_id, s.text""")
+def q_text_profile(spark, sf):
+    d = TB.table(spark, sf, "documents").select("doc_id", "text")
+    p = B.document_profile(d)
+    return p.select(F.col("doc_id").cast("bigint"), F.col("profile.chunks_count").cast("bigint").alias("chunks_count"),
+                    F.col("profile.text_length").cast("bigint").alias("text_length"), F.col("profile.md5").alias("md5"),
+                    F.md5(F.array_join("profile.chunks", "|")).alias("chunks_md5"))

@@ -100,27 +100,43 @@ def is_der_key(b: bytes | None) -> bool:
     return False
 
 
-def is_openssh_key(b: bytes | None) -> bool:
-    """magic, cipher, kdf, kdf options, count, public keys, private blob: each length must fit."""
+def der_key_end(b: bytes | None) -> int:
+    """Bytes that the DER key at the start of ``b`` takes by its own length; 0 if there is none."""
+    if not b or len(b) < 4 or b[0] != SEQUENCE:
+        return 0
+    n, at = b[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or len(b) < 2 + k:
+            return 0
+        n, at = int.from_bytes(b[2:2 + k], "big"), 2 + k
+    end = at + n
+    return end if end <= len(b) and is_der_key(b[:end]) else 0
+
+
+def openssh_key_end(b: bytes | None) -> int:
+    """Bytes of the blob at the start of ``b``: magic, cipher, kdf, kdf options, number of keys,
+    public keys, private part, each with its length; 0 if a length doesn't fit."""
     magic = b"openssh-key-v1\x00"
     if not b or not b.startswith(magic):
-        return False
-    at, n, fields = len(magic), len(b), 0
-    while at < n:
-        if at + 4 > n:
-            return False
+        return 0
+    at, left = len(magic), 3
+    counted = False
+    while left:
+        if at + 4 > len(b):
+            return 0
         size = int.from_bytes(b[at:at + 4], "big")
-        if fields == 3:                                  # the number of keys, not a length
-            keys, at, fields = size, at + 4, 4
+        at, left = at + 4 + size, left - 1
+        if at > len(b):
+            return 0
+        if not left and not counted:
+            if at + 4 > len(b):
+                return 0
+            keys, at, counted = int.from_bytes(b[at:at + 4], "big"), at + 4, True
             if not 1 <= keys <= 64:
-                return False
-            continue
-        at, fields = at + 4 + size, fields + 1
-        if at > n:
-            return False
-        if fields >= 4 and fields == 4 + keys + 1:
-            return at == n
-    return False
+                return 0
+            left = keys + 1
+    return at
 
 
 def json_object(part: str) -> dict | None:
@@ -138,25 +154,24 @@ def is_signed_token(s: str) -> bool:
     return bool(h) and isinstance(h.get("alg"), str) and h["alg"].lower() != "none" and json_object(body) is not None
 
 
-def trimmed(text: str, m: re.Match) -> tuple[int, int]:
-    """The span of a candidate without trailing line ends."""
-    return m.start(), m.start() + len(m.group(0).rstrip("\r\n"))
-
+def confirmed_base64(m: re.Match, end_of) -> tuple[int, int] | None:
+    """Span of the key at the start of a base64 candidate, or None.
 
-def confirmed_base64(text: str, m: re.Match, test) -> tuple[int, int] | None:
-    """The longest piece of the candidate, cut at line ends, whose bytes pass ``test``.
-
-    A candidate may run on into the next line of ordinary text; DER and OpenSSH
-    say their own length, so the declared length tells where to cut.
+    A candidate may run on into following text; the key's own length (``end_of``
+    its bytes) tells how many characters belong to it.
     """
-    start, end = trimmed(text, m)
-    if test(unbase64(text[start:end])):
-        return start, end
-    if "\n" in text[start:end] or "\r" in text[start:end]:
-        for k in re.finditer(r"[\r\n]+", text[start:end]):
-            if test(unbase64(text[start:start + k.start()])):
-                return start, start + k.start()
-    return None
+    raw = m.group(0)
+    chars = raw.replace("\r", "").replace("\n", "").rstrip("=")
+    whole = chars[:len(chars) // 4 * 4] if len(chars) % 4 == 1 else chars
+    n = end_of(unbase64(whole))
+    if not n:
+        return None
+    need, k = -(-n * 4 // 3), 0
+    while need:
+        need -= raw[k] not in "\r\n"
+        k += 1
+    k += len(raw[k:k + 2]) - len(raw[k:k + 2].lstrip("="))
+    return m.start(), m.start() + k
 
 
 def scan_text(text: str | None) -> list[tuple[str, int, int]]:
@@ -171,7 +186,7 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in B64_DER.finditer(text):
-        if span := confirmed_base64(text, m, is_der_key):
+        if span := confirmed_base64(m, der_key_end):
             out.append(("der", *span))
     for m in HEX_DER.finditer(text):
         h = m.group(0)
@@ -179,7 +194,7 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
             out.append(("der", *m.span()))
     if "b3BlbnNzaC1rZXktdjE" in text:
         for m in SSH_BLOB.finditer(text):
-            if span := confirmed_base64(text, m, is_openssh_key):
+            if span := confirmed_base64(m, openssh_key_end):
                 out.append(("openssh", *span))
     if "ey" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m.group(0))]

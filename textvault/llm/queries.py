@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import secret_scan
+from textvault.llm import packing, secret_scan
 from textvault.llm.shared import documents
 
 QUERIES = {}
@@ -19,3 +19,14 @@ def query(f):
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
+
+
+def word_tokenizer() -> str:
+    """Path of the public word-level vocabulary; a parameter of the packing operator."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), word_tokenizer(), 4096)

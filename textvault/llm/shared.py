@@ -43,7 +43,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, bucket
     (key, bucket) and shifted by the running count of the buckets before. A key
     that holds a third of all rows is therefore ranked by ``buckets`` groups;
     the only window over a whole key sees at most ``buckets`` counts.
-    The rank follows (bucket, ``order``). Working columns are ``__b``, ``__r``,
+    The rank follows (bucket, ``order``). Keys must not be null. Working columns are ``__b``, ``__r``,
     ``__base``; ``df`` must not have them.
     """
     spread_by = F.xxhash64(*order) if spread_by is None else spread_by
@@ -52,11 +52,6 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, bucket
     base = counts.withColumn("__base", F.sum("__n").over(
         Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
     inner = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
-    left, right = inner.alias("l"), base.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__b"]]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return (left.join(right, on, "left")
-            .select("l.*", (F.col("l.__r") - 1 + F.coalesce(F.col("r.__base"), F.lit(0))).cast("long").alias(out))
-            .drop("__b", "__r"))
+    return (inner.join(base, [*keys, "__b"], "left")
+            .withColumn(out, (F.col("__r") - 1 + F.coalesce("__base", F.lit(0))).cast("long"))
+            .drop("__b", "__r", "__base"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import packing, secret_scan
-from textvault.llm.shared import documents
+from textvault.llm import packing, quality_model, secret_scan
+from textvault.llm.shared import documents, table
 
 QUERIES = {}
 ORACLE = {}
@@ -30,3 +30,8 @@ def word_tokenizer() -> str:
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_tokenizer(), 4096)
+
+
+@query
+def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), 0.3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import packing, quality_model, secret_scan
+from textvault.llm import packing, quality_model, secret_scan, sharding
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -35,3 +35,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), 0.3)
+
+
+@query
+def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 8)

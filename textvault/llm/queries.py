@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import packing, quality_model, secret_scan, sharding
+from textvault.llm import mixing, packing, quality_model, secret_scan, sharding
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -40,3 +40,8 @@ def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 8)
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import mixing, packing, quality_model, secret_scan, sharding
+from textvault.llm import mixing, packing, quality_model, secret_scan, sharding, simhash
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -45,3 +45,8 @@ def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
+
+
+@query
+def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), threshold=2, shingle=3)

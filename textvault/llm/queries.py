@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import mixing, packing, quality_model, secret_scan, sharding, simhash
+from textvault.llm import mixing, packing, quality_model, secret_scan, sharding, simhash, suffix_dedup
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -50,3 +50,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), threshold=2, shingle=3)
+
+
+@query
+def op4_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, sf_dir), 100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textvault.llm import mixing, packing, quality_model, secret_scan, sharding, simhash, suffix_dedup
+from textvault.llm import mixing, packing, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -55,3 +55,11 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(documents(spark, sf_dir), 100)
+
+
+@query
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op7_risk_controlled_rules"] = quality_rules.ORACLE_SQL

@@ -36,42 +36,71 @@ from pyspark.sql import functions as F
 from textvault.llm.shared import ranked, stored
 
 END_ID = 1
-CACHE_WORDS = 300_000      # distinct words a task remembers the ids of; beyond that it starts anew
-LONG_WORD = 64
+KNOWN_WORDS = 300_000      # distinct words in each of the two generations a worker remembers
+LONG_WORD = 64             # longer words are not remembered
+
+# How byte-level vocabularies write a byte: printable ones as themselves, the others from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = dict(zip([b for b in range(256) if b not in PRINTABLE], range(256, 512)))
+LATIN_END = "\u0250"
 
 
 class WordIds:
-    """Token ids of a text through a per-task memory of its words.
+    """Token ids of a text through a worker's memory of its words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
     the ids of its space-separated words one after the other; each distinct word is
-    tokenized once per task. Words of over ``LONG_WORD`` characters are not remembered.
+    tokenized once while it is remembered. A run of Latin letters is one unit of the
+    vocabulary's splitting rule, so it goes straight to the model, lower-cased; every
+    other word goes through the whole tokenizer. The tests compare both with the
+    encoding of whole texts.
     """
 
+    _of: dict[str, WordIds] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def fresh(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
+        self.model = self.tok.model
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """The one of this Python worker, which Spark uses for several tasks."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def tokenized(self, word: str) -> bytes:
+        if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
+            return self.look_up(word[:-1]) + self.look_up(word[-1])
+        if word.isalpha() and max(word) < LATIN_END and "\u0130" not in word:
+            units = self.model.tokenize(word.lower().encode().decode("latin-1").translate(BYTE_SIGNS))
+            return struct.pack(f"<{len(units)}I", *[u.id for u in units])
+        return np.asarray(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def look_up(self, word: str) -> bytes:
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self.tokenized(word)
+            if len(word) <= LONG_WORD:
+                self.new[word] = ids
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers, the end id last."""
         words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        end = struct.pack("<I", END_ID)
+        if len(self.new) > KNOWN_WORDS:
+            self.old, self.new = self.new, {"": b""}
+        known, end = self.new, struct.pack("<I", END_ID)
         try:
             return b"".join([known[w] for w in words]) + end
         except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known = self.known = {"": b""}
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = dict(zip(new, self.fresh(new), strict=True))
-        known.update((w, i) for w, i in found.items() if len(w) <= LONG_WORD)
-        return b"".join([known[w] if w in known else found[w] for w in words]) + end
+            return b"".join([known[w] if w in known else self.look_up(w) for w in words]) + end
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str = "doc_id",
@@ -81,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str
     schema += ", ids binary" if with_ids else ""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = WordIds.of(tokenizer)
         for b in batches:
             doc, text = b.column(0), b.column(1)
             row, piece, start, length, crc, ids = [], [], [], [], [], []

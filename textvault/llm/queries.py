@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvault.llm import mixing, packing, projected_search, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from textvault.llm import license_scan, mixing, packing, projected_search, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -70,3 +70,8 @@ ORACLE["op7_risk_controlled_rules"] = quality_rules.ORACLE_SQL
 def op1_projected_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return projected_search.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+@query
+def op10_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(documents(spark, sf_dir))

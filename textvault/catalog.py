@@ -164,8 +164,8 @@ def _chunks_query(size, overlap, limit):
     return q
 
 
-for _p in [(400, 0, 100), (400, 2, 100), (60, 1, 7), (1500, 1, 100), (400, 3, 5)]:
-    register("chunks_%d_%d_%d" % _p, _chunks_sql(*_p))(_chunks_query(*_p))
+for _p in [(400, 0, None), (400, 2, None), (60, 1, 7), (1500, 1, None), (400, 3, 5)]:
+    register("chunks_%d_%d_%s" % (*_p[:2], _p[2] or "all"), _chunks_sql(*_p))(_chunks_query(*_p))
 
 
 @register("units_400", f"""WITH {D.corpus_cte()},
@@ -184,16 +184,15 @@ def q_units(spark, sf):
 
 @register("doc_chunk_stats", f"""WITH RECURSIVE {D.corpus_cte()},
 {D.preprocess_ctes('corpus', 'filename', 'raw_text')},
-{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)}
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)}
 SELECT p.filename, CAST(length(p.text) AS BIGINT) AS text_length, CAST(count(c.chunk_no) AS BIGINT) AS chunks_count,
        CAST(coalesce(sum(length(c.chunk)), 0) AS BIGINT) AS chunks_length
 FROM pre p LEFT JOIN chunks c USING (filename) GROUP BY p.filename, p.text""")
 def q_doc_chunk_stats(spark, sf):
-    d = docs_clean(spark, sf)
-    ch = UN.text_to_chunks(F.col("text"), 400, 0, 100)
+    d = UN.with_chunks(docs_clean(spark, sf), "text", "chunks", 400, 0)
     return d.select("filename", F.length("text").cast("bigint").alias("text_length"),
-                    F.size(ch).cast("bigint").alias("chunks_count"),
-                    F.aggregate(ch, F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)).alias("chunks_length"))
+                    F.size("chunks").cast("bigint").alias("chunks_count"),
+                    F.aggregate("chunks", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)).alias("chunks_length"))
 
 
 # ---------------------------------------------------------------------------
@@ -218,7 +217,7 @@ def q_file_rows(spark, sf):
 
 @register("chunk_rows", f"""WITH RECURSIVE {D.corpus_cte()},
 {D.preprocess_ctes('corpus', 'filename', 'raw_text')},
-{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)}
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)}
 SELECT ('0x' || substr(md5(md5(filename) || '_' || CAST(chunk_no AS VARCHAR)), 1, 15))::BIGINT AS id,
        md5(filename) AS filename_md5, md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS filename_md5_no,
        CAST(chunk_no AS BIGINT) AS chunk_no, CAST(length(chunk) AS BIGINT) AS chunk_length, filename,
@@ -261,7 +260,7 @@ qs AS (SELECT item_id AS query_id, text FROM benchmark),
 def _cw_ctes():
     return f"""{D.corpus_cte()},
 {D.preprocess_ctes('corpus', 'filename', 'raw_text')},
-{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)},
 cp AS (SELECT md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS id, filename, chunk_no,
               {D.chunk_fp('filename', 'chunk_no', 'chunk')} AS full_text, chunk FROM chunks),
 {D.sparse_embedding_ctes('cp', 'id', 'full_text', 512, 'vw')},
@@ -378,7 +377,7 @@ def q_vector_pair_metrics(spark, sf):
 
 @register("chunk_to_file_distance", f"""WITH RECURSIVE {D.corpus_cte()},
 {D.preprocess_ctes('corpus', 'filename', 'raw_text')},
-{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)},
 fp AS (SELECT filename, {D.file_fp('filename', 'text')} AS full_text FROM pre),
 cp AS (SELECT filename, chunk_no, {D.chunk_fp('filename', 'chunk_no', 'chunk')} AS full_text FROM chunks),
 {D.sparse_embedding_ctes('fp', 'filename', 'full_text', 512, 'fw')},
@@ -494,8 +493,8 @@ def q_sync_files_after(spark, sf):
 
 
 @register("sync_chunks_after", f"""WITH RECURSIVE {_sync_status_ctes()},
-{D.chunk_ctes('oldp', 'filename', 'text', 400, 0, 100, 'oc')},
-{D.chunk_ctes('newp', 'filename', 'text', 400, 0, 100, 'nc')}
+{D.chunk_ctes('oldp', 'filename', 'text', 400, 0, None, 'oc')},
+{D.chunk_ctes('newp', 'filename', 'text', 400, 0, None, 'nc')}
 SELECT md5(c.filename) || '_' || CAST(c.chunk_no AS VARCHAR) AS filename_md5_no,
        md5({D.chunk_fp('c.filename', 'c.chunk_no', 'c.chunk')}) AS chunk_md5, CAST({_AS_OF_MS} AS BIGINT) AS update_ms
 FROM oc c JOIN st USING (filename) WHERE st.status = 'unchanged'
@@ -520,6 +519,18 @@ def q_html_text(spark, sf):
     return p.select("filename", F.length(t).cast("bigint").alias("text_length"), F.md5(t).alias("text_md5"))
 
 
+_HARD_HTML = ("<p title=\"a>b\" class='c>d'>caf&eacute; &amp;lt; &#233;&#xE9;&#X1F600; &nbsp;&unknown; &#0; &copy 1</p>"
+              "<!-- x > y --><script>if (a > b) {}</script>")
+
+
+@register("html_text_hard", f"""WITH p AS (SELECT page_id, {D.lit(_HARD_HTML)} || html || '&#8217;' AS h FROM pages)
+SELECT CAST(page_id AS BIGINT) AS page_id, md5({D.html_text('h')}) AS text_md5, left({D.html_text('h')}, 30) AS head FROM p""")
+def q_html_text_hard(spark, sf):
+    p = TB.table(spark, sf, "pages")
+    t = p.select("page_id", FS.html_to_text(F.concat(F.lit(_HARD_HTML), "html", F.lit("&#8217;"))).alias("t"))
+    return t.select(F.col("page_id").cast("bigint"), F.md5("t").alias("text_md5"), F.substring("t", 1, 30).alias("head"))
+
+
 @register("pdf_text", """SELECT concat('conv_', CAST(conv_id AS VARCHAR), '.pdf') AS filename,
   md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5, CAST(count(*) AS BIGINT) AS pages
 FROM conversations GROUP BY conv_id""")
@@ -554,7 +565,7 @@ def q_read_documents(spark, sf):
   UNION ALL SELECT concat('page_', CAST(page_id AS VARCHAR), '.html') FROM pages
   UNION ALL SELECT url FROM pages)
 SELECT regexp_extract(filename, '^\\.*[^.].*\\.([^./]*)$', 1) AS ext, CAST(count(*) AS BIGINT) AS n
-FROM n WHERE regexp_extract(filename, '^\\.*[^.].*\\.([^./]*)$', 1) IN ('txt', 'md', 'pdf', 'html', 'caj') GROUP BY 1""")
+FROM n WHERE regexp_extract(filename, '^\\.*[^.].*\\.([^./]*)$', 1) IN ('pdf', 'txt', 'md', 'py', 'html', 'js', 'java', 'h', 'cpp', 'c', 'hpp', 'json', 'toml', 'ipynb', 'yml', 'rst') GROUP BY 1""")
 def q_allowed_uploads(spark, sf):
     d = TB.corpus(spark, sf).select("filename")
     p = TB.corpus_html(spark, sf).select("filename")
@@ -672,13 +683,13 @@ def _rd(x: str) -> str:
 
 
 def _chunked_docs(spark, sf):
-    return UN.with_chunks(docs_clean(spark, sf), "text", "chunks", 400, 0, 100).select("filename", "chunks")
+    return UN.with_chunks(docs_clean(spark, sf), "text", "chunks", 400, 0, None).select("filename", "chunks")
 
 
 def _read_text_ctes():
     return f"""{D.corpus_cte()},
 {D.preprocess_ctes('corpus', 'filename', 'raw_text')},
-{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)},
 cl AS (SELECT p.filename, coalesce(list(c.chunk ORDER BY c.chunk_no) FILTER (WHERE c.chunk IS NOT NULL), []) AS cs
        FROM pre p LEFT JOIN chunks c USING (filename) GROUP BY p.filename)"""
 
@@ -725,15 +736,15 @@ def q_reading_foreach_text(spark, sf):
 def _turn_docs(spark, sf):
     c = TB.table(spark, sf, "conversations")
     fn = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_turn_"), F.col("turn").cast("string"), F.lit(".txt"))
-    t = TX.text_preprocess(F.col("text"))
-    return c.select("conv_id", "turn", fn.alias("filename"), UN.text_to_chunks(t, 400, 0, 100).alias("chunks"))
+    t = c.select("conv_id", "turn", fn.alias("filename"), TX.text_preprocess(F.col("text")).alias("text"))
+    return UN.with_chunks(t, "text", "chunks", 400, 0).select("conv_id", "turn", "filename", "chunks")
 
 
 def _turn_chunks_ctes():
     return f"""src AS (SELECT conv_id, turn, 'conv_' || CAST(conv_id AS VARCHAR) || '_turn_' || CAST(turn AS VARCHAR) || '.txt' AS filename,
                 text FROM conversations),
 {D.preprocess_ctes('src', 'filename', 'text')},
-{D.chunk_ctes('pre', 'filename', 'text', 400, 0, 100)},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)},
 items AS (SELECT s.conv_id, row_number() OVER (PARTITION BY s.conv_id ORDER BY s.turn, c.chunk_no) AS pos, c.filename, c.chunk_no, c.chunk
           FROM chunks c JOIN src s USING (filename))"""
 
@@ -875,7 +886,7 @@ def q_ivf_recall(spark, sf):
 # ---------------------------------------------------------------------------
 
 @register("text_profile", f"""WITH RECURSIVE src AS (SELECT doc_id, text FROM documents),
-{D.chunk_ctes('src', 'doc_id', 'text', 400, 0, 100)}
+{D.chunk_ctes('src', 'doc_id', 'text', 400, 0, None)}
 SELECT CAST(s.doc_id AS BIGINT) AS doc_id, CAST(count(c.chunk_no) AS BIGINT) AS chunks_count,
        CAST(length(s.text) AS BIGINT) AS text_length, md5(s.text) AS md5,
        md5(coalesce(string_agg(c.chunk, '|' ORDER BY c.chunk_no), '')) AS chunks_md5

@@ -50,7 +50,12 @@ def _last(arr: Column, k: int) -> Column:
     return F.slice(arr, F.greatest(F.lit(1), F.size(arr) - k + 1), k)
 
 
-def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int = 100) -> Column:
+def _full(items: Column, limit: int | None) -> Column:
+    """Whether ``limit`` chunks are closed; None never stops. A first chunk is always kept."""
+    return F.lit(False) if limit is None else F.size(items) >= max(int(limit), 1)
+
+
+def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int | None = None) -> Column:
     """array<struct<s:int,e:int>>: 0-based inclusive unit ranges of each chunk.
 
     Greedy rule: add units until the running length exceeds ``size``; close the
@@ -58,7 +63,6 @@ def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int =
     first unit); stop after ``limit`` chunks; emit a non-empty tail. The fold
     reads only its own state and the current length, never the outer array.
     """
-    limit = max(int(limit), 1)  # a first chunk is always kept, as in the rule being matched
     lens = F.transform(units, lambda u: F.length(u).cast("long"))
     zero = F.lit(0).cast("long")
 
@@ -67,7 +71,7 @@ def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int =
         run = acc["run"] + ln
         recent = _last(F.array_append(acc["recent"], ln), overlap) if overlap > 0 else acc["recent"]
         carry = F.aggregate(recent, zero, lambda a, x: a + x) if overlap > 0 else zero
-        done = F.size(acc["ends"]) >= limit
+        done = _full(acc["ends"], limit)
         closed = run > size
         return F.struct(
             (i + 1).alias("i"),
@@ -80,7 +84,7 @@ def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int =
 
     def finish(acc):
         ends = acc["ends"]
-        tail = (F.size(ends) < limit) & (acc["run"] > 0)
+        tail = ~_full(ends, limit) & (acc["run"] > 0)
         all_ends = F.when(tail, F.array_append(ends, acc["i"] - 1)).otherwise(ends)
         starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(all_ends, 1, F.greatest(F.size(all_ends) - 1, F.lit(0))),
                                                            lambda e: F.greatest(F.lit(0), e - overlap + 1)))
@@ -89,14 +93,13 @@ def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int =
     return F.aggregate(lens, init, step, finish)
 
 
-def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int = 100) -> Column:
+def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int | None = None) -> Column:
     """array<string>: chunk texts, units joined by one space.
 
     A single fold builds the texts directly: the state holds the finished
     chunks, the open chunk's text and length, and the last ``overlap`` units
     (the seed of the next chunk), so each step costs at most one chunk copy.
     """
-    limit = max(int(limit), 1)
     zero = F.lit(0).cast("long")
     k = max(overlap, 1)
 
@@ -107,7 +110,7 @@ def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int = 10
         recent = _last(F.array_append(acc["recent"], u), k) if overlap > 0 else acc["recent"]
         seed_len = F.aggregate(recent, zero, lambda a, x: a + F.length(x)) if overlap > 0 else zero
         seed = F.array_join(recent, " ") if overlap > 0 else F.lit("")
-        done = F.size(acc["chunks"]) >= limit
+        done = _full(acc["chunks"], limit)
         closed = run > size
         return (F.when(done, acc)
                 .when(closed, F.struct(F.array_append(acc["chunks"], cur).alias("chunks"), seed.alias("cur"),
@@ -119,13 +122,13 @@ def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int = 10
                     F.array().cast("array<string>").alias("recent"))
 
     def finish(acc):
-        tail = (F.size(acc["chunks"]) < limit) & (acc["run"] > 0)
+        tail = ~_full(acc["chunks"], limit) & (acc["run"] > 0)
         return F.when(tail, F.array_append(acc["chunks"], acc["cur"])).otherwise(acc["chunks"])
 
     return F.aggregate(units, init, step, finish)
 
 
-def text_to_chunks(c: Column, size: int = 400, overlap: int = 0, limit: int = 100,
+def text_to_chunks(c: Column, size: int = 400, overlap: int = 0, limit: int | None = None,
                    word_tokenizer=word_tokens) -> Column:
     """Single-expression form (string fold); see :func:`with_chunks` for the fast plan."""
     return pack_units(text_to_units(c, size, word_tokenizer), size, overlap, limit)
@@ -143,7 +146,7 @@ def explode_items(df: DataFrame, arr, pos: str, item: str, *keep: str) -> DataFr
 
 
 def with_chunks(df: DataFrame, text_col: str, out: str = "chunks", size: int = 400, overlap: int = 0,
-                limit: int = 100, word_tokenizer=word_tokens) -> DataFrame:
+                limit: int | None = None, word_tokenizer=word_tokens) -> DataFrame:
     """Add ``out`` = chunk texts of ``text_col`` in three narrow projections.
 
     1. units of each text (one column);

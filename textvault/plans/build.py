@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textvault.functions import text as TX
-from textvault.functions.units import explode_items, text_to_chunks, with_chunks
+from textvault.functions.units import explode_items, with_chunks
 from textvault.hooks import HashingEmbedder
 
 
@@ -22,7 +22,7 @@ from textvault.hooks import HashingEmbedder
 class BuildParams:
     chunk_size: int = 400
     chunk_overlap: int = 0
-    chunk_limit: int = 100
+    chunk_limit: int | None = None  # every chunk; a number keeps only the first ones
     as_of: dt.datetime = field(default=dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc))
     embedder: object = field(default_factory=HashingEmbedder)
 
@@ -101,8 +101,8 @@ def chunk_vectors(chunks: DataFrame) -> DataFrame:
 def document_profile(texts: DataFrame, p: BuildParams = BuildParams(), text_col: str = "text") -> DataFrame:
     """Per text: chunks, chunk count, length, embedding and md5 (plus JSON)."""
     t = F.col(text_col)
-    chunks = text_to_chunks(t, p.chunk_size, p.chunk_overlap, p.chunk_limit)
-    prof = texts.select("*", F.struct(chunks.alias("chunks"), F.size(chunks).alias("chunks_count"),
-                                      F.length(t).alias("text_length"), p.embedder(t).alias("embedding"),
-                                      F.md5(t).alias("md5")).alias("profile"))
+    prof = with_chunks(texts, text_col, "_chunks", p.chunk_size, p.chunk_overlap, p.chunk_limit).select(
+        *texts.columns, F.struct(F.col("_chunks").alias("chunks"), F.size("_chunks").alias("chunks_count"),
+                                 F.length(t).alias("text_length"), p.embedder(t).alias("embedding"),
+                                 F.md5(t).alias("md5")).alias("profile"))
     return prof.withColumn("profile_json", F.to_json("profile"))

@@ -6,9 +6,10 @@ parquet views; they restate each rule independently of the Spark code.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from textvault.functions import text as TX
 from textvault.functions import units as UN
-from textvault.sources.files import HTML_DROP, HTML_ENTITIES
 
 NL = "chr(10)"
 WS = f"[{TX.WS_CLASS}]"
@@ -83,12 +84,12 @@ def units(x: str, size: int) -> str:
     return f"flatten(list_transform({lines}, lambda l: {per_line}))"
 
 
-def chunk_ctes(src: str, key: str, text: str, size: int, overlap: int, limit: int, out: str = "chunks") -> str:
+def chunk_ctes(src: str, key: str, text: str, size: int, overlap: int, limit: int | None, out: str = "chunks") -> str:
     """CTEs ending in ``out(key, chunk_no, chunk)`` via a recursive CTE over chunks.
 
     Must sit inside ``WITH RECURSIVE``.
     """
-    limit = max(int(limit), 1)
+    more = "" if limit is None else f" AND rr.k + 1 < {max(int(limit), 1)}"
     return f"""{out}_u0 AS (SELECT {key}, {units(text, size)} AS us FROM {src}),
 {out}_u AS (SELECT {key}, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM {out}_u0),
 {out}_c AS (SELECT {key}, i, u, sum(length(u)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
@@ -102,7 +103,7 @@ def chunk_ctes(src: str, key: str, text: str, size: int, overlap: int, limit: in
          min(x.i) FILTER (WHERE x.c - r.base > {size}) IS NOT NULL, r.n
   FROM (SELECT rr.*, greatest(1, rr.z - {overlap} + 1) AS a2, b.c0 AS base
         FROM {out}_r rr JOIN {out}_c2 b ON b.{key} = rr.{key} AND b.i = greatest(1, rr.z - {overlap} + 1)
-        WHERE rr.closed AND rr.k + 1 < {limit}) r
+        WHERE rr.closed{more}) r
   LEFT JOIN {out}_c2 x ON x.{key} = r.{key} AND x.i > r.z
   GROUP BY r.{key}, r.k, r.a2, r.n, r.base, r.z
 ),
@@ -116,13 +117,32 @@ def corpus_cte(name: str = "corpus") -> str:
             f"text AS raw_text FROM documents)")
 
 
+# What is dropped from HTML, stated on its own: comments, doctype, three elements with their content, tags whose
+# attributes may hold ``>`` in quotes, declarations.
+HTML_PARTS = ["(?s)<!--.*?-->", "(?is)<!doctype[^>]*>", "(?is)<script\\b[^>]*>.*?</script\\s*>",
+              "(?is)<style\\b[^>]*>.*?</style\\s*>", "(?is)<template\\b[^>]*>.*?</template\\s*>",
+              "(?s)</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", "(?s)<[!?][^>]*>"]
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
 def html_text(x: str) -> str:
     out = x
-    for pat in HTML_DROP:
+    for pat in HTML_PARTS:
         out = f"regexp_replace({out}, {lit(pat)}, '', 'g')"
-    for ent, ch in HTML_ENTITIES:
-        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
-    return out
+    return entities(out)
+
+
+def entities(x: str) -> str:
+    """Character references decoded by looking at each piece after a split."""
+    named = ", ".join(f"{lit('&' + n + ';')}: {c}" for n, c in sorted(name2codepoint.items()))
+    code = (f"CASE WHEN regexp_matches(r, '^&#[xX]') THEN CAST('0x' || regexp_extract(r, '([0-9A-Fa-f]+);', 1) AS INTEGER) "
+            f"WHEN starts_with(r, '&#') THEN CAST(regexp_extract(r, '([0-9]+);', 1) AS INTEGER) "
+            f"WHEN r = '&apos;' THEN 39 ELSE (MAP {{{named}}})[r] END")
+    pairs = f"list_transform(regexp_extract_all(h, {lit(REFERENCE)}), lambda r: {{'r': r, 'c': {code}}})"
+    refs = (f"list_transform({pairs}, lambda p: CASE WHEN (p.c >= 1 AND p.c < 55296) OR (p.c > 57343 AND p.c <= 1114111) "
+            f"THEN chr(p.c) ELSE p.r END)")
+    return (f"list_transform([{x}], lambda h: CASE WHEN contains(h, '&') THEN array_to_string(list_transform(list_zip("
+            f"regexp_split_to_array(h, {lit(REFERENCE)}), list_append({refs}, '')), lambda z: z[1] || z[2]), '') ELSE h END)[1]")
 
 
 def bucket(tok: str, dim: int) -> str:

@@ -7,27 +7,28 @@ expressions, so a folder of millions of files is just a wide scan.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textvault.functions.text import (basename, decode_utf8_or_empty, dirname, extension,
                                       stem_of, text_preprocess)
 
-# Upload allow-list and named HTML entities decoded (``&amp;`` last).
-ALLOWED_EXTENSIONS = ["txt", "md", "pdf", "html", "caj"]
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-                 ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-                 ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
-# Regex steps of HTML text extraction, in order.
+# File types offered for upload.
+ALLOWED_EXTENSIONS = ["pdf", "txt", "md", "py", "html", "js", "java", "h", "cpp", "c", "hpp", "json", "toml", "ipynb",
+                      "yml", "rst"]
+# Regex steps of HTML text extraction, in order. A tag ends at the first ``>`` outside quotes.
 HTML_DROP = [
     r"(?s)<!--.*?-->",
     r"(?is)<!doctype[^>]*>",
     r"(?is)<script\b[^>]*>.*?</script\s*>",
     r"(?is)<style\b[^>]*>.*?</style\s*>",
     r"(?is)<template\b[^>]*>.*?</template\s*>",
-    r"(?s)</?[A-Za-z][^>]*>",
+    r"""(?s)</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>""",
     r"(?s)<[!?][^>]*>",
 ]
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def read_folder(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
@@ -58,14 +59,34 @@ def list_files(listing: DataFrame, key: str = "basename") -> DataFrame:
     return plain.select(name.alias("filename")).distinct()
 
 
+def _code_point(ref: Column) -> Column:
+    """Code point of a character reference such as ``&eacute;``, ``&#233;`` or ``&#xE9;`` (NULL if unknown)."""
+    names = F.create_map(*[F.lit(x) for name, cp in sorted(name2codepoint.items()) for x in (name, cp)],
+                         F.lit("apos"), F.lit(39))
+    return (F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+);", 1), 16, 10).cast("int"))
+            .when(ref.startswith("&#"), F.regexp_extract(ref, "^&#([0-9]+);", 1).cast("int"))
+            .otherwise(F.element_at(names, F.regexp_extract(ref, "^&(.*);$", 1))))
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references replaced in one pass; unknown ones and code points outside Unicode stay."""
+    def decoded(ref):
+        cp = _code_point(ref)
+        valid = ((cp >= 1) & (cp < 0xD800)) | ((cp > 0xDFFF) & (cp <= 0x10FFFF))
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp.cast("bigint")), 8, "0")), "UTF-32")).otherwise(ref)
+
+    refs = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), 0), decoded)
+    pieces = F.split(text, ENTITY, -1)
+    joined = F.array_join(F.zip_with(pieces, F.concat(refs, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """All text nodes concatenated; tags, comments, doctype, script/style/template dropped."""
     t = html
     for pat in HTML_DROP:
         t = F.regexp_replace(t, pat, "")
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return decode_entities(t)
 
 
 def pages_to_text(pages: DataFrame, key: str = "filename", order: str = "page_no",

@@ -10,19 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that yields fewer partitions than the cluster has cores.
-
-    A single large row group is read by one task; per-document work (cleaning,
-    chunking, embedding) is CPU-heavy, so it is spread round-robin first. Scans
-    of many files already have enough partitions and are left untouched.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+INPUT_PARTITIONS = "textvault.input.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """The table as it is stored. Only where a session asks for it (``INPUT_PARTITIONS``, unset
+    by default) are its rows dealt anew: a laptop reading files of one row group each."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

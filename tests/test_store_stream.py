@@ -32,29 +32,82 @@ def test_sync_twice_is_unchanged_and_store_versions(spark):
     assert v2 == 2
     kinds = {r.status for r in st.select("status").distinct().collect()}
     assert {"new", "deleted", "changed", "unchanged"} <= kinds
-    # running the same listing again changes nothing
+    # running the same listing again changes nothing and commits nothing
     v3, st3 = SY.sync_store(store, new, B.BuildParams())
-    assert {r.status for r in st3.select("status").distinct().collect()} == {"unchanged"}
-    assert store.files(3).count() == new.count()
+    assert v3 == 2 and {r.status for r in st3.select("status").distinct().collect()} == {"unchanged"}
+    assert store.files().count() == new.count()
     # chunk keys stay unique after the upsert
-    c = store.chunks(3)
-    assert c.count() == c.select("filename_md5_no").distinct().count()
+    c = store.chunks()
+    n = c.count()
+    assert n == c.select("filename_md5_no").distinct().count()
+    want = B.chunk_rows(new, B.BuildParams(), embed=False).select("filename_md5_no", "chunk_md5")
+    assert c.select("filename_md5_no", "chunk_md5").exceptAll(want).count() == 0 and n == want.count()
+    # other chunk parameters: every file is chunked anew
+    small = B.BuildParams(chunk_size=60)
+    v4, _ = SY.sync_store(store, new, small)
+    assert v4 == 3 and KnowledgeStore(spark, root).note()["params"] == small.fingerprint()
+    want = B.chunk_rows(new, small, embed=False).select("filename_md5_no", "chunk_md5")
+    got = store.chunks().select("filename_md5_no", "chunk_md5")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    # a listing without any file empties the store
+    SY.sync_store(store, new.limit(0), small)
+    assert store.files().count() == 0 and store.chunks().count() == 0
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    root = tempfile.mkdtemp(prefix="tv-buckets-")
+    store = KnowledgeStore(spark, root, buckets=16)
+    docs = spark.createDataFrame([(f"f{i}.txt", f"text number {i}. more of it.") for i in range(40)], "filename string, text string")
+    SY.sync_store(store, docs, B.BuildParams())
+    names = lambda: {os.path.join(d, x) for d, _, xs in os.walk(root) for x in xs if x.endswith(".parquet")}
+    before = names()
+    changed = docs.withColumn("text", F.when(F.col("filename") == "f7.txt", "new text.").otherwise(F.col("text")))
+    SY.sync_store(store, changed, B.BuildParams())
+    touched = {os.path.dirname(x) for x in names() ^ before}
+    assert len(touched) == 2                                  # one bucket of files, one of chunks
+    assert {r.filename: r.text for r in store.files().collect()}["f7.txt"] == "new text."
+
+
+def _write(folder, name, data):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as fh:
+        fh.write(data)
 
 
 def test_stream_folder_sync(spark):
-    folder = tempfile.mkdtemp(prefix="tv-src-")
-    for i, text in enumerate(["First file. It has two sentences.", "Second\nfile text", "<html><b>x</b>y</html>"]):
-        ext = "html" if i == 2 else "txt"
-        with open(os.path.join(folder, f"f{i}.{ext}"), "w", encoding="utf-8") as fh:
-            fh.write(text)
-    with open(os.path.join(folder, "bad.txt"), "wb") as fh:
-        fh.write(b"\xff\xfe\xfa")
-    root, ck = tempfile.mkdtemp(prefix="tv-kb-"), tempfile.mkdtemp(prefix="tv-ck-")
-    q = folder_sync.start(spark, folder, root, ck)
-    q.awaitTermination(120)
-    store = KnowledgeStore(spark, root)
-    files = {r.filename: r.text for r in store.files().collect()}
-    assert files["f0.txt"] == "First file. It has two sentences."
-    assert files["f2.html"] == "xy"
-    assert files["bad.txt"] == ""
+    folder, root, ck = (tempfile.mkdtemp(prefix=f"tv-{x}-") for x in ("src", "kb", "ck"))
+    _write(folder, "f0.txt", b"First file. It has two sentences.")
+    _write(folder, "f1.txt", b"Second\nfile text")
+    _write(folder, "f2.html", b"<html><b>x</b>y</html>")
+    _write(folder, "bad.txt", b"\xff\xfe\xfa")
+    _write(folder, "a/same.txt", b"one of two.")
+    _write(folder, "b/same.txt", b"two of two.")
+    _write(folder, "p.pdf", b"page text.")
+
+    def run():
+        folder_sync.start(spark, folder, root, ck, B.BuildParams()).awaitTermination(120)
+        store = KnowledgeStore(spark, root)
+        return store, {r.filename: r.text for r in store.files().collect()}
+
+    store, files = run()
+    assert len(files) == 7 and files["f0.txt"] == "First file. It has two sentences."
+    assert files["a/same.txt"] == "one of two." and files["b/same.txt"] == "two of two." and files["p.pdf"] == "page text."
+    assert files["f2.html"] == "xy" and files["bad.txt"] == ""
     assert store.chunks().filter(F.col("filename") == "f1.txt").count() == 1
+    # a second batch: a new path
+    _write(folder, "f0b.txt", b"Added later.")
+    store, files = run()
+    assert len(files) == 8 and files["f0b.txt"] == "Added later."
+    assert store.files().count() == store.files().select("filename_md5").distinct().count()
+    # new contents of a known path come with a listing
+    _write(folder, "a/same.txt", b"changed text. longer than before.")
+    one = spark.read.format("binaryFile").load(os.path.join(folder, "a", "same.txt"))
+    folder_sync.upsert_batch(store, one, B.BuildParams(), folder, int(store.note()["epoch"]) + 1)
+    files = {r.filename: r.text for r in store.files().collect()}
+    assert len(files) == 8 and files["a/same.txt"] == "changed text. longer than before."
+    assert store.chunks().filter(F.col("filename") == "a/same.txt").count() == 1
+    # a replayed batch is skipped
+    epoch = int(store.note()["epoch"])
+    batch = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    assert folder_sync.upsert_batch(store, batch, B.BuildParams(), folder, epoch) is None

@@ -13,10 +13,13 @@ from textvault.functions import text as TX
 from textvault.functions import units as UN
 from textvault.functions import vectors as V
 from textvault.hooks import HashingEmbedder
+from textvault.operators import positions as PO
 from textvault.operators import search as S
+from textvault.operators import store as ST
 from textvault.plans import build as B
 from textvault.plans import duck as D
 from textvault.plans import retrieve as R
+from textvault.session import scratch_path
 from textvault.sources import files as FS
 from textvault.sources import tables as TB
 
@@ -45,17 +48,48 @@ SEARCH_K = 3
 VEC_K = 5
 Q_DIM_EMB = 64  # benchmark texts hashed to the dimension of the ``embeddings`` table
 
+_BUILT: dict = {}
+
+
+def built(spark: SparkSession, sf: str, name: str, build):
+    """What ``build(path)`` writes to the shared folder, once per session and input."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        _BUILT[key] = build(scratch_path(spark, name))
+    return _BUILT[key]
+
+
+def knowledge(spark: SparkSession, sf: str) -> B.Knowledge:
+    """The knowledge base of the corpus: cleaned, chunked and embedded once, then searched."""
+    return built(spark, sf, "knowledge", lambda path: B.Knowledge.build(docs_clean(spark, sf), path))
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Top-3 chunks per benchmark query over the cleaned, chunked, embedded corpus."""
-    chunks = B.chunk_rows(docs_clean(spark, sf))
     qv = R.embed_queries(TB.queries_text(spark, sf))
-    hits = R.chunk_hits(chunks, qv, SEARCH_K)
+    hits = R.chunk_hits(knowledge(spark, sf).chunks(), qv, SEARCH_K)
     return hits.select(F.col("query_id").cast("bigint"), F.col("rk").cast("bigint"), "filename",
                        F.col("chunk_no").cast("bigint"), _r6(F.col("distance")).alias("distance"),
                        F.md5("chunk").alias("chunk_md5"))
 
 
+# Fixed values, stated for the twins: escapes inside a code block, in order.
+FENCE_ESCAPES = [('`', '\\`'), ('<', '&lt;'), ('>', '&gt;'), (' ', '&nbsp;'), ('*', '&ast;'), ('_', '&lowbar;'), ('-', '&#45;'), ('.', '&#46;'), ('!', '&#33;'), ('(', '&#40;'), (')', '&#41;'), ('$', '&#36;')]
+
+
+def _show_text_sql(x: str) -> str:
+    esc = "l"
+    for a, b in FENCE_ESCAPES:
+        esc = f"replace({esc}, {D.lit(a)}, {D.lit(b)})"
+    return f"""CASE WHEN {x} = '' THEN '' ELSE (
+  SELECT string_agg(CASE WHEN contains(l, '```') THEN
+           CASE WHEN n % 2 = 1 THEN '<pre><code class="language-' || split_part(l, '`', -1) || '">' ELSE '<br></code></pre>' END
+         WHEN i = 1 THEN l WHEN n % 2 = 1 THEN '<br>' || {esc} ELSE '<br>' || l END, '' ORDER BY i)
+  FROM (SELECT l, i, sum(CASE WHEN contains(l, '```') THEN 1 ELSE 0 END) OVER (ORDER BY i) AS n
+        FROM (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS i
+              FROM (SELECT list_filter(string_split({x}, chr(10)), lambda s: s <> '') AS ls)))) END"""
+
+
 # ---------------------------------------------------------------------------
 # text cleaning
 # ---------------------------------------------------------------------------
@@ -103,24 +137,28 @@ SELECT doc_id,
   CAST(count(*) FILTER (WHERE c BETWEEN '一' AND '鿿') AS BIGINT) AS n_chinese,
   CAST(count(*) FILTER (WHERE regexp_matches(c, {D.lit('^[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + TX.CJK_CLASS + ']$')})) AS BIGINT) AS n_valid,
   CAST(count(*) FILTER (WHERE regexp_matches(c, {D.lit('^[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + TX.WS_CLASS + ']$')})) AS BIGINT) AS n_punct
-FROM ch WHERE c <> '' GROUP BY doc_id""")
+FROM ch GROUP BY doc_id""")
 def q_char_classes(spark, sf):
     d = TB.cjk_injected(spark, sf)
     chars = F.filter(F.split(F.col("text"), ""), lambda c: c != "")
     cnt = lambda pred: F.size(F.filter(chars, pred)).cast("bigint")
     out = d.select("doc_id", cnt(TX.is_character_chinese).alias("n_chinese"),
                    cnt(TX.is_character_valid).alias("n_valid"), cnt(TX.is_punctuation).alias("n_punct"))
-    return out.filter(F.size(chars) > 0)
+    return out
+
+
+# lines that are labels and blanks, put before every document so that both occur
+_LABELS = "1. one\n（2）two\n \t\n[3] three\n\n第4章 four\nplain"
 
 
-@register("label_lines", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, {D.NL})) AS line FROM documents)
+@register("label_lines", f"""WITH l AS (SELECT doc_id, unnest(string_split({D.lit(_LABELS)} || text, {D.NL})) AS line FROM documents)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
        CAST(count(*) FILTER (WHERE regexp_matches(line, {D.lit(TX.LABEL_REGEX)})) AS BIGINT) AS n_labels,
        CAST(count(*) FILTER (WHERE {D.strip('line')} = '') AS BIGINT) AS n_blank
 FROM l GROUP BY doc_id""")
 def q_label_lines(spark, sf):
     d = TB.table(spark, sf, "documents")
-    lines = F.split("text", "\n", -1)
+    lines = F.split(F.concat(F.lit(_LABELS), "text"), "\n", -1)
     return d.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"),
                     F.size(F.filter(lines, TX.is_label_number_format)).cast("bigint").alias("n_labels"),
                     F.size(F.filter(lines, lambda l: TX.py_strip(l) == "")).cast("bigint").alias("n_blank"))
@@ -182,6 +220,19 @@ def q_units(spark, sf):
                     F.md5(F.array_join("us", "|")).alias("units_md5"))
 
 
+def _python_words(sentence: str) -> list[str]:
+    import regex
+    return regex.findall(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\x1c-\x1f\x85\xa0]", sentence)
+
+
+@register("units_python_tokenizer", ORACLE["units_400"])
+def q_units_python(spark, sf):
+    x = docs_clean(spark, sf).select("filename", UN.text_to_units(F.col("text"), 400, UN.PandasTokenizer(_python_words)).alias("us"))
+    return x.select("filename", F.size("us").cast("bigint").alias("n_units"),
+                    F.aggregate("us", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)).alias("units_length"),
+                    F.md5(F.array_join("us", "|")).alias("units_md5"))
+
+
 @register("doc_chunk_stats", f"""WITH RECURSIVE {D.corpus_cte()},
 {D.preprocess_ctes('corpus', 'filename', 'raw_text')},
 {D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)}
@@ -209,7 +260,7 @@ SELECT ('0x' || substr(md5(filename), 1, 15))::BIGINT AS id, md5(filename) AS fi
        md5({D.file_fp('filename', 'text')}) AS text_md5, CAST({_AS_OF_MS} AS BIGINT) AS create_ms,
        CAST({_AS_OF_MS} AS BIGINT) AS update_ms, md5(text) AS body_md5 FROM pre""")
 def q_file_rows(spark, sf):
-    f = B.file_rows(docs_clean(spark, sf), embed=False)
+    f = knowledge(spark, sf).files()
     return f.select("id", "filename_md5", "filename", "summary", "type", F.col("text_length").cast("bigint"),
                     "text_md5", F.unix_millis("create_time").alias("create_ms"),
                     F.unix_millis("update_time").alias("update_ms"), F.md5("text").alias("body_md5"))
@@ -223,7 +274,7 @@ SELECT ('0x' || substr(md5(md5(filename) || '_' || CAST(chunk_no AS VARCHAR)), 1
        CAST(chunk_no AS BIGINT) AS chunk_no, CAST(length(chunk) AS BIGINT) AS chunk_length, filename,
        md5({D.chunk_fp('filename', 'chunk_no', 'chunk')}) AS chunk_md5 FROM chunks""")
 def q_chunk_rows(spark, sf):
-    c = B.chunk_rows(docs_clean(spark, sf), embed=False)
+    c = knowledge(spark, sf).chunks()
     return c.select("id", "filename_md5", "filename_md5_no", F.col("chunk_no").cast("bigint"),
                     F.col("chunk_length").cast("bigint"), "filename", "chunk_md5")
 
@@ -244,8 +295,7 @@ fp AS (SELECT filename, {D.file_fp('filename', 'text')} AS full_text FROM pre),
 {D.sparse_embedding_ctes('fp', 'filename', 'full_text', 512, 'fw')}
 SELECT filename, CAST(bucket AS BIGINT) AS bucket, round(CAST(w AS DOUBLE), 6) AS w FROM fw""")
 def q_file_embedding(spark, sf):
-    f = B.file_rows(docs_clean(spark, sf))
-    return _sparse_of(f, "filename")
+    return _sparse_of(knowledge(spark, sf).files(), "filename")
 
 
 def _fw_ctes():
@@ -273,9 +323,8 @@ top AS ({D.sparse_topk_sql('qw', 'vw', SEARCH_K, 'L2', 'filename_md5')})
 SELECT CAST(t.query_id AS BIGINT) AS query_id, CAST(t.rk AS BIGINT) AS rk, f.filename, t.distance
 FROM top t JOIN fp f ON f.id = t.filename_md5""")
 def q_file_search(spark, sf):
-    files = B.file_rows(docs_clean(spark, sf))
     qv = R.embed_queries(TB.queries_text(spark, sf))
-    h = R.file_hits(files, qv, SEARCH_K)
+    h = R.file_hits(knowledge(spark, sf).files(), qv, SEARCH_K)
     return h.select(F.col("query_id").cast("bigint"), F.col("rk").cast("bigint"), "filename",
                     _r6(F.col("distance")).alias("distance"))
 
@@ -289,28 +338,36 @@ def q_chunk_search(spark, sf):
     return flagship(spark, sf)
 
 
-@register("search_transcript", f"""WITH RECURSIVE {_cw_ctes()},
-ctop AS ({D.sparse_topk_sql('qw', 'vw', 2, 'L2', 'filename_md5_no')}),
+def _transcript_sql(files: int, chunks: int) -> str:
+    file_rows = f"""SELECT query_id, 1, '你可能感兴趣的文件', string_agg(f.filename, chr(10) ORDER BY rk)
+  FROM ({D.sparse_topk_sql('qw', 'vw', files, 'L2', 'filename_md5')}) t JOIN fp f ON f.id = t.filename_md5 GROUP BY query_id""" if files else ""
+    return f"""WITH RECURSIVE {_fw_ctes()},
+{D.chunk_ctes('pre', 'filename', 'text', 400, 0, None)},
+cp AS (SELECT md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS id, filename, chunk_no,
+              {D.chunk_fp('filename', 'chunk_no', 'chunk')} AS full_text, chunk FROM chunks),
+{D.sparse_embedding_ctes('cp', 'id', 'full_text', 512, 'kw')},
 rows_ AS (
-  SELECT query_id, 0 AS ord, text AS label_src, '' AS body FROM qs
+  SELECT query_id, 0 AS ord, text AS label, '' AS body FROM qs
+  {'UNION ALL ' + file_rows if files else ''}
   UNION ALL
   SELECT t.query_id, t.rk + 1, '文件 ' || c.filename || ' 第' || CAST(c.chunk_no AS VARCHAR) || '部分', c.chunk
-  FROM ctop t JOIN cp c ON c.id = t.filename_md5_no)
-SELECT CAST(query_id AS BIGINT) AS query_id, CAST(ord AS BIGINT) AS ord, md5(label_src) AS label_src_md5,
-       CAST(length(body) AS BIGINT) AS body_length FROM rows_""")
-def q_search_transcript(spark, sf):
-    chunks = B.chunk_rows(docs_clean(spark, sf))
-    qs = TB.queries_text(spark, sf)
-    qv = R.embed_queries(qs)
-    ch = R.chunk_hits(chunks, qv, 2)
-    rows = (qs.select("query_id", F.lit(0).cast("bigint").alias("ord"), F.col("text").alias("label_src"),
-                      F.lit("").alias("body"))
-            .unionByName(ch.select("query_id", (F.col("rk") + 1).cast("bigint").alias("ord"),
-                                   F.concat(F.lit("文件 "), F.col("filename"), F.lit(" 第"),
-                                            F.col("chunk_no").cast("string"), F.lit("部分")).alias("label_src"),
-                                   F.col("chunk").alias("body"))))
-    return rows.select(F.col("query_id").cast("bigint"), "ord", F.md5("label_src").alias("label_src_md5"),
-                       F.length("body").cast("bigint").alias("body_length"))
+  FROM ({D.sparse_topk_sql('qw', 'kw', chunks, 'L2', 'filename_md5_no')}) t JOIN cp c ON c.id = t.filename_md5_no)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(ord AS BIGINT) AS ord,
+       md5(CASE WHEN ord = 1 THEN label ELSE {_show_text_sql('label')} END) AS label_md5, md5({_show_text_sql('body')}) AS body_md5 FROM rows_"""
+
+
+def _transcript_query(files: int, chunks: int):
+    def q(spark, sf):
+        kb, qs = knowledge(spark, sf), TB.queries_text(spark, sf)
+        f, c = R.search_kbs(kb.files(), kb.chunks(), qs, files, chunks)
+        t = R.transcript(qs, f, c)
+        return t.select(F.col("query_id").cast("bigint"), F.col("ord").cast("bigint"), F.md5("label").alias("label_md5"),
+                        F.md5("body").alias("body_md5"))
+    return q
+
+
+register("search_transcript", _transcript_sql(3, 2))(_transcript_query(3, 2))
+register("search_transcript_no_files", _transcript_sql(0, 2))(_transcript_query(0, 2))
 
 
 def _emb_queries(spark, sf):
@@ -318,33 +375,49 @@ def _emb_queries(spark, sf):
     return R.embed_queries(qs, HashingEmbedder(Q_DIM_EMB))
 
 
+# Distances of a query (nq, bits bq) and a row (nv, bits bv): dp the product, it the shared positive components.
+_DIST_SQL = {"L2": "nq + nv - 2 * dp", "IP": "dp", "COSINE": "CASE WHEN nq > 0 AND nv > 0 THEN 1 - dp / (sqrt(nq) * sqrt(nv)) END",
+             "HAMMING": "bq + bv - 2.0 * it", "JACCARD": "CASE WHEN bq + bv - it = 0 THEN 0.0 ELSE 1 - it / (bq + bv - it) END",
+             "TANIMOTO": "CASE WHEN bq + bv - it = 0 THEN 0.0 WHEN it > 0 THEN -log2(it / (bq + bv - it)) END"}
+
+
 def _emb_sql(metric: str, k: int) -> str:
-    dist = {"L2": "nq + nv - 2 * dp", "IP": "dp", "COSINE": "1 - dp / (sqrt(nq) * sqrt(nv))"}[metric]
-    order = "round(dist, 9) DESC" if metric == "IP" else "round(dist, 9)"
+    order = "round(dist, 9) DESC" if metric == "IP" else "round(dist, 9) NULLS LAST"
     return f"""WITH qs AS (SELECT item_id AS query_id, text FROM benchmark),
 {D.sparse_embedding_ctes('qs', 'query_id', 'text', Q_DIM_EMB, 'qw')},
-v AS (SELECT vec_id AS id, embedding FROM embeddings),
-nv AS (SELECT id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nv FROM v),
-nq AS (SELECT query_id, sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) AS nq FROM qw GROUP BY query_id),
-dp AS (SELECT q.query_id, v.id, sum(CAST(q.w AS DOUBLE) * CAST(v.embedding[q.bucket + 1] AS DOUBLE)) AS dp
+v AS (SELECT vec_id AS id, CASE WHEN label = 3 THEN list_transform(embedding, lambda x: 0.0::FLOAT) ELSE embedding END AS embedding FROM embeddings),
+nv AS (SELECT id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nv,
+              CAST(len(list_filter(embedding, lambda x: x > 0)) AS DOUBLE) AS bv FROM v),
+nq AS (SELECT query_id, sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) AS nq, CAST(count(*) FILTER (WHERE w > 0) AS DOUBLE) AS bq FROM qw GROUP BY query_id),
+dp AS (SELECT q.query_id, v.id, sum(CAST(q.w AS DOUBLE) * CAST(v.embedding[q.bucket + 1] AS DOUBLE)) AS dp,
+              CAST(count(*) FILTER (WHERE q.w > 0 AND v.embedding[q.bucket + 1] > 0) AS DOUBLE) AS it
        FROM qw q CROSS JOIN v GROUP BY ALL),
-d AS (SELECT dp.query_id, dp.id, {dist} AS dist FROM dp JOIN nq USING (query_id) JOIN nv USING (id)),
+d AS (SELECT dp.query_id, dp.id, {_DIST_SQL[metric]} AS dist FROM dp JOIN nq USING (query_id) JOIN nv USING (id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) AS rk FROM d)
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, round(dist, 6) AS distance,
        CAST(rk AS BIGINT) AS rk FROM r WHERE rk <= {k}"""
 
 
-def _emb_query(metric: str, k: int):
+def _with_zeros(spark, sf):
+    """The vectors, those of label 3 as zero vectors: undefined distances rank last."""
+    v = TB.vectors(spark, sf)
+    return v.withColumn("embedding", F.when(F.col("label") == 3, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
+
+
+def _emb_query(metric: str, k: int, budget: int = S.DEFAULT_BROADCAST_BUDGET):
     def q(spark, sf):
-        v = TB.vectors(spark, sf)
-        top = S.exact_topk(v, _emb_queries(spark, sf), k, metric)
+        top = S.exact_topk(_with_zeros(spark, sf), _emb_queries(spark, sf), k, metric, budget=budget)
         return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"),
                           _r6(F.col("distance")).alias("distance"), F.col("rk").cast("bigint"))
     return q
 
 
-for _m in ["L2", "IP", "COSINE"]:
+for _m in ["L2", "IP", "COSINE", "HAMMING", "JACCARD", "TANIMOTO"]:
     register(f"vector_search_{_m.lower()}", _emb_sql(_m, VEC_K))(_emb_query(_m, VEC_K))
+# every vector is a hit, so that undefined distances are among them
+register("vector_search_undefined", _emb_sql("COSINE", 100_000))(_emb_query("COSINE", 100_000))
+# the way for query sets beyond the broadcast budget
+register("vector_search_streamed", _emb_sql("L2", VEC_K))(_emb_query("L2", VEC_K, 1))
 
 
 def _pairs(spark, sf):
@@ -392,9 +465,9 @@ SELECT k.filename, CAST(k.chunk_no AS BIGINT) AS chunk_no,
        round(1 - coalesce(dp, 0) / (sqrt(nc) * sqrt(nf)), 6) AS cosine
 FROM cpk k JOIN nc USING (ck) JOIN nf USING (filename) LEFT JOIN dp USING (ck)""")
 def q_chunk_to_file_distance(spark, sf):
-    d = docs_clean(spark, sf)
-    f = B.file_rows(d).select("filename", F.col("embedding").alias("fe"))
-    c = B.chunk_rows(d).select("filename", "chunk_no", F.col("embedding").alias("ce"))
+    kb = knowledge(spark, sf)
+    f = kb.files().select("filename", F.col("embedding").alias("fe"))
+    c = kb.chunks().select("filename", "chunk_no", F.col("embedding").alias("ce"))
     j = c.join(f, "filename")
     return j.select("filename", F.col("chunk_no").cast("bigint"), _r6(V.l2_distance("ce", "fe")).alias("l2"),
                     _r6(V.cosine_distance("ce", "fe")).alias("cosine"))
@@ -418,11 +491,14 @@ def _snapshots(spark, sf):
     return B.preprocess(old), B.preprocess(new)
 
 
-def _sync(spark, sf, embed=False):
-    old, new = _snapshots(spark, sf)
-    files = B.file_rows(old, _OLD_P, embed)
-    chunks = B.chunk_rows(old, _OLD_P, embed)
-    return SY.apply(files, chunks, new, _NEW_P, embed)
+def _old_kb(spark, sf) -> B.Knowledge:
+    """The knowledge base as it was stored before the sync."""
+    return built(spark, sf, "old-knowledge", lambda path: B.Knowledge.build(_snapshots(spark, sf)[0], path, _OLD_P))
+
+
+def _sync(spark, sf, params=_NEW_P, rechunk=False):
+    old = _old_kb(spark, sf)
+    return SY.apply(old.files().drop("embedding"), old.chunks().drop("embedding"), _snapshots(spark, sf)[1], params, False, rechunk)
 
 
 _SNAP_SQL = """docs AS (SELECT doc_id, concat(source, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename, text FROM documents),
@@ -447,8 +523,7 @@ st AS (SELECT coalesce(o.filename, n.filename) AS filename, o.old_md5, n.new_md5
 SELECT filename, status, CASE status WHEN 'deleted' THEN '已删除' WHEN 'unchanged' THEN '无改动'
        ELSE '字符数=' || CAST(text_length AS VARCHAR) END AS label, text_length FROM st""")
 def q_sync_status(spark, sf):
-    old, new = _snapshots(spark, sf)
-    st = SY.diff(SY.manifest(B.file_rows(old, _OLD_P, False)), SY.fingerprints(new))
+    st = SY.diff(SY.manifest(_old_kb(spark, sf).files()), SY.fingerprints(_snapshots(spark, sf)[1]))
     return st.select("filename", "status", "label", "text_length")
 
 
@@ -460,8 +535,7 @@ SELECT CAST(count(new_md5) AS BIGINT) AS n_disk, CAST(count(old_md5) AS BIGINT)
        CAST(count(*) FILTER (WHERE status = 'deleted') AS BIGINT) AS n_deleted,
        CAST(count(*) FILTER (WHERE status = 'unchanged') AS BIGINT) AS n_unchanged FROM st""")
 def q_sync_counts(spark, sf):
-    old, new = _snapshots(spark, sf)
-    st = SY.diff(SY.manifest(B.file_rows(old, _OLD_P, False)), SY.fingerprints(new))
+    st = SY.diff(SY.manifest(_old_kb(spark, sf).files()), SY.fingerprints(_snapshots(spark, sf)[1]))
     return SY.counts(st)
 
 
@@ -473,10 +547,7 @@ UNION ALL SELECT filename, 'kept' FROM (SELECT filename FROM o INTERSECT SELECT
 UNION ALL SELECT filename, 'any' FROM (SELECT filename FROM o UNION SELECT filename FROM n)""")
 def q_name_set_ops(spark, sf):
     old, new = TB.snapshots(spark, sf)
-    o, n = old.select("filename"), new.select("filename")
-    k = lambda df, kind: df.select("filename", F.lit(kind).alias("kind"))
-    return (k(o.subtract(n), "deleted").unionByName(k(n.subtract(o), "added"))
-            .unionByName(k(o.intersect(n), "kept")).unionByName(k(o.union(n).distinct(), "any")))
+    return SY.name_sets(old, new)
 
 
 @register("sync_files_after", f"""WITH {_sync_status_ctes()}
@@ -507,6 +578,45 @@ def q_sync_chunks_after(spark, sf):
     return ca.select("filename_md5_no", "chunk_md5", F.unix_millis("update_time").alias("update_ms"))
 
 
+_SMALL_P = SY.with_as_of(B.BuildParams(chunk_size=60), _dt.datetime(2024, 2, 1, tzinfo=_dt.timezone.utc))
+
+
+@register("sync_rechunked", f"""WITH RECURSIVE {_sync_status_ctes()},
+{D.chunk_ctes('newp', 'filename', 'text', 60, 0, None, 'nc')}
+SELECT md5(c.filename) || '_' || CAST(c.chunk_no AS VARCHAR) AS filename_md5_no,
+       md5({D.chunk_fp('c.filename', 'c.chunk_no', 'c.chunk')}) AS chunk_md5 FROM nc c""")
+def q_sync_rechunked(spark, sf):
+    _, _, ca = _sync(spark, sf, _SMALL_P, rechunk=True)
+    return ca.select("filename_md5_no", "chunk_md5")
+
+
+@register("file_lookup", f"""WITH {D.corpus_cte()},
+{D.preprocess_ctes('corpus', 'filename', 'raw_text')}
+SELECT filename, md5({D.file_fp('filename', 'text')}) AS text_md5 FROM pre WHERE filename = (SELECT max(filename) FROM pre)""")
+def q_file_lookup(spark, sf):
+    files = knowledge(spark, sf).files()
+    key = files.agg(F.md5(F.max("filename")).alias("k")).first()["k"]
+    return ST.lookup(files, key).select("filename", "text_md5")
+
+
+@register("delete_cascade", f"""WITH RECURSIVE {_sync_status_ctes()},
+{D.chunk_ctes('oldp', 'filename', 'text', 400, 0, None, 'oc')},
+gone AS (SELECT filename FROM st WHERE status = 'deleted')
+SELECT 'files' AS part, md5(filename) AS key FROM oldp WHERE filename NOT IN (FROM gone)
+UNION ALL SELECT 'file_vectors', md5(filename) FROM oldp WHERE filename NOT IN (FROM gone)
+UNION ALL SELECT 'chunks', md5(filename) || '_' || CAST(chunk_no AS VARCHAR) FROM oc WHERE filename NOT IN (FROM gone)
+UNION ALL SELECT 'chunk_vectors', md5(filename) || '_' || CAST(chunk_no AS VARCHAR) FROM oc WHERE filename NOT IN (FROM gone)""")
+def q_delete_cascade(spark, sf):
+    kb = _old_kb(spark, sf)
+    f, c = kb.files(), kb.chunks()
+    st = SY.written_status(f, _snapshots(spark, sf)[1])
+    gone = st.filter(F.col("status") == "deleted").select(F.md5("filename").alias(ST.FILE_KEY))
+    f2, c2, fv, cv = ST.delete_all_by_filename_md5(f, c, B.file_vectors(f), B.chunk_vectors(c), gone)
+    k = lambda df, part, key: df.select(F.lit(part).alias("part"), F.col(key).alias("key"))
+    return (k(f2, "files", ST.FILE_KEY).unionByName(k(fv, "file_vectors", ST.FILE_KEY))
+            .unionByName(k(c2, "chunks", ST.CHUNK_KEY)).unionByName(k(cv, "chunk_vectors", ST.CHUNK_KEY)))
+
+
 # ---------------------------------------------------------------------------
 # sources (S4-S7, S12) and rendering
 # ---------------------------------------------------------------------------
@@ -581,11 +691,69 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(po
        trim(stmt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stmt FROM p
 WHERE trim(stmt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
 def q_sql_statements(spark, sf):
+    st = FS.sql_statements(TB.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
+    return st.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "stmt_no", "stmt")
+
+
+@register("read_and_render", f"""WITH src AS (
+  SELECT concat(source, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename, text AS raw FROM documents
+  UNION ALL SELECT concat('page_', CAST(page_id AS VARCHAR), '.html'), {D.html_text('html')} FROM pages),
+{D.preprocess_ctes('src', 'filename', 'raw')}
+SELECT filename, md5({_show_text_sql('text')}) AS html_md5 FROM pre""")
+def q_read_and_render(spark, sf):
+    txt = TB.corpus(spark, sf).select(F.concat(F.lit("/in/"), "filename").alias("path"), F.col("raw_text").alias("body"))
+    html = TB.corpus_html(spark, sf).select(F.concat(F.lit("/in/sub/"), "filename").alias("path"), F.col("html").alias("body"))
+    r = FS.read_and_render(txt.unionByName(html))
+    return r.select("filename", F.md5("html").alias("html_md5"))
+
+
+@register("occurrences", """WITH p AS (SELECT doc_id, text, string_split(text, 'the') AS ps FROM documents),
+o AS (SELECT doc_id, i - 1 AS n, list_sum(list_transform(ps[1:i], lambda x: length(x))) + 3 * (i - 1) AS place
+      FROM (SELECT doc_id, ps, unnest(range(1, len(ps))) AS i FROM p))
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n, CAST(place AS BIGINT) AS place FROM o""")
+def q_occurrences(spark, sf):
+    o = PO.occurrence_rows(TB.table(spark, sf, "documents"), "doc_id", "text", "the")
+    return o.select(F.col("doc_id").cast("bigint"), F.col("n").cast("bigint"), F.col("place").cast("bigint"))
+
+
+@register("first_and_last_place", """SELECT CAST(doc_id AS BIGINT) AS doc_id,
+  CAST(CASE WHEN instr(substr(text, 101), 'the') > 0 THEN instr(substr(text, 101), 'the') + 99 ELSE -1 END AS BIGINT) AS first_from_100,
+  CAST(CASE WHEN instr(reverse(left(text, 1000)), 'eht') > 0 THEN length(left(text, 1000)) - instr(reverse(left(text, 1000)), 'eht') + 1 - 3
+       ELSE -1 END AS BIGINT) AS last_before_1000 FROM documents""")
+def q_first_and_last_place(spark, sf):
+    t = F.col("text")
+    return TB.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("bigint"), TX.find_from(t, "the", 100).cast("bigint").alias("first_from_100"),
+        TX.find_before(t, "the", 1000).cast("bigint").alias("last_before_1000"))
+
+
+@register("written_times", """WITH l AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ls FROM conversations GROUP BY conv_id),
+g AS (SELECT conv_id, 'as is' AS kind, ls FROM l
+      UNION ALL SELECT conv_id, 'thrice', flatten([ls[1:3], ls[1:3], ls[1:3]]) FROM l
+      UNION ALL SELECT conv_id, 'broken', list_append(flatten([ls[1:2]]), 0) || [ls[1]] FROM l),
+t AS (SELECT *, CASE len(ls) WHEN 4 THEN 2 WHEN 9 THEN 3 WHEN 16 THEN 4 WHEN 25 THEN 5 WHEN 36 THEN 6 WHEN 49 THEN 7
+                WHEN 64 THEN 8 WHEN 81 THEN 9 WHEN 100 THEN 10 ELSE 0 END AS n FROM g)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, kind,
+       CAST(CASE WHEN n > 0 AND len(list_filter(range(n + 1, len(ls) + 1), lambda j: ls[j] <> ls[j - n])) = 0 THEN n ELSE 0 END AS BIGINT) AS times
+FROM t""")
+def q_written_times(spark, sf):
     c = TB.table(spark, sf, "conversations")
-    parts = c.select("conv_id", "turn", F.posexplode(F.split("text", ";", -1)).alias("pos", "stmt"))
-    st = F.btrim("stmt", F.lit(" \t\n\u000b\f\r"))
-    return parts.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
-                        F.col("pos").cast("bigint").alias("stmt_no"), st.alias("stmt")).filter(F.col("stmt") != "")
+    ls = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("ls"))
+    three = F.slice("ls", 1, 3)
+    kinds = F.array(F.struct(F.lit("as is").alias("kind"), F.col("ls").alias("s")),
+                    F.struct(F.lit("thrice").alias("kind"), F.concat(three, three, three).alias("s")),
+                    F.struct(F.lit("broken").alias("kind"), F.concat(F.slice("ls", 1, 2), F.array(F.lit(0), F.col("ls")[0])).alias("s")))
+    x = ls.select("conv_id", F.explode(kinds).alias("g"))
+    return x.select(F.col("conv_id").cast("bigint"), "g.kind", PO.written_times(F.col("g.s")).cast("bigint").alias("times"))
+
+
+@register("distance_report", """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.id, list_zip(a.e, b.e) AS z, a.e AS ea, b.e AS eb FROM v a JOIN v b ON b.id = a.id + 1)
+SELECT CAST(id AS BIGINT) AS id, 'L2距离: ' || printf('%.4f', sqrt(list_sum(list_transform(z, lambda t: (t[1] - t[2]) * (t[1] - t[2]))))) || chr(10) ||
+  '余弦距离: ' || printf('%.4f', 1 - list_sum(list_transform(z, lambda t: t[1] * t[2])) / (sqrt(list_sum(list_transform(ea, lambda x: x * x))) *
+  sqrt(list_sum(list_transform(eb, lambda x: x * x))))) AS report FROM p""")
+def q_distance_report(spark, sf):
+    return _pairs(spark, sf).select(F.col("id").cast("bigint"), V.distance_report(F.col("ea"), F.col("eb")).alias("report"))
 
 
 def _fenced_sql():
@@ -593,19 +761,6 @@ def _fenced_sql():
             "|| 'end' AS text FROM conversations)")
 
 
-def _show_text_sql(x: str) -> str:
-    esc = "l"
-    for a, b in TX.FENCE_ESCAPES:
-        esc = f"replace({esc}, {D.lit(a)}, {D.lit(b)})"
-    return f"""CASE WHEN {x} = '' THEN '' ELSE (
-  SELECT string_agg(CASE WHEN contains(l, '```') THEN
-           CASE WHEN n % 2 = 1 THEN '<pre><code class="language-' || split_part(l, '`', -1) || '">' ELSE '<br></code></pre>' END
-         WHEN i = 1 THEN l WHEN n % 2 = 1 THEN '<br>' || {esc} ELSE '<br>' || l END, '' ORDER BY i)
-  FROM (SELECT l, i, sum(CASE WHEN contains(l, '```') THEN 1 ELSE 0 END) OVER (ORDER BY i) AS n
-        FROM (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS i
-              FROM (SELECT list_filter(string_split({x}, chr(10)), lambda s: s <> '') AS ls)))) END"""
-
-
 @register("show_text_fenced", f"""WITH {_fenced_sql()}
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, md5(h) AS html_md5, CAST(length(h) AS BIGINT) AS html_length
 FROM (SELECT conv_id, turn, {_show_text_sql('text')} AS h FROM f)""")
@@ -660,9 +815,9 @@ def q_outline_links(spark, sf):
 
 @register("toc_lines", f"""WITH {_LEVELED_SQL}
 SELECT CAST(doc AS BIGINT) AS doc, CAST(idx AS BIGINT) AS idx, CAST(idx - 1 AS BIGINT) AS page0,
-       md5(repeat('    ', CAST(level - 1 AS BIGINT)) || split_part(text, chr(10), 1) || '    ' || CAST(idx AS VARCHAR)) AS line_md5 FROM e""")
+       md5(repeat('    ', CAST(level - 1 AS BIGINT)) || text || '    ' || CAST(idx AS VARCHAR)) AS line_md5 FROM e""")
 def q_toc_lines(spark, sf):
-    e = TB.leveled(spark, sf).withColumn("title", F.split("title", "\n", -1)[0]).withColumn("page", F.col("idx"))
+    e = TB.leveled(spark, sf).withColumn("page", F.col("idx"))
     return e.select(F.col("doc").cast("bigint"), F.col("idx").cast("bigint"), (F.col("idx") - 1).cast("bigint").alias("page0"),
                     F.md5(OL.toc_line()).alias("line_md5"))
 
@@ -728,9 +883,8 @@ SELECT cl.filename, CAST(len(cl.cs) AS BIGINT) AS n_chunks,
        md5(coalesce((SELECT string_agg(a, chr(10) || chr(10) ORDER BY chunk_no) FROM a2 WHERE a2.filename = cl.filename), '')) AS answers_md5
 FROM cl""")
 def q_reading_foreach_text(spark, sf):
-    d = _chunked_docs(spark, sf)
-    ans = RD.foreach_read_text(F.col("chunks"), F.lit(QUESTION), READ_REPEAT)
-    return d.select("filename", F.size("chunks").cast("bigint").alias("n_chunks"), F.md5(ans).alias("answers_md5"))
+    d = RD.foreach_read_text(_chunked_docs(spark, sf), F.lit(QUESTION), READ_REPEAT)
+    return d.select("filename", "n_chunks", F.md5("answers").alias("answers_md5"))
 
 
 def _turn_docs(spark, sf):
@@ -775,6 +929,34 @@ def q_reading_recursive_files(spark, sf):
                     F.md5("memory").alias("memory_md5"), "answer")
 
 
+def _turn_chunks(spark, sf):
+    return UN.explode_items(_turn_docs(spark, sf), F.col("chunks"), "chunk_no", "chunk", "conv_id", "turn", "filename")
+
+
+@register("reading_recursive_python", ORACLE["reading_recursive_files"] + " WHERE n_steps > 0")
+def q_reading_recursive_python(spark, sf):
+    r = RD.read_in_order(_turn_chunks(spark, sf), "conv_id", "turn", QUESTION, RD.hash_chat, 1, True, {"max_length": 3000, "top_p": 0.7})
+    return r.select(F.col("conv_id").cast("bigint"), "n_steps", F.md5("memory").alias("memory_md5"), "answer")
+
+
+# one round over documents: a lone chunk is the memory itself
+_ONE_ROUND_SQL = ORACLE["reading_recursive_text"].replace(f"r in range({READ_REPEAT})", "r in range(1)") + " WHERE n_steps > 0"
+
+
+@register("reading_lone_chunk", _ONE_ROUND_SQL)
+def q_reading_lone_chunk(spark, sf):
+    d = RD.recursive_read(_chunked_docs(spark, sf).filter(F.size("chunks") > 0), "chunks", F.lit(QUESTION), 1)
+    return d.select("filename", F.size("chunks").cast("bigint").alias("n_steps"), F.md5("memory").alias("memory_md5"), "answer")
+
+
+@register("reading_text_python", _ONE_ROUND_SQL)
+def q_reading_text_python(spark, sf):
+    c = UN.explode_items(_chunked_docs(spark, sf), F.col("chunks"), "chunk_no", "chunk", "filename")
+    c = c.withColumn("request", F.col("filename")).withColumn("place", F.lit(0))
+    r = RD.read_in_order(c, "request", "place", QUESTION, files=False)
+    return r.select(F.col("request").alias("filename"), "n_steps", F.md5("memory").alias("memory_md5"), "answer")
+
+
 def _each_file_sql(refine: bool) -> str:
     mid = f"'{RD.EACH_REFINE}' || " if refine else ""
     return (f"'上下文片段:' || chr(10) || '文件名=' || filename || chr(10) || chunk || chr(10) || '---' || chr(10) || "
@@ -792,36 +974,48 @@ def q_reading_foreach_files(spark, sf):
     return a.select(F.col("conv_id").cast("bigint"), F.md5("answers").alias("answers_md5"), "n_chunks")
 
 
-@register("chat_history", f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS r FROM u JOIN conversations a
-        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'),
-h AS (SELECT conv_id, count(*) AS n_pairs, arg_max(r, turn) AS last_answer FROM p GROUP BY conv_id)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_pairs AS BIGINT) AS n_pairs,
-       {_rd(D.lit(QUESTION) + " || '|' || last_answer")} AS response, CAST(n_pairs + 1 AS BIGINT) AS history_after FROM h""")
-def q_chat_history(spark, sf):
-    c = TB.table(spark, sf, "conversations")
-    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
-    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
-    pairs = u.join(a, ["conv_id", "turn"])
-    h = pairs.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "q", "r"))),
-                                                 lambda s: RD.turn(s["q"], s["r"])).alias("history"))
-    resp = RD.history_reader(F.lit(QUESTION), F.col("history"))
-    after = F.array_append(F.col("history"), RD.turn(F.lit(QUESTION), resp))
-    return h.select(F.col("conv_id").cast("bigint"), F.size("history").cast("bigint").alias("n_pairs"),
-                    resp.alias("response"), F.size(after).cast("bigint").alias("history_after"))
+@register("reading_foreach_python", f"""WITH RECURSIVE {_turn_chunks_ctes()},
+a1 AS (SELECT conv_id, filename, chunk_no, chunk, {_rd(_each_file_sql(False) + " || '|'")} AS a FROM items)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, filename, CAST(chunk_no AS BIGINT) AS chunk_no, {_rd(_each_file_sql(True) + " || '|' || a")} AS answer FROM a1""")
+def q_reading_foreach_python(spark, sf):
+    a = RD.read_each(_turn_chunks(spark, sf), QUESTION, RD.hash_chat, READ_REPEAT)
+    return a.select(F.col("conv_id").cast("bigint"), "filename", F.col("chunk_no").cast("bigint"), "answer")
+
+
+def _chat_sql(keep_last: bool) -> str:
+    """History of each conversation; the retry answers without the last pair."""
+    cut = "" if keep_last else "WHERE rn > 1"
+    return f"""WITH p AS (SELECT u.conv_id, u.turn, a.text AS r, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn DESC) AS rn
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+h AS (SELECT conv_id, count(*) AS n_pairs, arg_max(r, turn) AS last_answer FROM p {cut} GROUP BY conv_id)
+SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CAST(coalesce(n_pairs, 0) AS BIGINT) AS n_pairs,
+       {_rd(D.lit(QUESTION) + " || '|' || coalesce(last_answer, '')")} AS response, CAST(coalesce(n_pairs, 0) + 1 AS BIGINT) AS history_after
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN h USING (conv_id)"""
+
+
+def _chat_query(keep_last: bool):
+    def q(spark, sf):
+        h = RD.respond(RD.history_of(TB.table(spark, sf, "conversations")), F.lit(QUESTION), keep_last=keep_last)
+        return h.select(F.col("conv_id").cast("bigint"), F.size("history").cast("bigint").alias("n_pairs"), "response",
+                        F.size("after").cast("bigint").alias("history_after"))
+    return q
+
+
+register("chat_history", _chat_sql(True))(_chat_query(True))
+register("chat_retry", _chat_sql(False))(_chat_query(False))
 
 
 # ---------------------------------------------------------------------------
 # cell-probed search
 # ---------------------------------------------------------------------------
 
-def _ivf_parts(spark, sf):
-    v = TB.vectors(spark, sf).select("id", "embedding")
-    n = v.count()
-    nlist = S.default_nlist(n)
-    cents = S.sample_centroids(v, nlist)
-    assigned = S.assign_cells(v, cents)
-    return v, cents, assigned, max(1, nlist // 15)
+def ivf_index(spark, sf) -> S.CellIndex:
+    """The cell index of ``embeddings``, built once and searched many times."""
+    return built(spark, sf, "ivf", lambda path: S.CellIndex.build(TB.vectors(spark, sf), path))
+
+
+def _nprobe(index: S.CellIndex) -> int:
+    return max(1, index.centroids().count() // 15)
 
 
 _IVF_SQL = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -836,8 +1030,7 @@ a AS (SELECT id, cell FROM (SELECT v.id, c.cell, row_number() OVER (PARTITION BY
 @register("ivf_assign", f"""WITH {_IVF_SQL}
 SELECT CAST(id AS BIGINT) AS id, CAST(cell AS BIGINT) AS cell FROM a""")
 def q_ivf_assign(spark, sf):
-    _, _, assigned, _ = _ivf_parts(spark, sf)
-    return assigned.select(F.col("id").cast("bigint"), F.col("cell").cast("bigint"))
+    return ivf_index(spark, sf).vectors().select(F.col("id").cast("bigint"), F.col("cell").cast("bigint"))
 
 
 def _ivf_search_sql(k: int) -> str:
@@ -859,8 +1052,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9)
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, round(dist, 6) AS distance, CAST(rk AS BIGINT) AS rk
 FROM r WHERE rk <= {VEC_K}""")
 def q_ivf_search(spark, sf):
-    _, cents, assigned, nprobe = _ivf_parts(spark, sf)
-    top = S.ivf_topk(assigned, cents, _emb_queries(spark, sf), VEC_K, nprobe)
+    index = ivf_index(spark, sf)
+    top = index.topk(_emb_queries(spark, sf), VEC_K, _nprobe(index))
     return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"),
                       _r6(F.col("distance")).alias("distance"), F.col("rk").cast("bigint"))
 
@@ -873,10 +1066,9 @@ ivf AS (SELECT query_id, id, rk FROM r WHERE rk <= {VEC_K})
 SELECT CAST(ex.query_id AS BIGINT) AS query_id, round(count(ivf.rk) / count(*), 6) AS recall
 FROM ex LEFT JOIN ivf USING (query_id, id) GROUP BY ex.query_id""")
 def q_ivf_recall(spark, sf):
-    _, cents, assigned, nprobe = _ivf_parts(spark, sf)
-    qv = _emb_queries(spark, sf)
+    index, qv = ivf_index(spark, sf), _emb_queries(spark, sf)
     exact = S.exact_topk(TB.vectors(spark, sf), qv, VEC_K)
-    approx = S.ivf_topk(assigned, cents, qv, VEC_K, nprobe)
+    approx = index.topk(qv, VEC_K, _nprobe(index))
     rec = S.recall_at_k(exact, approx)
     return rec.select(F.col("query_id").cast("bigint"), _r6(F.col("recall")).alias("recall"))
 

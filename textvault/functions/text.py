@@ -195,12 +195,20 @@ def md5_text(c: Column) -> Column:
     return F.md5(c)
 
 
+# The words around file name and chunk number in fingerprints and transcripts.
+FILE_HEAD, PART_HEAD, PART_TAIL = "文件 ", " 第", "部分"
+
+
 def file_fingerprint_text(filename: Column, text: Column) -> Column:
-    return F.concat(F.lit("文件 "), filename, F.lit("\n"), text)
+    return F.concat(F.lit(FILE_HEAD), filename, F.lit("\n"), text)
+
+
+def chunk_label(filename: Column, chunk_no: Column) -> Column:
+    return F.concat(F.lit(FILE_HEAD), filename, F.lit(PART_HEAD), chunk_no.cast("string"), F.lit(PART_TAIL))
 
 
 def chunk_fingerprint_text(filename: Column, chunk_no: Column, chunk: Column) -> Column:
-    return F.concat(F.lit("文件 "), filename, F.lit(" 第"), chunk_no.cast("string"), F.lit("部分\n"), chunk)
+    return F.concat(chunk_label(filename, chunk_no), F.lit("\n"), chunk)
 
 
 def chunk_key(filename_md5: Column, chunk_no: Column) -> Column:
@@ -220,37 +228,55 @@ def _escape_in_fence(l: Column) -> Column:
     return l
 
 
+FENCE_LINE = r"(?<![^\n])[^\n]*?```[^\n]*"   # a whole line with a fence in it
+
+
+def _kept_lines(c: Column) -> Column:
+    return F.filter(F.split(c, "\n", -1), lambda l: l != "")
+
+
 def show_text(c: Column) -> Column:
     """Render text to HTML the way the chat view does.
 
-    Empty lines are dropped; a running count of fence lines decides whether a
-    line is inside a code block. The first kept line is never prefixed nor
-    escaped. One fold per text, carrying (count, rendered lines).
+    Empty lines are dropped; a line is inside a code block after an odd number of fence
+    lines. The first kept line is never prefixed nor escaped. The text is split at its
+    fence lines, so piece i stands after i fences and each line is rendered once.
     """
-    lines = F.filter(F.split(c, "\n", -1), lambda l: l != "")
+    fences = F.concat(F.array(F.lit("")), F.regexp_extract_all(c, F.lit(FENCE_LINE), 0))
+    pairs = F.zip_with(F.split(c, FENCE_LINE, -1), fences, lambda p, f: F.struct(p.alias("p"), f.alias("f")))
 
-    def step(acc, l):
-        n = acc["n"] + F.when(l.contains(FENCE), 1).otherwise(0)
-        first = F.size(acc["out"]) == 0
-        lang = F.element_at(F.split(l, "`", -1), -1)
-        rendered = (F.when(l.contains(FENCE),
-                           F.when(n % 2 == 1, F.concat(F.lit('<pre><code class="language-'), lang, F.lit('">')))
-                           .otherwise(F.lit("<br></code></pre>")))
-                    .when(first, l)
-                    .otherwise(F.concat(F.lit("<br>"), F.when(n % 2 == 1, _escape_in_fence(l)).otherwise(l))))
-        return F.struct(n.alias("n"), F.array_append(acc["out"], rendered).alias("out"))
+    def rendered(x, i):
+        lines = _kept_lines(x["p"])
+        inside = i % 2 == 1
+        lang = F.element_at(F.split(x["f"], "`", -1), -1)
+        fence = (F.when(i == 0, "").when(inside, F.concat(F.lit('<pre><code class="language-'), lang, F.lit('">')))
+                 .otherwise("<br></code></pre>"))
+        body = F.array_join(F.transform(lines, lambda l: F.when(inside, _escape_in_fence(l)).otherwise(l)), "<br>")
+        return F.concat(fence, F.when((i > 0) & (F.size(lines) > 0), "<br>").otherwise(""), body)
 
-    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    body = F.aggregate(lines, init, step, lambda acc: F.array_join(acc["out"], ""))
-    return F.when(c == "", F.lit("")).otherwise(body)
+    return F.when(c == "", F.lit("")).otherwise(F.array_join(F.transform(pairs, rendered), ""))
 
 
 def fence_depth(c: Column) -> Column:
     """Per non-empty line: running count of fence lines (odd = inside a block)."""
-    lines = F.filter(F.split(c, "\n", -1), lambda l: l != "")
+    pieces = F.split(c, FENCE_LINE, -1)
+
+    def counts(p, i):
+        own = F.array_repeat(i, F.size(_kept_lines(p)))
+        return F.when(i == 0, own).otherwise(F.concat(F.array(i), own))
+
+    return F.flatten(F.transform(pieces, counts))
+
+
+# --- positions of a pattern ---------------------------------------------------
+
+def find_from(c: Column, pattern: str, start: int = 0) -> Column:
+    """First place at or after ``start``; -1 if none."""
+    return F.locate(pattern, c, start + 1) - 1
 
-    def step(acc, l):
-        n = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.when(l.contains(FENCE), 1).otherwise(0)
-        return F.array_append(acc, n)
 
-    return F.aggregate(lines, F.array().cast("array<int>"), step)
+def find_before(c: Column, pattern: str, end: Column | int) -> Column:
+    """Start of the last occurrence that ends at or before ``end``; -1 if none."""
+    head = F.reverse(F.substring(c, 1, end) if isinstance(end, int) else F.substring(c, F.lit(1), end))
+    at = F.locate(pattern[::-1], head)
+    return F.when(at > 0, F.length(head) - at + 1 - len(pattern)).otherwise(-1)

@@ -7,8 +7,12 @@ the number of units and never copies growing strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textvault.functions.text import SENTENCE_END, WS, WS_CLASS, py_strip
 
@@ -29,17 +33,42 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD_REGEX), 0)
 
 
+class PandasTokenizer:
+    """A Python word tokenizer ``tokenize(sentence) -> list[str]``, called once per Arrow batch of texts."""
+
+    def __init__(self, tokenize: Callable[[str], list[str]]):
+        self.tokenize = tokenize
+
+    def __call__(self, pieces: Column, threshold: float) -> Column:
+        """Words of each piece of a text; pieces below the threshold stay whole."""
+        tokenize = self.tokenize
+
+        @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+        def words(texts: pd.Series) -> pd.Series:
+            return pd.Series([[[s] if len(s) < threshold else list(tokenize(s)) for s in t] for t in texts], dtype=object)
+
+        return words(pieces)
+
+
 def text_to_units(c: Column, size: int = 400, word_tokenizer=word_tokens) -> Column:
-    """Chunking units: short lines whole, else short sentences whole, else words."""
+    """Chunking units: short lines whole, else short sentences whole, else words.
+
+    ``word_tokenizer`` maps a sentence Column to words, or is a :class:`PandasTokenizer`, which gets the
+    long sentences of a text as one array (Python cannot run inside a lambda).
+    """
     threshold = size / 10.0
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), py_strip),
                      lambda l: l != "")
+    is_short = lambda x: F.length(x) < threshold
+    if isinstance(word_tokenizer, PandasTokenizer):
+        pieces = F.flatten(F.transform(lines, lambda l: F.when(is_short(l), F.array(l)).otherwise(text_to_sentences(l))))
+        return F.flatten(word_tokenizer(pieces, threshold))
 
     def per_sentence(s):
-        return F.when(F.length(s) < threshold, F.array(s)).otherwise(word_tokenizer(s))
+        return F.when(is_short(s), F.array(s)).otherwise(word_tokenizer(s))
 
     def per_line(l):
-        return F.when(F.length(l) < threshold, F.array(l)).otherwise(
+        return F.when(is_short(l), F.array(l)).otherwise(
             F.flatten(F.transform(text_to_sentences(l), per_sentence)))
 
     return F.flatten(F.transform(lines, per_line))

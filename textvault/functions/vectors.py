@@ -86,6 +86,15 @@ def metric(name: str, a: Column, b: Column) -> Column:
     }[name](a, b)
 
 
+# Words of the distance report.
+REPORT = "L2距离: %.{d}f\n余弦距离: %.{d}f"
+
+
+def distance_report(a: Column, b: Column, digits: int = 4) -> Column:
+    """Both distances of a pair as text."""
+    return F.format_string(REPORT.replace("{d}", str(digits)), l2_distance(a, b), cosine_distance(a, b))
+
+
 # --- default embedder -------------------------------------------------------
 
 def tokens(text: Column) -> Column:
@@ -101,12 +110,16 @@ def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
 def _dense_from_buckets(dim: int):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def dense(buckets: pd.Series) -> pd.Series:
+        """One bincount per batch; a NULL or empty text is the zero vector."""
+        rows = [np.zeros(0, np.int64) if b is None else np.asarray(b, np.int64) for b in buckets]
         out = []
-        for b in buckets:
-            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt(np.dot(v, v))
-            out.append((v / n if n > 0 else v).astype(np.float32))
-        return pd.Series(out)
+        for a in range(0, len(rows), 1024):
+            part = rows[a:a + 1024]
+            row = np.repeat(np.arange(len(part)), [len(b) for b in part])
+            m = np.bincount(row * dim + np.concatenate(part), minlength=len(part) * dim).reshape(len(part), dim).astype(np.float64)
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            out += list((m / np.where(n > 0, n, 1)).astype(np.float32))
+        return pd.Series(out, dtype=object)
     return dense
 
 
@@ -118,10 +131,6 @@ def hashed_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
     return _dense_from_buckets(dim)(token_buckets(text, dim))
 
 
-def to_double(v: Column) -> Column:
-    return v.cast("array<double>")
-
-
 def embedding_json(v: Column) -> Column:
     """JSON text of a vector, as stored next to the SQL rows."""
     return F.to_json(v)

@@ -1,27 +1,44 @@
-"""Outline hierarchy from ordered (doc, idx, level) entries, with windows only.
+"""Outline hierarchy from ordered (doc, idx, level) entries.
 
-Parent = nearest earlier entry with a lower level. For each level value the
-running "last index seen at that level" is one window column; the parent is
-the largest of those below the entry's level. No self-join, no pairs: cost is
-O(entries x levels), and levels of an outline are few.
+Parent = nearest earlier entry with a lower level: one pass over each document's
+ordered entries with a stack of open levels. Siblings and children follow by windows and
+a grouping on (doc, parent).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def with_parents(entries: DataFrame, doc: str = "doc", idx: str = "idx", level: str = "level") -> DataFrame:
+    """Add ``parent``; entries stream through their task in order, which keeps one stack."""
+    ordered = entries.repartition(doc).sortWithinPartitions(doc, idx)
+    d, i, lv = (entries.columns.index(c) for c in (doc, idx, level))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stack = object(), []
+        for b in batches:
+            parents = []
+            for this, at, depth in zip(b.column(d).to_pylist(), b.column(i).to_pylist(), b.column(lv).to_pylist(), strict=True):
+                if this != current:
+                    current, stack = this, []
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                stack.append((depth, at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, pa.int64())], [*b.schema.names, "parent"])
+
+    return ordered.mapInArrow(link, StructType(list(entries.schema.fields)).add("parent", "long"))
 
 
-def outline_links(entries: DataFrame, doc: str = "doc", idx: str = "idx", level: str = "level",
-                  max_level: int | None = None) -> DataFrame:
+def outline_links(entries: DataFrame, doc: str = "doc", idx: str = "idx", level: str = "level") -> DataFrame:
     """Add parent, prev, next (siblings), first_child, last_child (idx values or NULL)."""
-    if max_level is None:
-        max_level = int(entries.agg(F.max(level)).first()[0] or 0)
-    w = Window.partitionBy(doc).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    last_at = [F.max(F.when(F.col(level) == lv, F.col(idx))).over(w) for lv in range(1, max_level + 1)]
-    cands = [F.when(F.col(level) > lv, last_at[lv - 1]) for lv in range(1, max_level + 1)]
-    parent = F.greatest(*cands) if len(cands) > 1 else (cands[0] if cands else F.lit(None))
-    x = entries.withColumn("parent", parent.cast("bigint"))
+    x = with_parents(entries, doc, idx, level)
     sib = Window.partitionBy(doc, "parent").orderBy(idx)
     x = x.withColumn("prev", F.lag(idx).over(sib)).withColumn("next", F.lead(idx).over(sib))
     kids = (x.filter(F.col("parent").isNotNull()).groupBy(doc, "parent")

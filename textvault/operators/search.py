@@ -1,25 +1,35 @@
 """Top-k vector search: exact and cell-probed (IVF), without pair explosion.
 
-Design: the query batch is small and size-checked, so it is shipped to every
-task as a broadcast matrix. Each task scans its slice of the vector table in
-Arrow batches, scores the batch against all queries with one matrix product,
-and keeps only a running top-k per query. A task therefore emits at most
-``queries x k`` rows; the final merge is a window top-k over those candidates
-(a shuffle of ``partitions x queries x k`` rows, independent of table size).
-No (query, vector) pair is ever materialised as a row.
+Two ways, both exact for the rows they look at, and no (query, vector) pair is ever a row:
+
+* A query batch within a byte budget is collected and broadcast. Each task scans its slice of
+  the vector table in Arrow batches, scores it against the queries block by block with one
+  matrix product and keeps a running top-k per query.
+* Beyond the budget nothing is collected: vectors are dealt into blocks of bounded size (or
+  are the cells of an index), every query is sent to the blocks it visits, and a task holds one
+  block and streams the queries against it (:func:`_visit`).
+
+A task emits at most ``queries x k`` rows (per block); the merge is a window top-k over those.
+Payload columns are joined to the hits afterwards, so texts never pass through Python.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DEFAULT_BROADCAST_BUDGET = 64 << 20   # bytes of query (or centroid) matrix per broadcast
-QUERY_BLOCK = 512                     # queries scored together inside a task
+QUERY_BLOCK = 256                     # queries scored together inside a task
+ROW_BLOCK = 2048                      # vectors scored together inside a task
+BLOCK_ROWS = 16_384                   # vectors a task holds when queries are streamed
+MAX_CELLS = 16_384                    # cells of an index; bounds the centroid matrix
 
 
 def _stack(series) -> np.ndarray:
@@ -112,79 +122,49 @@ def _keep_topk(q, key, ids, k):
     return order[rank < k]
 
 
-def _make_kernel(bq, k: int, metric: str, id_col: str, vec_col: str,
-                 bmask=None, cell_col: str | None = None, payload: list[str] = ()):
-    """mapInPandas body: running per-task top-k of every query.
+class _TopK:
+    """Running top-k of a set of queries over vectors that arrive in blocks.
 
-    ``bq`` / ``bmask`` are broadcast handles (query matrix, query x cell probes).
+    Undefined distances (cosine of a zero vector, Tanimoto without a shared bit) rank
+    last and are reported as NaN.
     """
 
-    def kernel(batches):
-        Q = bq.value
-        probe_mask = bmask.value if bmask is not None else None
-        qn_all = (Q * Q).sum(1)
-        acc_q = np.zeros(0, dtype=np.int64)
-        acc_key = np.zeros(0)
-        acc_dist = np.zeros(0)
-        acc_ids = None
-        acc_pl = {c: None for c in payload}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = _stack(pdf[vec_col])
-            ids = pdf[id_col].to_numpy()
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            vn = (V * V).sum(1)
-            cells = pdf[cell_col].to_numpy() if cell_col else None
-            pl = {c: pdf[c].to_numpy(dtype=object) for c in payload}
-            for q0 in range(0, Q.shape[0], QUERY_BLOCK):
-                Qb = Q[q0:q0 + QUERY_BLOCK]
-                S = _scores(Qb, V, metric, qn_all[q0:q0 + QUERY_BLOCK], vn)
-                if probe_mask is not None:
-                    S = np.where(probe_mask[q0:q0 + QUERY_BLOCK][:, cells], S, np.inf)
-                kk = min(k, S.shape[1])
+    def __init__(self, Q: np.ndarray, k: int, metric: str):
+        self.Q, self.k, self.metric = Q, k, metric
+        self.q = np.zeros(0, np.int64)
+        self.key, self.dist, self.ids = np.zeros(0), np.zeros(0), None
+
+    def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        for v0 in range(0, len(V), ROW_BLOCK):
+            Vb, ib = V[v0:v0 + ROW_BLOCK], ids[v0:v0 + ROW_BLOCK]
+            for q0 in range(0, len(self.Q), QUERY_BLOCK):
+                Qb = self.Q[q0:q0 + QUERY_BLOCK]
+                S = _scores(Qb, Vb, self.metric)
+                kk = min(self.k, S.shape[1])
                 thr = np.partition(S, kk - 1, axis=1)[:, kk - 1]
                 # a small slack keeps rows that tie with the k-th after rounding
-                slack = 1e-7 * (1.0 + np.abs(thr))
-                qi, vj = np.nonzero((S <= (thr + slack)[:, None]) & np.isfinite(S))
-                dist = _exact_pairs(Qb, V, qi, vj, metric)
-                key = _order_value(metric, dist)
-                qq = qi + q0
-                acc_q = np.r_[acc_q, qq]
-                acc_key = np.r_[acc_key, key]
-                acc_dist = np.r_[acc_dist, dist]
-                acc_ids = ids[vj] if acc_ids is None else np.r_[acc_ids, ids[vj]]
-                for c in payload:
-                    acc_pl[c] = pl[c][vj] if acc_pl[c] is None else np.concatenate([acc_pl[c], pl[c][vj]])
-            sel = _keep_topk(acc_q, acc_key, acc_ids, k)
-            acc_q, acc_key, acc_ids, acc_dist = acc_q[sel], acc_key[sel], acc_ids[sel], acc_dist[sel]
-            acc_pl = {c: v[sel] for c, v in acc_pl.items()}
-        if acc_ids is not None and len(acc_q):
-            out = {"qpos": acc_q.astype(np.int64), "id": acc_ids,
-                   "distance": acc_dist.astype(np.float64), "okey": acc_key}
-            out.update({c: acc_pl[c] for c in payload})
-            yield pd.DataFrame(out)
-
-    return kernel
-
-
-def _collect_bounded(df: DataFrame, cols: list[str], budget: int, dim_hint: int) -> list[list]:
-    """Collect a small side after checking its size; split it beyond the budget."""
-    n = df.count()
-    per_row = max(dim_hint, 1) * 8 + 64
-    max_rows = max(1, budget // per_row)
-    if n <= max_rows:
-        return [[tuple(r[c] for c in cols) for r in df.select(*cols).collect()]]
-    batches, cur = [], []
-    for r in df.select(*cols).toLocalIterator():
-        cur.append(tuple(r[c] for c in cols))
-        if len(cur) >= max_rows:
-            batches.append(cur)
-            cur = []
-    if cur:
-        batches.append(cur)
-    return batches
+                slack = np.where(np.isfinite(thr), 1e-7 * (1.0 + np.abs(thr)), 0.0)
+                qi, vj = np.nonzero(S <= (thr + slack)[:, None])
+                dist = _exact_pairs(Qb, Vb, qi, vj, self.metric)
+                self._merge(qi + q0, _order_value(self.metric, dist), dist, ib[vj])
+
+    def _merge(self, q, key, dist, ids) -> None:
+        q, key, dist = np.r_[self.q, q], np.r_[self.key, key], np.r_[self.dist, dist]
+        ids = ids if self.ids is None else np.r_[self.ids, ids]
+        sel = _keep_topk(q, key, ids, self.k)
+        self.q, self.key, self.dist, self.ids = q[sel], key[sel], dist[sel], ids[sel]
+
+
+def _ids(column) -> np.ndarray:
+    out = column.to_numpy()
+    return out.astype(str) if out.dtype == object else out
+
+
+def _collect_bounded(df: DataFrame, cols: list[str], budget: int, dim: int) -> list[tuple] | None:
+    """The rows of a small side, or None beyond the budget (one row more than fits is looked at)."""
+    most = max(1, budget // (max(dim, 1) * 8 + 64))
+    rows = df.select(*cols).limit(most + 1).collect()
+    return None if len(rows) > most else [tuple(r) for r in rows]
 
 
 def _vector_dim(df: DataFrame, vec_col: str) -> int:
@@ -192,68 +172,90 @@ def _vector_dim(df: DataFrame, vec_col: str) -> int:
     return int(r["d"]) if r else 0
 
 
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance, rk) from candidates with an order key; undefined distances are NULL."""
+    w = Window.partitionBy("query_id").orderBy(F.col("okey"), F.col("id"))
+    return (found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+            .select("query_id", "id", F.when(~F.isnan("distance"), F.col("distance")).alias("distance"), "rk"))
+
+
+def _visit(blocks: DataFrame, visits: DataFrame, k: int, metric: str) -> DataFrame:
+    """Candidates (query_id, id, distance, okey) of queries in the blocks they visit.
+
+    ``blocks``: (block, salt, id, vec); ``visits``: (block, salt, query_id, vec). Rows of a block come first
+    in its task and are held (a block is bounded), its queries are streamed.
+    """
+    id_type, qid_type = (df.schema[c].dataType.simpleString() for df, c in ((blocks, "id"), (visits, "query_id")))
+    none = lambda t: F.lit(None).cast(t)
+    both = (blocks.select("block", "salt", F.lit(0).alias("kind"), "id", none(qid_type).alias("query_id"), "vec")
+            .unionByName(visits.select("block", "salt", F.lit(1).alias("kind"), none(id_type).alias("id"), "query_id", "vec")))
+    ordered = both.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, vecs = None, [], []
+        for pdf in batches:
+            for part, g in pdf.groupby(["block", "salt", "kind"], sort=False):
+                if key != part[:2]:
+                    key, ids, vecs = part[:2], [], []
+                if part[2] == 0:
+                    ids.append(_ids(g["id"]))
+                    vecs.append(_stack(g["vec"]))
+                elif ids:
+                    if len(ids) > 1:
+                        ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                    top = _TopK(_stack(g["vec"]), k, metric)
+                    top.add(ids[0], vecs[0])
+                    yield pd.DataFrame({"query_id": g["query_id"].to_numpy()[top.q], "id": top.ids, "distance": top.dist, "okey": top.key})
+
+    return ordered.mapInPandas(search, f"query_id {qid_type}, id {id_type}, distance double, okey double")
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2", *,
                id_col: str = "id", vec_col: str = "embedding",
                qid_col: str = "query_id", qvec_col: str = "embedding",
                budget: int = DEFAULT_BROADCAST_BUDGET, payload: list[str] = ()) -> DataFrame:
     """Rows (query_id, id, distance, rk, *payload) with rk = 1..k per query.
 
-    ``payload`` columns of the vector rows travel with the hits, so no second
-    pass over the table is needed to fetch them.
-
-    Order per query: metric ascending (IP: descending), then id. ``distance`` is
-    the metric value (L2 is squared, as the search index reports it).
+    Order per query: metric ascending (IP: descending), undefined last, then id. ``distance`` is
+    the metric value (L2 is squared, as the search index reports it; NULL if undefined).
+    ``payload`` columns are joined to the hits by id.
     """
-    return _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, budget, payload=list(payload))
-
-
-def _search(vectors, queries, k, metric, id_col, vec_col, qid_col, qvec_col, budget,
-            centroids=None, nprobe=None, cell_col="cell", payload=()):
-    metric = metric.upper()
-    if k <= 0:
-        spark = vectors.sparkSession
-        return spark.createDataFrame([], f"query_id {queries.schema[qid_col].dataType.simpleString()}, "
-                                         f"id {vectors.schema[id_col].dataType.simpleString()}, "
-                                         "distance double, rk int")
-    spark = vectors.sparkSession
-    dim = _vector_dim(queries, qvec_col)
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    qid_type = queries.schema[qid_col].dataType.simpleString()
-    parts = []
-    for batch in _collect_bounded(queries, [qid_col, qvec_col], budget, dim):
-        qids = [b[0] for b in batch]
-        Q = _stack([b[1] for b in batch])
-        cols = [id_col, vec_col, *payload]
-        vsrc = vectors
-        mask = None
-        if centroids is not None:
-            C = centroids
-            probes = probe_cells(Q, C, nprobe)
-            mask = np.zeros((len(qids), C.shape[0]), dtype=bool)
-            mask[np.repeat(np.arange(len(qids)), probes.shape[1]), probes.ravel()] = True
-            cells = sorted(set(int(c) for c in np.unique(probes)))
-            vsrc = vectors.filter(F.col(cell_col).isin(cells))
-            cols = [id_col, vec_col, cell_col, *payload]
-        sc = spark.sparkContext
-        kern = _make_kernel(sc.broadcast(Q), k, metric, id_col, vec_col,
-                            sc.broadcast(mask) if mask is not None else None,
-                            cell_col if centroids is not None else None, payload)
-        pl_schema = "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in payload)
-        cand = vsrc.select(*cols).mapInPandas(kern, f"qpos long, id {id_type}, distance double, okey double{pl_schema}")
-        qmap = spark.createDataFrame(list(enumerate(qids)), f"qpos long, query_id {qid_type}")
-        parts.append(cand.join(F.broadcast(qmap), "qpos").drop("qpos"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("okey"), F.col("id"))
-    return (out.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-            .select("query_id", "id", "distance", "rk", *payload))
+    spark, metric = vectors.sparkSession, metric.upper()
+    id_type, qid_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[qid_col].dataType.simpleString()
+    found_schema = f"id {id_type}, distance double, okey double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
+    small = _collect_bounded(asked, ["query_id", "vec"], budget, _vector_dim(queries, qvec_col)) if k > 0 else []
+    if not small and small is not None:
+        hits = spark.createDataFrame([], f"query_id {qid_type}, id {id_type}, distance double, rk int")
+    elif small:
+        matrix = spark.sparkContext.broadcast(_stack([v for _, v in small]))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top = _TopK(matrix.value, k, metric)
+            for pdf in batches:
+                if len(pdf):
+                    top.add(_ids(pdf["id"]), _stack(pdf["vec"]))
+            if top.ids is not None:
+                yield pd.DataFrame({"qpos": top.q, "id": top.ids, "distance": top.dist, "okey": top.key})
+
+        names = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(small)], f"qpos long, query_id {qid_type}")
+        hits = _merged(rows.mapInPandas(scan, f"qpos long, {found_schema}").join(F.broadcast(names), "qpos"), k)
+    else:
+        n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+        blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("salt", F.lit(0))
+        visits = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("salt", F.lit(0))
+        hits = _merged(_visit(blocks, visits, k, metric), k)
+    if not payload:
+        return hits
+    extra = vectors.select(F.col(id_col).alias("id"), *payload)
+    return hits.join(extra, "id").select("query_id", "id", "distance", "rk", *payload)
 
 
 # --- IVF: cells from sampled centroids ---------------------------------------
 
 def default_nlist(n: int) -> int:
-    return max(1, int(round(4 * math.sqrt(max(n, 1)))))
+    return max(1, min(MAX_CELLS, int(round(4 * math.sqrt(max(n, 1))))))
 
 
 def sample_centroids(vectors: DataFrame, nlist: int, *, id_col: str = "id",
@@ -266,71 +268,100 @@ def sample_centroids(vectors: DataFrame, nlist: int, *, id_col: str = "id",
     return top.select((F.row_number().over(w) - 1).alias("cell"), "centroid")
 
 
-def _centroid_matrix(centroids: DataFrame, budget: int) -> np.ndarray:
-    n = centroids.count()
-    dim = _vector_dim(centroids, "centroid")
-    if n * max(dim, 1) * 8 > budget * 4:
-        raise ValueError(f"{n} centroids x {dim} dims exceed the broadcast budget; lower nlist")
-    rows = centroids.orderBy("cell").collect()
-    return _stack([r["centroid"] for r in rows])
+def _centroid_matrix(centroids: DataFrame) -> np.ndarray:
+    """At most MAX_CELLS rows."""
+    return _stack([r["centroid"] for r in centroids.orderBy("cell").collect()])
 
 
 def _nearest(Q: np.ndarray, C: np.ndarray, m: int) -> np.ndarray:
     """Indices of the m nearest centroids per row, ties by lower cell id.
 
-    The matrix form preselects candidates; their distances are then recomputed
-    term by term so that ties and near-ties resolve like a direct sum.
+    The matrix form preselects candidates, block by block; their distances are then
+    recomputed term by term so that ties and near-ties resolve like a direct sum.
     """
     m = min(m, C.shape[0])
-    S = _scores(Q, C, "L2")
     pre = min(C.shape[0], m + 8)
-    cand = np.argpartition(S, pre - 1, axis=1)[:, :pre] if pre < C.shape[0] else np.tile(np.arange(C.shape[0]), (len(Q), 1))
-    exact = np.round(((Q[:, None, :] - C[cand]) ** 2).sum(2), ORDER_DIGITS)
+    step = max(1, min(QUERY_BLOCK, DEFAULT_BROADCAST_BUDGET // (8 * max(C.shape[0], pre * C.shape[1]))))
     out = np.empty((len(Q), m), dtype=np.int64)
-    for i in range(len(Q)):
-        o = np.lexsort((cand[i], exact[i]))
-        out[i] = cand[i][o[:m]]
+    for a in range(0, len(Q), step):
+        Qb = Q[a:a + step]
+        S = _scores(Qb, C, "L2")
+        cand = np.argpartition(S, pre - 1, axis=1)[:, :pre] if pre < C.shape[0] else np.tile(np.arange(C.shape[0]), (len(Qb), 1))
+        exact = np.round(((Qb[:, None, :] - C[cand]) ** 2).sum(2), ORDER_DIGITS)
+        order = np.lexsort((cand, exact), axis=-1)[:, :m]
+        out[a:a + step] = np.take_along_axis(cand, order, 1)
     return out
 
 
-def probe_cells(Q: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
-    return _nearest(Q, C, nprobe)
-
-
-def assign_cells(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "id",
-                 vec_col: str = "embedding", budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
+def assign_cells(vectors: DataFrame, centroids: DataFrame, *, vec_col: str = "embedding") -> DataFrame:
     """Add ``cell`` = nearest centroid (L2, ties to the lower cell) to every row."""
-    C = _centroid_matrix(centroids, budget)
-    bc = vectors.sparkSession.sparkContext.broadcast(C)
-    from pyspark.sql.types import IntegerType, StructField, StructType
-    schema = StructType(list(vectors.schema.fields) + [StructField("cell", IntegerType())])
-
-    def assign(batches):
-        Cm = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = _stack(pdf[vec_col])
-            pdf = pdf.copy()
-            pdf["cell"] = _nearest(V, Cm, 1)[:, 0].astype(np.int32)
-            yield pdf
-
-    return vectors.mapInPandas(assign, schema)
-
-
-def ivf_topk(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int,
-             metric: str = "L2", *, id_col: str = "id", vec_col: str = "embedding",
-             qid_col: str = "query_id", qvec_col: str = "embedding",
-             budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
-    """Exact ranking inside the ``nprobe`` cells nearest to each query.
-
-    The scan is restricted to the union of probed cells (partition pruning when
-    the store is written ``partitionBy('cell')``); each row is scored only for
-    the queries that probe its cell.
-    """
-    C = _centroid_matrix(centroids, budget)
-    return _search(assigned, queries, k, metric, id_col, vec_col, qid_col, qvec_col, budget,
-                   centroids=C, nprobe=nprobe)
+    bc = vectors.sparkSession.sparkContext.broadcast(_centroid_matrix(centroids))
+    schema = StructType(list(vectors.schema.fields)).add("cell", "integer")
+    at = vectors.columns.index(vec_col)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = _nearest(_stack(b.column(at).to_pylist()), bc.value, 1)[:, 0] if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
+
+    return vectors.mapInArrow(assign, schema)
+
+
+class CellIndex:
+    """An IVF index on shared storage: a centroid table and vectors partitioned by cell."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, nlist: int | None = None, *, id_col: str = "id",
+              vec_col: str = "embedding") -> CellIndex:
+        """Write the index: sampled centroids, every vector in the cell of its nearest one."""
+        index = cls(vectors.sparkSession, path)
+        rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
+        nlist = nlist or default_nlist(rows.count())
+        sample_centroids(rows, nlist).write.mode("overwrite").parquet(f"{index.path}/centroids")
+        assigned = assign_cells(rows, index.centroids())
+        assigned.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{index.path}/vectors")
+        return index
+
+    def centroids(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/centroids")
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
+    def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        """(query_id, vec, cell): the ``nprobe`` cells nearest to each query."""
+        C = self.spark.sparkContext.broadcast(_centroid_matrix(self.centroids()))
+        schema = StructType(list(queries.schema.fields)).add("cell", "integer")
+
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    cells = _nearest(_stack(pdf["vec"]), C.value, nprobe)
+                    yield pdf.loc[pdf.index.repeat(cells.shape[1])].assign(cell=cells.ravel().astype(np.int32))
+
+        return queries.mapInPandas(probe, schema)
+
+    def topk(self, queries: DataFrame, k: int, nprobe: int, metric: str = "L2", *, qid_col: str = "query_id",
+             qvec_col: str = "embedding") -> DataFrame:
+        """Exact ranking inside the ``nprobe`` cells nearest to each query.
+
+        Only probed cells are read (the join on the partition column prunes the others), and
+        cells of more than BLOCK_ROWS rows are dealt over salts.
+        """
+        asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
+        visits = self.probes(asked, nprobe)
+        cells = visits.select("cell").distinct()                # at most MAX_CELLS numbers
+        rows = self.vectors().join(F.broadcast(cells), "cell", "left_semi")
+        sizes = self.vectors().groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts"))
+        salts = F.broadcast(sizes)                              # one row a cell
+        blocks = rows.join(salts, "cell").select(F.col("cell").alias("block"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
+                                                 "id", F.col("embedding").alias("vec"))
+        visits = visits.join(salts, "cell").select(F.col("cell").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                                                   "query_id", "vec")
+        return _merged(_visit(blocks, visits, k, metric.upper()), k)
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame) -> DataFrame:

@@ -1,23 +1,27 @@
-"""Upsert, delete and a versioned, atomically published table store.
+"""Upsert, delete and a bucketed knowledge store.
 
-Every mutation is a set operation over whole tables: a key table is joined
-against the stored rows (``left_anti`` to drop, ``unionByName`` to add). No
-key list ever travels through the driver.
+Every mutation is a set operation: a key table is joined against the stored rows
+(``left_anti`` to drop, ``unionByName`` to add). No key list travels through the driver.
 
 Layout of a store root::
 
-    <root>/files/v=<N>/    kbs_file rows (parquet)
-    <root>/chunks/v=<N>/   kbs_chunk rows (parquet, bucketed by filename_md5)
-    <root>/_commits/<N>    empty marker written last: version N is complete
+    <root>/files/bucket=<b>/    kbs_file rows
+    <root>/chunks/bucket=<b>/   kbs_chunk rows of the same files
+    <root>/_commits/<N>         note of commit N, written last
 
-A version becomes visible only when its marker exists, so a crash while
-writing leaves the previous version current (data first, manifest last).
+``bucket`` is a hash of ``filename_md5``. A commit rewrites only the buckets in which a file
+changed (dynamic partition overwrite); the others are neither read nor written. Chunks are
+written before files and the note last: what decides whether a file is up to date is
+its file row, so a commit that breaks off is done again by the next sync.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FILE_KEY = "filename_md5"
 CHUNK_KEY = "filename_md5_no"
@@ -38,6 +42,11 @@ def upsert_keep_created(base: DataFrame, updates: DataFrame, key: str = FILE_KEY
     return upsert(base, upd, key)
 
 
+def lookup(rows: DataFrame, value: str, key: str = FILE_KEY) -> DataFrame:
+    """Rows with one key: a filter that reaches the scan."""
+    return rows.filter(F.col(key) == value)
+
+
 def delete_by_keys(rows: DataFrame, keys: DataFrame, key: str = FILE_KEY) -> DataFrame:
     """DELETE ... WHERE key IN (keys): an anti join, never a literal list."""
     return rows.join(keys.select(key).distinct(), key, "left_anti")
@@ -58,15 +67,20 @@ def delete_chunk_by_filename_md5(chunks: DataFrame, keys: DataFrame) -> DataFram
 
 
 class KnowledgeStore:
-    """Versioned file/chunk tables under one root on a shared file system."""
+    """File and chunk tables under one root on a shared file system, in hash buckets."""
 
-    def __init__(self, spark: SparkSession, root: str, chunk_buckets: int = 64):
-        self.spark, self.root, self.chunk_buckets = spark, root.rstrip("/"), chunk_buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
+        self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        last = self.note()
+        self.buckets = int(last["buckets"]) if last else buckets
 
-    # -- versions -----------------------------------------------------------
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    # -- commits ------------------------------------------------------------
     def versions(self) -> list[int]:
         p = self._Path(f"{self.root}/_commits")
         if not self._fs.exists(p):
@@ -77,31 +91,57 @@ class KnowledgeStore:
         v = self.versions()
         return v[-1] if v else None
 
-    def files(self, version: int | None = None) -> DataFrame | None:
-        v = self.current_version() if version is None else version
-        return None if v is None else self.spark.read.parquet(f"{self.root}/files/v={v}")
+    def note(self) -> dict[str, str]:
+        """What the last commit noted: buckets, chunk parameters, stream epoch."""
+        v = self.current_version()
+        if v is None:
+            return {}
+        text = self.spark.read.text(f"{self.root}/_commits/{v}", wholetext=True).first()["value"]
+        return dict(x.split("=", 1) for x in text.split(";") if "=" in x)
+
+    def _read(self, table: str) -> DataFrame | None:
+        note = self.note()     # holds the schema, which an emptied table has no file to tell from
+        return self.spark.read.schema(StructType.fromJson(json.loads(note[table]))).parquet(f"{self.root}/{table}") if note else None
 
-    def chunks(self, version: int | None = None) -> DataFrame | None:
-        v = self.current_version() if version is None else version
-        return None if v is None else self.spark.read.parquet(f"{self.root}/chunks/v={v}")
+    def files(self) -> DataFrame | None:
+        return self._read("files")
 
-    def load(self) -> tuple[DataFrame, DataFrame]:
-        """Bring the current version into executor memory (cache)."""
-        return self.files().cache(), self.chunks().cache()
+    def chunks(self) -> DataFrame | None:
+        return self._read("chunks")
 
     # -- writes ---------------------------------------------------------------
-    def commit(self, files: DataFrame, chunks: DataFrame, meta: str = "") -> int:
-        """Write a new version, then publish it by creating its marker."""
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Buckets of the given files (at most ``buckets`` numbers)."""
+        return [r["b"] for r in keys.select(self.bucket(F.col(FILE_KEY)).alias("b")).distinct().collect()]
+
+    def _write(self, rows: DataFrame, table: str, touched: list[int] | None) -> None:
+        path = f"{self.root}/{table}"
+        rows = rows.drop("bucket").withColumn("bucket", self.bucket(F.col(FILE_KEY)))
+        before = {b: self._names(f"{path}/bucket={b}") for b in touched or []}
+        # rebalance: tasks of similar size whatever the buckets hold
+        (rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+         .option("partitionOverwriteMode", "static" if touched is None else "dynamic").parquet(path))
+        for b, names in before.items():              # a bucket whose last file went gets no new files
+            if names and self._names(f"{path}/bucket={b}") == names:
+                self._fs.delete(self._Path(f"{path}/bucket={b}"), True)
+
+    def _names(self, folder: str) -> set[str]:
+        p = self._Path(folder)
+        return {s.getPath().getName() for s in self._fs.listStatus(p)} if self._fs.exists(p) else set()
+
+    def commit(self, files: DataFrame, chunks: DataFrame, touched: list[int] | None = None, **note) -> int:
+        """Write the rows of the touched buckets (None: a full refresh) and note the commit."""
+        self._write(chunks, "chunks", touched)
+        self._write(files, "files", touched)
         v = (self.current_version() or 0) + 1
-        files.write.mode("overwrite").parquet(f"{self.root}/files/v={v}")
-        # co-locate chunk rows of one file: later per-file deletes touch one bucket
-        (chunks.repartition(self.chunk_buckets, FILE_KEY)
-         .write.mode("overwrite").parquet(f"{self.root}/chunks/v={v}"))
         out = self._fs.create(self._Path(f"{self.root}/_commits/{v}"), False)
-        out.write(bytearray(meta.encode("utf-8")))
+        schema = lambda df: json.dumps(df.drop("bucket").schema.add("bucket", "integer").jsonValue())
+        fields = {"buckets": self.buckets, **note, "files": schema(files), "chunks": schema(chunks)}
+        text = ";".join(f"{k}={x}" for k, x in fields.items())
+        out.write(bytearray(text.encode("utf-8")))
         out.close()
         return v
 
-    def rebuild(self, files: DataFrame, chunks: DataFrame) -> int:
-        """Full refresh: the new version does not depend on earlier ones."""
-        return self.commit(files, chunks, "rebuild")
+    def rebuild(self, files: DataFrame, chunks: DataFrame, **note) -> int:
+        """Full refresh: nothing of earlier commits stays."""
+        return self.commit(files, chunks, None, **note)

@@ -10,11 +10,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textvault.functions import text as TX
-from textvault.functions.units import explode_items, with_chunks
+from textvault.functions.units import explode_items, with_chunks, word_tokens
 from textvault.hooks import HashingEmbedder
 
 
@@ -25,6 +25,7 @@ class BuildParams:
     chunk_limit: int | None = None  # every chunk; a number keeps only the first ones
     as_of: dt.datetime = field(default=dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc))
     embedder: object = field(default_factory=HashingEmbedder)
+    tokenizer: object = word_tokens  # Column function, or a PandasTokenizer
 
     def as_of_col(self) -> Column:
         return F.timestamp_millis(F.lit(int(self.as_of.timestamp() * 1000)))
@@ -63,7 +64,7 @@ def file_rows(docs: DataFrame, p: BuildParams = BuildParams(), embed: bool = Tru
 def chunk_rows(docs: DataFrame, p: BuildParams = BuildParams(), embed: bool = True) -> DataFrame:
     """kbs_chunk rows: one per chunk of each (filename, text)."""
     chunked = with_chunks(docs.select("filename", "text"), "text", "_chunks", p.chunk_size, p.chunk_overlap,
-                          p.chunk_limit)
+                          p.chunk_limit, p.tokenizer)
     exploded = explode_items(chunked, F.col("_chunks"), "chunk_no", "chunk", "filename")
     fn, no, ch = F.col("filename"), F.col("chunk_no"), F.col("chunk")
     fmd5 = F.md5(fn)
@@ -101,8 +102,29 @@ def chunk_vectors(chunks: DataFrame) -> DataFrame:
 def document_profile(texts: DataFrame, p: BuildParams = BuildParams(), text_col: str = "text") -> DataFrame:
     """Per text: chunks, chunk count, length, embedding and md5 (plus JSON)."""
     t = F.col(text_col)
-    prof = with_chunks(texts, text_col, "_chunks", p.chunk_size, p.chunk_overlap, p.chunk_limit).select(
+    prof = with_chunks(texts, text_col, "_chunks", p.chunk_size, p.chunk_overlap, p.chunk_limit, p.tokenizer).select(
         *texts.columns, F.struct(F.col("_chunks").alias("chunks"), F.size("_chunks").alias("chunks_count"),
                                  F.length(t).alias("text_length"), p.embedder(t).alias("embedding"),
                                  F.md5(t).alias("md5")).alias("profile"))
     return prof.withColumn("profile_json", F.to_json("profile"))
+
+
+class Knowledge:
+    """File and chunk tables with their vectors on shared storage, written once and searched many times."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, p: BuildParams = BuildParams()) -> Knowledge:
+        """Write the tables of (filename, text) rows."""
+        kb = cls(docs.sparkSession, path)
+        file_rows(docs, p).write.mode("overwrite").parquet(f"{kb.path}/files")
+        chunk_rows(docs, p).write.mode("overwrite").parquet(f"{kb.path}/chunks")
+        return kb
+
+    def files(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/files")
+
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/chunks")

@@ -1,5 +1,9 @@
 """Reading long texts chunk by chunk through a reader, as a fold or a map.
 
+Two kinds of readers: Column readers (``history_reader``) stay in the JVM; Python readers, the
+place for a real chat model, are called ``reader(prompt, history, **params)`` and run in
+``mapInPandas`` (:func:`read_in_order`, :func:`read_each`).
+
 * Recursive: memory folds over (round, chunk) in order; sequential inside one
   request by definition, parallel across requests. With a column-expression
   reader the fold is one ``aggregate`` per request row (JVM-side).
@@ -12,7 +16,11 @@ Readers take (prompt, history) Columns; history is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textvault.functions.units import explode_items
@@ -121,11 +129,111 @@ def foreach_read(chunk: Column, question: Column, repeat: int = 1, reader=histor
     return F.struct(out["a"].alias("answer"), out["h"].alias("history"))
 
 
-def foreach_read_text(chunks: Column, question: Column, repeat: int = 1, reader=history_reader,
-                      compat: bool = False) -> Column:
-    """Answers of every chunk joined by a blank line, in chunk order."""
-    answers = F.transform(chunks, lambda c: foreach_read(c, question, repeat, reader, None, compat)["answer"])
-    return F.array_join(answers, "\n\n")
+def foreach_read_text(docs: DataFrame, question: Column, repeat: int = 1, reader=history_reader,
+                      compat: bool = False, key: str = "filename", chunks_col: str = "chunks") -> DataFrame:
+    """(key, n_chunks, answers): every chunk is a row of its own; answers joined by a blank line, in chunk order."""
+    x = docs.select(key, F.posexplode_outer(chunks_col).alias("chunk_no", "chunk"))
+    a = x.select(key, "chunk_no", foreach_read(F.col("chunk"), question, repeat, reader, None, compat)["answer"].alias("answer"))
+    return a.groupBy(key).agg(
+        F.count("chunk_no").alias("n_chunks"),
+        F.coalesce(F.expr("listagg(answer, '\\n\\n') WITHIN GROUP (ORDER BY chunk_no) FILTER (WHERE chunk_no IS NOT NULL)"),
+                   F.lit("")).alias("answers"))
+
+
+# --- Python readers ---------------------------------------------------------------
+
+def hash_chat(prompt: str, history: list[tuple[str, str]], max_length: int = 2048, top_p: float = 0.7,
+              temperature: float = 0.95) -> str:
+    """Python twin of ``history_reader``; a chat model takes the same arguments."""
+    last = history[-1][1] if history else ""
+    return ("R" + hashlib.md5(f"{prompt}|{last}".encode()).hexdigest()[:16])[:max_length]
+
+
+def _step(memory: str, r, question: str, files: bool) -> str:
+    head = f"{STEP_FILE_HEAD[0]}{r.filename}{STEP_FILE_HEAD[1]}{r.chunk_no}{STEP_FILE_HEAD[2]}" if files else ""
+    return f"{STEP_TEXT[0]}{memory}{STEP_TEXT[1]}{head}{r.chunk}{STEP_TEXT[2]}{question}{STEP_TEXT[3]}"
+
+
+def read_in_order(chunks: DataFrame, request: str, order: str, question: str, reader: Callable = hash_chat, repeat: int = 1,
+                  files: bool = True, params: dict | None = None) -> DataFrame:
+    """(request, n_steps, memory, answer): the recursive mode with a Python reader.
+
+    ``chunks``: (request, order, chunk_no, filename, chunk). The chunks of a request stream
+    through one task in order and only the memory is carried. The text variant (``files=False``) uses
+    a lone chunk as memory directly.
+    """
+    params = params or {}
+    rows = chunks.select(F.col(request).cast("string").alias("request"), F.col(order).alias("place"), "chunk_no", "filename", "chunk",
+                         F.explode(F.sequence(F.lit(1), F.lit(max(repeat, 1)))).alias("round"))
+    ordered = rows.repartition("request").sortWithinPartitions("request", "round", "place", "chunk_no")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, memory, n, lone = None, "", 0, None
+
+        def done():
+            m = lone if lone is not None else memory
+            return pd.DataFrame([(now, n, m, reader(f"{FINAL[0]}{m}{FINAL[1]}{question}", [], **params))],
+                                columns=["request", "n_steps", "memory", "answer"])
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.request != now:
+                    if now is not None:
+                        yield done()
+                    now, memory, n, lone = r.request, "", 0, None
+                    if not files:
+                        lone, n = r.chunk, 1
+                        first = r
+                        continue
+                if lone is not None:                      # a second chunk: the first is read after all
+                    memory, lone = reader(_step("", first, question, files), [], **params), None
+                memory, n = reader(_step(memory, r, question, files), [], **params), n + 1
+        if now is not None:
+            yield done()
+
+    out = ordered.mapInPandas(fold, "request string, n_steps long, memory string, answer string")
+    return out.withColumn("request", F.col("request").cast(chunks.schema[request].dataType)).withColumnRenamed("request", request)
+
+
+def read_each(chunks: DataFrame, question: str, reader: Callable = hash_chat, repeat: int = 1, files: bool = True,
+              params: dict | None = None) -> DataFrame:
+    """``chunks`` plus ``answer``: each chunk read ``repeat`` times by a Python reader, its own answers as history."""
+    params = params or {}
+
+    @F.pandas_udf("string")
+    def answers(names: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for name, text in zip(names, texts, strict=True):
+            history: list[tuple[str, str]] = []
+            for _ in range(max(repeat, 1)):
+                head = f"{EACH_FILE}{name}\n" if files else ""
+                p = f"{EACH_HEAD}{head}{text}{EACH_SEP}{EACH_REFINE if history else ''}{question}"
+                history.append((p, reader(p, history, **params)))
+            out.append(history[-1][1])
+        return pd.Series(out, dtype=object)
+
+    return chunks.withColumn("answer", answers(F.col("filename"), F.col("chunk")))
+
+
+# --- chat history -----------------------------------------------------------------
+
+def history_of(turns: DataFrame) -> DataFrame:
+    """(conv_id, history): question and answer pairs of each conversation in order; none is an empty history.
+
+    ``turns``: (conv_id, turn, role, text). A question without an answer right after it is dropped.
+    """
+    nxt = lambda c: F.lead(c).over(Window.partitionBy("conv_id").orderBy("turn"))
+    seen = turns.withColumns({"r": nxt("text"), "next_role": nxt("role"), "next_turn": nxt("turn")})
+    pair = (F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.col("next_turn") == F.col("turn") + 1)
+    item = F.when(pair, F.struct("turn", F.col("text").alias("q"), "r"))
+    return seen.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: turn(s["q"], s["r"])).alias("history"))
+
+
+def respond(histories: DataFrame, question: Column, reader=history_reader, keep_last: bool = True) -> DataFrame:
+    """Add ``response`` and ``after``: the history with the new turn, or without its last one for a retry."""
+    base = F.col("history") if keep_last else F.slice("history", 1, F.greatest(F.size("history") - 1, F.lit(0)))
+    h = histories.withColumn("history", base).withColumn("response", reader(question, F.col("history")))
+    return h.withColumn("after", F.array_append("history", turn(question, F.col("response"))))
 
 
 def chunk_list(docs: DataFrame, request: str, order: str, chunks_col: str = "chunks") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvault.functions.text import show_text
+from textvault.functions.text import chunk_label, show_text
 from textvault.hooks import HashingEmbedder
 from textvault.operators.search import exact_topk
+from textvault.operators.store import CHUNK_KEY, FILE_KEY
+from textvault.plans.build import chunk_vectors, file_vectors
 
 FILES_LABEL = "你可能感兴趣的文件"  # fixed value: transcript label of the file hits
 
@@ -18,17 +20,20 @@ def embed_queries(queries: DataFrame, embedder=None, text_col: str = "text") ->
 
 
 def file_hits(files: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str = "L2") -> DataFrame:
-    """(query_id, rk, filename_md5, filename, distance); empty when limit <= 0."""
-    top = exact_topk(files.select(F.col("filename_md5").alias("id"), "embedding", "filename"), qvecs, limit,
-                     metric, payload=["filename"])
-    return top.select("query_id", "rk", F.col("id").alias("filename_md5"), "filename", "distance")
+    """(query_id, rk, filename_md5, filename, distance); empty when limit <= 0.
+
+    The search reads the vector columns alone; names are joined to the hits.
+    """
+    top = exact_topk(file_vectors(files).withColumnRenamed(FILE_KEY, "id"), qvecs, limit, metric)
+    named = top.join(files.select(F.col(FILE_KEY).alias("id"), "filename"), "id")
+    return named.select("query_id", "rk", F.col("id").alias(FILE_KEY), "filename", "distance")
 
 
 def chunk_hits(chunks: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str = "L2") -> DataFrame:
     """(query_id, rk, filename_md5_no, filename, chunk_no, chunk, distance)."""
-    top = exact_topk(chunks.select(F.col("filename_md5_no").alias("id"), "embedding", "filename", "chunk_no", "chunk"),
-                     qvecs, limit, metric, payload=["filename", "chunk_no", "chunk"])
-    return top.select("query_id", "rk", F.col("id").alias("filename_md5_no"), "filename", "chunk_no", "chunk", "distance")
+    top = exact_topk(chunk_vectors(chunks).withColumnRenamed(CHUNK_KEY, "id"), qvecs, limit, metric)
+    texts = chunks.select(F.col(CHUNK_KEY).alias("id"), "filename", "chunk_no", "chunk")
+    return top.join(texts, "id").select("query_id", "rk", F.col("id").alias(CHUNK_KEY), "filename", "chunk_no", "chunk", "distance")
 
 
 def search_kbs(files: DataFrame, chunks: DataFrame, queries: DataFrame, file_limit: int = 3,
@@ -52,7 +57,6 @@ def transcript(queries: DataFrame, fhits: DataFrame, chits: DataFrame) -> DataFr
          .select("query_id", F.lit(1).cast("bigint").alias("ord"), F.lit(FILES_LABEL).alias("label"),
                  show_text(F.col("names")).alias("body")))
     c = chits.select("query_id", (F.col("rk") + 1).cast("bigint").alias("ord"),
-                     show_text(F.concat(F.lit("文件 "), F.col("filename"), F.lit(" 第"),
-                                        F.col("chunk_no").cast("string"), F.lit("部分"))).alias("label"),
+                     show_text(chunk_label(F.col("filename"), F.col("chunk_no"))).alias("label"),
                      show_text(F.col("chunk")).alias("body"))
     return q.unionByName(f).unionByName(c)

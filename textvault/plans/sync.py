@@ -3,8 +3,11 @@
 One batch plan instead of a per-file loop:
 manifest diff (full outer join on filename) -> change filter on text_md5 ->
 build rows only for new and changed files -> cascade delete + upsert.
-The diff shuffles only (filename, md5) pairs; texts move only for files that
-must be rebuilt.
+The diff shuffles only (filename, md5) pairs and is written once as a small table, so the
+listing is read twice: for its fingerprints, and for the files that must be rebuilt. Their
+texts are joined with the names to rebuild. Of the store only the buckets with a changed
+file are read and rewritten. Chunks of unchanged files are rebuilt when the chunk
+parameters differ from those of the last commit.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvault.operators.store import FILE_KEY, delete_by_keys, upsert_keep_created
+from textvault.operators.store import FILE_KEY, delete_all_by_filename_md5, delete_by_keys, upsert_keep_created
 from textvault.plans import build as B
+from textvault.session import scratch_path
 
 # Per-file status labels shown to the user.
-STATUS_LABEL = {"deleted": "已删除", "unchanged": "无改动"}
+STATUS_LABEL = {"deleted": "已删除", "unchanged": "无改动", "rebuilt": "字符数="}
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -46,10 +50,20 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
               .otherwise("changed"))
     label = (F.when(status == "deleted", STATUS_LABEL["deleted"])
              .when(status == "unchanged", STATUS_LABEL["unchanged"])
-             .otherwise(F.concat(F.lit("字符数="), F.col("text_length").cast("string"))))
+             .otherwise(F.concat(F.lit(STATUS_LABEL["rebuilt"]), F.col("text_length").cast("string"))))
     return j.select("filename", status.alias("status"), label.alias("label"), "old_md5", "new_md5", "text_length")
 
 
+def name_sets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(filename, kind) of the set operations on two listings (deleted, added, kept, any): one flagged grouping."""
+    both = old.select("filename", F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
+        new.select("filename", F.lit(0).alias("o"), F.lit(1).alias("n")))
+    seen = both.groupBy("filename").agg((F.max("o") == 1).alias("o"), (F.max("n") == 1).alias("n"))
+    kinds = F.array(F.when(F.col("o") & ~F.col("n"), "deleted"), F.when(F.col("n") & ~F.col("o"), "added"),
+                    F.when(F.col("o") & F.col("n"), "kept"), F.lit("any"))
+    return seen.select("filename", F.explode(F.array_compact(kinds)).alias("kind"))
+
+
 def counts(status: DataFrame) -> DataFrame:
     """Files on disk, files stored, names compared and per-status counts (one row)."""
     c = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
@@ -62,36 +76,56 @@ def counts(status: DataFrame) -> DataFrame:
                       c(F.col("status") == "unchanged").alias("n_unchanged"))
 
 
+def written_status(files: DataFrame, new_docs: DataFrame) -> DataFrame:
+    """The diff as a small table in the shared folder: each later use reads it."""
+    path = scratch_path(new_docs.sparkSession, "status")
+    diff(manifest(files), fingerprints(new_docs)).write.parquet(path)
+    return new_docs.sparkSession.read.parquet(path)
+
+
 def apply(files: DataFrame, chunks: DataFrame, new_docs: DataFrame, params: B.BuildParams,
-          embed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+          embed: bool = True, rechunk: bool = False, status: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(status, files_after, chunks_after) for a listing of (filename, text).
 
-    Unchanged files keep their rows untouched; changed files keep their
-    creation time.
+    Unchanged files keep their rows untouched (with ``rechunk`` their chunks are built
+    anew); changed files keep their creation time.
     """
-    status = diff(manifest(files), fingerprints(new_docs))
-    rebuild_names = status.filter(F.col("status").isin("new", "changed")).select("filename")
-    gone = status.filter(F.col("status").isin("deleted", "changed")).select(F.md5("filename").alias(FILE_KEY))
-    todo = new_docs.join(rebuild_names, "filename", "left_semi")
-    new_files = B.file_rows(todo, params, embed)
-    new_chunks = B.chunk_rows(todo, params, embed)
-    deleted = status.filter(F.col("status") == "deleted").select(F.md5("filename").alias(FILE_KEY))
-    files_after = upsert_keep_created(delete_by_keys(files, deleted), new_files)
-    chunks_after = delete_by_keys(chunks, gone).unionByName(new_chunks)
+    status = written_status(files, new_docs) if status is None else status
+    names = lambda *kinds: status.filter(F.col("status").isin(*kinds))
+    keys = lambda *kinds: names(*kinds).select(F.md5("filename").alias(FILE_KEY))
+    todo = new_docs.join(names("new", "changed").select("filename"), "filename", "left_semi")
+    again = new_docs.join(names("new", "changed", "unchanged").select("filename"), "filename", "left_semi") if rechunk else todo
+    kept_files, kept_chunks, _, _ = delete_all_by_filename_md5(files, chunks, None, None, keys("deleted"))
+    stale = keys("changed", "unchanged") if rechunk else keys("changed")
+    files_after = upsert_keep_created(kept_files, B.file_rows(todo, params, embed))
+    chunks_after = delete_by_keys(kept_chunks, stale).unionByName(B.chunk_rows(again, params, embed))
     return status, files_after, chunks_after
 
 
 def sync_store(store, new_docs: DataFrame, params: B.BuildParams) -> tuple[int, DataFrame]:
-    """Run one incremental update against a :class:`KnowledgeStore` and publish it."""
+    """Run one incremental update against a :class:`KnowledgeStore` and commit it."""
+    note = {"params": params.fingerprint()}
     files, chunks = store.files(), store.chunks()
     if files is None:
-        f = B.file_rows(new_docs, params)
-        c = B.chunk_rows(new_docs, params)
-        v = store.commit(f, c, "initial")
-        return v, diff(f.limit(0).select("filename", "text_md5"), fingerprints(new_docs))
-    status, fa, ca = apply(files, chunks, new_docs, params)
-    v = store.commit(fa, ca, params.fingerprint())
-    return v, status
+        none = new_docs.sparkSession.createDataFrame([], "filename string, text_md5 string")
+        v = store.rebuild(B.file_rows(new_docs, params), B.chunk_rows(new_docs, params), **note)
+        return v, diff(none, fingerprints(new_docs))
+    rechunk = store.note().get("params") != note["params"]
+    status = written_status(files, new_docs)
+    if rechunk:
+        touched = None
+    else:
+        touched = store.touched(status.filter("status <> 'unchanged'").select(F.md5("filename").alias(FILE_KEY)))
+        if not touched:
+            return store.current_version(), status
+        files, chunks = (x.filter(F.col("bucket").isin(touched)) for x in (files, chunks))
+    _, fa, ca = apply(files.drop("bucket"), chunks.drop("bucket"), new_docs, params, True, rechunk, status)
+    if rechunk:      # a full refresh replaces what it reads: set it aside first
+        spark = new_docs.sparkSession
+        for name, df in (("files", fa), ("chunks", ca)):
+            df.write.parquet(path := scratch_path(spark, f"rechunk-{name}"))
+            fa, ca = (spark.read.parquet(path), ca) if name == "files" else (fa, spark.read.parquet(path))
+    return store.commit(fa, ca, touched, **note), status
 
 
 def with_as_of(p: B.BuildParams, as_of) -> B.BuildParams:

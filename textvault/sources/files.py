@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textvault.functions.text import (basename, decode_utf8_or_empty, dirname, extension,
-                                      stem_of, text_preprocess)
+                                      show_text, stem_of, text_preprocess)
 
 # File types offered for upload.
 ALLOWED_EXTENSIONS = ["pdf", "txt", "md", "py", "html", "js", "java", "h", "cpp", "c", "hpp", "json", "toml", "ipynb",
@@ -105,6 +105,13 @@ def read_text(ext: Column, content_text: Column, html_text: Column | None = None
     return text_preprocess(raw)
 
 
+def read_and_render(files: DataFrame) -> DataFrame:
+    """(filename, html) of (path, body) rows: each file read by its type and rendered for display."""
+    name = basename(F.col("path"))
+    read = files.select(name.alias("filename"), read_text(extension(name), F.col("body")).alias("text"))
+    return read.select("filename", show_text(F.col("text")).alias("html"))
+
+
 def read_documents(listing: DataFrame, pdf_pages: DataFrame | None = None) -> DataFrame:
     """(filename, text) for every listed non-PDF file; PDFs come as page rows.
 
@@ -124,11 +131,12 @@ def allowed_upload(name: Column, allowed=ALLOWED_EXTENSIONS) -> Column:
 
 # --- SQL scripts --------------------------------------------------------------
 
-def sql_statements(script: DataFrame, col: str = "text") -> DataFrame:
-    """(stmt_no, stmt): split on ';', trim, drop blanks (no literal awareness)."""
-    parts = script.select(F.posexplode(F.split(F.col(col), ";", -1)).alias("pos", "stmt"))
-    trimmed = parts.select("pos", F.regexp_replace("stmt", r"^\s+|\s+$", "").alias("stmt"))
-    return trimmed.filter(F.col("stmt") != "").select(F.col("pos").cast("bigint").alias("stmt_no"), "stmt")
+def sql_statements(scripts: DataFrame, col: str = "text") -> DataFrame:
+    """Other columns plus (stmt_no, stmt): split on ';', trim, drop blanks (no literal awareness)."""
+    keep = [c for c in scripts.columns if c != col]
+    parts = scripts.select(*keep, F.posexplode(F.split(F.col(col), ";", -1)).alias("pos", "stmt"))
+    trimmed = parts.select(*keep, F.col("pos").cast("bigint").alias("stmt_no"), F.btrim("stmt", F.lit(" \t\n\x0b\f\r")).alias("stmt"))
+    return trimmed.filter(F.col("stmt") != "")
 
 
 def execute_sql_file(spark: SparkSession, path: str) -> int:

@@ -1,47 +1,61 @@
 """Keep a knowledge base in step with a folder using Structured Streaming.
 
-The file source lists new or modified files per micro-batch; ``foreachBatch``
-turns each batch into file and chunk rows and upserts them into the versioned
-store (one published version per batch; a replayed batch rewrites the same
-rows, so the sink is idempotent). A file source never reports removals: run
-the batch diff (``plans.sync.apply``) for deletions.
+The file source lists every new path once; ``foreachBatch`` turns each micro-batch into file and chunk rows and upserts them into the buckets they fall into (one commit per
+batch, noted with its epoch, so a replayed batch is skipped). Files are named by their path
+below the folder: equal names in different folders do not collide. PDFs go through the
+extractor hook. The source reports neither removals nor new contents of a known path: run the batch
+diff (``plans.sync``) for those, or pass a listing to :func:`upsert_batch`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvault.operators.store import CHUNK_KEY, FILE_KEY, KnowledgeStore, delete_by_keys, upsert_keep_created
+from textvault.functions.text import basename, extension
+from textvault.hooks import extract_pages, text_extractor
+from textvault.operators.store import FILE_KEY, KnowledgeStore, delete_by_keys, upsert_keep_created
 from textvault.plans import build as B
+from textvault.session import scratch_path
 from textvault.sources.files import read_documents
-from textvault.functions.text import basename, extension
 
 
-def _listing(batch: DataFrame) -> DataFrame:
-    return batch.select("path", basename(F.col("path")).alias("filename"),
-                        extension(basename(F.col("path"))).alias("ext"), "content")
+def below(path: Column, folder: str) -> Column:
+    """The path of a file relative to ``folder`` (both with or without a scheme)."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    root = plain(F.lit(folder.rstrip("/") + "/"))
+    return F.replace(plain(path), root, F.lit(""))
+
 
+def documents_of(batch: DataFrame, folder: str, extractor=text_extractor) -> DataFrame:
+    """(filename, text) of a batch of (path, content) files."""
+    listing = batch.select(below(F.col("path"), folder).alias("filename"), extension(basename(F.col("path"))).alias("ext"),
+                           "content").filter(F.col("ext") != "caj")
+    return read_documents(listing, extract_pages(listing.filter(F.col("ext") == "pdf"), extractor))
 
-def upsert_batch(store: KnowledgeStore, batch: DataFrame, params: B.BuildParams) -> int | None:
-    """Upsert one batch of (path, content) files; returns the published version."""
-    docs = read_documents(_listing(batch).filter(F.col("ext") != "caj"))
+
+def upsert_batch(store: KnowledgeStore, batch: DataFrame, params: B.BuildParams, folder: str, epoch: int | None = None,
+                 extractor=text_extractor) -> int | None:
+    """Upsert one batch of files; returns the commit, or None if there is nothing to do."""
+    if epoch is not None and int(store.note().get("epoch", -1)) >= epoch:
+        return None
+    note = {"params": params.fingerprint()} | ({} if epoch is None else {"epoch": epoch})
+    spark = batch.sparkSession
+    documents_of(batch, folder, extractor).write.parquet(path := scratch_path(spark, "batch"))
+    docs = spark.read.parquet(path)
     if docs.isEmpty():
         return None
-    files = B.file_rows(docs, params)
-    chunks = B.chunk_rows(docs, params)
-    old_f, old_c = store.files(), store.chunks()
-    if old_f is None:
-        return store.commit(files, chunks, "stream")
+    files, chunks = B.file_rows(docs, params), B.chunk_rows(docs, params)
+    if store.files() is None:
+        return store.rebuild(files, chunks, **note)
     keys = files.select(FILE_KEY)
-    new_f = upsert_keep_created(old_f, files, FILE_KEY)
-    new_c = delete_by_keys(old_c, keys).unionByName(chunks)
-    # materialise the new version before it replaces the one it was read from
-    return store.commit(new_f.checkpoint(), new_c.checkpoint(), "stream")
+    touched = store.touched(keys)
+    old_f, old_c = (x.filter(F.col("bucket").isin(touched)).drop("bucket") for x in (store.files(), store.chunks()))
+    return store.commit(upsert_keep_created(old_f, files, FILE_KEY), delete_by_keys(old_c, keys).unionByName(chunks), touched, **note)
 
 
-def start(spark: SparkSession, folder: str, store_root: str, checkpoint: str,
-          params: B.BuildParams = B.BuildParams(), available_now: bool = True, max_files: int | None = None):
+def start(spark: SparkSession, folder: str, store_root: str, checkpoint: str, params: B.BuildParams,
+          available_now: bool = True, max_files: int | None = None, extractor=text_extractor):
     """Start the stream; with ``available_now`` it processes what exists and stops."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
@@ -49,7 +63,7 @@ def start(spark: SparkSession, folder: str, store_root: str, checkpoint: str,
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     src = reader.load(folder)
     store = KnowledgeStore(spark, store_root)
-    w = (src.writeStream.foreachBatch(lambda df, epoch: upsert_batch(store, df, params))
+    w = (src.writeStream.foreachBatch(lambda df, epoch: upsert_batch(store, df, params, folder, epoch, extractor))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -15,9 +15,11 @@ A repeat is a byte string of at least ``length`` (100) bytes that starts at two
    is a maximal repeat with all its occurrences (:func:`intervals`). All but its
    first occurrence are repeated bytes. Within a run a repeat cannot grow beyond the run;
    a longer passage is reported run by run, overlapping.
-4. *The rest.* An anchor with more than ``MANY_CLASSES`` different runs is not collected:
-   its windows are split by their own 128-bit hash and the first of each is found by a
-   distributed sort.
+4. *The rest.* An anchor with more than ``MANY_CLASSES`` different runs (the edge of a
+   passage that very many texts share) is not collected: its runs are cut again by longer
+   anchors (``FINER`` bytes), where what lies inside the passage falls into equal runs
+   and is done; the windows of what is still too many are split by their own 128-bit hash
+   and the first of each is found by a distributed sort.
 
 Nothing is cut off: texts are read whole in pieces of ``PIECE`` bytes, so a very long text
 needs no more memory than a short one until its own result is written.
@@ -43,6 +45,7 @@ from textvault.llm.shared import stored
 
 GRAM = 32                 # bytes of an anchor
 PIECE = 1 << 19           # bytes of texts whose anchors are computed together
+FINER = (64, 90)          # bytes of the anchors that split too many runs
 MANY_CLASSES = 256        # different runs of one anchor that a task sorts; beyond, see 4.
 LAST = (1 << 63) - 1      # stands for a null doc_id, which comes last
 MIX = 0x9E3779B97F4A7C15
@@ -75,8 +78,8 @@ class Hasher:
 class Runs:
     """Runs of windows with the same anchor, over many texts at once."""
 
-    def __init__(self, length: int):
-        self.length, self.width = length, length - GRAM + 1
+    def __init__(self, length: int, size: int = GRAM):
+        self.length, self.size, self.width = length, size, length - size + 1
         self.gram, self.seg = Hasher(BASES[0], 1), Hasher(BASES[1], 2)
 
     def find(self, b: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
@@ -89,8 +92,8 @@ class Runs:
             none = np.zeros(0, np.int64)
             return none, none, none, none
         sums = self.gram.sums(b)
-        at = np.arange(len(b) - GRAM + 1)
-        h = self.gram.ranges(sums, at, at + GRAM)
+        at = np.arange(len(b) - self.size + 1)
+        h = self.gram.ranges(sums, at, at + self.size)
         low = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
         step = 1
         while step * 2 <= self.width:
@@ -310,37 +313,108 @@ def groups_of(rows: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield group
 
 
-def maximal(segs: DataFrame, length: int) -> DataFrame:
-    """(anchor, repeat, length, d, th, start, first): occurrences of the maximal repeats among the classes."""
-    schema = "anchor long, repeat int, length int, d long, th int, start int, first boolean"
+def scanned(segs: DataFrame, length: int, schema: str, rows_of) -> DataFrame:
+    """``rows_of(group, repeats)`` of every anchor, whose classes a task holds together."""
     ordered = segs.repartition("anchor").sortWithinPartitions("anchor", "d", "th", "start")
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = [types[x.split()[1]] for x in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(7)]
+        rows: list[tuple] = []
 
         def flush():
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                           ["anchor", "repeat", "length", "d", "th", "start", "first"])
-            for c in cols:
-                c.clear()
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows.clear()
             return b
 
         for g in groups_of(batches):
-            found = intervals([r["body"] for r in g], [r["lead"] for r in g], [r["run"] for r in g], length)
-            for number, (n, places) in enumerate(found):
-                head = min(places)                            # the rows of a group are in the order of "first"
-                for k, o in places:
-                    for c, v in zip(cols, (g[k]["anchor"], number, n, g[k]["d"], g[k]["th"], g[k]["start"] + o, (k, o) == head), strict=True):
-                        c.append(v)
-            if len(cols[0]) > 20_000:
+            rows += rows_of(g, intervals([r["body"] for r in g], [r["lead"] for r in g], [r["run"] for r in g], length))
+            if len(rows) > 20_000:
                 yield flush()
-        if cols[0]:
+        if rows:
             yield flush()
 
     return ordered.mapInArrow(scan, schema)
 
 
+def maximal(segs: DataFrame, length: int) -> DataFrame:
+    """(anchor, repeat, length, d, th, start, first): occurrences of the maximal repeats among the classes."""
+    def listed(g, repeats):
+        for number, (n, places) in enumerate(repeats):
+            head = min(places)                                # the rows of a group are in the order of "first"
+            for k, o in places:
+                yield g[k]["anchor"], number, n, g[k]["d"], g[k]["th"], g[k]["start"] + o, (k, o) == head
+
+    return scanned(segs, length, "anchor long, repeat int, length int, d long, th int, start int, first boolean", listed)
+
+
+def later_spans(segs: DataFrame, length: int) -> DataFrame:
+    """(d, th, start, end): what the maximal repeats cover besides their first occurrences, united in each run."""
+    def united(g, repeats):
+        inside: dict[int, list[tuple[int, int]]] = {}
+        for n, places in repeats:
+            head = min(places)
+            for k, o in places:
+                if (k, o) != head:
+                    inside.setdefault(k, []).append((o, o + n))
+        for k, spans in inside.items():
+            d, th, start = g[k]["d"], g[k]["th"], g[k]["start"]
+            low, high = None, -1
+            for a, b in sorted(spans):
+                if a > high:
+                    if low is not None:
+                        yield d, th, start + low, start + high
+                    low = a
+                high = max(high, b)
+            yield d, th, start + low, start + high
+
+    return scanned(segs, length, "d long, th int, start int, end int", united)
+
+
+def refined(segs: DataFrame, length: int, size: int) -> DataFrame:
+    """The runs of ``segs`` cut by anchors of ``size`` bytes: (kind, anchor, classes, d, th, start, run, lead, body).
+
+    Kind 1 repeats an earlier cut wholly; kind 0 is the first of its class, under an anchor with ``classes`` > 1.
+    """
+    schema = "anchor long, seg long, d long, th int, start int, run int, lead int, body binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(length, size)
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for r in batch.to_pylist():
+                body = r["body"]
+                start, run, anchor, seg = runs.find(np.frombuffer(body, np.uint8), np.array([len(body)]), r["lead"])
+                for s, n, a, h in zip(start.tolist(), run.tolist(), anchor.tolist(), seg.tolist(), strict=True):
+                    lead = int(s > 0)
+                    row = (a, h, r["d"], r["th"], r["start"] + s - r["lead"], n, lead, body[s - lead:s + n + length - 1])
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    cuts = segs.mapInArrow(find, schema)
+    ordered = cuts.repartition("anchor").sortWithinPartitions("anchor", "seg", "d", "th", "start")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, place = None, None
+        for b in batches:
+            kind, keep = [], []
+            for i, (a, h, *at) in enumerate(zip(*[b.column(k).to_pylist() for k in range(5)], strict=True)):
+                if (a, h) == key and at == place:
+                    continue
+                kind.append(int((a, h) == key))
+                keep.append(i)
+                key, place = (a, h), at
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), *b.take(pa.array(keep, pa.int64())).columns], ["kind", *names])
+
+    marks = stored(ordered.mapInArrow(mark, "kind byte, " + schema).drop("seg"), "suffix-cuts")
+    several = marks.filter("kind = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
+    return marks.join(several.filter("classes > 1"), "anchor", "left").filter("kind = 1 or classes > 1")
+
+
 def split_windows(segs: DataFrame, length: int) -> DataFrame:
     """(d, th, start) of the windows that are not the first with their bytes, for hot anchors."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,12 +460,14 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(d, th, start, end): byte ranges that also start earlier; they may overlap."""
     marks, wanted = found_runs(docs, length)
     segs = stored(segments(keyed(docs), wanted, length), "suffix-segments")
-    runs = marks.filter("kind = 1").select("d", "th", "start", (F.col("start") + F.col("run") + length - 1).alias("end"))
-    some = maximal(segs.filter(F.col("classes") <= MANY_CLASSES), length).filter("not first").select(
-        "d", "th", "start", (F.col("start") + F.col("length")).alias("end"))
-    rest = split_windows(segs.filter(F.col("classes") > MANY_CLASSES), length).select(
-        "d", "th", "start", (F.col("start") + length).alias("end"))
-    return runs.unionByName(some).unionByName(rest)
+    whole = lambda df: df.filter("kind = 1").select("d", "th", "start", (F.col("start") + F.col("run") + length - 1).alias("end"))
+    spans = whole(marks).unionByName(later_spans(segs.filter(F.col("classes") <= MANY_CLASSES), length))
+    for size in FINER:
+        cuts = refined(segs.filter(F.col("classes") > MANY_CLASSES), length, size)
+        segs = cuts.filter("kind = 0")
+        spans = spans.unionByName(whole(cuts)).unionByName(later_spans(segs.filter(F.col("classes") <= MANY_CLASSES), length))
+    rest = split_windows(segs.filter(F.col("classes") > MANY_CLASSES), length)
+    return spans.unionByName(rest.select("d", "th", "start", (F.col("start") + length).alias("end")))
 
 
 def maximal_repeats(docs: DataFrame, length: int = 100) -> DataFrame:

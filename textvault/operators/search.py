@@ -308,7 +308,7 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, *, vec_col: str = "em
 
 
 class CellIndex:
-    """An IVF index on shared storage: a centroid table and vectors partitioned by cell."""
+    """An IVF index on shared storage: centroids, vectors partitioned by cell, and how far cells are split."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -323,6 +323,8 @@ class CellIndex:
         sample_centroids(rows, nlist).write.mode("overwrite").parquet(f"{index.path}/centroids")
         assigned = assign_cells(rows, index.centroids())
         assigned.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{index.path}/vectors")
+        salts = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts")
+        index.vectors().groupBy("cell").agg(salts).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/cells")
         return index
 
     def centroids(self) -> DataFrame:
@@ -355,8 +357,7 @@ class CellIndex:
         visits = self.probes(asked, nprobe)
         cells = visits.select("cell").distinct()                # at most MAX_CELLS numbers
         rows = self.vectors().join(F.broadcast(cells), "cell", "left_semi")
-        sizes = self.vectors().groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts"))
-        salts = F.broadcast(sizes)                              # one row a cell
+        salts = F.broadcast(self.spark.read.parquet(f"{self.path}/cells"))     # one row a cell
         blocks = rows.join(salts, "cell").select(F.col("cell").alias("block"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
                                                  "id", F.col("embedding").alias("vec"))
         visits = visits.join(salts, "cell").select(F.col("cell").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from textvault.llm.shared import small_batches
+
 SEED = 3
 TOKEN = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
@@ -185,7 +187,7 @@ def license_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def find_licenses(docs: DataFrame, text_col: str = "text", out: str = "licenses") -> DataFrame:
     """``docs`` plus ``out``: array<struct<license, kind, start, end, coverage, words>> by place."""
-    return docs.withColumn(out, license_spans(F.col(text_col)))
+    return small_batches(docs).withColumn(out, license_spans(F.col(text_col)))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvault.llm.shared import ranked, stored
+from textvault.llm.shared import ranked, small_batches, stored
 
 END_ID = 1
 KNOWN_WORDS = 300_000      # distinct words in each of the two generations a worker remembers
@@ -133,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut_up, schema)
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(cut_up, schema)
 
 
 def priced(value: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from textvault.llm.shared import stored
+from textvault.llm.shared import small_batches, stored
 
 CLIP = 5.0
 FEW_WORDS = 20.0     # a text of so many words counts half
@@ -171,7 +171,7 @@ def scored(vectors: DataFrame, model: Discriminant, threshold: float = 0.3) -> D
 
 
 def vectors_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_statistics("text").alias("x"))
+    return small_batches(docs).select("doc_id", text_statistics("text").alias("x"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

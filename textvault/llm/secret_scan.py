@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from textvault.llm.shared import small_batches
+
 # The kinds in reporting order and the base patterns.
 KINDS = ["assign", "access", "hex", "der", "openssh", "jwt"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -210,7 +212,7 @@ def secret_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` plus ``out``: array<struct<kind, start, end>> of the findings in ``text_col``."""
-    return docs.withColumn(out, secret_spans(F.col(text_col)))
+    return small_batches(docs).withColumn(out, secret_spans(F.col(text_col)))
 
 
 def listed(spans: Column) -> Column:
@@ -244,7 +246,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
             yield pd.Series([redact_text(t, [{"start": a, "end": b} for _, a, b in scan_text(t)], mark)
                              for t in batch], dtype=object)
 
-    return docs.withColumn(text_col, cleaned(F.col(text_col)))
+    return small_batches(docs).withColumn(text_col, cleaned(F.col(text_col)))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 
 from textvault.session import checkpoint_dir
 
+BATCH_BYTES = "8m"             # of whole texts handed to Python at a time, however long single texts are
 WORD = r"[^\x20\x09-\x0D]+"   # what counts as a word in every operator of this package
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in bytes: rows alone bound nothing when they are whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from textvault.llm.shared import cut, stored
+from textvault.llm.shared import cut, small_batches, stored
 
 SEED = 42
 GOLAY = 0b110001110101          # fixed value: generator polynomial of the binary Golay code
@@ -287,7 +287,7 @@ def grouped(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def prints_of(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    return docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp"))
+    return small_batches(docs).select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:

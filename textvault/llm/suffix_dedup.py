@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from textvault.llm.shared import stored
+from textvault.llm.shared import small_batches, stored
 
 GRAM = 32                 # bytes of an anchor
 PIECE = 1 << 19           # bytes of texts whose anchors are computed together
@@ -444,8 +444,8 @@ def split_windows(segs: DataFrame, length: int) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """d, th, text: the order of documents; th tells rows with the same doc_id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.hash("text").alias("th"),
-                       F.coalesce("text", F.lit("")).alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.hash("text").alias("th"),
+                                      F.coalesce("text", F.lit("")).alias("text"))
 
 
 def found_runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:

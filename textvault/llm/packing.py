@@ -8,8 +8,9 @@
    Find few sequences that cover the histogram: multiplicative weights over the
    lengths, a knapsack dynamic programme over the capacity as pricing, the priced
    configuration used as often as the step allows (:func:`solve`).
-4. *Rounding.* Uses are rounded down; what is left is placed best-fit-decreasing, still
-   on counts (:func:`best_fit`). Every configuration used is a row of a plan whose size
+4. *Rounding.* Uses are whole numbers; what ``rounds`` configurations leave is placed
+   best-fit-decreasing, still on counts (:func:`best_fit`), after all or only a first
+   share of the configurations, whichever needs the fewest sequences. Every configuration used is a row of a plan whose size
    depends on ``size`` and ``rounds`` alone.
 5. *Assignment.* The r-th piece of a length takes the r-th slot that the plan has for
    that length; ranks come from counts per (length, bucket), so a very frequent length is
@@ -37,6 +38,8 @@ from textvault.llm.shared import ranked, small_batches, stored
 
 END_ID = 1
 KNOWN_WORDS = 300_000      # distinct words in each of the two generations a worker remembers
+PRICED = 256               # lengths, drawn anew each round, among which a configuration is priced
+KEPT_SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)   # of the solution; the rounding with the fewest sequences wins
 LONG_WORD = 64             # longer words are not remembered
 
 # How byte-level vocabularies write a byte: printable ones as themselves, the others from U+0100 on.
@@ -136,51 +139,52 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str
     return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(cut_up, schema)
 
 
-def priced(value: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
-    """The configuration of largest value (unbounded knapsack over the capacity)."""
+def priced(value: np.ndarray, lengths: np.ndarray, left: np.ndarray, size: int) -> dict[int, int]:
+    """The configuration of largest value that uses no length more often than is left.
+
+    Knapsack over the capacity; a length's copies enter as powers of two.
+    """
     best = np.zeros(size + 1)
-    took = np.zeros(size + 1, dtype=np.int64)
-    for c in range(1, size + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        best[c], took[c] = best[c - 1], -1
-        if n:
-            v = best[c - lengths[:n]] + value[:n]
-            k = int(v.argmax())
-            if v[k] > best[c]:
-                best[c], took[c] = v[k], k
+    steps: list[tuple[int, int, int, np.ndarray]] = []
+    for k in range(len(lengths)):
+        copies, part = int(min(left[k], size // lengths[k])), 1
+        while copies > 0:
+            n = min(part, copies)
+            w = int(n * lengths[k])
+            with_it = best[:size + 1 - w] + n * value[k]
+            better = with_it > best[w:]
+            best[w:] = np.where(better, with_it, best[w:])
+            steps.append((k, n, w, better))
+            copies, part = copies - n, 2 * part
     out: dict[int, int] = {}
     c = size
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(lengths[took[c]])
+    for k, n, w, better in reversed(steps):
+        if c >= w and better[c - w]:
+            out[k] = out.get(k, 0) + n
+            c -= w
     return out
 
 
-def solve(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int, step: float) -> list[tuple[dict[int, int], float]]:
-    """Fractional uses of configurations that cover ``need`` by multiplicative weights.
+def solve(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int, step: float) -> list[tuple[dict[int, int], int]]:
+    """Configurations and their whole uses that cover part of ``need``, by multiplicative weights.
 
-    A length's price starts at its share of a sequence and shrinks with the share of
-    its need that is covered; each round the best configuration at these prices is used
-    until one of its lengths has ``step`` more of its need covered (or all of it).
-    Lengths whose need is covered are no longer priced.
+    A length's price starts at its share of a sequence and shrinks exponentially with the
+    share of its need that is covered. Each round the best configuration at these prices is
+    used as often as all its lengths allow, up to ``step`` of the need of one of them; uses are
+    whole numbers, which is the rounding down of the programme's solution.
     """
-    left = need.astype(float)
-    price = lengths / size
-    uses: list[tuple[dict[int, int], float]] = []
+    left, price = need.copy(), lengths / size
+    rng = np.random.default_rng(0)
+    uses: list[tuple[dict[int, int], int]] = []
     for _ in range(rounds):
-        live = np.flatnonzero(left >= 1)
+        live = np.flatnonzero(left > 0)
         if not len(live):
             break
-        conf = {int(live[k]): n for k, n in priced(price[live], lengths[live], size).items()}
-        idx, per = np.fromiter(conf, dtype=np.int64), np.fromiter(conf.values(), dtype=float)
-        short = left[idx] < per
-        if short.any():                  # more of a length than is left: price it down
-            price[idx[short]] *= 1 - step
-            continue
-        use = float(np.floor((np.minimum(left[idx], np.maximum(step * need[idx], per)) / per).min()))
+        if len(live) > PRICED:
+            live = np.sort(rng.choice(live, PRICED, replace=False))
+        conf = {int(live[k]): n for k, n in priced(price[live], lengths[live], left[live], size).items()}
+        idx, per = np.fromiter(conf, dtype=np.int64), np.fromiter(conf.values(), dtype=np.int64)
+        use = int((np.minimum(left[idx], np.maximum(np.ceil(step * need[idx]).astype(np.int64), per)) // per).min())
         uses.append((conf, use))
         left[idx] -= use * per
         price[idx] *= np.exp(-step * use * per / need[idx])
@@ -220,18 +224,23 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[dic
     return [(conf, times) for _, times, conf in groups if times]
 
 
-def plan(histogram: dict[int, int], size: int = 4096, rounds: int = 300, step: float = 0.1) -> list[tuple[int, int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], size: int = 4096, rounds: int = 400, step: float = 0.5) -> list[tuple[int, int, int, int, int, int, int]]:
     """Slots for every piece: (length, first rank, slots per sequence, first sequence, sequences, offset, last rank + 1)."""
     lengths = np.array(sorted(n for n in histogram if histogram[n]), dtype=np.int64)
     need = np.array([histogram[n] for n in lengths], dtype=np.int64)
     if not len(lengths):
         return []
-    used = [(conf, int(times)) for conf, times in solve(lengths, need, size, rounds, step)]
-    left = need.copy()
-    for conf, times in used:
-        for k, n in conf.items():
-            left[k] -= n * times
-    used += best_fit(lengths, left, size)
+    solved = solve(lengths, need, size, rounds, step)
+    used = None
+    for kept in KEPT_SHARES:
+        part = solved[:round(kept * len(solved))]
+        left = need.copy()
+        for conf, times in part:
+            for k, n in conf.items():
+                left[k] -= n * times
+        whole = part + best_fit(lengths, left, size)
+        if used is None or sum(t for _, t in whole) < sum(t for _, t in used):
+            used = whole
     rows, rank, sequence = [], dict.fromkeys(range(len(lengths)), 0), 0
     for conf, times in used:
         offset = 0
@@ -244,7 +253,7 @@ def plan(histogram: dict[int, int], size: int = 4096, rounds: int = 300, step: f
     return rows
 
 
-def assign(pieces: DataFrame, size: int = 4096, rounds: int = 300) -> DataFrame:
+def assign(pieces: DataFrame, size: int = 4096, rounds: int = 400) -> DataFrame:
     """``pieces`` (with ``length``) plus sequence_id and offset. Reads ``pieces`` twice: store it first.
 
     Only the histogram (at most ``size`` numbers) and the plan made of it pass
@@ -275,6 +284,6 @@ def assign(pieces: DataFrame, size: int = 4096, rounds: int = 300) -> DataFrame:
     return numbered.select(*fields, "__rank").mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, rounds: int = 300, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, rounds: int = 400, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` with their ids' checksum, sequence and offset."""
     return assign(stored(token_pieces(docs, tokenizer, size, with_ids=with_ids), "pieces"), size, rounds)

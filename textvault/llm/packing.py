@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from textvault.llm.shared import ranked, small_batches, stored
 
 END_ID = 1
-KNOWN_WORDS = 300_000      # distinct words in each of the two generations a worker remembers
+KNOWN_WORDS = 200_000      # distinct words in each of the two generations a worker remembers
 PRICED = 256               # lengths, drawn anew each round, among which a configuration is priced
 KEPT_SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)   # of the solution; the rounding with the fewest sequences wins
 LONG_WORD = 64             # longer words are not remembered

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textvault.session import checkpoint_dir
 
-BATCH_BYTES = "8m"             # of whole texts handed to Python at a time, however long single texts are
+BATCH_BYTES = "4m"             # of whole texts handed to Python at a time, however long single texts are
 WORD = r"[^\x20\x09-\x0D]+"   # what counts as a word in every operator of this package
 
 

@@ -1,4 +1,4 @@
-"""Secret scan with structural confirmation.
+r"""Secret scan with structural confirmation.
 
 Three plain patterns (``assign``, ``access``, ``hex``) are always reported.
 Beyond them, base64 and hex candidates are *decoded* and reported only when the
@@ -11,7 +11,10 @@ bytes have the structure of key material:
 * ``jwt``      a signed token: header JSON with ``alg``, a JSON object as payload and a
                non-empty signature.
 
-A PEM body is a base64 candidate that may run over line ends.
+A candidate may begin anywhere, also right after other letters or an escape. A key may be
+broken by white space and escaped line ends (``\n`` in JSON or .env files, spaces of a flattened
+or indented key, also ``:`` between hex digits); its own lengths tell where it ends. A key broken by
+blanks alone must end where its last word ends, so that a cut-off key doesn't borrow the next word.
 
 Defined results: null or empty text has no findings; each occurrence is reported
 (repeated rows and repeated secrets included); overlapping spans of different kinds
@@ -41,11 +44,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")     # a maximal run, so the length test can be in the pattern
 HEX = re.compile(r"[0-9a-f]{24,}")            # likewise
-# Candidates for decoding. 0x30 (SEQUENCE) begins with M in base64 and 30 in hex.
-B64_DER = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{2}[A-Za-z0-9+/_\r\n-]{28,}={0,2}")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{60,}")
-SSH_BLOB = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/\r\n]{60,}={0,2}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
+# Beginnings of candidates for decoding: 0x30 (SEQUENCE) and a length of up to four bytes.
+B64_DER = re.compile(r"M(?=[A-H]|I[E-T])")
+HEX_DER = re.compile(r"30(?=[\s:]?(?:[0-7][0-9A-Fa-f]|8[1-4]))")
+SSH_BLOB = re.compile(r"b3BlbnNzaC1rZXktdjE")
+B64_RUN, HEX_RUN = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+# What may stand between the characters of a key: white space, escaped white space, escapes of a line end or "/".
+B64_GAP = re.compile(r"(?:\s|\\+[nrt]|\\+(?=[\r\n/+]))+")
+HEX_GAP = re.compile(r"(?:[\s:]|\\+[nrt]|\\+(?=[\r\n]))+")
+# Three dotted parts at the beginning of a run; "ew" and "ey" are "{" with white space or a quote.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,}))")
+TOKEN_BEGIN = re.compile(r"e(?=[wy])")
 
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()),
                               StructField("end", IntegerType())]))
@@ -116,9 +125,21 @@ def der_key_end(b: bytes | None) -> int:
     return end if end <= len(b) and is_der_key(b[:end]) else 0
 
 
-def openssh_key_end(b: bytes | None) -> int:
-    """Bytes of the blob at the start of ``b``: magic, cipher, kdf, kdf options, number of keys,
-    public keys, private part, each with its length; 0 if a length doesn't fit."""
+def der_reach(b: bytes) -> int:
+    """Bytes of the DER key that may begin ``b``, which has its first 9; 0 if none does."""
+    n, at = b[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4:
+            return 0
+        n, at = int.from_bytes(b[2:2 + k], "big"), 2 + k
+    # every key has a version first
+    return at + n if b[0] == SEQUENCE and b[at] == INTEGER and b[at + 1] in (1, 0x81, 0x82, 0x83, 0x84) else 0
+
+
+def openssh_reach(b: bytes | None) -> int:
+    """Bytes that the blob at the start of ``b`` has at least, exact once ``b`` has them all: magic, cipher, kdf,
+    kdf options, number of keys, public keys, private part, each with its length; 0 if it is none."""
     magic = b"openssh-key-v1\x00"
     if not b or not b.startswith(magic):
         return 0
@@ -126,14 +147,14 @@ def openssh_key_end(b: bytes | None) -> int:
     counted = False
     while left:
         if at + 4 > len(b):
-            return 0
+            return at + 4
         size = int.from_bytes(b[at:at + 4], "big")
         at, left = at + 4 + size, left - 1
         if at > len(b):
-            return 0
+            return at
         if not left and not counted:
             if at + 4 > len(b):
-                return 0
+                return at + 4
             keys, at, counted = int.from_bytes(b[at:at + 4], "big"), at + 4, True
             if not 1 <= keys <= 64:
                 return 0
@@ -141,6 +162,12 @@ def openssh_key_end(b: bytes | None) -> int:
     return at
 
 
+def openssh_key_end(b: bytes | None) -> int:
+    """Bytes of the blob at the start of ``b``; 0 if a length doesn't fit."""
+    n = openssh_reach(b)
+    return n if b and n <= len(b) else 0
+
+
 def json_object(part: str) -> dict | None:
     raw = unbase64(part)
     try:
@@ -156,24 +183,63 @@ def is_signed_token(s: str) -> bool:
     return bool(h) and isinstance(h.get("alg"), str) and h["alg"].lower() != "none" and json_object(body) is not None
 
 
-def confirmed_base64(m: re.Match, end_of) -> tuple[int, int] | None:
-    """Span of the key at the start of a base64 candidate, or None.
+def unbroken(text: str, at: int, n: int, run: re.Pattern, gap: re.Pattern) -> tuple[str, int, bool] | None:
+    """``n`` characters of ``run`` from ``at`` on without the gaps, their end, and whether blanks alone are
+    a gap; None if there are fewer."""
+    parts, blank = [], False
+    while True:
+        if at + n > len(text) or not (m := run.match(text, at, at + n)):
+            return None
+        parts.append(m.group(0))
+        at, n = m.end(), n - len(parts[-1])
+        if not n:
+            return "".join(parts), at, blank
+        if not (g := gap.match(text, at)):
+            return None
+        blank |= not re.search(r"[^ \t\xa0:]", g.group(0))
+        at = g.end()
+
+
+def key_span(text: str, start: int, known: int, reach, end_of, hexed: bool = False) -> tuple[int, int] | None:
+    """Span of the key that begins at ``start``, or None.
 
-    A candidate may run on into following text; the key's own length (``end_of``
-    its bytes) tells how many characters belong to it.
+    Only as much is read as the key's own lengths ask for: ``known`` bytes first, then ``reach`` of what is read.
     """
-    raw = m.group(0)
-    chars = raw.replace("\r", "").replace("\n", "").rstrip("=")
-    whole = chars[:len(chars) // 4 * 4] if len(chars) % 4 == 1 else chars
-    n = end_of(unbase64(whole))
-    if not n:
+    run, gap = (HEX_RUN, HEX_GAP) if hexed else (B64_RUN, B64_GAP)
+    n = known
+    while True:
+        got = unbroken(text, start, 2 * n if hexed else -(-n * 4 // 3), run, gap)
+        if not got:
+            return None
+        chars, end, blank = got
+        b = bytes.fromhex(chars) if hexed else unbase64(chars)
+        if not b or not (need := reach(b[:n])):
+            return None
+        if need <= n:
+            break
+        n = need
+    if end_of(b[:n]) != n or (blank and run.match(text, end) and not text.startswith("-----", end)):
         return None
-    need, k = -(-n * 4 // 3), 0
-    while need:
-        need -= raw[k] not in "\r\n"
-        k += 1
-    k += len(raw[k:k + 2]) - len(raw[k:k + 2].lstrip("="))
-    return m.start(), m.start() + k
+    return start, end if hexed else end + len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+
+
+def key_spans(text: str, begins: re.Pattern, known: int, reach, end_of, hexed: bool = False) -> Iterator[tuple[int, int]]:
+    """Spans of the keys of a text, one after the other."""
+    done = 0
+    for m in begins.finditer(text):
+        if m.start() >= done and (span := key_span(text, m.start(), known, reach, end_of, hexed)):
+            yield span
+            done = span[1]
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the signed tokens; a token may follow other letters of its run."""
+    for m in DOTTED.finditer(text):
+        head, rest = m.group(1), f".{m.group(2)}.{m.group(3)}"
+        for e in TOKEN_BEGIN.finditer(head):
+            if is_signed_token(head[e.start():] + rest):
+                yield m.start() + e.start(), m.end(3)
+                break
 
 
 def scan_text(text: str | None) -> list[tuple[str, int, int]]:
@@ -187,19 +253,11 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
-    for m in B64_DER.finditer(text):
-        if span := confirmed_base64(m, der_key_end):
-            out.append(("der", *span))
-    for m in HEX_DER.finditer(text):
-        h = m.group(0)
-        if is_der_key(bytes.fromhex(h[:len(h) // 2 * 2])):
-            out.append(("der", *m.span()))
-    if "b3BlbnNzaC1rZXktdjE" in text:
-        for m in SSH_BLOB.finditer(text):
-            if span := confirmed_base64(m, openssh_key_end):
-                out.append(("openssh", *span))
-    if "ey" in text:
-        out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m.group(0))]
+    out += [("der", *span) for span in key_spans(text, B64_DER, 9, der_reach, der_key_end)]
+    out += [("der", *span) for span in key_spans(text, HEX_DER, 9, der_reach, der_key_end, hexed=True)]
+    out += [("openssh", *span) for span in key_spans(text, SSH_BLOB, 19, openssh_reach, openssh_key_end)]
+    if "ey" in text or "ew" in text:
+        out += [("jwt", *span) for span in signed_tokens(text)]
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -50,6 +50,24 @@ def test_templates_and_changes():
     assert t.scan("The license of the public version is free software in the version of the work.") == []
 
 
+def test_repeated_long_templates():
+    t = S.Templates()
+    rng = random.Random(2)
+    filler = [f"filler{i}" for i in range(100)]
+    for lic, kind, text in S.TEMPLATES:
+        n = len(S.tokens(text))
+        for between in (0, 1, 2, 5, 9, 15, 23, 28, 40, 60, 92):
+            for copies in (2, 3):
+                body = (" " + " ".join(filler[:between]) + " ").join([text] * copies)
+                got = t.scan("before it " + body + " after it")
+                assert [(g["license"], g["kind"], g["words"]) for g in got] == [(lic, kind, n)] * copies, (lic, kind, between)
+        if kind != "notice":
+            for _ in range(5):
+                copy = lambda: " ".join(w for w in text.split() if rng.random() > 0.1)
+                got = t.scan(copy() + " x y " + copy())
+                assert [(g["license"], g["kind"]) for g in got] == [(lic, kind)] * 2
+
+
 def test_whole_table(spark):
     import __spark_entry__ as E
     rows = {r["doc_id"]: r for r in E.queries()["op10_license_alignment"](spark, SF).collect()}

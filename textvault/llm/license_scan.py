@@ -12,6 +12,11 @@ template occurs; places within a template's length of each other make one window
 alignment runs between the template and that window. A match is a seed plus a coverage that
 reaches the template's bar.
 
+A window may hold several copies, whose words are then not unique in it. So the template is
+also aligned with the stretches that begin where one of its words would have it begin
+(:meth:`Templates.matches`); of all that reach the bar those stay that don't overlap and have
+the most aligned words together, and what is left between them is aligned again.
+
 Defined results: null and empty text has no license; several licenses, or one several
 times, are all reported by place; of overlapping windows of different templates the one with
 the most aligned words stays; repeated rows are scanned alike; texts are read whole; an
@@ -21,7 +26,7 @@ empty table gives no rows. Rows are independent, so nothing shuffles.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -125,6 +130,26 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def most_words(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (from, to, words) those that don't overlap and have the most words together, in the shortest stretches."""
+    order = sorted(found, key=lambda m: (m[1], m[0], m[2]))
+    ends = [m[1] for m in order]
+    best, back = [(0, 0)], [0]                     # of the first i matches
+    for i, (a, b, n) in enumerate(order):
+        j = bisect_right(ends, a, 0, i)
+        mine = (best[j][0] + n, best[j][1] - (b - a))
+        back.append(j if mine > best[i] else -1)
+        best.append(max(mine, best[i]))
+    out, i = [], len(order)
+    while i:
+        if back[i] >= 0:
+            out.append(order[i - 1])
+            i = back[i]
+        else:
+            i -= 1
+    return out[::-1]
+
+
 class Templates:
     """The templates' words and the runs of ``SEED`` words that lead to them."""
 
@@ -134,6 +159,13 @@ class Templates:
         for k, (_, _, words) in enumerate(self.all):
             for i in range(len(words) - SEED + 1):
                 self.seeds[tuple(words[i:i + SEED])].append((k, i))
+        # where a template's words stand in it; of a longer one the words that it has once tell its beginnings
+        self.places: list[dict[str, list[int]]] = []
+        for _, kind, words in self.all:
+            at = defaultdict(list)
+            for j, w in enumerate(words):
+                at[w].append(j)
+            self.places.append({w: js for w, js in at.items() if kind == "notice" or len(js) == 1})
         self.first_words = {s[0] for s in self.seeds}
         rare = {max(s, key=len) for s in self.seeds}
         # a text without the longest word of any seed has no seed
@@ -156,6 +188,29 @@ class Templates:
                     low = b
                 high = b
 
+    def match(self, k: int, words: list[str], a: int, b: int) -> tuple[int, int, int] | None:
+        """(from, to, aligned words) of a template in ``words[a:b]`` if it reaches its bar."""
+        pairs = aligned(self.all[k][2], words[a:b])
+        if not pairs or len(pairs) < BAR[self.all[k][1]] * len(self.all[k][2]):
+            return None
+        return a + pairs[0][1], a + pairs[-1][1] + 1, len(pairs)
+
+    def matches(self, k: int, words: list[str], a: int, b: int) -> list[tuple[int, int, int]]:
+        """The matches of a template in a window that may hold several copies."""
+        n = len(self.all[k][2])
+        begins = {max(a, i - j) for i in range(a, b) for j in self.places[k].get(words[i], ())}
+        tried = {(a, b)} | {(s, min(b, s + size)) for s in begins for size in (n, n + n // 2, 2 * n)}
+        found = {m for x, y in tried if (m := self.match(k, words, x, y))}
+        while True:
+            kept = most_words(found)
+            edges = [a, *(x for f, t, _ in kept for x in (f, t)), b]
+            rest = set(zip(edges[::2], edges[1::2], strict=True)) - tried
+            more = {m for x, y in rest if (m := self.match(k, words, x, y))} - found
+            if not more:
+                return kept
+            tried |= rest
+            found |= more
+
     def scan(self, text: str | None) -> list[dict]:
         """Licenses of a text by place."""
         if not text or not self.hint.search(text):
@@ -165,11 +220,9 @@ class Templates:
         found = []
         for k, a, b in self.windows(words):
             lic, kind, template = self.all[k]
-            pairs = aligned(template, words[a:b])
-            if pairs and len(pairs) >= BAR[kind] * len(template):
-                first, last = a + pairs[0][1], a + pairs[-1][1]
-                found.append((len(pairs), {"license": lic, "kind": kind, "start": toks[first][1], "end": toks[last][2],
-                                           "coverage": len(pairs) / len(template), "words": len(pairs)}))
+            for first, end, n in self.matches(k, words, a, b):
+                found.append((n, {"license": lic, "kind": kind, "start": toks[first][1], "end": toks[end - 1][2],
+                                  "coverage": n / len(template), "words": n}))
         found.sort(key=lambda x: (-x[0], -x[1]["coverage"], x[1]["start"], x[1]["license"], x[1]["kind"]))
         kept: list[dict] = []
         for _, f in found:

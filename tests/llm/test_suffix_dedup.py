@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from textvault.llm import suffix_dedup as S
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +72,17 @@ def test_made_texts(spark, monkeypatch, seed, many, piece):
     assert rows_of(S.deduplicated(df)) == brute(ordered)
 
 
+def test_rows_with_one_doc_id_are_told_apart(spark):
+    """Different texts whose 32-bit hashes are equal, under null and under one doc_id."""
+    texts = spark.range(300_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(" "), F.col("id")).alias("text"))
+    pairs = texts.groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("t")).filter("size(t) > 1").collect()
+    docs = [(d, t) for r in pairs for t in r["t"] for d in (None, 7)]
+    assert len(docs) >= 8
+    got = rows_of(S.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert [r for r in got if r[0] is None] == [(None, n, n, 1, hashlib.sha256(b"").hexdigest()) for n in sorted(len(t) for d, t in docs if d is None)]
+    assert sorted(r[4] for r in got if r[0] == 7) == sorted(hashlib.sha256(t.encode()).hexdigest() for d, t in docs if d == 7)
+
+
 def test_intervals_against_all_pairs():
     rng = random.Random(9)
     for _ in range(40):

@@ -25,7 +25,7 @@ Nothing is cut off: texts are read whole in pieces of ``PIECE`` bytes, so a very
 needs no more memory than a short one until its own result is written.
 
 Defined results: null text is empty; texts shorter than ``length`` keep everything; "first"
-is by doc_id (null last), then place; rows with the same doc_id are ordered by a hash of
+is by doc_id (null last), then place; rows with the same doc_id are ordered by a 64-bit hash of
 the text, and of fully equal rows one is the first; an empty table gives no rows.
 """
 
@@ -141,7 +141,7 @@ def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, in
 
 def run_rows(docs: DataFrame, length: int) -> DataFrame:
     """(kind, anchor, seg, d, th, start, run): kind 1 repeats a kind 0 row of the same batch."""
-    schema = "kind byte, anchor long, seg long, d long, th int, start int, run int"
+    schema = "kind byte, anchor long, seg long, d long, th long, start int, run int"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(length)
@@ -164,7 +164,7 @@ def run_rows(docs: DataFrame, length: int) -> DataFrame:
             again = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (seg[1:] == seg[:-1])]) if len(doc) else np.zeros(0, bool)
             same = np.concatenate([[False], (dd[1:] == dd[:-1]) & (tt[1:] == tt[:-1]) & (start[1:] == start[:-1])]) if len(doc) else again
             keep = ~(again & same)                            # rows of fully equal documents
-            cols = [x[keep] for x in (again.astype(np.int8), anchor, seg, dd, tt.astype(np.int32), start.astype(np.int32), run.astype(np.int32))]
+            cols = [x[keep] for x in (again.astype(np.int8), anchor, seg, dd, tt, start.astype(np.int32), run.astype(np.int32))]
             for k in range(0, len(cols[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 50_000]) for c in cols], ["kind", "anchor", "seg", "d", "th", "start", "run"])
 
@@ -176,7 +176,7 @@ def marked(rows: DataFrame) -> DataFrame:
 
     Rows that already are kind 1 only pass; they are dealt apart from their (hot) anchors.
     """
-    schema = "kind byte, anchor long, d long, th int, start int, run int"
+    schema = "kind byte, anchor long, d long, th long, start int, run int"
     dealt = rows.repartition(F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("d", "start")))
     ordered = dealt.sortWithinPartitions("kind", "anchor", "seg", "d", "th", "start")
 
@@ -278,7 +278,7 @@ def plain(blob: bytes) -> bytes:
 
 def segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(anchor, classes, d, th, start, run, lead, body) of the wanted runs."""
-    schema = "anchor long, classes long, d long, th int, start int, run int, lead int, body binary"
+    schema = "anchor long, classes long, d long, th long, start int, run int, lead int, body binary"
     per_doc = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "classes", "start", "run")).alias("w"))
     pairs = docs.select("d", "th", compressed(F.col("text")).alias("z")).join(per_doc, ["d", "th"])
 
@@ -291,7 +291,7 @@ def segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 body = [text[x["start"] - k:x["start"] + x["run"] + length - 1] for x, k in zip(w, lead, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["anchor"] for x in w], pa.int64()), pa.array([x["classes"] for x in w], pa.int64()),
-                     pa.array([d] * len(w), pa.int64()), pa.array([th] * len(w), pa.int32()), pa.array([x["start"] for x in w], pa.int32()),
+                     pa.array([d] * len(w), pa.int64()), pa.array([th] * len(w), pa.int64()), pa.array([x["start"] for x in w], pa.int32()),
                      pa.array([x["run"] for x in w], pa.int32()), pa.array(lead, pa.int32()), pa.array(body, pa.binary())],
                     ["anchor", "classes", "d", "th", "start", "run", "lead", "body"])
 
@@ -346,7 +346,7 @@ def maximal(segs: DataFrame, length: int) -> DataFrame:
             for k, o in places:
                 yield g[k]["anchor"], number, n, g[k]["d"], g[k]["th"], g[k]["start"] + o, (k, o) == head
 
-    return scanned(segs, length, "anchor long, repeat int, length int, d long, th int, start int, first boolean", listed)
+    return scanned(segs, length, "anchor long, repeat int, length int, d long, th long, start int, first boolean", listed)
 
 
 def later_spans(segs: DataFrame, length: int) -> DataFrame:
@@ -369,7 +369,7 @@ def later_spans(segs: DataFrame, length: int) -> DataFrame:
                 high = max(high, b)
             yield d, th, start + low, start + high
 
-    return scanned(segs, length, "d long, th int, start int, end int", united)
+    return scanned(segs, length, "d long, th long, start int, end int", united)
 
 
 def refined(segs: DataFrame, length: int, size: int) -> DataFrame:
@@ -377,7 +377,7 @@ def refined(segs: DataFrame, length: int, size: int) -> DataFrame:
 
     Kind 1 repeats an earlier cut wholly; kind 0 is the first of its class, under an anchor with ``classes`` > 1.
     """
-    schema = "anchor long, seg long, d long, th int, start int, run int, lead int, body binary"
+    schema = "anchor long, seg long, d long, th long, start int, run int, lead int, body binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def refined(segs: DataFrame, length: int, size: int) -> DataFrame:
                     row = (a, h, r["d"], r["th"], r["start"] + s - r["lead"], n, lead, body[s - lead:s + n + length - 1])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     cuts = segs.mapInArrow(find, schema)
@@ -422,10 +422,10 @@ def split_windows(segs: DataFrame, length: int) -> DataFrame:
             for r in b.to_pylist():
                 body, lead, n = r["body"], r["lead"], r["run"]
                 w = [hashlib.blake2b(body[lead + o:lead + o + length], digest_size=16).digest() for o in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([r["d"]] * n, pa.int64()), pa.array([r["th"]] * n, pa.int32()),
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([r["d"]] * n, pa.int64()), pa.array([r["th"]] * n, pa.int64()),
                                                   pa.array(range(r["start"], r["start"] + n), pa.int32())], ["w", "d", "th", "start"])
 
-    rows = segs.mapInArrow(windows, "w binary, d long, th int, start int")
+    rows = segs.mapInArrow(windows, "w binary, d long, th long, start int")
     ordered = rows.repartition("w").sortWithinPartitions("w", "d", "th", "start")
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,13 +439,17 @@ def split_windows(segs: DataFrame, length: int) -> DataFrame:
                     keep.append(i)
             yield b.take(pa.array(keep, pa.int64())).select(["d", "th", "start"])
 
-    return ordered.mapInArrow(later, "d long, th int, start int")
+    return ordered.mapInArrow(later, "d long, th long, start int")
+
+
+def row_key() -> list[Column]:
+    """d, th: the doc_id (null last) and 64 bits of the text, which tell rows apart even if all share a doc_id."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text", F.octet_length("text")).alias("th")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """d, th, text: the order of documents; th tells rows with the same doc_id apart."""
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.hash("text").alias("th"),
-                                      F.coalesce("text", F.lit("")).alias("text"))
+    return small_batches(docs).select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def found_runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -493,8 +497,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
 def deduplicated(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``: the remaining text, cut characters replaced)."""
     spans = repeated_spans(docs, length).groupBy("d", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.hash("text").alias("th"),
-                        compressed(F.col("text")).alias("z"))
+    texts = docs.select("doc_id", *row_key(), compressed(F.col("text")).alias("z"))
     pairs = texts.join(spans, ["d", "th"], "left")
     copy = Window.partitionBy("d", "th").orderBy("d")
     pairs = pairs.withColumn("copy", F.row_number().over(copy) > 1)

@@ -68,6 +68,23 @@ def test_repeated_long_templates():
                 assert [(g["license"], g["kind"]) for g in got] == [(lic, kind)] * 2
 
 
+def test_matches_without_a_run_of_three_words():
+    t = S.Templates()
+    for text, lic in [("Released under an MIT License.", "MIT"), ("Licensed under the (new) CC variant BY-NC 4.0.", "CC-BY-NC"), ("Licensed under an old or new license.", None),
+                      ("Licensed under some CC BY-NC, version 4.0", "CC-BY-NC"),
+                      ("Licensed, see file, under the said Apache software License, of Version number 2.0.", "Apache-2.0")]:
+        assert [g["license"] for g in t.scan("Some words before. " + text + " Other words after it.")] == [lic] * (lic is not None), text
+    for lic, kind, text in S.TEMPLATES:
+        words = [w for w, _, _ in S.tokens(text)]
+        for k in range(len(words)):
+            if kind == "notice" and words[k] != "by-sa":          # any one word replaced but the one that tells two apart
+                body = " ".join(words[:k] + ["other"] + words[k + 1:])
+                assert [g["license"] for g in t.scan("x y " + body + " z")] == [lic], body
+        if kind != "notice":                                      # every third word replaced: no run of three is left
+            body = " ".join("other" if k % 3 == 2 else w for k, w in enumerate(words))
+            assert [(g["license"], g["kind"]) for g in t.scan("x y " + body + " z")] == [(lic, kind)], lic
+
+
 def test_whole_table(spark):
     import __spark_entry__ as E
     rows = {r["doc_id"]: r for r in E.queries()["op10_license_alignment"](spark, SF).collect()}

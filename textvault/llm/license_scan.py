@@ -7,10 +7,12 @@ same way, and equal words at the ends of a gap are matched directly
 (:func:`aligned`). A template's coverage is the share of its words that are aligned.
 
 A whole document is a bad partner for a short notice, because the notice's words are not
-unique in it. So a text is first searched for places where a run of ``SEED`` words of a
-template occurs; places within a template's length of each other make one window, and the
-alignment runs between the template and that window. A match is a seed plus a coverage that
-reaches the template's bar.
+unique in it. So a text is first searched for stretches that could reach a template's bar: at
+most ``WIDE`` template lengths that hold as many of the template's words (each as often as the
+template has it) as the bar asks for; no alignment reaches the bar in a stretch with fewer.
+Where runs of ``SEED`` words of the template show a match that is spread wider, that stretch
+is searched too; stretches that overlap make one window. A match is a coverage that reaches the
+template's bar.
 
 A window may hold several copies, whose words are then not unique in it. So the template is
 also aligned with the stretches that begin where one of its words would have it begin
@@ -25,9 +27,10 @@ empty table gives no rows. Rows are independent, so nothing shuffles.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +41,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from textvault.llm.shared import small_batches
 
 SEED = 3
+WIDE = 2              # template lengths that a match may be spread over without seeds
 TOKEN = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 # Public license notices, (license, kind, text).
@@ -167,26 +171,64 @@ class Templates:
                 at[w].append(j)
             self.places.append({w: js for w, js in at.items() if kind == "notice" or len(js) == 1})
         self.first_words = {s[0] for s in self.seeds}
-        rare = {max(s, key=len) for s in self.seeds}
-        # a text without the longest word of any seed has no seed
-        self.hint = re.compile("|".join(sorted(map(re.escape, rare))), re.IGNORECASE)
-
-    def windows(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(template, from, to): stretches of the text around seeds of a template."""
-        at: dict[int, list[int]] = defaultdict(list)
+        self.bags = [Counter(words) for _, _, words in self.all]
+        self.need = [math.ceil(BAR[kind] * len(words) - 1e-9) for _, kind, words in self.all]
+        self.holders: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for k, bag in enumerate(self.bags):
+            for w, n in bag.items():
+                self.holders[w].append((k, n))
+
+    def possible(self, words: list[str]) -> list[int]:
+        """The templates of whose words a text has as many as the bar asks for."""
+        have = Counter(words)
+        sums = [0] * len(self.all)
+        for w in have.keys() & self.holders.keys():
+            for k, n in self.holders[w]:
+                sums[k] += min(n, have[w])
+        return [k for k, n in enumerate(sums) if n >= self.need[k]]
+
+    def dense(self, k: int, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Stretches of at most ``WIDE`` template lengths with as many words of the template as the bar asks for."""
+        bag, wide = self.bags[k], WIDE * len(self.all[k][2])
+        inside: Counter = Counter()
+        places: deque[int] = deque()
+        n = 0
         for i, w in enumerate(words):
-            if w in self.first_words:
-                for k, j in self.seeds.get(tuple(words[i:i + SEED]), ()):
-                    at[k].append(i - j)                      # where the template would begin
-        for k, begins in at.items():
-            n = len(self.all[k][2])
-            begins.sort()
-            low = high = begins[0]
-            for b in [*begins[1:], None]:
-                if b is None or b > high + n // 2:
-                    yield k, max(0, low), min(len(words), high + n + n // 2)
-                    low = b
-                high = b
+            if w not in bag:
+                continue
+            places.append(i)
+            inside[w] += 1
+            n += inside[w] <= bag[w]
+            while places[0] <= i - wide:
+                v = words[places.popleft()]
+                n -= inside[v] <= bag[v]
+                inside[v] -= 1
+            if n >= self.need[k]:
+                yield places[0], i + 1
+
+    def windows(self, k: int, words: list[str]) -> Iterator[tuple[int, int]]:
+        """(from, to): where a template may be, as far as it may reach; windows don't overlap."""
+        n = len(self.all[k][2])
+        spots = [(max(0, a - n // 2), min(len(words), b + n // 2)) for a, b in self.dense(k, words)]
+        begins = sorted(i - j for i, w in enumerate(words) if w in self.first_words
+                        for t, j in self.seeds.get(tuple(words[i:i + SEED]), ()) if t == k)      # where the template would begin
+        low = high = begins[0] if begins else 0
+        for b in [*begins[1:], None] if begins else []:
+            if b is None or b > high + n // 2:
+                spots.append((max(0, low), min(len(words), high + n + n // 2)))
+                low = b
+            high = b
+        spots.sort()
+        at: tuple[int, int] | None = None
+        for a, b in spots:
+            if at and a < at[1]:
+                at = at[0], max(at[1], b)
+                continue
+            if at:
+                yield at
+            at = a, b
+        if at:
+            yield at
 
     def match(self, k: int, words: list[str], a: int, b: int) -> tuple[int, int, int] | None:
         """(from, to, aligned words) of a template in ``words[a:b]`` if it reaches its bar."""
@@ -213,12 +255,11 @@ class Templates:
 
     def scan(self, text: str | None) -> list[dict]:
         """Licenses of a text by place."""
-        if not text or not self.hint.search(text):
-            return []
-        toks = tokens(text)
-        words = [w for w, _, _ in toks]
+        words = [w.lower() for w in TOKEN.findall(text)] if text else []
+        possible = self.possible(words)
+        toks = tokens(text) if possible else []
         found = []
-        for k, a, b in self.windows(words):
+        for k, a, b in ((k, a, b) for k in possible for a, b in self.windows(k, words)):
             lic, kind, template = self.all[k]
             for first, end, n in self.matches(k, words, a, b):
                 found.append((n, {"license": lic, "kind": kind, "start": toks[first][1], "end": toks[end - 1][2],

@@ -120,6 +120,35 @@ def test_overlapping_sources(spark):
     assert abs(sum(by.values()) - sum(quota.values())) <= 12 + 0.01 * sum(quota.values())
 
 
+def test_more_patterns_than_the_driver_takes(spark, monkeypatch):
+    """The wide way gives what the driver's way gives; single sources and overlaps, null source, beyond the limit."""
+    rng = random.Random(8)
+    groups = [[f"s{i}"] for i in range(30)] + [["s1", "s2"], ["s2", "s3", "t"], ["t"], [None], [None, "u"], ["v", "w"]]
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40]), rng.choice(groups)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, members array<string>")
+    key = lambda r: (r["doc_id"], r["mix_copies"])
+    small, sizes, quota = M.mix(docs, F.col("members"))
+    want = sorted(map(key, small.collect()))
+    monkeypatch.setattr(M, "MAX_PATTERNS", 4)
+    wide, sizes2, quota2 = M.mix(docs, F.col("members"))
+    assert sizes2 == sizes and quota2 == pytest.approx(quota, rel=1e-9)
+    assert sorted(map(key, wide.collect())) == want
+
+
+def test_a_source_per_site(spark):
+    n = M.MAX_PATTERNS + 500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"),
+                                 F.concat(F.lit("site"), F.col("id")).alias("source"))
+    got = M.taken(docs).collect()
+    sizes = {f"site{i}": 1 + i % 7 for i in range(n)}
+    want = M.quotas(sizes, (1, 2, 3), 3)
+    assert len(got) == n
+    for r in got:
+        s = f"site{r['doc_id']}"
+        assert (r["size"], r["source_size"]) == (sizes[s], sizes[s]) and r["target"] == pytest.approx(want[s])
+        assert r["taken"] == sizes[s] * (round(want[s]) // sizes[s])
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, source string, size string, h int, pattern long"
     df = spark.createDataFrame([(1, None, "a", "", 1, 1), (2, "", None, "", 1, 1), (None, "x y", None, "", 1, 1), (3, "w " * 50, "a", "", 1, 1),

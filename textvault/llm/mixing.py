@@ -13,8 +13,10 @@
    (``2^BITS`` per level), never by sorting a source; among the ``FILL`` documents on each side
    of the stop, the random set that comes closest is taken.
 
-Patterns are limited to ``MAX_PATTERNS`` (more raise an error), which bounds what reaches
-the driver and what is broadcast.
+Up to ``MAX_PATTERNS`` patterns are counted and routed on the driver. If there are more, sizes,
+quotas and amounts stay tables (:func:`wide_quotas`, :func:`wide_amounts`): the flow of a source
+that shares no document with another is its quota, and only the patterns of sources that do
+overlap are routed on the driver. Their number is not limited, it only needs the driver's memory.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its
 own and comes last; equal rows are selected together; reruns agree, because the order
@@ -27,7 +29,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textvault.llm.shared import WORD, stored
@@ -156,32 +158,73 @@ def closest_fill(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["pattern", "h", "size"]].assign(more=best)
 
 
-def plan(units: DataFrame, amounts: dict[str, tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+def wide_quotas(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(s, source_size, target) of a table (s, source_size) of any length, as :func:`quotas` gives them."""
+    order = F.col("s").asc_nulls_last()
+    dealt = stored(sizes.repartitionByRange(64, order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.coalesce("before", F.lit(0))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    placed = stored(dealt.join(F.broadcast(before), "part").withColumn("weight", weight).select("s", "source_size", "weight"), "mix-weights")
+    total = placed.agg(F.sum("source_size")).first()[0] or 0
+    if not total:
+        return placed.select("s", "source_size", F.lit(0.0).alias("target"))
+    unit, n = 0.0, -1
+    while True:
+        over = F.lit(unit) * F.col("weight") > most * F.col("source_size")
+        r = placed.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, most * F.col("source_size"))), F.lit(0)).alias("taken"),
+                       F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if r["n"] == n or not r["weight"]:
+            break
+        n, unit = r["n"], (total - r["taken"]) / r["weight"]
+    target = F.least(F.lit(unit) * F.col("weight"), (most * F.col("source_size")).cast("double"))
+    return placed.select("s", "source_size", target.alias("target"))
+
+
+def wide_amounts(patterns: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """(pattern, words, take) of any number of patterns (pattern, words, s): a flow only where sources overlap."""
+    spark = patterns.sparkSession
+    shared = stored(patterns.filter(F.size("s") > 1).select(F.explode("s").alias("o")).distinct(), "mix-shared")
+    first, fact = F.col("s")[0], facts.select(F.col("s").alias("o"), "target")
+    same = first.eqNullSafe(F.col("o"))
+    single = patterns.filter(F.size("s") == 1)
+    lone = single.join(shared, same, "left_anti").join(fact, same).select(
+        "pattern", "words", F.least(F.rint("target").cast("long"), most * F.col("words")).alias("take"))
+    mixed_ = patterns.filter(F.size("s") > 1).unionByName(single.join(shared, same, "left_semi")).orderBy("pattern").collect()
+    quota = {r["o"]: r["target"] for r in fact.alias("f").join(shared.alias("g"), F.col("f.o").eqNullSafe(F.col("g.o")), "left_semi").orderBy(
+        F.col("o").asc_nulls_last()).collect()}
+    given = route([(tuple(r["s"]), r["words"]) for r in mixed_], quota, most)
+    schema = "pattern string, words long, take long"
+    routed = spark.createDataFrame([(r["pattern"], r["words"], sum(g.values())) for r, g in zip(mixed_, given, strict=True)], schema)
+    none = patterns.filter(F.size("s") == 0).select("pattern", "words", F.lit(0).cast("long").alias("take"))
+    return stored(lone.unionByName(routed).unionByName(none), "mix-amounts")
+
+
+def plan(units: DataFrame, amounts: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """(pattern, all, stop) and (pattern, h, size, more) of the documents around the stop.
 
-    ``units``: pattern, h, size, words (of all equal rows). ``amounts``: per pattern
-    its words and the words to take. ``all``: copies of every document; documents whose
-    hash prefix is below ``stop`` get one more, unless ``more`` of the second table says
-    otherwise.
+    ``units``: pattern, h, size, words (of all equal rows). ``amounts``: pattern, its
+    words and the words to take; ``small`` if it may be broadcast. ``all``: copies of every document;
+    documents whose hash prefix is below ``stop`` get one more, unless ``more`` of the second table
+    says otherwise.
     """
-    spark = units.sparkSession
-    rest = {p: (take // words if words else 0, take % words if words else 0) for p, (words, take) in amounts.items()}
-    left = {p: r for p, (_, r) in rest.items()}
-    prefix = dict.fromkeys(rest, 0)
-    schema = "pattern string, prefix long, left long"
+    hint = F.broadcast if small else lambda df: df
+    used = F.col("words") > 0
+    state = amounts.select("pattern", F.when(used, F.expr("take div words")).otherwise(0).cast("long").alias("all"), F.lit(0).cast("long").alias("prefix"),
+                           F.when(used, F.expr("mod(take, words)")).otherwise(0).cast("long").alias("left"))
     for level in range(1, LEVELS + 1):
-        state = spark.createDataFrame([(p, prefix[p], left[p]) for p in rest], schema)
-        inside = units.join(F.broadcast(state), "pattern")
+        inside = units.join(hint(state.select("pattern", "prefix", "left")), "pattern")
         if level > 1:
             inside = inside.filter(hash_prefix(level - 1) == F.col("prefix"))
         sums = inside.groupBy("pattern", "left", hash_prefix(level).alias("b")).agg(F.sum("words").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         edge = (sums.withColumn("upto", upto).filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
-                .select("pattern", "b", (F.col("left") - F.col("upto") + F.col("words")).alias("left")).collect())
-        for r in edge:
-            prefix[r["pattern"]], left[r["pattern"]] = r["b"], r["left"]
-    stops = spark.createDataFrame([(p, rest[p][0], prefix[p], left[p]) for p in rest], "pattern string, all long, stop long, gap long")
-    there = units.join(F.broadcast(stops), "pattern").filter("words > 0").withColumn("before", hash_prefix(LEVELS) < F.col("stop"))
+                .select("pattern", "b", (F.col("left") - F.col("upto") + F.col("words")).alias("rest")))
+        state = stored(state.join(edge, "pattern", "left").select("pattern", "all", F.coalesce("b", "prefix").alias("prefix"),
+                                                                  F.coalesce("rest", "left").alias("left")), "mix-stops")
+    stops = hint(state.select("pattern", "all", F.col("prefix").alias("stop"), F.col("left").alias("gap")))
+    there = units.join(stops, "pattern").filter("words > 0").withColumn("before", hash_prefix(LEVELS) < F.col("stop"))
     place = F.shiftrightunsigned("h", 1)
 
     def next_to_stop(before: bool) -> DataFrame:
@@ -194,22 +237,8 @@ def plan(units: DataFrame, amounts: dict[str, tuple[int, int]]) -> tuple[DataFra
     return stops.select("pattern", "all", "stop"), chosen
 
 
-def mix(docs: DataFrame, members: Column, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
-        id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict, dict]:
-    """Copies of every document: ``docs`` plus ``mix_size``, ``mix_pattern`` and ``mix_copies``; also sizes and quotas.
-
-    ``members`` is an array of the sources a row belongs to.
-    """
-    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(members)).alias("s")), {"ignoreNullFields": "false"})
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = docs.withColumns({"mix_size": word_count(F.col(text_col)), "mix_pattern": pattern, "mix_order": order})
-    units = stored(rows.groupBy(F.col("mix_pattern").alias("pattern"), F.col("mix_order").alias("h"), F.col("mix_size").alias("size"))
-                   .agg(F.sum("mix_size").alias("words")), "mix-units")
-    spark = docs.sparkSession
-    by_pattern = units.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).select(
-        "pattern", "words", F.from_json("pattern", "s array<string>")["s"].alias("s")).collect()
-    if len(by_pattern) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+def driver_amounts(spark: SparkSession, by_pattern: list, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """(s, source_size, target) and (pattern, words, take) of patterns on the driver."""
     by_pattern.sort(key=lambda r: r["pattern"])
     sizes: dict[str | None, int] = {}
     for r in by_pattern:
@@ -218,32 +247,66 @@ def mix(docs: DataFrame, members: Column, seed: int = 7, weights: tuple[int, ...
     total = sum(r["words"] for r in by_pattern)
     quota = quotas(sizes, weights, most) if total else dict.fromkeys(sizes, 0.0)
     given = route([(tuple(r["s"]), r["words"]) for r in by_pattern], quota, most)
-    stops, chosen = plan(units, {r["pattern"]: (r["words"], sum(g.values())) for r, g in zip(by_pattern, given, strict=True)})
+    return (spark.createDataFrame([(s, sizes[s], float(quota[s])) for s in sizes], "s string, source_size long, target double"),
+            spark.createDataFrame([(r["pattern"], r["words"], sum(g.values())) for r, g in zip(by_pattern, given, strict=True)],
+                                  "pattern string, words long, take long"))
+
+
+def mix_tables(docs: DataFrame, members: Column, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
+               id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Copies of every document: ``docs`` plus ``mix_size``, ``mix_pattern`` and ``mix_copies``; and (s, source_size, target).
+
+    ``members`` is an array of the sources a row belongs to.
+    """
+    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(members)).alias("s")), {"ignoreNullFields": "false"})
+    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    rows = docs.withColumns({"mix_size": word_count(F.col(text_col)), "mix_pattern": pattern, "mix_order": order})
+    units = stored(rows.groupBy(F.col("mix_pattern").alias("pattern"), F.col("mix_order").alias("h"), F.col("mix_size").alias("size"))
+                   .agg(F.sum("mix_size").alias("words")), "mix-units")
+    patterns = units.groupBy("pattern").agg(F.sum("words").alias("words")).select(
+        "pattern", "words", F.from_json("pattern", "s array<string>")["s"].alias("s"))
+    by_pattern = patterns.limit(MAX_PATTERNS + 1).collect()
+    small = len(by_pattern) <= MAX_PATTERNS
+    if small:
+        facts, amounts = driver_amounts(docs.sparkSession, by_pattern, weights, most)
+    else:
+        patterns = stored(patterns, "mix-patterns")
+        sizes = patterns.select(F.explode("s").alias("s"), "words").groupBy("s").agg(F.sum("words").alias("source_size"))
+        facts = stored(wide_quotas(sizes, weights, most), "mix-quotas")
+        amounts = wide_amounts(patterns, facts, most)
+    hint = F.broadcast if small else lambda df: df
+    stops, chosen = plan(units, amounts, small)
     chosen = stored(chosen, "mix-chosen").select(F.col("pattern").alias("mix_pattern"), F.col("h").alias("mix_order"),
                                                  F.col("size").alias("mix_size"), F.col("more").alias("mix_more"))
     stops = stops.select(F.col("pattern").alias("mix_pattern"), F.col("all").alias("mix_all"), F.col("stop").alias("mix_stop"))
     h = F.shiftrightunsigned("mix_order", 64 - BITS * LEVELS)
     more = F.coalesce(F.col("mix_more"), (h < F.col("mix_stop")).cast("int"))
-    out = (rows.join(F.broadcast(stops), "mix_pattern")
-           .join(F.broadcast(chosen), ["mix_pattern", "mix_order", "mix_size"], "left")
+    out = (rows.join(hint(stops), "mix_pattern")
+           .join(hint(chosen), ["mix_pattern", "mix_order", "mix_size"], "left")
            .withColumn("mix_copies", F.when(F.col("mix_size") > 0, F.least(F.col("mix_all") + more, F.lit(most))).otherwise(0).cast("long")))
-    return out.select(*[F.col(c) for c in docs.columns], "mix_size", "mix_pattern", "mix_copies"), sizes, quota
+    return out.select(*[F.col(c) for c in docs.columns], "mix_size", "mix_pattern", "mix_copies"), hint(facts)
+
+
+def mix(docs: DataFrame, members: Column, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
+        id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict, dict]:
+    """:func:`mix_tables` with sizes and quotas as dictionaries."""
+    rows, facts = mix_tables(docs, members, seed, weights, most, id_col, text_col)
+    got = facts.collect()
+    return rows, {r["s"]: r["source_size"] for r in got}, {r["s"]: r["target"] for r in got}
 
 
 def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row (each row has one source)."""
-    spark = docs.sparkSession
-    rows, sizes, quota = mix(docs.select("doc_id", "text", "source"), F.array("source"), seed)
-    facts = spark.createDataFrame([(s, sizes[s], float(quota[s])) for s in sizes], "s string, source_size long, target double")
+    rows, facts = mix_tables(docs.select("doc_id", "text", "source"), F.array("source"), seed)
     rows = rows.withColumnRenamed("source", "origin")
-    return (rows.join(F.broadcast(facts), F.col("origin").eqNullSafe(F.col("s")))
+    return (rows.join(facts, F.col("origin").eqNullSafe(F.col("s")))
             .select("doc_id", F.col("mix_size").alias("size"), "source_size", "target",
                     (F.col("mix_size") * F.col("mix_copies")).alias("taken")))
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``docs`` as the mix takes them: a row per copy, none for what it leaves out; columns unchanged."""
-    rows, _, _ = mix(docs, F.array("source"), seed)
+    rows, _ = mix_tables(docs, F.array("source"), seed)
     return (rows.filter(F.col("mix_copies") > 0)
             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
             .select(*[F.col(c) for c in docs.columns]))

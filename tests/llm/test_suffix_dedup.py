@@ -83,6 +83,29 @@ def test_rows_with_one_doc_id_are_told_apart(spark):
     assert sorted(r[4] for r in got if r[0] == 7) == sorted(hashlib.sha256(t.encode()).hexdigest() for d, t in docs if d == 7)
 
 
+def test_maximal_repeats_list_every_place(spark, monkeypatch):
+    """Each window that starts at several places has a repeat with all of them, and a repeat's places are equal."""
+    monkeypatch.setattr(S, "MANY_CLASSES", 2)
+    texts = [t for _, t in made(5)]
+    docs = dict(enumerate(t.encode() for t in texts))
+    places = defaultdict(set)
+    for d, b in docs.items():
+        for p in range(len(b) - 99):
+            places[b[p:p + 100]].add((d, p))
+    groups = defaultdict(list)
+    for r in S.maximal_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect():
+        groups[r["anchor"], r["repeat"], r["length"]].append((r["doc_id"], r["start"], r["first"]))
+    listed = defaultdict(set)
+    for (_, _, n), g in groups.items():
+        assert len({docs[d][p:p + n] for d, p, _ in g}) == 1 and len(g) == len(set(g)) > 1
+        assert [(d, p) for d, p, first in g if first] == [min((d, p) for d, p, _ in g)]
+        d0, p0, _ = g[0]
+        for o in range(n - 99):
+            w = docs[d0][p0 + o:p0 + o + 100]
+            listed[w] = max(listed[w], {(d, p + o) for d, p, _ in g}, key=len)
+    assert dict(listed) == {w: s for w, s in places.items() if len(s) > 1}
+
+
 def test_intervals_against_all_pairs():
     rng = random.Random(9)
     for _ in range(40):

@@ -339,14 +339,14 @@ def scanned(segs: DataFrame, length: int, schema: str, rows_of) -> DataFrame:
 
 
 def maximal(segs: DataFrame, length: int) -> DataFrame:
-    """(anchor, repeat, length, d, th, start, first): occurrences of the maximal repeats among the classes."""
+    """(anchor, repeat, length, d, th, home, start, first): occurrences of the maximal repeats among the classes, ``home`` their run's start."""
     def listed(g, repeats):
         for number, (n, places) in enumerate(repeats):
             head = min(places)                                # the rows of a group are in the order of "first"
             for k, o in places:
-                yield g[k]["anchor"], number, n, g[k]["d"], g[k]["th"], g[k]["start"] + o, (k, o) == head
+                yield g[k]["anchor"], number, n, g[k]["d"], g[k]["th"], g[k]["start"], g[k]["start"] + o, (k, o) == head
 
-    return scanned(segs, length, "anchor long, repeat int, length int, d long, th long, start int, first boolean", listed)
+    return scanned(segs, length, "anchor long, repeat int, length int, d long, th long, home int, start int, first boolean", listed)
 
 
 def later_spans(segs: DataFrame, length: int) -> DataFrame:
@@ -475,11 +475,31 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(anchor, repeat, length, doc_id, start, first): the maximal repeats found by the suffix arrays, with all
-    occurrences among different runs; runs that repeat a listed run byte for byte are in :func:`repeated_spans`."""
-    _, wanted = found_runs(docs, length)
-    found = maximal(segments(keyed(docs), wanted.filter(F.col("classes") <= MANY_CLASSES), length), length)
-    return found.select("anchor", "repeat", "length", F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "start", "first")
+    """(anchor, repeat, length, doc_id, start, first): the maximal repeats with all occurrences, run by run.
+
+    A repeat among different runs is found by the suffix arrays and listed for every member of their classes; a
+    class of several equal runs is a repeat itself (negative ``repeat``, unless the suffix arrays list it). Fully
+    equal rows count as one. No anchor is left out: unlike in :func:`repeated_spans` one task sorts all
+    different runs of an anchor, so a passage with very many surroundings needs that task's memory.
+    """
+    members = stored(run_rows(keyed(docs), length).select("anchor", "seg", "d", "th", "start", "run").distinct(), "suffix-members")
+    heads = stored(members.groupBy("anchor", "seg").agg(F.min(F.struct("d", "th", "start", "run")).alias("h"), F.count(F.lit(1)).alias("n"))
+                   .select("anchor", "seg", "h.*", "n"), "suffix-heads")
+    several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    wanted = heads.join(several, "anchor").select("anchor", "classes", "d", "th", "start", "run")
+    found = stored(maximal(segments(keyed(docs), wanted, length), length), "suffix-maximal")
+    listed = found.join(heads.select("anchor", "seg", "d", "th", F.col("start").alias("home"), "run"), ["anchor", "d", "th", "home"])
+    done = listed.filter((F.col("start") == F.col("home")) & (F.col("length") == F.col("run") + length - 1)).select("anchor", "seg").distinct()
+    number = -F.row_number().over(Window.partitionBy("anchor").orderBy("seg"))
+    equal = heads.filter("n > 1").join(done, ["anchor", "seg"], "left_anti").select(
+        "anchor", "seg", number.alias("repeat"), (F.col("run") + length - 1).alias("length"), F.col("d").alias("hd"), F.col("th").alias("hth"),
+        F.col("start").alias("home"), F.lit(0).alias("off"), F.lit(True).alias("head"))
+    every = listed.select("anchor", "seg", "repeat", "length", F.col("d").alias("hd"), F.col("th").alias("hth"), "home",
+                          (F.col("start") - F.col("home")).alias("off"), F.col("first").alias("head")).unionByName(equal)
+    itself = (F.col("d") == F.col("hd")) & (F.col("th") == F.col("hth")) & (F.col("start") == F.col("home"))
+    return every.join(members.drop("run"), ["anchor", "seg"]).select(
+        "anchor", "repeat", "length", F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), (F.col("start") + F.col("off")).alias("start"),
+        (F.col("head") & itself).alias("first"))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

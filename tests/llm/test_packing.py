@@ -46,7 +46,8 @@ def test_word_memory_equals_whole_encoding(tok):
     ids = P.WordIds(word_tokenizer())
     rng = random.Random(1)
     parts = ["It's", "ΑΣ", "Σ", "é", "é", "<|endoftext|>", " ", "\x1c", " x", "naïve", "123abc", "!!?", "中文",
-             "İ", "'s", "don't", "퟿", "ﬁ", "👍🏽", "a" * 100, "́", "\x00", "\x85", "Größe,", "ÀÉ", "ŸẞŊ", "ªº", "ŉa.", "été.", "A.b,", "Hello,", "x..", "ß", "İx,"]
+             "İ", "'s", "don't", "퟿", "ﬁ", "👍🏽", "a" * 100, "́", "\x00", "\x85", "Größe,", "ÀÉ", "ŸẞŊ", "ªº", "ŉa.", "été.", "A.b,", "Hello,", "x..", "ß", "İx,", "İ$$", "(été)", "$x$",
+             "क़.", "-1½-", "a_b", "ſ.", "#'s#", "É)"]
     for _ in range(300):
         t = "".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\t", "  ", "\r\n", "\x0b", "\x0c"]) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(ids(t), "<u4").tolist() == whole_ids(tok, t), repr(t)

@@ -46,6 +46,7 @@ LONG_WORD = 64             # longer words are not remembered
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = dict(zip([b for b in range(256) if b not in PRINTABLE], range(256, 512)))
 LATIN_END = "\u0250"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"     # ASCII signs but the apostrophe, which may join letters
 
 
 class WordIds:
@@ -54,9 +55,10 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so a text's ids are
     the ids of its space-separated words one after the other; each distinct word is
     tokenized once while it is remembered. A run of Latin letters is one unit of the
-    vocabulary's splitting rule, so it goes straight to the model, lower-cased; every
-    other word goes through the whole tokenizer. The tests compare both with the
-    encoding of whole texts.
+    vocabulary's splitting rule, so it goes straight to the model, lower-cased; signs
+    before the first or after the last letter or digit are units of their own, so they
+    are looked up apart; every other word goes through the whole tokenizer. The tests
+    compare all with the encoding of whole texts.
     """
 
     _of: dict[str, WordIds] = {}
@@ -77,10 +79,15 @@ class WordIds:
         return cls._of[path]
 
     def tokenized(self, word: str) -> bytes:
-        if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
-            return self.look_up(word[:-1]) + self.look_up(word[-1])
+        core = word.strip(SIGNS)
+        if core and core != word and all(c.isalnum() and c < LATIN_END and c != "\u0130" for c in (core[0], core[-1])):
+            at = word.index(core)
+            return self.look_up(word[:at]) + self.look_up(core) + self.look_up(word[at + len(core):])
         if word.isalpha() and max(word) < LATIN_END and "\u0130" not in word:
-            units = self.model.tokenize(word.lower().encode().decode("latin-1").translate(BYTE_SIGNS))
+            low = word.lower()
+            if low != word:
+                return self.look_up(low)
+            units = self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_SIGNS))
             return struct.pack(f"<{len(units)}I", *[u.id for u in units])
         return np.asarray(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

@@ -68,6 +68,7 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]    # found in raw text, whatever is around
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -80,7 +81,7 @@ class WordIds:
 
     def tokenized(self, word: str) -> bytes:
         core = word.strip(SIGNS)
-        if core and core != word and all(c.isalnum() and c < LATIN_END and c != "\u0130" for c in (core[0], core[-1])):
+        if core and core != word and not any(t in word for t in self.added) and all(c.isalnum() and c < LATIN_END and c != "\u0130" for c in (core[0], core[-1])):
             at = word.index(core)
             return self.look_up(word[:at]) + self.look_up(core) + self.look_up(word[at + len(core):])
         if word.isalpha() and max(word) < LATIN_END and "\u0130" not in word:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvault.llm import license_scan, mixing, packing, projected_search, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from textvault.llm import license_scan, mixing, packing, periodic_runs, projected_search, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -75,3 +75,8 @@ def op1_projected_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(documents(spark, sf_dir))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(documents(spark, sf_dir))

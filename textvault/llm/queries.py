@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textvault.llm import license_scan, mixing, packing, periodic_runs, projected_search, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from textvault.llm import exact_topk, hard_negatives, license_scan, mixing, packing, periodic_runs, projected_search, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from textvault.llm.shared import documents, table
 
 QUERIES = {}
@@ -80,3 +80,22 @@ def op10_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(documents(spark, sf_dir))
+
+
+@query
+def op11_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+ORACLE["op11_norm_sorted_topk"] = exact_topk.ORACLE_SQL
+
+
+@query
+def op12_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0), 5, 5)
+
+
+ORACLE["op12_strassen_negatives"] = hard_negatives.ORACLE_SQL

@@ -12,7 +12,9 @@ from textvault import catalog as C
 from textvault.catalog import register
 from textvault.functions import units as UN
 from textvault.operators import dictionary as DI
+from textvault.operators import search as S
 from textvault.operators import token_sets as TS
+from textvault.plans import duck as D
 from textvault.sources import tables as TB
 
 # ---------------------------------------------------------------------------
@@ -84,3 +86,37 @@ SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, round(1 -
 def q_token_set_within(spark, sf):
     sets, asked = _token_rows(spark, sf)
     return sets.within(asked, SET_THRESHOLD).select("query_id", "id", F.round("distance", 6).alias("distance"))
+
+
+# ---------------------------------------------------------------------------
+# trained cells with a proof of the k-th hit
+# ---------------------------------------------------------------------------
+
+def trained_index(spark, sf) -> S.CellIndex:
+    """The cell index of ``embeddings`` with trained centroids, built once and searched many times."""
+    return C.built(spark, sf, "ivf-trained", lambda path: S.CellIndex.build(TB.vectors(spark, sf), path, iterations=4))
+
+
+_FULL_SQL = f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{D.sparse_embedding_ctes('qs', 'query_id', 'text', C.Q_DIM_EMB, 'qw')},
+qd AS (SELECT query_id, list_transform(range({C.Q_DIM_EMB}), lambda b: coalesce(list_extract(map_extract(m, b), 1), 0)) AS qe
+       FROM (SELECT query_id, map(list(bucket), list(CAST(w AS DOUBLE))) AS m FROM qw GROUP BY query_id)),
+d AS (SELECT q.query_id, v.id, list_sum(list_transform(list_zip(q.qe, v.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist FROM qd q CROSS JOIN v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rk FROM d)"""
+
+
+@register("ivf_exact_search", f"""{_FULL_SQL}
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, round(dist, 6) AS distance, CAST(rk AS BIGINT) AS rk FROM r WHERE rk <= {C.VEC_K}""")
+def q_ivf_exact_search(spark, sf):
+    index = trained_index(spark, sf)
+    top = index.topk(C._emb_queries(spark, sf), C.VEC_K, C._nprobe(index), exact=True)
+    return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"), F.round("distance", 6).alias("distance"), F.col("rk").cast("bigint"))
+
+
+# a proved search finds everything
+@register("ivf_exact_recall", "SELECT CAST(item_id AS BIGINT) AS query_id, CAST(1 AS DOUBLE) AS recall FROM benchmark")
+def q_ivf_exact_recall(spark, sf):
+    index, qv = trained_index(spark, sf), C._emb_queries(spark, sf)
+    rec = S.recall_at_k(S.exact_topk(TB.vectors(spark, sf), qv, C.VEC_K), index.topk(qv, C.VEC_K, C._nprobe(index), exact=True))
+    return rec.select(F.col("query_id").cast("bigint"), F.round("recall", 6).alias("recall"))

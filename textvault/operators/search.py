@@ -11,6 +11,11 @@ Two ways, both exact for the rows they look at, and no (query, vector) pair is e
 
 A task emits at most ``queries x k`` rows (per block); the merge is a window top-k over those.
 Payload columns are joined to the hits afterwards, so texts never pass through Python.
+
+Undefined vectors are those that are NULL, hold a NULL, NaN or infinite component, or have another length
+than the longest query vector. In an exact search all their distances are undefined: they rank last, by
+id, with a NULL distance (an undefined query has only such hits). An index holds defined vectors only,
+and an undefined query finds nothing in it. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textvault.session import scratch_path
+
 DEFAULT_BROADCAST_BUDGET = 64 << 20   # bytes of query (or centroid) matrix per broadcast
 QUERY_BLOCK = 256                     # queries scored together inside a task
 ROW_BLOCK = 2048                      # vectors scored together inside a task
@@ -32,10 +39,21 @@ BLOCK_ROWS = 16_384                   # vectors a task holds when queries are st
 MAX_CELLS = 16_384                    # cells of an index; bounds the centroid matrix
 
 
-def _stack(series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
+def _stack(series, dim: int) -> np.ndarray:
+    """Vectors as rows; undefined ones become rows of NaN."""
+    out = np.full((len(series), dim), np.nan)
+    for i, v in enumerate(series):
+        if v is not None and len(v) == dim:
+            out[i] = np.asarray(v, dtype=np.float64)          # None becomes NaN
+    out[~np.isfinite(out).all(1)] = np.nan
+    return out
+
+
+def defined(vectors: DataFrame, vec_col: str, dim: int | None = None) -> DataFrame:
+    """The rows whose vector has only finite components (and ``dim`` of them)."""
+    v = F.col(vec_col)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return vectors.filter(v.isNotNull() & finite & (F.size(v) > 0 if dim is None else F.size(v) == dim))
 
 
 def _scores(Q: np.ndarray, V: np.ndarray, metric: str, qn=None, vn=None) -> np.ndarray:
@@ -130,22 +148,27 @@ class _TopK:
     """
 
     def __init__(self, Q: np.ndarray, k: int, metric: str):
-        self.Q, self.k, self.metric = Q, k, metric
+        self.undefined = np.isnan(Q).any(1)
+        self.Q, self.k, self.metric = np.where(self.undefined[:, None], 0.0, Q), k, metric
         self.q = np.zeros(0, np.int64)
         self.key, self.dist, self.ids = np.zeros(0), np.zeros(0), None
 
     def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        undefined = np.isnan(V).any(1)
+        V = np.where(undefined[:, None], 0.0, V)
         for v0 in range(0, len(V), ROW_BLOCK):
-            Vb, ib = V[v0:v0 + ROW_BLOCK], ids[v0:v0 + ROW_BLOCK]
+            Vb, ib, ub = V[v0:v0 + ROW_BLOCK], ids[v0:v0 + ROW_BLOCK], undefined[v0:v0 + ROW_BLOCK]
             for q0 in range(0, len(self.Q), QUERY_BLOCK):
-                Qb = self.Q[q0:q0 + QUERY_BLOCK]
+                Qb, uq = self.Q[q0:q0 + QUERY_BLOCK], self.undefined[q0:q0 + QUERY_BLOCK]
                 S = _scores(Qb, Vb, self.metric)
+                S[uq[:, None] | ub[None]] = np.inf
                 kk = min(self.k, S.shape[1])
                 thr = np.partition(S, kk - 1, axis=1)[:, kk - 1]
                 # a small slack keeps rows that tie with the k-th after rounding
                 slack = np.where(np.isfinite(thr), 1e-7 * (1.0 + np.abs(thr)), 0.0)
                 qi, vj = np.nonzero(S <= (thr + slack)[:, None])
                 dist = _exact_pairs(Qb, Vb, qi, vj, self.metric)
+                dist[uq[qi] | ub[vj]] = np.nan
                 self._merge(qi + q0, _order_value(self.metric, dist), dist, ib[vj])
 
     def _merge(self, q, key, dist, ids) -> None:
@@ -168,8 +191,8 @@ def _collect_bounded(df: DataFrame, cols: list[str], budget: int, dim: int) -> l
 
 
 def _vector_dim(df: DataFrame, vec_col: str) -> int:
-    r = df.select(F.size(vec_col).alias("d")).filter("d > 0").first()
-    return int(r["d"]) if r else 0
+    """Length of the longest vector, 1 if there is none."""
+    return max(1, df.agg(F.max(F.size(vec_col)).alias("d")).first()["d"] or 1)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -179,7 +202,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
             .select("query_id", "id", F.when(~F.isnan("distance"), F.col("distance")).alias("distance"), "rk"))
 
 
-def _visit(blocks: DataFrame, visits: DataFrame, k: int, metric: str) -> DataFrame:
+def _visit(blocks: DataFrame, visits: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
     """Candidates (query_id, id, distance, okey) of queries in the blocks they visit.
 
     ``blocks``: (block, salt, id, vec); ``visits``: (block, salt, query_id, vec). Rows of a block come first
@@ -199,11 +222,11 @@ def _visit(blocks: DataFrame, visits: DataFrame, k: int, metric: str) -> DataFra
                     key, ids, vecs = part[:2], [], []
                 if part[2] == 0:
                     ids.append(_ids(g["id"]))
-                    vecs.append(_stack(g["vec"]))
+                    vecs.append(_stack(g["vec"], dim))
                 elif ids:
                     if len(ids) > 1:
                         ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
-                    top = _TopK(_stack(g["vec"]), k, metric)
+                    top = _TopK(_stack(g["vec"], dim), k, metric)
                     top.add(ids[0], vecs[0])
                     yield pd.DataFrame({"query_id": g["query_id"].to_numpy()[top.q], "id": top.ids, "distance": top.dist, "okey": top.key})
 
@@ -225,17 +248,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2
     found_schema = f"id {id_type}, distance double, okey double"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
-    small = _collect_bounded(asked, ["query_id", "vec"], budget, _vector_dim(queries, qvec_col)) if k > 0 else []
+    dim = _vector_dim(queries, qvec_col)
+    small = _collect_bounded(asked, ["query_id", "vec"], budget, dim) if k > 0 else []
     if not small and small is not None:
         hits = spark.createDataFrame([], f"query_id {qid_type}, id {id_type}, distance double, rk int")
     elif small:
-        matrix = spark.sparkContext.broadcast(_stack([v for _, v in small]))
+        matrix = spark.sparkContext.broadcast(_stack([v for _, v in small], dim))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = _TopK(matrix.value, k, metric)
             for pdf in batches:
                 if len(pdf):
-                    top.add(_ids(pdf["id"]), _stack(pdf["vec"]))
+                    top.add(_ids(pdf["id"]), _stack(pdf["vec"], dim))
             if top.ids is not None:
                 yield pd.DataFrame({"qpos": top.q, "id": top.ids, "distance": top.dist, "okey": top.key})
 
@@ -245,14 +269,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2
         n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
         blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("salt", F.lit(0))
         visits = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("salt", F.lit(0))
-        hits = _merged(_visit(blocks, visits, k, metric), k)
+        hits = _merged(_visit(blocks, visits, k, metric, dim), k)
     if not payload:
         return hits
     extra = vectors.select(F.col(id_col).alias("id"), *payload)
     return hits.join(extra, "id").select("query_id", "id", "distance", "rk", *payload)
 
 
-# --- IVF: cells from sampled centroids ---------------------------------------
+# --- IVF: cells of sampled or trained centroids ------------------------------
+
+TRAIN_PER_CELL = 64       # vectors a cell's centroid is trained on (a sample by hash; every vector is indexed)
+OVERFULL = 3              # times the average number of vectors, from which a cell is split
+
 
 def default_nlist(n: int) -> int:
     return max(1, min(MAX_CELLS, int(round(4 * math.sqrt(max(n, 1))))))
@@ -270,7 +298,8 @@ def sample_centroids(vectors: DataFrame, nlist: int, *, id_col: str = "id",
 
 def _centroid_matrix(centroids: DataFrame) -> np.ndarray:
     """At most MAX_CELLS rows."""
-    return _stack([r["centroid"] for r in centroids.orderBy("cell").collect()])
+    rows = [r["centroid"] for r in centroids.orderBy("cell").collect()]
+    return np.array(rows, dtype=np.float64) if rows else np.zeros((0, 1))
 
 
 def _nearest(Q: np.ndarray, C: np.ndarray, m: int) -> np.ndarray:
@@ -293,76 +322,176 @@ def _nearest(Q: np.ndarray, C: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def train_centroids(vectors: DataFrame, start: np.ndarray, n: int, iterations: int, vec_col: str = "vec", id_col: str = "id") -> np.ndarray:
+    """Lloyd's iterations from the centroids ``start`` on a sample of about TRAIN_PER_CELL vectors a cell.
+
+    A task adds up the vectors of each cell it meets; the sums of a cell are merged in one group of at most
+    one row a task. Between iterations only the centroids (at most MAX_CELLS rows) pass the driver, so an
+    iteration never depends on the plan of the one before. A cell with more than OVERFULL times its share is split:
+    its centroid replaces that of the emptiest cell, both moved a little to either side.
+    """
+    spark, C = vectors.sparkSession, start.copy()
+    share = min(1.0, TRAIN_PER_CELL * len(C) / max(n, 1))
+    path = scratch_path(spark, "ivf-train")
+    (vectors.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(vec_col).alias("vec"))
+     .write.parquet(path))
+    sample = spark.read.parquet(path)
+    for turn in range(iterations):
+        known = spark.sparkContext.broadcast(C)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            C = known.value
+            total, count = np.zeros(C.shape), np.zeros(len(C), np.int64)
+            for pdf in batches:
+                V = _stack(pdf["vec"], C.shape[1])
+                cell = _nearest(V, C, 1)[:, 0]
+                np.add.at(total, cell, V)
+                count += np.bincount(cell, minlength=len(C))
+            met = np.flatnonzero(count)
+            yield pd.DataFrame({"cell": met, "n": count[met], "total": list(total[met])})
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"cell": pdf["cell"][:1], "n": [int(pdf["n"].sum())], "total": [np.sum(np.stack(pdf["total"]), axis=0)]})
+
+        schema = "cell long, n long, total array<double>"
+        count = np.zeros(len(C), np.int64)
+        for r in sample.mapInPandas(sums, schema).groupBy("cell").applyInPandas(merge, schema).collect():
+            count[r["cell"]] = r["n"]
+            C[r["cell"]] = np.array(r["total"]) / r["n"]
+        known.destroy()
+        if turn + 1 < iterations:
+            emptiest = np.argsort(count, kind="stable")
+            full = [c for c in np.argsort(-count, kind="stable") if count[c] > OVERFULL * count.mean()]
+            side = np.where(np.arange(C.shape[1]) % 2 == 0, 1.0, -1.0) / 1024
+            for c, e in zip(full, emptiest[:len(C) // 2]):
+                C[e], C[c] = C[c] * (1 + side), C[c] * (1 - side)
+    return C.astype(np.float32).astype(np.float64)
+
+
 def assign_cells(vectors: DataFrame, centroids: DataFrame, *, vec_col: str = "embedding") -> DataFrame:
-    """Add ``cell`` = nearest centroid (L2, ties to the lower cell) to every row."""
+    """Add ``cell`` = nearest centroid (L2, ties to the lower cell) and ``dist``, the distance to it, to every row."""
     bc = vectors.sparkSession.sparkContext.broadcast(_centroid_matrix(centroids))
-    schema = StructType(list(vectors.schema.fields)).add("cell", "integer")
+    schema = StructType(list(vectors.schema.fields)).add("cell", "integer").add("dist", "double")
     at = vectors.columns.index(vec_col)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C = bc.value
         for b in batches:
-            cell = _nearest(_stack(b.column(at).to_pylist()), bc.value, 1)[:, 0] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
+            V = _stack(b.column(at).to_pylist(), C.shape[1])
+            cell = _nearest(V, C, 1)[:, 0] if b.num_rows else np.zeros(0, np.int64)
+            dist = np.sqrt(((V - C[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(dist)], [*b.schema.names, "cell", "dist"])
 
     return vectors.mapInArrow(assign, schema)
 
 
 class CellIndex:
-    """An IVF index on shared storage: centroids, vectors partitioned by cell, and how far cells are split."""
+    """An IVF index on shared storage: centroids, vectors partitioned by cell, and per cell its size and radius."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, nlist: int | None = None, *, id_col: str = "id",
-              vec_col: str = "embedding") -> CellIndex:
-        """Write the index: sampled centroids, every vector in the cell of its nearest one."""
-        index = cls(vectors.sparkSession, path)
-        rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-        nlist = nlist or default_nlist(rows.count())
-        sample_centroids(rows, nlist).write.mode("overwrite").parquet(f"{index.path}/centroids")
+              vec_col: str = "embedding", iterations: int = 0) -> CellIndex:
+        """Write the index: sampled centroids, trained by ``iterations`` of Lloyd's, and every defined vector in the cell of
+        its nearest one. A hot cell is written by several tasks."""
+        spark = vectors.sparkSession
+        index = cls(spark, path)
+        rows = defined(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")), "embedding")
+        rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/empty")      # the schema, whatever there is
+        rows = rows.filter(F.size("embedding") == _vector_dim(rows, "embedding"))
+        n = rows.count()
+        start = sample_centroids(rows, nlist or default_nlist(n))
+        if iterations and n:
+            trained = train_centroids(rows, _centroid_matrix(start), n, iterations, "embedding")
+            start = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(trained)], "cell int, centroid array<double>").coalesce(1)
+        start.write.mode("overwrite").parquet(f"{index.path}/centroids")
         assigned = assign_cells(rows, index.centroids())
-        assigned.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{index.path}/vectors")
-        salts = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts")
-        index.vectors().groupBy("cell").agg(salts).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/cells")
+        assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{index.path}/vectors")
+        size = [F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts"), F.max("dist").alias("radius")]
+        index.vectors().groupBy("cell").agg(*size).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/cells")
         return index
 
     def centroids(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/centroids")
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
-
-    def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
-        """(query_id, vec, cell): the ``nprobe`` cells nearest to each query."""
-        C = self.spark.sparkContext.broadcast(_centroid_matrix(self.centroids()))
-        schema = StructType(list(queries.schema.fields)).add("cell", "integer")
+        empty = self.spark.read.parquet(f"{self.path}/empty").schema
+        return self.spark.read.schema(StructType(list(empty.fields)).add("dist", "double").add("cell", "integer")).parquet(f"{self.path}/vectors")
 
-        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    cells = _nearest(_stack(pdf["vec"]), C.value, nprobe)
-                    yield pdf.loc[pdf.index.repeat(cells.shape[1])].assign(cell=cells.ravel().astype(np.int32))
+    def cells(self) -> DataFrame:
+        """(cell, n, salts, radius): one row a cell."""
+        return self.spark.read.parquet(f"{self.path}/cells")
 
-        return queries.mapInPandas(probe, schema)
+    def probes(self, queries: DataFrame, nprobe: int, within: str | None = None) -> DataFrame:
+        """(query_id, vec, cell): the ``nprobe`` non-empty cells nearest to each query.
 
-    def topk(self, queries: DataFrame, k: int, nprobe: int, metric: str = "L2", *, qid_col: str = "query_id",
-             qvec_col: str = "embedding") -> DataFrame:
-        """Exact ranking inside the ``nprobe`` cells nearest to each query.
+        With ``within``, a column of ``queries``, the others that can hold a vector nearer than that: the
+        distance to the centroid is at most the cell's radius larger (triangle inequality).
+        """
+        matrix, cells = _centroid_matrix(self.centroids()), self.cells().orderBy("cell").collect()
+        number = np.array([r["cell"] for r in cells], np.int64)
+        C = self.spark.sparkContext.broadcast((matrix[number], number, np.array([r["radius"] for r in cells])))
+        schema = StructType([queries.schema["query_id"], queries.schema["vec"]]).add("cell", "integer")
+        dim = matrix.shape[1]
 
-        Only probed cells are read (the join on the partition column prunes the others), and
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centre, number, radius = C.value
+            for pdf in batches:
+                V = _stack(pdf["vec"], dim)
+                pdf, V = pdf[~np.isnan(V).any(1)], V[~np.isnan(V).any(1)]
+                for a in range(0, len(pdf), QUERY_BLOCK):
+                    part, Q = pdf.iloc[a:a + QUERY_BLOCK], V[a:a + QUERY_BLOCK]
+                    near = _nearest(Q, centre, nprobe)
+                    if within is None:
+                        who, cell = np.repeat(np.arange(len(Q)), near.shape[1]), near.ravel()
+                    else:
+                        limit = part[within].to_numpy(dtype=np.float64)[:, None] + radius[None]
+                        may = np.sqrt(_scores(Q, centre, "L2")) <= limit * (1 + 1e-9) + 1e-6
+                        np.put_along_axis(may, near, False, axis=1)
+                        who, cell = np.nonzero(may)
+                    yield part[["query_id", "vec"]].iloc[who].assign(cell=number[cell].astype(np.int32))
+
+        return queries.mapInPandas(probe, schema) if len(number) else queries.select("query_id", "vec").limit(0).withColumn("cell", F.lit(0))
+
+    def _found(self, visits: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
+        """Candidates from the visited cells.
+
+        Only these are read (the join on the partition column prunes the others), and
         cells of more than BLOCK_ROWS rows are dealt over salts.
         """
-        asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
-        visits = self.probes(asked, nprobe)
         cells = visits.select("cell").distinct()                # at most MAX_CELLS numbers
         rows = self.vectors().join(F.broadcast(cells), "cell", "left_semi")
-        salts = F.broadcast(self.spark.read.parquet(f"{self.path}/cells"))     # one row a cell
+        salts = F.broadcast(self.cells().select("cell", "salts"))              # one row a cell
         blocks = rows.join(salts, "cell").select(F.col("cell").alias("block"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
                                                  "id", F.col("embedding").alias("vec"))
         visits = visits.join(salts, "cell").select(F.col("cell").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                                                    "query_id", "vec")
-        return _merged(_visit(blocks, visits, k, metric.upper()), k)
+        return _visit(blocks, visits, k, metric, dim)
+
+    def topk(self, queries: DataFrame, k: int, nprobe: int, metric: str = "L2", *, qid_col: str = "query_id",
+             qvec_col: str = "embedding", exact: bool = False) -> DataFrame:
+        """Exact ranking inside the ``nprobe`` cells nearest to each query.
+
+        With ``exact`` (L2 only) the search goes on: the k-th hit of those cells bounds the distance, and every
+        cell that the triangle inequality doesn't exclude is visited too, so the result is that of the full search.
+        """
+        metric = metric.upper()
+        if exact and metric != "L2":
+            raise ValueError("the triangle inequality stops an L2 search only")
+        asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("vec"))
+        dim = max(1, _centroid_matrix(self.centroids()).shape[1])
+        first = self._found(self.probes(asked, nprobe), k, metric, dim)
+        if not exact:
+            return _merged(first, k)
+        path = scratch_path(self.spark, "ivf-first")
+        first.write.parquet(path)
+        first = self.spark.read.schema(first.schema).parquet(path)
+        kth = _merged(first, k).filter(F.col("rk") == k).select("query_id", F.sqrt("distance").alias("within"))
+        going = asked.join(kth, "query_id", "left").fillna({"within": float("inf")})
+        second = self._found(self.probes(going, nprobe, "within"), k, metric, dim)
+        return _merged(first.unionByName(second), k)
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from textvault import catalog as C
 from textvault.catalog import register
+from textvault.functions import bits as BT
 from textvault.functions import units as UN
+from textvault.functions import vectors as V
+from textvault.operators import bit_search as BS
 from textvault.operators import dictionary as DI
 from textvault.operators import search as S
 from textvault.operators import token_sets as TS
@@ -120,3 +123,46 @@ def q_ivf_exact_recall(spark, sf):
     index, qv = trained_index(spark, sf), C._emb_queries(spark, sf)
     rec = S.recall_at_k(S.exact_topk(TB.vectors(spark, sf), qv, C.VEC_K), index.topk(qv, C.VEC_K, C._nprobe(index), exact=True))
     return rec.select(F.col("query_id").cast("bigint"), F.round("recall", 6).alias("recall"))
+
+
+# ---------------------------------------------------------------------------
+# packed sign bits (V6, V7, V8)
+# ---------------------------------------------------------------------------
+
+def _bit_rows(spark, sf):
+    """Sign bits of the vectors (those of label 3 are zero vectors), and of the queries: a bit per token bucket."""
+    v = C._with_zeros(spark, sf)
+    rows = v.select("id", BT.pack_signs(F.col("embedding"), C.Q_DIM_EMB).alias("bits"))
+    asked = TB.queries_text(spark, sf).select("query_id", BT.pack_positions(V.token_buckets(F.col("text"), C.Q_DIM_EMB), C.Q_DIM_EMB).alias("bits"))
+    return rows, asked
+
+
+def _bits_query(metric: str):
+    def q(spark, sf):
+        rows, asked = _bit_rows(spark, sf)
+        top = BS.BitIndex(rows, C.Q_DIM_EMB).topk(asked, C.VEC_K, metric)
+        return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"), F.round("distance", 6).alias("distance"), F.col("rk").cast("bigint"))
+    return q
+
+
+for _m in ["HAMMING", "JACCARD", "TANIMOTO"]:
+    register(f"bit_search_{_m.lower()}", C.ORACLE[f"vector_search_{_m.lower()}"])(_bits_query(_m))
+
+
+# every vector among the vectors themselves, where blocks prove the nearest hits
+@register("bit_search_own", """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+d AS (SELECT q.id AS query_id, v.id, len(list_filter(list_zip(q.b, v.b), lambda t: t[1] <> t[2])) AS dist FROM v q CROSS JOIN v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rk FROM d)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, CAST(dist AS BIGINT) AS distance, CAST(rk AS BIGINT) AS rk FROM r WHERE rk = 1""")
+def q_bit_search_own(spark, sf):
+    rows = TB.vectors(spark, sf).select("id", BT.pack_signs(F.col("embedding"), C.Q_DIM_EMB).alias("bits"))
+    top = BS.BitIndex(rows, C.Q_DIM_EMB).topk(rows, 1, id_col="id")
+    return top.select(F.col("query_id").cast("bigint"), F.col("id").cast("bigint"), F.col("distance").cast("bigint"), F.col("rk").cast("bigint"))
+
+
+@register("bit_pair_metrics", "SELECT id, hamming, jaccard, tanimoto FROM (" + C.ORACLE["vector_pair_metrics"] + ")")
+def q_bit_pair_metrics(spark, sf):
+    p = C._pairs(spark, sf).select("id", BT.pack_signs(F.col("ea"), C.Q_DIM_EMB).alias("a"), BT.pack_signs(F.col("eb"), C.Q_DIM_EMB).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return p.select(F.col("id").cast("bigint"), BT.hamming(a, b).alias("hamming"), F.round(BT.jaccard(a, b), 6).alias("jaccard"),
+                    F.round(BT.tanimoto(a, b), 6).alias("tanimoto"))

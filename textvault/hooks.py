@@ -14,9 +14,10 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from textvault.functions import vectors as V
 from textvault.functions.units import word_tokens
@@ -79,5 +80,39 @@ def text_extractor(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["filename", "page_no", "text"])
 
 
+class PageExtractor:
+    """Table function (bytes) -> (page_no, text) rows; called in a lateral join from SQL.
+
+    The default takes UTF-8 bytes and starts a page at every form feed; bytes that aren't UTF-8 are one empty
+    page, NULL has none. A subclass overrides :meth:`pages`.
+    """
+
+    @staticmethod
+    def analyze(content: AnalyzeArgument) -> AnalyzeResult:
+        if content.isTable or content.dataType not in (T.BinaryType(), T.NullType()):
+            raise ValueError(f"a page extractor takes binary content, not {content.dataType.simpleString()}")
+        return AnalyzeResult(schema=T.StructType().add("page_no", "long").add("text", "string"))
+
+    def pages(self, content: bytes) -> list[str]:
+        try:
+            return content.decode("utf-8").split("\f")
+        except UnicodeDecodeError:
+            return [""]
+
+    def eval(self, content: bytes):
+        if content is not None:
+            yield from enumerate(self.pages(bytes(content)))
+
+
+def register_extractor(spark: SparkSession, name: str = "extract_pages", extractor: type = PageExtractor) -> None:
+    """Make an extractor a table function of the session."""
+    spark.udtf.register(name, F.udtf(extractor))
+
+
+def lateral_pages(files: DataFrame, name: str = "extract_pages") -> DataFrame:
+    """(filename, page_no, text) of (filename, content) rows through a registered extractor."""
+    return files.sparkSession.sql(f"SELECT f.filename, p.page_no, p.text FROM {{files}} f, LATERAL {name}(f.content) p", files=files)
+
+
 def extract_pages(docs: DataFrame, extractor=text_extractor) -> DataFrame:
     return docs.select("filename", "content").mapInPandas(extractor, "filename string, page_no long, text string")

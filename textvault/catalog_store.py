@@ -14,6 +14,8 @@ from textvault.catalog import register
 from textvault.functions import units as UN
 from textvault.operators import fuzzy as FZ
 from textvault.operators import numbering as NU
+from textvault.operators import store as ST
+from textvault.plans import build as B
 from textvault.plans import duck as D
 from textvault.plans import retrieve as R
 from textvault.plans import statements as STM
@@ -123,3 +125,90 @@ def q_lateral_pages(spark, sf):
     files = c.groupBy("filename").agg(F.expr("listagg(text, '\x0c') WITHIN GROUP (ORDER BY page_no)").alias("t"))
     HO.register_extractor(spark)
     return HO.lateral_pages(files.select("filename", F.encode("t", "UTF-8").alias("content")))
+
+
+# ---------------------------------------------------------------------------
+# the maintained store
+# ---------------------------------------------------------------------------
+
+def synced_store(spark, sf) -> ST.KnowledgeStore:
+    """A store that was filled with the old listing and synced with the new one, once per session and input."""
+    def build(path):
+        store = ST.KnowledgeStore(spark, path)
+        old, new = C._snapshots(spark, sf)
+        SY.sync_store(store, old, C._OLD_P)
+        SY.sync_store(store, new, C._NEW_P)
+        return store
+    return C.built(spark, sf, "store", build)
+
+
+@register("store_files", C.ORACLE["sync_files_after"])
+def q_store_files(spark, sf):
+    return synced_store(spark, sf).files().select("filename_md5", "filename", "text_md5", F.unix_millis("create_time").alias("create_ms"),
+                                                  F.unix_millis("update_time").alias("update_ms"))
+
+
+@register("store_chunks", C.ORACLE["sync_chunks_after"])
+def q_store_chunks(spark, sf):
+    return synced_store(spark, sf).chunks().select("filename_md5_no", "chunk_md5", F.unix_millis("update_time").alias("update_ms"))
+
+
+@register("store_search", f"""WITH RECURSIVE {C._SNAP_SQL},
+{D.preprocess_ctes('new_src', 'filename', 'raw_text', 'newp')},
+{D.chunk_ctes('newp', 'filename', 'text', 400, 0, None)},
+cp AS (SELECT md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS id, filename, chunk_no,
+              {D.chunk_fp('filename', 'chunk_no', 'chunk')} AS full_text, chunk FROM chunks),
+{D.sparse_embedding_ctes('cp', 'id', 'full_text', 512, 'vw')},
+qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{D.sparse_embedding_ctes('qs', 'query_id', 'text', 512, 'qw')},
+top AS ({D.sparse_topk_sql('qw', 'vw', C.SEARCH_K, 'L2', 'filename_md5_no')})
+SELECT CAST(t.query_id AS BIGINT) AS query_id, CAST(t.rk AS BIGINT) AS rk, c.filename, CAST(c.chunk_no AS BIGINT) AS chunk_no,
+       t.distance, md5(c.chunk) AS chunk_md5 FROM top t JOIN cp c ON c.id = t.filename_md5_no""")
+def q_store_search(spark, sf):
+    _, hits = R.search_store(synced_store(spark, sf), TB.queries_text(spark, sf), 0, C.SEARCH_K)
+    return hits.select(F.col("query_id").cast("bigint"), F.col("rk").cast("bigint"), "filename", F.col("chunk_no").cast("bigint"),
+                       F.round("distance", 6).alias("distance"), F.md5("chunk").alias("chunk_md5"))
+
+
+@register("store_refresh_chunks", C.ORACLE["sync_rechunked"])
+def q_store_refresh_chunks(spark, sf):
+    """The full refresh that other chunk parameters cause."""
+    def build(path):
+        store = ST.KnowledgeStore(spark, path)
+        SY.sync_store(store, C._snapshots(spark, sf)[0], C._OLD_P)
+        SY.sync_store(store, C._snapshots(spark, sf)[1], C._SMALL_P)
+        return store
+    return C.built(spark, sf, "store-refresh", build).chunks().select("filename_md5_no", "chunk_md5")
+
+
+@register("chunks_deleted", f"""WITH RECURSIVE {C._sync_status_ctes()},
+{D.chunk_ctes('oldp', 'filename', 'text', 400, 0, None, 'oc')}
+SELECT md5(filename) || '_' || CAST(chunk_no AS VARCHAR) AS filename_md5_no FROM oc WHERE filename NOT IN (SELECT filename FROM st WHERE status = 'changed')""")
+def q_chunks_deleted(spark, sf):
+    kb = C._old_kb(spark, sf)
+    st = SY.written_status(kb.files(), C._snapshots(spark, sf)[1])
+    gone = st.filter(F.col("status") == "changed").select(F.md5("filename").alias(ST.FILE_KEY))
+    return ST.delete_chunk_by_filename_md5(kb.chunks(), gone).select("filename_md5_no")
+
+
+@register("sync_repeated_names", f"""WITH {C._SNAP_SQL},
+twice AS (SELECT filename, raw_text FROM new_src UNION ALL SELECT d.filename, d.text || ' again' FROM docs d JOIN labels l USING (doc_id) WHERE quality = 1
+          UNION ALL SELECT filename || '.none', '' FROM new_src UNION ALL SELECT filename, raw_text FROM new_src),
+rows_ AS (SELECT filename, raw_text, row_number() OVER () AS i FROM twice),
+{D.preprocess_ctes('old_src', 'filename', 'raw_text', 'oldp')},
+{D.preprocess_ctes('rows_', 'i', 'raw_text', 'newp')},
+n AS (SELECT filename, md5({D.file_fp('filename', 'text')}) AS new_md5, length(text) AS text_length FROM newp JOIN rows_ USING (i)),
+newm AS (SELECT filename, min(new_md5) AS new_md5, arg_min(text_length, new_md5) AS text_length, count(*) AS copies FROM n GROUP BY filename),
+oldm AS (SELECT filename, md5({D.file_fp('filename', 'text')}) AS old_md5 FROM oldp)
+SELECT coalesce(o.filename, n.filename) AS filename, CASE WHEN new_md5 IS NULL THEN 'deleted' WHEN new_md5 = old_md5 THEN 'unchanged'
+       WHEN old_md5 IS NULL THEN 'new' ELSE 'changed' END AS status, new_md5, CAST(text_length AS BIGINT) AS text_length, CAST(copies AS BIGINT) AS copies
+FROM oldm o FULL OUTER JOIN newm n ON o.filename = n.filename""")
+def q_sync_repeated_names(spark, sf):
+    _, new = TB.snapshots(spark, sf)
+    good = TB.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    docs = TB.corpus(spark, sf).withColumn("doc_id", F.regexp_extract("filename", r"_(\d+)\.txt$", 1).cast("bigint"))
+    again = docs.join(good, "doc_id").select("filename", F.concat("raw_text", F.lit(" again")).alias("raw_text"))
+    none = new.select(F.concat("filename", F.lit(".none")).alias("filename"), F.lit(None).cast("string").alias("raw_text"))
+    listing = B.preprocess(new.unionByName(again).unionByName(none).unionByName(new))
+    st = SY.diff(SY.manifest(C._old_kb(spark, sf).files()), SY.fingerprints(listing))
+    return st.select("filename", "status", "new_md5", "text_length", F.col("copies").cast("bigint"))

@@ -9,7 +9,8 @@ Layout of a store root::
     <root>/chunks/bucket=<b>/   kbs_chunk rows of the same files
     <root>/_commits/<N>         note of commit N, written last
 
-``bucket`` is a hash of ``filename_md5``. A commit rewrites only the buckets in which a file
+``bucket`` is a hash of ``filename_md5``; a rebuild makes as many as the texts need at ``BUCKET_CHARS``
+each, so that a bucket stays one task's work at every size of the store. A commit rewrites only the buckets in which a file
 changed (dynamic partition overwrite); the others are neither read nor written. Chunks are
 written before files and the note last: what decides whether a file is up to date is
 its file row, so a commit that breaks off is done again by the next sync.
@@ -25,21 +26,42 @@ from pyspark.sql.types import StructType
 
 FILE_KEY = "filename_md5"
 CHUNK_KEY = "filename_md5_no"
+BUCKET_CHARS = 64 << 20       # of texts in a bucket; chunks, vectors and the texts themselves take a few times that on disk
+MAX_BUCKETS = 1 << 20
+
+
+def buckets_for(chars: int) -> int:
+    """Number of buckets for texts of that many characters."""
+    return max(1, min(MAX_BUCKETS, -(-chars // BUCKET_CHARS)))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str | list[str]) -> DataFrame:
-    """INSERT OR REPLACE on a unique key: rows of ``updates`` win."""
+    """INSERT OR REPLACE on a unique key: rows of ``updates`` win, and of several with one key the greatest by all
+    their columns in order (rows have no order that could make one the last). Rows with a NULL in the key have none: those of
+    ``updates`` are left out."""
     keys = [key] if isinstance(key, str) else key
+    rest = [c for c in updates.columns if c not in keys]
+    once = updates.dropna(subset=keys)
+    once = once.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else once.distinct()
+    return _replaced(base, once.select(*updates.columns), keys)
+
+
+def _replaced(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`upsert` of rows whose keys are known to be unique."""
     return base.join(updates.select(*keys), keys, "left_anti").unionByName(updates, allowMissingColumns=True)
 
 
 def upsert_keep_created(base: DataFrame, updates: DataFrame, key: str = FILE_KEY,
                         created: str = "create_time") -> DataFrame:
-    """Upsert that keeps the stored creation time of replaced rows."""
+    """Upsert of rows with unique keys that keeps the stored creation time of replaced rows."""
     old_created = base.select(key, F.col(created).alias("_old_created"))
     upd = (updates.join(old_created, key, "left")
            .withColumn(created, F.coalesce("_old_created", F.col(created))).drop("_old_created"))
-    return upsert(base, upd, key)
+    return _replaced(base, upd, [key])
 
 
 def lookup(rows: DataFrame, value: str, key: str = FILE_KEY) -> DataFrame:
@@ -69,16 +91,17 @@ def delete_chunk_by_filename_md5(chunks: DataFrame, keys: DataFrame) -> DataFram
 class KnowledgeStore:
     """File and chunk tables under one root on a shared file system, in hash buckets."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """``buckets``: a fixed number instead of the one that a rebuild finds from the size."""
+        self.spark, self.root, self.fixed = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         last = self.note()
-        self.buckets = int(last["buckets"]) if last else buckets
+        self.buckets = int(last["buckets"]) if last else buckets or 1
 
     def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        return bucket_of(key, self.buckets)
 
     # -- commits ------------------------------------------------------------
     def versions(self) -> list[int]:
@@ -91,17 +114,17 @@ class KnowledgeStore:
         v = self.versions()
         return v[-1] if v else None
 
-    def note(self) -> dict[str, str]:
-        """What the last commit noted: buckets, chunk parameters, stream epoch."""
+    def note(self) -> dict:
+        """What the last commit noted: buckets, chunk parameters, stream epoch, schemas."""
         v = self.current_version()
         if v is None:
             return {}
         text = self.spark.read.text(f"{self.root}/_commits/{v}", wholetext=True).first()["value"]
-        return dict(x.split("=", 1) for x in text.split(";") if "=" in x)
+        return json.loads(text)
 
     def _read(self, table: str) -> DataFrame | None:
         note = self.note()     # holds the schema, which an emptied table has no file to tell from
-        return self.spark.read.schema(StructType.fromJson(json.loads(note[table]))).parquet(f"{self.root}/{table}") if note else None
+        return self.spark.read.schema(StructType.fromJson(note[table])).parquet(f"{self.root}/{table}") if note else None
 
     def files(self) -> DataFrame | None:
         return self._read("files")
@@ -135,13 +158,14 @@ class KnowledgeStore:
         self._write(files, "files", touched)
         v = (self.current_version() or 0) + 1
         out = self._fs.create(self._Path(f"{self.root}/_commits/{v}"), False)
-        schema = lambda df: json.dumps(df.drop("bucket").schema.add("bucket", "integer").jsonValue())
+        schema = lambda df: StructType([f for f in df.schema.fields if f.name != "bucket"]).add("bucket", "integer").jsonValue()
         fields = {"buckets": self.buckets, **note, "files": schema(files), "chunks": schema(chunks)}
-        text = ";".join(f"{k}={x}" for k, x in fields.items())
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(json.dumps(fields).encode("utf-8")))
         out.close()
         return v
 
     def rebuild(self, files: DataFrame, chunks: DataFrame, **note) -> int:
-        """Full refresh: nothing of earlier commits stays."""
+        """Full refresh: nothing of earlier commits stays, and the number of buckets follows the size."""
+        chars = files.agg(F.coalesce(F.sum(F.col("text_length").cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+        self.buckets = self.fixed or buckets_for(chars)
         return self.commit(files, chunks, None, **note)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textvault.functions import text as TX
 from textvault.functions.units import explode_items, with_chunks, word_tokens
 from textvault.hooks import HashingEmbedder
+from textvault.operators import store as ST
 
 
 @dataclass(frozen=True)
@@ -110,21 +111,39 @@ def document_profile(texts: DataFrame, p: BuildParams = BuildParams(), text_col:
 
 
 class Knowledge:
-    """File and chunk tables with their vectors on shared storage, written once and searched many times."""
+    """File and chunk tables with their vectors on shared storage, written once and searched many times.
+
+    Chunks are partitioned by a hash bucket of their file, so that the texts of a few hits are read from their
+    buckets alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._buckets: int | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, p: BuildParams = BuildParams()) -> Knowledge:
         """Write the tables of (filename, text) rows."""
         kb = cls(docs.sparkSession, path)
         file_rows(docs, p).write.mode("overwrite").parquet(f"{kb.path}/files")
-        chunk_rows(docs, p).write.mode("overwrite").parquet(f"{kb.path}/chunks")
+        chars = kb.files().agg(F.coalesce(F.sum(F.col("text_length").cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+        kb._buckets = ST.buckets_for(chars)
+        chunks = chunk_rows(docs, p).withColumn("bucket", ST.bucket_of(F.col("filename_md5"), kb._buckets))
+        (chunks.hint("rebalance", "bucket") if kb._buckets > 1 else chunks).write.mode("overwrite").partitionBy("bucket").parquet(f"{kb.path}/chunks")
+        chunks.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{kb.path}/layout")
+        kb.spark.createDataFrame([(kb._buckets,)], "n int").coalesce(1).write.mode("overwrite").parquet(f"{kb.path}/buckets")
         return kb
 
+    @property
+    def buckets(self) -> int:
+        if self._buckets is None:
+            self._buckets = self.spark.read.parquet(f"{self.path}/buckets").first()["n"]
+        return self._buckets
+
     def files(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/files")
 
-    def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
+    def chunks(self, with_bucket: bool = False) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path}/layout").schema      # an empty table has no other
+        chunks = self.spark.read.schema(schema).parquet(f"{self.path}/chunks")
+        return chunks if with_bucket else chunks.drop("bucket")

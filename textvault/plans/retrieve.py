@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textvault.functions.text import chunk_label, show_text
 from textvault.hooks import HashingEmbedder
 from textvault.operators.search import exact_topk
-from textvault.operators.store import CHUNK_KEY, FILE_KEY
+from textvault.operators.store import CHUNK_KEY, FILE_KEY, bucket_of
 from textvault.plans.build import chunk_vectors, file_vectors
 
 FILES_LABEL = "你可能感兴趣的文件"  # fixed value: transcript label of the file hits
@@ -29,23 +29,35 @@ def file_hits(files: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str =
     return named.select("query_id", "rk", F.col("id").alias(FILE_KEY), "filename", "distance")
 
 
-def chunk_hits(chunks: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str = "L2") -> DataFrame:
-    """(query_id, rk, filename_md5_no, filename, chunk_no, chunk, distance)."""
+def chunk_hits(chunks: DataFrame, qvecs: DataFrame, limit: int = 3, metric: str = "L2", buckets: int | None = None) -> DataFrame:
+    """(query_id, rk, filename_md5_no, filename, chunk_no, chunk, distance).
+
+    ``chunks`` that are partitioned by ``bucket`` into ``buckets`` are joined by bucket and key, so that
+    texts are read from the buckets of the hits alone (dynamic partition pruning).
+    """
     top = exact_topk(chunk_vectors(chunks).withColumnRenamed(CHUNK_KEY, "id"), qvecs, limit, metric)
-    texts = chunks.select(F.col(CHUNK_KEY).alias("id"), "filename", "chunk_no", "chunk")
-    return top.join(texts, "id").select("query_id", "rk", F.col("id").alias(CHUNK_KEY), "filename", "chunk_no", "chunk", "distance")
+    texts, keys = chunks.select(F.col(CHUNK_KEY).alias("id"), "filename", "chunk_no", "chunk", *(["bucket"] if buckets else [])), ["id"]
+    if buckets:
+        top, keys = top.withColumn("bucket", bucket_of(F.substring_index("id", "_", 1), buckets)), ["id", "bucket"]
+    return top.join(texts, keys).select("query_id", "rk", F.col("id").alias(CHUNK_KEY), "filename", "chunk_no", "chunk", "distance")
 
 
 def search_kbs(files: DataFrame, chunks: DataFrame, queries: DataFrame, file_limit: int = 3,
                chunk_limit: int = 3, metric: str = "L2", embedder=None,
-               filename_filter: str | None = None) -> tuple[DataFrame, DataFrame]:
+               filename_filter: str | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both searches sharing one query embedding. ``filename_filter`` is an
-    optional substring pre-filter on file names (an extension)."""
+    optional substring pre-filter on file names (an extension). ``buckets``: see :func:`chunk_hits`."""
     qv = embed_queries(queries, embedder)
     if filename_filter:
         files = files.filter(F.col("filename").contains(filename_filter))
         chunks = chunks.filter(F.col("filename").contains(filename_filter))
-    return file_hits(files, qv, file_limit, metric), chunk_hits(chunks, qv, chunk_limit, metric)
+    return file_hits(files, qv, file_limit, metric), chunk_hits(chunks, qv, chunk_limit, metric, buckets)
+
+
+def search_store(store, queries: DataFrame, file_limit: int = 3, chunk_limit: int = 3, metric: str = "L2", embedder=None,
+                 filename_filter: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`search_kbs` over the tables that a sync or the stream maintains (a ``KnowledgeStore`` with a commit)."""
+    return search_kbs(store.files(), store.chunks(), queries, file_limit, chunk_limit, metric, embedder, filename_filter, store.buckets)
 
 
 def transcript(queries: DataFrame, fhits: DataFrame, chits: DataFrame) -> DataFrame:

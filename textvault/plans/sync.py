@@ -8,6 +8,10 @@ listing is read twice: for its fingerprints, and for the files that must be rebu
 texts are joined with the names to rebuild. Of the store only the buckets with a changed
 file are read and rewritten. Chunks of unchanged files are rebuilt when the chunk
 parameters differ from those of the last commit.
+
+Defined results: a NULL text is an empty text (as a file that cannot be decoded); rows without a name are
+not files and left out; of several rows of one name the one with the smallest fingerprint is the file, so
+a second sync of the same listing finds nothing to do, in whatever order its rows come.
 """
 
 from __future__ import annotations
@@ -17,13 +21,16 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textvault.operators.store import FILE_KEY, delete_all_by_filename_md5, delete_by_keys, upsert_keep_created
+from textvault.functions import text as TX
+from textvault.operators.store import FILE_KEY, buckets_for, delete_all_by_filename_md5, delete_by_keys, upsert_keep_created
 from textvault.plans import build as B
 from textvault.session import scratch_path
 
 # Per-file status labels shown to the user.
 STATUS_LABEL = {"deleted": "已删除", "unchanged": "无改动", "rebuilt": "字符数="}
 
+OUTGROWN = 4      # times the number of buckets there is, which a store must need before a sync deals it anew
+
 
 def manifest(files: DataFrame) -> DataFrame:
     """(filename, text_md5) of stored files."""
@@ -31,18 +38,35 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(filename, text_md5, text_length) of preprocessed (filename, text) rows."""
-    f = B.file_rows(docs, embed=False)
-    return f.select("filename", "text_md5", F.col("text_length").cast("bigint").alias("text_length"))
+    """(filename, text_md5, text_length, copies), one row per name, of preprocessed (filename, text) rows."""
+    f = B.file_rows(named(docs), embed=False)
+    one = F.min(F.struct("text_md5", F.col("text_length").cast("bigint").alias("text_length"))).alias("one")
+    return f.groupBy("filename").agg(one, F.count(F.lit(1)).alias("copies")).select("filename", "one.*", "copies")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """The rows that have a name, with '' for a NULL text."""
+    return docs.filter("filename is not null").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def one_row_a_name(docs: DataFrame, status: DataFrame) -> DataFrame:
+    """(filename, text) with the row that counts of each name. Only texts of repeated names are shuffled."""
+    docs = named(docs).select("filename", "text")
+    again = status.filter("copies > 1").select("filename", "new_md5")
+    if again.isEmpty():
+        return docs
+    md5 = F.md5(TX.file_fingerprint_text(F.col("filename"), F.col("text")))
+    repeated = docs.join(again, "filename").filter(md5 == F.col("new_md5")).select("filename", "text")
+    return docs.join(again, "filename", "left_anti").unionByName(repeated.dropDuplicates(["filename"]))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(filename, status, old_md5, new_md5, text_length) over the union of names.
+    """(filename, status, label, old_md5, new_md5, text_length, copies) over the union of names.
 
     A missing old fingerprint reads as '' (lookup with default).
     """
     j = old.select("filename", F.col("text_md5").alias("old_md5")).join(
-        new.select("filename", F.col("text_md5").alias("new_md5"), "text_length"), "filename", "full_outer")
+        new.select("filename", F.col("text_md5").alias("new_md5"), "text_length", "copies"), "filename", "full_outer")
     old_md5 = F.coalesce(F.col("old_md5"), F.lit(""))
     status = (F.when(F.col("new_md5").isNull(), "deleted")
               .when(F.col("new_md5") == old_md5, "unchanged")
@@ -51,7 +75,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     label = (F.when(status == "deleted", STATUS_LABEL["deleted"])
              .when(status == "unchanged", STATUS_LABEL["unchanged"])
              .otherwise(F.concat(F.lit(STATUS_LABEL["rebuilt"]), F.col("text_length").cast("string"))))
-    return j.select("filename", status.alias("status"), label.alias("label"), "old_md5", "new_md5", "text_length")
+    return j.select("filename", status.alias("status"), label.alias("label"), "old_md5", "new_md5", "text_length", "copies")
 
 
 def name_sets(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -91,6 +115,7 @@ def apply(files: DataFrame, chunks: DataFrame, new_docs: DataFrame, params: B.Bu
     anew); changed files keep their creation time.
     """
     status = written_status(files, new_docs) if status is None else status
+    new_docs = one_row_a_name(new_docs, status)
     names = lambda *kinds: status.filter(F.col("status").isin(*kinds))
     keys = lambda *kinds: names(*kinds).select(F.md5("filename").alias(FILE_KEY))
     todo = new_docs.join(names("new", "changed").select("filename"), "filename", "left_semi")
@@ -107,25 +132,27 @@ def sync_store(store, new_docs: DataFrame, params: B.BuildParams) -> tuple[int,
     note = {"params": params.fingerprint()}
     files, chunks = store.files(), store.chunks()
     if files is None:
-        none = new_docs.sparkSession.createDataFrame([], "filename string, text_md5 string")
-        v = store.rebuild(B.file_rows(new_docs, params), B.chunk_rows(new_docs, params), **note)
-        return v, diff(none, fingerprints(new_docs))
+        status = written_status(new_docs.sparkSession.createDataFrame([], "filename string, text_md5 string"), new_docs)
+        docs = one_row_a_name(new_docs, status)
+        return store.rebuild(B.file_rows(docs, params), B.chunk_rows(docs, params), **note), status
     rechunk = store.note().get("params") != note["params"]
     status = written_status(files, new_docs)
-    if rechunk:
-        touched = None
-    else:
+    chars = status.filter("status <> 'deleted'").agg(F.coalesce(F.sum("text_length"), F.lit(0)).alias("n")).first()["n"]
+    outgrown = store.fixed is None and buckets_for(chars) > OUTGROWN * store.buckets
+    touched = None
+    if not (rechunk or outgrown):
         touched = store.touched(status.filter("status <> 'unchanged'").select(F.md5("filename").alias(FILE_KEY)))
         if not touched:
             return store.current_version(), status
         files, chunks = (x.filter(F.col("bucket").isin(touched)) for x in (files, chunks))
     _, fa, ca = apply(files.drop("bucket"), chunks.drop("bucket"), new_docs, params, True, rechunk, status)
-    if rechunk:      # a full refresh replaces what it reads: set it aside first
-        spark = new_docs.sparkSession
-        for name, df in (("files", fa), ("chunks", ca)):
-            df.write.parquet(path := scratch_path(spark, f"rechunk-{name}"))
-            fa, ca = (spark.read.parquet(path), ca) if name == "files" else (fa, spark.read.parquet(path))
-    return store.commit(fa, ca, touched, **note), status
+    if touched is not None:
+        return store.commit(fa, ca, touched, **note), status
+    spark = new_docs.sparkSession                # a full refresh replaces what it reads: set it aside first
+    aside = [scratch_path(spark, f"refresh-{name}") for name in ("files", "chunks")]
+    for path, df in zip(aside, (fa, ca)):
+        df.write.parquet(path)
+    return store.rebuild(*(spark.read.parquet(path) for path in aside), **note), status
 
 
 def with_as_of(p: B.BuildParams, as_of) -> B.BuildParams:

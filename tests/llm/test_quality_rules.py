@@ -51,6 +51,14 @@ def test_binomial_tail(spark):
         for r in got:
             want = sum(math.comb(r["n"], i) * p ** i * (1 - p) ** (r["n"] - i) for i in range(r["k"] + 1))
             assert r["v"] == pytest.approx(want, rel=1e-8, abs=1e-280)
+    n, k, p = 10_000_000, 199_000, 0.02                       # twenty thousand terms matter not: a few thousand are walked
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term = 0.0, 1.0
+    for i in range(k, 0, -1):
+        total += term
+        term *= i * (1 - p) / ((n - i + 1) * p)
+    got = spark.createDataFrame([(n, k)], "n long, k long").select(R.at_most(F.col("n"), F.col("k"), p).alias("v")).first()["v"]
+    assert got == pytest.approx(math.exp(log) * (total + term), rel=1e-5)
 
 
 def test_no_python_in_the_plan(spark):

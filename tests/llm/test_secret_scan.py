@@ -123,3 +123,26 @@ def test_edges(spark):
     out = S.redact(df)
     assert out.columns == df.columns
     assert sorted(r["text"] or "" for r in out.collect()) == ["", "", "", "[secret]"]
+
+
+def test_long_dotted_run_is_linear_and_quick_refusal_is_sound():
+    import base64
+    import json
+    import random
+    import time
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+    body = base64.urlsafe_b64encode(b'{"sub": "1"}').decode().rstrip("=")
+    text = "eyJ" * 1_000_000 + "." + body + "." + "x" * 43
+    t0 = time.time()
+    assert [k for k, *_ in S.scan_text(text) if k == "jwt"] == []
+    assert time.time() - t0 < 20
+    found = [s for s in S.scan_text("eyJ" * 1000 + head + "." + body + "." + "x" * 43) if s[0] == "jwt"]
+    assert found == [("jwt", 3000, 3000 + len(head) + len(body) + 45)]
+    rng = random.Random(3)
+    for _ in range(3000):
+        raw = rng.choice([b'{"', b'{ "', b'{\n"alg":1,"', b'{"\xc3', b'{}', b'{"a":']) + bytes(rng.choice(b'":{}a\\ \x00\xc3\xa9') for _ in range(rng.randint(0, 60)))
+        part = base64.urlsafe_b64encode(raw).decode().rstrip("=")
+        if S.json_object(part) is not None and S.json_object(part):
+            assert S.may_begin_object(part[:64])
+    long_key = base64.urlsafe_b64encode(json.dumps({"k" * 90: 1, "alg": "HS256"}).encode()).decode().rstrip("=")
+    assert S.may_begin_object(long_key[:64]) and S.is_signed_token(f"{long_key}.{body}.{'x' * 20}")

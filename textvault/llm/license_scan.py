@@ -265,11 +265,14 @@ class Templates:
                 found.append((n, {"license": lic, "kind": kind, "start": toks[first][1], "end": toks[end - 1][2],
                                   "coverage": n / len(template), "words": n}))
         found.sort(key=lambda x: (-x[0], -x[1]["coverage"], x[1]["start"], x[1]["license"], x[1]["kind"]))
-        kept: list[dict] = []
+        kept: list[dict] = []                      # by place; none overlaps another
+        starts: list[int] = []
         for _, f in found:
-            if all(f["end"] <= g["start"] or f["start"] >= g["end"] for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f["start"])
+            at = bisect_right(starts, f["start"])
+            if (not at or kept[at - 1]["end"] <= f["start"]) and (at == len(kept) or f["end"] <= starts[at]):
+                kept.insert(at, f)
+                starts.insert(at, f["start"])
+        return kept
 
 
 @F.pandas_udf(FOUND)

@@ -156,9 +156,11 @@ def column_matrix(c) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    v = F.col("vector")
+    """Vectors that take part, as doubles where the table holds doubles, else as floats."""
+    v, kind = F.col("vector"), vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    return (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
             .filter(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)))
 
 
@@ -180,7 +182,8 @@ def indexed(rows: DataFrame, matrix: np.ndarray, nodes: list, most: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(cell_of(p, nodes)), b.column(0), b.column(1), pa.array(list(p))],
                                              ["cell", "vec_id", "vector", "projected"])
 
-    return rows.select("vec_id", "vector").mapInArrow(assign, "cell long, vec_id long, vector array<float>, projected array<double>")
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select("vec_id", "vector").mapInArrow(assign, f"cell long, vec_id long, vector {kind}, projected array<double>")
 
 
 def visit(index: DataFrame, visits: DataFrame, matrix: np.ndarray, k: int, far: float) -> DataFrame:
@@ -241,8 +244,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sure: float = 0.
     dim, n = sizes["dim"], sizes["n"]
     rows, asked = rows.filter(F.size("vector") == dim), asked.filter(F.size("vector") == dim)
     matrix, far = projection(dim, seed), reach(sure)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    points = unit(np.array([r["vector"] for r in sample], dtype=np.float64)) @ matrix
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(unit(column_matrix(b.column(0))) @ matrix))], ["point"])
+
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").mapInArrow(projected, "point array<double>")
+    points = np.array([r["point"] for r in sample.collect()], dtype=np.float64)
     cells = 1 << max(0, min(int(math.log2(MAX_CELLS)), round(math.log2(max(1, n / WANT_ROWS)))))
     nodes = split_tree(points, cells)
     index = stored(indexed(rows, matrix, nodes, k + 1 + MORE), "projected-index")
@@ -261,18 +269,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sure: float = 0.
         for b in batches:
             if not b.num_rows:
                 continue
-            best = b.column(2).to_numpy(zero_copy_only=False)
-            p = unit(column_matrix(b.column(1))) @ matrix
-            bound = outside(p, low, high)
-            at_home = np.zeros(bound.shape, bool)
-            at_home[np.arange(len(p)), bound.argmin(1)] = True
-            who, to = np.nonzero(at_home if home else ~at_home & (bound <= far * best[:, None]))
-            for s in range(int(salts.max())):
+            for b, s in ((b.slice(a, BLOCK), s) for a in range(0, b.num_rows, BLOCK) for s in range(int(salts.max()))):
+                best = b.column(2).to_numpy(zero_copy_only=False)
+                if s == 0:                        # a block of queries against the boxes, whatever the batch holds
+                    bound = outside(unit(column_matrix(b.column(1))) @ matrix, low, high)
+                    at_home = np.zeros(bound.shape, bool)
+                    at_home[np.arange(len(bound)), bound.argmin(1)] = True
+                    who, to = np.nonzero(at_home if home else ~at_home & (bound <= far * best[:, None]))
                 on = salts[to] > s
                 yield pa.RecordBatch.from_arrays([pa.array(number[to[on]]), pa.array(np.full(on.sum(), s, np.int32)), b.column(0).take(pa.array(who[on])),
                                                   b.column(1).take(pa.array(who[on])), pa.array(best[who[on]])], ["cell", "salt", "query_id", "vector", "best"])
 
-    to = "cell long, salt int, query_id long, vector array<float>, best double"
+    to = f"cell long, salt int, query_id long, vector {asked.schema['vector'].dataType.simpleString()}, best double"
     asked = stored(asked.withColumn("best", F.lit(float("inf"))), "projected-queries")
     first = stored(visit(salted, asked.mapInArrow(lambda it: targets(it, True), to), matrix, k, far), "projected-home")
     kth = (ranked_best(first, k).filter(F.col("rank") == k).select("query_id", F.greatest(2 - 2 * F.col("score"), F.lit(0.0)).alias("kth")))

@@ -107,7 +107,8 @@ def with_shares(m: DataFrame) -> DataFrame:
 def at_most(n: Column, k: Column, p: float) -> Column:
     """P(X <= k) for X binomial(n, p): from the largest term down, in logarithms.
 
-    log of the first term by Stirling's series, the others by the ratio of neighbours.
+    log of the first term by Stirling's series, the others by the ratio of neighbours. Below the mean
+    the terms fall faster than exp(-i^2 / 2npq), so those after 10 sqrt(npq) + 50 add less than 1e-18 of the sum.
     """
     def log_factorial(x: Column) -> Column:
         big = x + 1e-300
@@ -119,7 +120,8 @@ def at_most(n: Column, k: Column, p: float) -> Column:
     top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))
     # term(i - 1) / term(i) = i (1 - p) / ((n - i + 1) p); below the mean the terms shrink
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-    walk = F.aggregate(F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))), start, lambda acc, j: F.struct(
+    terms = F.least(k - 1, F.ceil(10 * F.sqrt(n * p * (1 - p))) + 50)
+    walk = F.aggregate(F.sequence(F.lit(0), F.greatest(terms.cast("int"), F.lit(0))), start, lambda acc, j: F.struct(
         (acc["t"] * (k - j) * (1 - p) / ((n - (k - j) + 1) * p)).alias("t"),
         (acc["s"] + acc["t"] * (k - j) * (1 - p) / ((n - (k - j) + 1) * p)).alias("s")))
     return F.when(k >= n * p, F.lit(1.0)).when(k < 1, F.exp(n * F.log(F.lit(1 - p)))).otherwise(top * walk["s"])

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import json
 import re
 from collections.abc import Iterator
@@ -183,6 +184,33 @@ def is_signed_token(s: str) -> bool:
     return bool(h) and isinstance(h.get("alg"), str) and h["alg"].lower() != "none" and json_object(body) is not None
 
 
+def may_begin_object(part: str) -> bool:
+    """Whether the first characters of a head can begin an object with a key, so that decoding all of it is worth while.
+
+    Only what :func:`json_object` is sure to refuse is refused: another byte than the quote of a key after the
+    brace, a control character or broken UTF-8 in the key, another byte than a colon after it.
+    """
+    b = base64.urlsafe_b64decode(part[:len(part) // 4 * 4])
+    if len(b) < 2 or b[1] == 0:                   # nothing to tell, or an encoding of more bytes
+        return True
+    key = b[1:].lstrip(b" \t\r\n")
+    if not key:
+        return True
+    if key[:1] != b'"':
+        return False
+    name, closed, after = key[1:].partition(b'"')
+    if b"\\" in name:
+        return True
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(name, final=bool(closed))
+    except UnicodeDecodeError:
+        return False
+    if min(name, default=32) < 32:
+        return False
+    after = after.lstrip(b" \t\r\n")
+    return not closed or not after or after[:1] == b":"
+
+
 def unbroken(text: str, at: int, n: int, run: re.Pattern, gap: re.Pattern) -> tuple[str, int, bool] | None:
     """``n`` characters of ``run`` from ``at`` on without the gaps, their end, and whether blanks alone are
     a gap; None if there are fewer."""
@@ -237,7 +265,7 @@ def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
     for m in DOTTED.finditer(text):
         head, rest = m.group(1), f".{m.group(2)}.{m.group(3)}"
         for e in TOKEN_BEGIN.finditer(head):
-            if is_signed_token(head[e.start():] + rest):
+            if may_begin_object(head[e.start():e.start() + 64]) and is_signed_token(head[e.start():] + rest):
                 yield m.start() + e.start(), m.end(3)
                 break
 

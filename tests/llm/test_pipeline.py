@@ -103,3 +103,14 @@ def test_run_and_edges(spark, steps, tmp_path):
             if name != "pack":
                 assert docs.columns == odd.columns
         assert docs.count() == 0 if start is not odd else docs.count() > 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from textvault.llm import mixing, simhash
+    names = ["sim_fp", "sim_row", "sim_none", "sim_id", "sim_all", "mix_size", "mix_copy", "mix_copies", "mix_pattern", "mix_order", "mix_row", "a.b"]
+    rows = [(i, f"word{i % 3} and more text number {i % 3}", "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for out in (simhash.keep_first(docs), mixing.mixed(docs)):
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= set(rows)

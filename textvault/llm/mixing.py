@@ -305,8 +305,8 @@ def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` as the mix takes them: a row per copy, none for what it leaves out; columns unchanged."""
-    rows, _ = mix_tables(docs, F.array("source"), seed)
+    """``docs`` as the mix takes them: a row per copy, none for what it leaves out; columns unchanged, whatever their names."""
+    rows, _ = mix_tables(docs.select(F.struct("*").alias("mix_row"), "doc_id", "text", "source"), F.array("source"), seed)
     return (rows.filter(F.col("mix_copies") > 0)
             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-            .select(*[F.col(c) for c in docs.columns]))
+            .select("mix_row.*"))

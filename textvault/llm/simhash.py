@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> Da
 
 
 def keep_first(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id; columns unchanged.
+    """``docs`` with one row of each component: that of the smallest doc_id; columns unchanged, whatever their names.
 
     Equal keys (repeated rows of that document) keep one row. Texts shuffle once, by
     fingerprint and doc_id, so a large group of copies is spread.
@@ -306,8 +306,8 @@ def keep_first(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFra
     prints = stored(prints_of(docs, shingle), "simhash-prints")
     chosen = grouped(prints, threshold).filter("fp = least_fp").select(
         F.col("fp").alias("sim_fp"), F.col("first_id").isNull().alias("sim_none"), F.coalesce("first_id", F.lit(0)).alias("sim_id"))
-    keyed = docs.withColumns({"sim_fp": fingerprint_column(F.col("text"), shingle), "sim_none": F.col("doc_id").isNull(),
-                              "sim_id": F.coalesce("doc_id", F.lit(0))})
+    keyed = docs.select(F.struct("*").alias("sim_all"), fingerprint_column(F.col("text"), shingle).alias("sim_fp"),
+                        F.col("doc_id").isNull().alias("sim_none"), F.coalesce("doc_id", F.lit(0)).alias("sim_id"))
     kept = keyed.join(chosen, ["sim_fp", "sim_none", "sim_id"], "left_semi")
-    one = Window.partitionBy("sim_fp", "sim_none", "sim_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("sim_row", F.row_number().over(one)).filter("sim_row = 1").select(*[F.col(c) for c in docs.columns])
+    one = Window.partitionBy("sim_fp", "sim_none", "sim_id").orderBy(F.xxhash64("sim_all.text"))
+    return kept.withColumn("sim_row", F.row_number().over(one)).filter("sim_row = 1").select("sim_all.*")

@@ -8,6 +8,7 @@ from textvault.operators.store import KnowledgeStore, upsert, delete_by_keys
 from textvault.plans import build as B
 from textvault.plans import sync as SY
 from textvault.sources import tables as TB
+from textvault.streaming import folder_changes as FC
 from textvault.streaming import folder_sync
 
 SF = "/root/testdata/sf0.001"
@@ -100,14 +101,54 @@ def test_stream_folder_sync(spark):
     store, files = run()
     assert len(files) == 8 and files["f0b.txt"] == "Added later."
     assert store.files().count() == store.files().select("filename_md5").distinct().count()
-    # new contents of a known path come with a listing
+    # a third: new contents of a known path, a removal, and a new file
     _write(folder, "a/same.txt", b"changed text. longer than before.")
-    one = spark.read.format("binaryFile").load(os.path.join(folder, "a", "same.txt"))
-    folder_sync.upsert_batch(store, one, B.BuildParams(), folder, int(store.note()["epoch"]) + 1)
-    files = {r.filename: r.text for r in store.files().collect()}
-    assert len(files) == 8 and files["a/same.txt"] == "changed text. longer than before."
+    os.remove(os.path.join(folder, "f1.txt"))
+    _write(folder, "c/f9.txt", b"new again.")
+    store, files = run()
+    assert len(files) == 8 and "f1.txt" not in files and files["c/f9.txt"] == "new again."
+    assert files["a/same.txt"] == "changed text. longer than before." and files["b/same.txt"] == "two of two."
     assert store.chunks().filter(F.col("filename") == "a/same.txt").count() == 1
+    assert store.chunks().filter(F.col("filename") == "f1.txt").count() == 0
+    # nothing changes: no batch, no commit
+    v = store.current_version()
+    store, again = run()
+    assert store.current_version() == v and again == files
     # a replayed batch is skipped
     epoch = int(store.note()["epoch"])
     batch = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     assert folder_sync.upsert_batch(store, batch, B.BuildParams(), folder, epoch) is None
+    # a listing of files is a batch of its own
+    one = spark.read.format("binaryFile").load(os.path.join(folder, "f0.txt"))
+    assert folder_sync.upsert_batch(store, one, B.BuildParams(), folder, epoch + 1) == v + 1
+    # other chunk parameters in a batch are noted, so that the next sync chunks anew
+    folder_sync.upsert_batch(store, one, B.BuildParams(chunk_size=60), folder, epoch + 2)
+    docs = folder_sync.documents_of(batch, folder)
+    _, st = SY.sync_store(store, docs, B.BuildParams())
+    assert {r.status for r in st.collect()} == {"unchanged"} and store.note()["params"] == B.BuildParams().fingerprint()
+    want = B.chunk_rows(docs, B.BuildParams(), embed=False).select("filename_md5_no", "chunk_md5")
+    assert store.chunks().select("filename_md5_no", "chunk_md5").exceptAll(want).count() == 0
+
+
+def test_listings_and_changes():
+    folder, state = tempfile.mkdtemp(prefix="tv-src-"), tempfile.mkdtemp(prefix="tv-state-")
+    reader = FC.FolderReader({"path": f"file://{folder}", "state": state, "files": "2"})
+    assert reader.latestOffset() == {"listing": 0} == reader.initialOffset()
+    for i in range(5):
+        _write(folder, f"x{i}.txt", b"x" * i)
+    _write(folder, "_temporary.txt", b"no file of the folder")
+    assert reader.latestOffset() == {"listing": 1} == reader.latestOffset()
+    parts = reader.partitions({"listing": 0}, {"listing": 1})
+    assert [len(p.rows) for p in parts] == [2, 2, 1]
+    rows = [r for p in parts for r in reader.read(p)]
+    assert [(os.path.basename(r[0]), r[1], r[4]) for r in rows] == [(f"x{i}.txt", "new", b"x" * i) for i in range(5)]
+    os.remove(os.path.join(folder, "x1.txt"))
+    _write(folder, "x2.txt", b"other length")
+    assert reader.latestOffset() == {"listing": 2}
+    rows = [r for p in reader.partitions({"listing": 1}, {"listing": 2}) for r in reader.read(p)]
+    assert [(os.path.basename(r[0]), r[1]) for r in rows] == [("x1.txt", "removed"), ("x2.txt", "changed")] and rows[0][4] is None
+    # a file that goes before it is read
+    os.remove(os.path.join(folder, "x2.txt"))
+    assert [r[1] for p in reader.partitions({"listing": 1}, {"listing": 2}) for r in reader.read(p)] == ["removed", "removed"]
+    reader.commit({"listing": 2})
+    assert sorted(os.listdir(state)) == ["listing-0000000001.json", "listing-0000000002.json"]

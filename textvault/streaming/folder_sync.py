@@ -1,10 +1,11 @@
 """Keep a knowledge base in step with a folder using Structured Streaming.
 
-The file source lists every new path once; ``foreachBatch`` turns each micro-batch into file and chunk rows and upserts them into the buckets they fall into (one commit per
-batch, noted with its epoch, so a replayed batch is skipped). Files are named by their path
+The source reports new files, files with new contents and removals (:mod:`folder_changes`). ``foreachBatch``
+turns each micro-batch into file and chunk rows, upserts them into the buckets they fall into and takes out
+what went (one commit per batch, noted with its epoch and chunk parameters, so a replayed batch is skipped and the next
+batch sync sees under which parameters chunks were made). Files are named by their path
 below the folder: equal names in different folders do not collide. PDFs go through the
-extractor hook. The source reports neither removals nor new contents of a known path: run the batch
-diff (``plans.sync``) for those, or pass a listing to :func:`upsert_batch`.
+extractor hook. A batch also takes rows of Spark's ``binaryFile`` source, all of which count as present.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from textvault.operators.store import FILE_KEY, KnowledgeStore, delete_by_keys,
 from textvault.plans import build as B
 from textvault.session import scratch_path
 from textvault.sources.files import read_documents
+from textvault.streaming.folder_changes import FolderChanges
 
 
 def below(path: Column, folder: str) -> Column:
@@ -36,34 +38,46 @@ def documents_of(batch: DataFrame, folder: str, extractor=text_extractor) -> Dat
 
 def upsert_batch(store: KnowledgeStore, batch: DataFrame, params: B.BuildParams, folder: str, epoch: int | None = None,
                  extractor=text_extractor) -> int | None:
-    """Upsert one batch of files; returns the commit, or None if there is nothing to do."""
+    """Bring one batch of (path, content[, kind]) files into the store; returns the commit, or None if there is nothing to do.
+
+    Where the store was made with other chunk parameters, its other chunks stay as they are and the note keeps the
+    store's parameters apart from the batch's, so that the next sync chunks everything anew.
+    """
     if epoch is not None and int(store.note().get("epoch", -1)) >= epoch:
         return None
-    note = {"params": params.fingerprint()} | ({} if epoch is None else {"epoch": epoch})
+    before = store.note().get("params", params.fingerprint())
+    mixed = before if before == params.fingerprint() else f"{before} and {params.fingerprint()}"
+    note = {"params": mixed} | ({} if epoch is None else {"epoch": epoch})
     spark = batch.sparkSession
-    documents_of(batch, folder, extractor).write.parquet(path := scratch_path(spark, "batch"))
+    kind = F.col("kind") if "kind" in batch.columns else F.lit("new")
+    batch.select("path", "content", kind.alias("kind")).write.parquet(raw := scratch_path(spark, "events"))
+    events = spark.read.parquet(raw)
+    documents_of(events.filter("kind <> 'removed'"), folder, extractor).write.parquet(path := scratch_path(spark, "batch"))
     docs = spark.read.parquet(path)
-    if docs.isEmpty():
-        return None
+    name = below(F.col("path"), folder)
+    gone = events.filter("kind = 'removed'").select(F.md5(name).alias(FILE_KEY))
     files, chunks = B.file_rows(docs, params), B.chunk_rows(docs, params)
+    keys = files.select(FILE_KEY).unionByName(gone).distinct()
+    if keys.isEmpty():
+        return None
     if store.files() is None:
         return store.rebuild(files, chunks, **note)
-    keys = files.select(FILE_KEY)
     touched = store.touched(keys)
     old_f, old_c = (x.filter(F.col("bucket").isin(touched)).drop("bucket") for x in (store.files(), store.chunks()))
-    return store.commit(upsert_keep_created(old_f, files, FILE_KEY), delete_by_keys(old_c, keys).unionByName(chunks), touched, **note)
+    new_f = upsert_keep_created(delete_by_keys(old_f, gone), files, FILE_KEY)
+    return store.commit(new_f, delete_by_keys(old_c, keys).unionByName(chunks), touched, **note)
 
 
 def start(spark: SparkSession, folder: str, store_root: str, checkpoint: str, params: B.BuildParams,
-          available_now: bool = True, max_files: int | None = None, extractor=text_extractor):
-    """Start the stream; with ``available_now`` it processes what exists and stops."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", str(max_files))
-    src = reader.load(folder)
+          available_now: bool = True, extractor=text_extractor, seconds: int = 30):
+    """Start the stream; with ``available_now`` it processes what there is and stops.
+
+    Listings are kept below ``checkpoint``, which must be a folder that driver and executors share.
+    """
+    spark.dataSource.register(FolderChanges)
+    src = spark.readStream.format("folder_changes").option("state", f"{checkpoint.rstrip('/')}/listings").load(folder)
     store = KnowledgeStore(spark, store_root)
     w = (src.writeStream.foreachBatch(lambda df, epoch: upsert_batch(store, df, params, folder, epoch, extractor))
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+         .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{seconds} seconds")
     return w.start()

@@ -88,3 +88,16 @@ def test_overfull_cells_are_split(spark):
     start = np.array([v for _, v in far[:11]] + [[0.0] * 4])           # one centroid for all the dense ones
     trained = S.train_centroids(rows, start, 3012, 6, "embedding")
     assert (np.abs(trained).max(1) < 10).sum() > 1
+
+
+@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE"])
+def test_tiles_equal_the_broadcast_way(spark, monkeypatch, metric):
+    monkeypatch.setattr(S, "SLICE_ROWS", 60)
+    monkeypatch.setattr(S, "GROUP_BYTES", 8 * 6 * 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=6) * 10 ** rng.uniform(-1, 2)).tolist() if i % 5 else [1.0] * 6) for i in range(400)] + [(900, None), (901, [NAN] * 6)]
+    asked = [(i, (rng.normal(size=6) * 10 ** rng.uniform(-1, 2)).tolist()) for i in range(20)] + [(50, [1.0] * 6), (51, [0.0] * 6), (52, None)]
+    v, q = frame(spark, rows), frame(spark, asked, "query_id")
+    near = lambda df: sorted((r["query_id"], r["rk"], r["id"], None if r["distance"] is None else round(r["distance"], 7)) for r in df.collect())
+    for k in (4, 402):
+        assert near(S.exact_topk(v, q, k, metric, budget=1)) == near(S.exact_topk(v, q, k, metric))

@@ -73,3 +73,10 @@ def test_fullwidth_table():
     src, dst, multi = T.fullwidth_table()
     assert len(src) + len(multi) == 103
     assert list(multi) == ["\uffe3"]
+
+
+def test_outline_entries_without_a_level(spark):
+    from textvault.operators import outline as OL
+    rows = [("a", 1, 1), ("a", 2, None), ("a", 3, 2), ("a", 4, None), ("a", 5, 1), ("b", 1, None), ("b", 2, None), ("b", 3, 3)]
+    got = {(r["doc"], r["idx"]): r["parent"] for r in OL.outline_links(spark.createDataFrame(rows, "doc string, idx int, level int")).collect()}
+    assert got == {("a", 1): None, ("a", 2): 1, ("a", 3): 1, ("a", 4): 3, ("a", 5): None, ("b", 1): None, ("b", 2): None, ("b", 3): None}

@@ -147,8 +147,8 @@ def q_preprocess_broken(spark, sf):
 ch AS (SELECT doc_id, unnest(string_split(raw, '')) AS c FROM src)
 SELECT doc_id,
   CAST(count(*) FILTER (WHERE c BETWEEN '一' AND '鿿') AS BIGINT) AS n_chinese,
-  CAST(count(*) FILTER (WHERE regexp_matches(c, {D.lit('^[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + TX.CJK_CLASS + ']$')})) AS BIGINT) AS n_valid,
-  CAST(count(*) FILTER (WHERE regexp_matches(c, {D.lit('^[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + TX.WS_CLASS + ']$')})) AS BIGINT) AS n_punct
+  CAST(count(*) FILTER (WHERE regexp_matches(c, {D.lit('^[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + D.IDEOGRAPHS + ']$')})) AS BIGINT) AS n_valid,
+  CAST(count(*) FILTER (WHERE regexp_matches(c, {D.lit('^[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + D.SPACE + ']$')})) AS BIGINT) AS n_punct
 FROM ch GROUP BY doc_id""")
 def q_char_classes(spark, sf):
     d = TB.cjk_injected(spark, sf)
@@ -166,7 +166,7 @@ _LABELS = ("图 3 x\n表..4\n式5\n注6 y\n引 7\nFig.2\nfig 2\nFIGURE 12\nFigur
 
 @register("label_lines", f"""WITH l AS (SELECT doc_id, unnest(string_split({D.lit(_LABELS)} || text, {D.NL})) AS line FROM documents)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
-       CAST(count(*) FILTER (WHERE regexp_matches(line, {D.lit(TX.LABEL_REGEX)})) AS BIGINT) AS n_labels,
+       CAST(count(*) FILTER (WHERE regexp_matches(line, {D.lit(D.LABELS)})) AS BIGINT) AS n_labels,
        CAST(count(*) FILTER (WHERE {D.strip('line')} = '') AS BIGINT) AS n_blank
 FROM l GROUP BY doc_id""")
 def q_label_lines(spark, sf):

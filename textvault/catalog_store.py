@@ -12,6 +12,7 @@ from textvault import catalog as C
 from textvault import hooks as HO
 from textvault.catalog import register
 from textvault.functions import units as UN
+from textvault.functions import vectors as V
 from textvault.operators import fuzzy as FZ
 from textvault.operators import numbering as NU
 from textvault.operators import store as ST
@@ -20,6 +21,7 @@ from textvault.plans import duck as D
 from textvault.plans import retrieve as R
 from textvault.plans import statements as STM
 from textvault.plans import sync as SY
+from textvault.sources import files as FS
 from textvault.sources import tables as TB
 
 # ---------------------------------------------------------------------------
@@ -212,3 +214,69 @@ def q_sync_repeated_names(spark, sf):
     listing = B.preprocess(new.unionByName(again).unionByName(none).unionByName(new))
     st = SY.diff(SY.manifest(C._old_kb(spark, sf).files()), SY.fingerprints(listing))
     return st.select("filename", "status", "new_md5", "text_length", F.col("copies").cast("bigint"))
+
+
+# ---------------------------------------------------------------------------
+# listings, bytes and hooks
+# ---------------------------------------------------------------------------
+
+@register("listed_files", """WITH n AS (SELECT coalesce(source, 'none') AS dir, doc_id FROM documents)
+SELECT DISTINCT '/in/' || dir || '/' || doc_id || '.txt' AS filename FROM n
+UNION SELECT '/in/' || dir || '/' || doc_id || '.pdf' FROM n JOIN labels USING (doc_id) WHERE quality = 1""")
+def q_listed_files(spark, sf):
+    """Every document is a text, the labelled ones are .caj files, too, and those of quality 1 have a .pdf beside them."""
+    d = TB.table(spark, sf, "documents").select(F.concat(F.lit("/in/"), F.coalesce("source", F.lit("none"))).alias("dir"), "doc_id")
+    labelled = d.join(TB.table(spark, sf, "labels"), "doc_id")
+    named = lambda df, ext: df.select("dir", F.concat(F.col("doc_id").cast("string"), F.lit(f".{ext}")).alias("filename"), F.lit(ext).alias("ext"))
+    listing = named(d, "txt").unionByName(named(labelled, "caj")).unionByName(named(labelled.filter("quality = 1"), "pdf"))
+    return FS.list_files(listing, "relpath")
+
+
+@register("read_bytes", f"""WITH src AS (SELECT concat(d.source, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename,
+  CASE WHEN l.toxic = 1 THEN '' ELSE d.text END AS raw FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+{D.preprocess_ctes('src', 'filename', 'raw')}
+SELECT filename, CAST(length(text) AS BIGINT) AS text_length, md5(text) AS text_md5 FROM pre""")
+def q_read_bytes(spark, sf):
+    """Files as bytes with the line ends of another system; those of toxic documents are no UTF-8."""
+    toxic = TB.table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = TB.table(spark, sf, "documents").join(toxic, "doc_id", "left")
+    name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    body = F.encode(F.regexp_replace("text", "\n", "\r\n"), "UTF-8")
+    broken = F.concat(body, F.unhex(F.lit("FF")))
+    listing = d.select(name.alias("filename"), F.lit("txt").alias("ext"), F.when(F.col("toxic") == 1, broken).otherwise(body).alias("content"))
+    t = FS.read_documents(listing)
+    return t.select("filename", F.length("text").cast("bigint").alias("text_length"), F.md5("text").alias("text_md5"))
+
+
+def _python_encoder():
+    import hashlib
+
+    import numpy as np
+    import regex
+    word = regex.compile(r"[\p{L}\p{N}]+")
+
+    def encode(texts: list[str]):
+        out = np.zeros((len(texts), 512))
+        for i, t in enumerate(texts):
+            for w in word.findall(t.lower()):
+                out[i, int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 512] += 1
+        n = np.sqrt((out * out).sum(1, keepdims=True))
+        return (out / np.where(n > 0, n, 1)).astype(np.float32)
+
+    return encode
+
+
+@register("file_embedding_python", C.ORACLE["file_embedding"])
+def q_file_embedding_python(spark, sf):
+    """The embedder hook: a model loaded once a worker and called once an Arrow batch."""
+    embedder = HO.PandasEmbedder(_python_encoder, lambda model, texts: model(texts), 512, "hashing")
+    files = B.file_rows(C.docs_clean(spark, sf), B.BuildParams(embedder=embedder))
+    return C._sparse_of(files.select("filename", "embedding"), "filename")
+
+
+@register("vector_json", """SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total
+FROM embeddings""")
+def q_vector_json(spark, sf):
+    v = TB.vectors(spark, sf).select("id", F.from_json(V.embedding_json(F.col("embedding")), "array<double>").alias("e"))
+    return v.select(F.col("id").cast("bigint"), F.size("e").cast("bigint").alias("n"),
+                    F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))

@@ -3,6 +3,9 @@
 Parent = nearest earlier entry with a lower level: one pass over each document's
 ordered entries with a stack of open levels. Siblings and children follow by windows and
 a grouping on (doc, parent).
+
+Defined results: an entry without a level belongs to the entry that is open before it and has no children.
+A document's entries are one task's work, as a level may refer to any entry before it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ def with_parents(entries: DataFrame, doc: str = "doc", idx: str = "idx", level:
             for this, at, depth in zip(b.column(d).to_pylist(), b.column(i).to_pylist(), b.column(lv).to_pylist(), strict=True):
                 if this != current:
                     current, stack = this, []
-                while stack and stack[-1][0] >= depth:
+                while depth is not None and stack and stack[-1][0] >= depth:
                     stack.pop()
                 parents.append(stack[-1][1] if stack else None)
-                stack.append((depth, at))
+                if depth is not None:
+                    stack.append((depth, at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, pa.int64())], [*b.schema.names, "parent"])
 
     return ordered.mapInArrow(link, StructType(list(entries.schema.fields)).add("parent", "long"))

@@ -5,9 +5,12 @@ Two ways, both exact for the rows they look at, and no (query, vector) pair is e
 * A query batch within a byte budget is collected and broadcast. Each task scans its slice of
   the vector table in Arrow batches, scores it against the queries block by block with one
   matrix product and keeps a running top-k per query.
-* Beyond the budget nothing is collected: vectors are dealt into blocks of bounded size (or
-  are the cells of an index), every query is sent to the blocks it visits, and a task holds one
-  block and streams the queries against it (:func:`_visit`).
+* Beyond the budget nothing is collected: queries are dealt into groups and vectors into slices, and a
+  task holds one group with its running top-k and streams one slice past it (:func:`_tiled`). So a query is sent
+  once per slice and a vector once per group. For L2 and inner products slices and groups go by length: a
+  first wave finds a k-th distance, a second one visits only slices whose lengths can beat it.
+* In an index a query is sent to the cells it visits, and a task holds one cell of bounded size and streams the
+  queries against it (:func:`_visit`).
 
 A task emits at most ``queries x k`` rows (per block); the merge is a window top-k over those.
 Payload columns are joined to the hits afterwards, so texts never pass through Python.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +39,9 @@ DEFAULT_BROADCAST_BUDGET = 64 << 20   # bytes of query (or centroid) matrix per
 QUERY_BLOCK = 256                     # queries scored together inside a task
 ROW_BLOCK = 2048                      # vectors scored together inside a task
 BLOCK_ROWS = 16_384                   # vectors a task holds when queries are streamed
+GROUP_BYTES = 8 << 20                 # of query vectors a task holds when vectors are streamed
+SLICE_ROWS = 1 << 18                  # vectors streamed past a group
+LEAST_SLICE = 4_096                   # vectors, below which no more slices are cut for the sake of idle cores
 MAX_CELLS = 16_384                    # cells of an index; bounds the centroid matrix
 
 
@@ -49,11 +55,14 @@ def _stack(series, dim: int) -> np.ndarray:
     return out
 
 
-def defined(vectors: DataFrame, vec_col: str, dim: int | None = None) -> DataFrame:
-    """The rows whose vector has only finite components (and ``dim`` of them)."""
-    v = F.col(vec_col)
+def is_defined(v: Column, dim: int | None = None) -> Column:
+    """Whether a vector has only finite components (and ``dim`` of them); never NULL."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(v.isNotNull() & finite & (F.size(v) > 0 if dim is None else F.size(v) == dim))
+    return F.coalesce(finite & (F.size(v) > 0 if dim is None else F.size(v) == dim), F.lit(False))
+
+
+def defined(vectors: DataFrame, vec_col: str, dim: int | None = None) -> DataFrame:
+    return vectors.filter(is_defined(F.col(vec_col), dim))
 
 
 def _scores(Q: np.ndarray, V: np.ndarray, metric: str, qn=None, vn=None) -> np.ndarray:
@@ -233,6 +242,97 @@ def _visit(blocks: DataFrame, visits: DataFrame, k: int, metric: str, dim: int)
     return ordered.mapInPandas(search, f"query_id {qid_type}, id {id_type}, distance double, okey double")
 
 
+def _by_length(df: DataFrame, most: int, by: str, cores: int, least: int = 1) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """``df`` with ``by``, numbers of about equal shares of at most ``most`` rows by ascending ``norm``, and the smallest and
+    largest norm of each. Equal norms that are more than a share are dealt over several of the same limits."""
+    n = df.count()
+    want = max(1, math.ceil(n / most), min(2 * cores, n // least) if least > 1 else 1)
+    shares = [i / want for i in range(1, want)]
+    bounds = df.agg(F.percentile_approx("norm", shares, 20 * want).alias("b")).first()["b"] if shares and n else []
+    above = [F.lit(float(b)) for b in sorted(set(bounds))]
+    kind = df.withColumn("_class", (F.size(F.filter(F.array(*above), lambda b: b < F.col("norm"))) if above else F.lit(0)).cast("int"))
+    counts = kind.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy("_class").collect()
+    number, limits = [], []
+    for c in counts:
+        parts = -(-2 * c["n"] * want // (3 * n))
+        number.append((c["_class"], len(limits), parts))
+        limits += [(c["low"], c["high"])] * parts
+    parts = df.sparkSession.createDataFrame(number, "_class int, _base int, _parts int")        # one row a share
+    at = (F.col("_base") + F.pmod(F.xxhash64(df.columns[0]), F.col("_parts"))).cast("int")
+    return kind.join(F.broadcast(parts), "_class").withColumn(by, at).drop("_class", "_base", "_parts"), limits
+
+
+def _tiled(rows: DataFrame, asked: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
+    """Candidates (query_id, id, distance, okey) of queries against all rows, tile by tile."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    id_type, qid_type = rows.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qid_type}, id {id_type}, distance double, okey double"
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    doubles = F.col("vec").cast("array<double>").alias("vec")
+    sliced, limits = _by_length(defined(rows, "vec", dim).select("id", doubles).withColumn("norm", norm), SLICE_ROWS, "slice", cores, LEAST_SLICE)
+    path = scratch_path(spark, "tiled-queries")
+    grouped, groups = _by_length(defined(asked, "vec", dim).select("query_id", doubles).withColumn("norm", norm), max(1, GROUP_BYTES // (8 * dim)), "group", cores)
+    grouped.write.parquet(path)
+    grouped = spark.read.schema(grouped.schema).parquet(path)
+    # rows and queries that are undefined: last, by id
+    lost = lambda df: df.filter(~is_defined(F.col("vec"), dim))
+    ids = lambda df: F.array(*[F.lit(r["id"]) for r in df.orderBy("id").limit(k).collect()]).cast(f"array<{id_type}>")
+    last = [F.lit(float("nan")).alias("distance"), F.lit(float("inf")).alias("okey")]
+    out = (grouped.select("query_id", F.explode(ids(lost(rows))).alias("id"), *last)
+           .unionByName(lost(asked).select("query_id", F.explode(ids(rows.select("id"))).alias("id"), *last)))
+    if not limits or not groups:
+        return out
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, vecs, top = None, [], [], None
+
+        def finish():
+            if top is not None and top.ids is not None:
+                yield pd.DataFrame({"query_id": np.concatenate(held)[top.q], "id": top.ids, "distance": top.dist, "okey": top.key})
+
+        for pdf in batches:
+            for part, g in pdf.groupby(["group", "slice", "kind"], sort=False):
+                if key != part[:2]:
+                    yield from finish()
+                    key, held, vecs, top = part[:2], [], [], None
+                if part[2] == 0:
+                    held.append(g["query_id"].to_numpy())
+                    vecs.append(_stack(g["vec"], dim))
+                elif held:
+                    if top is None:
+                        top = _TopK(np.concatenate(vecs), k, metric)
+                    top.add(_ids(g["id"]), _stack(g["vec"], dim))
+        yield from finish()
+
+    none = lambda t: F.lit(None).cast(t)
+
+    def wave(visits: DataFrame) -> DataFrame:
+        """``visits``: grouped queries with ``slice``."""
+        tiles = visits.select("group", "slice").distinct()
+        sent = sliced.join(tiles, "slice")
+        both = (visits.select("group", "slice", F.lit(0).alias("kind"), "query_id", none(id_type).alias("id"), "vec")
+                .unionByName(sent.select("group", "slice", F.lit(1).alias("kind"), none(qid_type).alias("query_id"), "id", "vec")))
+        parts = min(20_000, len(limits) * len(groups))
+        return both.repartition(parts, "group", "slice").sortWithinPartitions("group", "slice", "kind").mapInPandas(scan, schema)
+
+    edges = F.array(*[F.struct(F.lit(i).alias("slice"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for i, (a, b) in enumerate(limits)])
+    if metric not in ("L2", "IP") or len(limits) == 1:
+        return out.unionByName(wave(grouped.withColumn("slice", F.explode(F.transform(edges, lambda e: e["slice"])))))
+    q = F.col("norm")
+    far = lambda e: F.greatest(e["low"] - q, q - e["high"], F.lit(0.0))
+    nearest = F.array_min(F.transform(edges, far)) if metric == "L2" else F.lit(float(limits[-1][1]))
+    home = lambda e: (far(e) <= nearest) if metric == "L2" else (e["high"] >= nearest)
+    first_path = scratch_path(spark, "tiled-first")
+    wave(grouped.withColumn("slice", F.explode(F.transform(F.filter(edges, home), lambda e: e["slice"])))).write.parquet(first_path)
+    first = spark.read.schema(schema).parquet(first_path)
+    kth = _merged(first, k).filter(F.col("rk") == k).select("query_id", F.col("distance").alias("kth"))
+    reach = (lambda e: far(e) <= F.sqrt("kth") * (1 + 1e-9) + 1e-6) if metric == "L2" else (lambda e: q * e["high"] + 1e-6 * (1 + F.abs("kth")) >= F.col("kth"))
+    going = grouped.join(kth, "query_id", "left")
+    more = going.withColumn("slice", F.explode(F.transform(F.filter(edges, lambda e: ~home(e) & (F.col("kth").isNull() | reach(e))), lambda e: e["slice"])))
+    return out.unionByName(first).unionByName(wave(more))
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2", *,
                id_col: str = "id", vec_col: str = "embedding",
                qid_col: str = "query_id", qvec_col: str = "embedding",
@@ -266,10 +366,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2
         names = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(small)], f"qpos long, query_id {qid_type}")
         hits = _merged(rows.mapInPandas(scan, f"qpos long, {found_schema}").join(F.broadcast(names), "qpos"), k)
     else:
-        n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-        blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("salt", F.lit(0))
-        visits = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("salt", F.lit(0))
-        hits = _merged(_visit(blocks, visits, k, metric, dim), k)
+        hits = _merged(_tiled(rows, asked, k, metric, dim), k)
     if not payload:
         return hits
     extra = vectors.select(F.col(id_col).alias("id"), *payload)

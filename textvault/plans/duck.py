@@ -6,13 +6,22 @@ parquet views; they restate each rule independently of the Spark code.
 
 from __future__ import annotations
 
+import unicodedata
 from html.entities import name2codepoint
 
-from textvault.functions import text as TX
-from textvault.functions import units as UN
-
 NL = "chr(10)"
-WS = f"[{TX.WS_CLASS}]"
+# Fixed values, stated anew for the twins: white space, CJK ideographs, ends of broken lines, labels, sentences, words.
+SPACE = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = f"[{SPACE}]"
+IDEOGRAPHS = r"\x{4E00}-\x{9FFF}"
+BARE_ENDS = ",，\\/-——~～+=*^&%$#@[<《“、"
+SPACED_ENDS = ":：\"'"
+LINE_ENDS = "\n。.！!？?；;:：……)]”"
+LABELS = (rf"(?i)^(?:[图表式注引]\.*{WS}*\p{{Nd}}+|Fig\.?\p{{Nd}}+|Figure\.?{WS}*\p{{Nd}}+|Table\.?{WS}*\p{{Nd}}+"
+          rf"|Equation\.?{WS}*\p{{Nd}}+|Equ\.?{WS}*\p{{Nd}}+)")
+SENTENCES = "(?s)(.[^.。!！?？;；]*[.。!！?？;；]?)"
+WORDS = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{SPACE}]"
+WIDE = [*range(0xFF01, 0xFF61), *range(0xFFE0, 0xFFE7)]      # all but the macron have one character as their usual form
 
 
 def lit(s: str) -> str:
@@ -24,23 +33,22 @@ def strip(x: str) -> str:
 
 
 def fullwidth(x: str) -> str:
-    src, dst, multi = TX.fullwidth_table()
-    out = f"translate(regexp_replace({x}, '　+', ' ', 'g'), {lit(src)}, {lit(dst)})"
-    for k, v in multi.items():
-        out = f"replace({out}, {lit(k)}, {lit(v)})"
-    return out
+    usual = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in WIDE}
+    one = [c for c in usual if len(usual[c]) == 1]
+    out = f"translate(regexp_replace({x}, '　+', ' ', 'g'), {lit(''.join(one))}, {lit(''.join(usual[c] for c in one))})"
+    return f"replace({out}, chr({0xFFE3}), ' ' || chr({0x304}))"
 
 
 def _sep(l: str, p: str) -> str:
     sp = strip(p)
     last = f"right({sp}, 1)"
     return (f"CASE WHEN {strip(l)} = '' THEN {NL} WHEN left({l}, 1) = ' ' THEN {NL} "
-            f"WHEN regexp_matches({l}, {lit(TX.LABEL_REGEX)}) THEN {NL} "
+            f"WHEN regexp_matches({l}, {lit(LABELS)}) THEN {NL} "
             f"WHEN {sp} = '' THEN {NL} "
-            f"WHEN contains({lit(TX.JOIN_BARE)}, {last}) THEN '' "
-            f"WHEN contains({lit(TX.JOIN_SPACE)}, {last}) THEN ' ' "
-            f"WHEN contains({lit(TX.NEW_LINE_END)}, {last}) THEN {NL} "
-            f"WHEN regexp_matches({last}, {lit('^[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + TX.CJK_CLASS + ']$')}) THEN '' "
+            f"WHEN contains({lit(BARE_ENDS)}, {last}) THEN '' "
+            f"WHEN contains({lit(SPACED_ENDS)}, {last}) THEN ' ' "
+            f"WHEN contains({lit(LINE_ENDS)}, {last}) THEN {NL} "
+            f"WHEN regexp_matches({last}, {lit('^[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + IDEOGRAPHS + ']$')}) THEN '' "
             f"ELSE {NL} END")
 
 
@@ -71,14 +79,14 @@ def preprocess_ctes(src: str, key: str, raw: str, out: str = "pre") -> str:
 
 
 def sentences(x: str) -> str:
-    return (f"list_filter(list_transform(regexp_extract_all({x}, {lit(UN.SENTENCE_REGEX)}, 1), "
+    return (f"list_filter(list_transform(regexp_extract_all({x}, {lit(SENTENCES)}, 1), "
             f"lambda s: {strip('s')}), lambda s: s <> '')")
 
 
 def units(x: str, size: int) -> str:
     th = size / 10.0
     lines = f"list_filter(list_transform(string_split({x}, {NL}), lambda l: {strip('l')}), lambda l: l <> '')"
-    per_sent = f"CASE WHEN length(s) < {th} THEN [s] ELSE regexp_extract_all(s, {lit(UN.WORD_REGEX)}) END"
+    per_sent = f"CASE WHEN length(s) < {th} THEN [s] ELSE regexp_extract_all(s, {lit(WORDS)}) END"
     per_line = (f"CASE WHEN length(l) < {th} THEN [l] ELSE "
                 f"flatten(list_transform({sentences('l')}, lambda s: {per_sent})) END")
     return f"flatten(list_transform({lines}, lambda l: {per_line}))"

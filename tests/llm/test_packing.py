@@ -73,9 +73,38 @@ def test_plan_near_the_bound():
     rng = random.Random(2)
     for lo, hi, n in [(1, 4096, 3000), (1300, 1400, 500), (1500, 2600, 400), (2049, 4096, 50), (1, 50, 5000)]:
         h = Counter(rng.randint(lo, hi) for _ in range(n))
-        plan = P.plan(h, 4096, 100)
+        plan = P.plan(h, 4096)
         assert Counter() + Counter({k: sum(r[2] * r[4] for r in plan if r[0] == k) for k in h}) == h
         used = max(r[3] + r[4] for r in plan)
         bound = max(-(-sum(k * c for k, c in h.items()) // 4096), sum(c for k, c in h.items() if k > 2048),
                     -(-n // (4096 // lo)))
         assert used <= bound * 1.05 + 2, (lo, hi, used, bound)
+
+
+def test_the_programme_finds_what_best_fit_does_not():
+    rng = np.random.default_rng(1)
+    lengths, need = np.unique(rng.integers(1000, 1701, 9000), return_counts=True)
+    used, of_programme = P.packed(lengths, need, 4096, P.PASSES)
+    n = sum(t for _, t in used)
+    assert n <= 3030 and of_programme >= 0.9 * n
+    assert sum(t for _, t in P.best_fit(lengths, need.copy(), 4096)) > 3200
+    got = np.zeros(len(lengths), np.int64)
+    for conf, times in used:
+        assert sum(lengths[k] * c for k, c in conf.items()) <= 4096
+        for k, c in conf.items():
+            got[k] += c * times
+    assert (got == need).all()
+
+
+def test_knapsack_equals_enumeration():
+    from itertools import product
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        lengths, left, value = rng.integers(1, 9, 4), rng.integers(1, 4, 4), rng.random(4)
+        best, steps = P.knapsack(value, lengths, left, 20)
+        row, which, copies = P.read(steps, np.arange(21))
+        for c in range(21):
+            want = max(sum(n * v for n, v in zip(x, value)) for x in product(*(range(n + 1) for n in left)) if np.dot(x, lengths) <= c)
+            mine = [(k, n) for r, k, n in zip(row, which, copies) if r == c]
+            assert abs(best[c] - want) < 1e-9 and abs(sum(n * value[k] for k, n in mine) - want) < 1e-9
+            assert sum(n * lengths[k] for k, n in mine) <= c

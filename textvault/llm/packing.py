@@ -5,13 +5,15 @@
 2. *Histogram.* The pieces of each length are counted: at most ``size`` numbers,
    whatever the input.
 3. *Configuration LP.* A configuration is a multiset of lengths that fits a sequence.
-   Find few sequences that cover the histogram: multiplicative weights over the
-   lengths, a knapsack dynamic programme over the capacity as pricing, the priced
-   configuration used as often as the step allows (:func:`solve`).
-4. *Rounding.* Uses are whole numbers; what ``rounds`` configurations leave is placed
-   best-fit-decreasing, still on counts (:func:`best_fit`), after all or only a first
-   share of the configurations, whichever needs the fewest sequences. Every configuration used is a row of a plan whose size
-   depends on ``size`` and ``rounds`` alone.
+   Find few sequences that cover the histogram by multiplicative weights: each round prices all
+   lengths that are left by a knapsack dynamic programme over the capacity, reads the best
+   configuration with each length from it, uses those near the best by fractions, and lowers the
+   prices of what they cover (:func:`programme`).
+4. *Rounding.* Fractions are rounded up in the order of how full the configuration is, as far as pieces are left,
+   and the programme is solved again for what is left (:func:`solve`). What the passes leave is placed
+   best-fit-decreasing, still on counts (:func:`best_fit`): after all passes or fewer, whichever
+   needs the fewest sequences. Every configuration used is a row of a plan whose size
+   depends on ``size`` alone.
 5. *Assignment.* The r-th piece of a length takes the r-th slot that the plan has for
    that length; ranks come from counts per (length, bucket), so a very frequent length is
    never in one task.
@@ -24,6 +26,7 @@ and start.
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -38,8 +41,10 @@ from textvault.llm.shared import ranked, small_batches, stored
 
 END_ID = 1
 KNOWN_WORDS = 200_000      # distinct words in each of the two generations a worker remembers
-PRICED = 256               # lengths, drawn anew each round, among which a configuration is priced
-KEPT_SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)   # of the solution; the rounding with the fewest sequences wins
+PASSES, ROUNDS = 3, 8      # programmes solved one after the other on what is left, and pricing rounds of each
+NEAR = 0.02                # a configuration is used whose value is within this share of the best
+STEP = 0.5                 # share of a need that a round may cover at most
+LEARN = 0.2                # how fast the price of a length falls with what a round covers of it
 LONG_WORD = 64             # longer words are not remembered
 
 # How byte-level vocabularies write a byte: printable ones as themselves, the others from U+0100 on.
@@ -147,13 +152,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str
     return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(cut_up, schema)
 
 
-def priced(value: np.ndarray, lengths: np.ndarray, left: np.ndarray, size: int) -> dict[int, int]:
-    """The configuration of largest value that uses no length more often than is left.
+def knapsack(value: np.ndarray, lengths: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray, list]:
+    """Best value of every capacity with no length used more often than is left, and the steps that :func:`read` follows.
 
-    Knapsack over the capacity; a length's copies enter as powers of two.
+    A length's copies enter as powers of two.
     """
-    best = np.zeros(size + 1)
-    steps: list[tuple[int, int, int, np.ndarray]] = []
+    best, steps = np.zeros(size + 1), []
     for k in range(len(lengths)):
         copies, part = int(min(left[k], size // lengths[k])), 1
         while copies > 0:
@@ -161,42 +165,81 @@ def priced(value: np.ndarray, lengths: np.ndarray, left: np.ndarray, size: int)
             w = int(n * lengths[k])
             with_it = best[:size + 1 - w] + n * value[k]
             better = with_it > best[w:]
-            best[w:] = np.where(better, with_it, best[w:])
+            np.copyto(best[w:], with_it, where=better)
             steps.append((k, n, w, better))
             copies, part = copies - n, 2 * part
-    out: dict[int, int] = {}
-    c = size
-    for k, n, w, better in reversed(steps):
-        if c >= w and better[c - w]:
-            out[k] = out.get(k, 0) + n
-            c -= w
-    return out
-
+    return best, steps
 
-def solve(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int, step: float) -> list[tuple[dict[int, int], int]]:
-    """Configurations and their whole uses that cover part of ``need``, by multiplicative weights.
 
-    A length's price starts at its share of a sequence and shrinks exponentially with the
-    share of its need that is covered. Each round the best configuration at these prices is
-    used as often as all its lengths allow, up to ``step`` of the need of one of them; uses are
-    whole numbers, which is the rounding down of the programme's solution.
+def read(steps: list, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, length number, copies) of the best configurations of several capacities."""
+    room, rows, which, copies = room.copy(), [], [], []
+    for k, n, w, better in reversed(steps):
+        at = np.flatnonzero(room >= w)
+        at = at[better[room[at] - w]]
+        if len(at):
+            rows.append(at)
+            which.append(np.full(len(at), k))
+            copies.append(np.full(len(at), n))
+            room[at] -= w
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(x or none) for x in (rows, which, copies))
+
+
+def programme(lengths: np.ndarray, need: np.ndarray, size: int, rng: np.random.Generator) -> dict[tuple, float]:
+    """Fractional uses of configurations ((length number, copies), ...) that cover part of ``need``.
+
+    Prices start at a length's share of a sequence. Lengths come in a new order, and prices differ in the sixth digit,
+    each round, so that of equally good configurations different ones are found.
     """
-    left, price = need.copy(), lengths / size
-    rng = np.random.default_rng(0)
+    m, price, covered, uses = len(lengths), lengths / size, np.zeros(len(lengths)), {}
+    for _ in range(ROUNDS):
+        value, order = price * (1 + 1e-6 * rng.random(m)), rng.permutation(m)
+        best, steps = knapsack(value[order], lengths[order], need[order], size)
+        row, which, copies = read(steps, size - lengths)
+        # the best configuration with a length is that length and the best of the rest
+        row, which, copies = np.r_[row, np.arange(m)], np.r_[order[which], np.arange(m)], np.r_[copies, np.ones(m, np.int64)]
+        total = value + best[size - lengths]
+        wanted = need * np.maximum(0.0, 1 - covered)
+        good = (total >= (1 - NEAR) * total.max()) & (wanted > 0)
+        use = good[row]
+        row, which, copies = row[use], which[use], copies[use]
+        now = np.bincount(which, weights=wanted[row] * copies, minlength=m) / need
+        most = max(float(now.max()), 1e-12)
+        scale = min(1.0, STEP / most)
+        by = np.lexsort((which, row))
+        row, which, copies = row[by], which[by], copies[by]
+        cuts = np.searchsorted(row, np.arange(m + 1))
+        for i in np.flatnonzero(good).tolist():
+            conf: dict[int, int] = {}
+            for k, n in zip(which[cuts[i]:cuts[i + 1]].tolist(), copies[cuts[i]:cuts[i + 1]].tolist(), strict=True):
+                conf[k] = conf.get(k, 0) + n
+            key = tuple(sorted(conf.items()))
+            uses[key] = uses.get(key, 0.0) + wanted[i] * scale
+        covered += now * scale
+        price = price * np.exp(-LEARN * now / most)
+    return uses
+
+
+def solve(lengths: np.ndarray, need: np.ndarray, size: int, passes: int) -> tuple[list[tuple[dict[int, int], int]], list[tuple[int, np.ndarray]]]:
+    """Configurations with their whole uses, and after each pass how many there are and what is left."""
+    rng, left = np.random.default_rng(0), need.copy()
     uses: list[tuple[dict[int, int], int]] = []
-    for _ in range(rounds):
+    marks = [(0, left.copy())]
+    for _ in range(passes):
         live = np.flatnonzero(left > 0)
         if not len(live):
             break
-        if len(live) > PRICED:
-            live = np.sort(rng.choice(live, PRICED, replace=False))
-        conf = {int(live[k]): n for k, n in priced(price[live], lengths[live], left[live], size).items()}
-        idx, per = np.fromiter(conf, dtype=np.int64), np.fromiter(conf.values(), dtype=np.int64)
-        use = int((np.minimum(left[idx], np.maximum(np.ceil(step * need[idx]).astype(np.int64), per)) // per).min())
-        uses.append((conf, use))
-        left[idx] -= use * per
-        price[idx] *= np.exp(-step * use * per / need[idx])
-    return uses
+        found = programme(lengths[live], left[live], size, rng)
+        fill = lambda u: int(sum(lengths[live[k]] * n for k, n in u[0]))
+        for key, x in sorted(found.items(), key=lambda u: (-fill(u), -u[1], u[0])):
+            idx, per = live[[k for k, _ in key]], np.array([n for _, n in key])
+            times = min(int((left[idx] // per).min()), math.ceil(x))
+            if times:
+                uses.append((dict(zip(idx.tolist(), per.tolist(), strict=True)), times))
+                left[idx] -= times * per
+        marks.append((len(uses), left.copy()))
+    return uses, marks
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
@@ -232,23 +275,25 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[dic
     return [(conf, times) for _, times, conf in groups if times]
 
 
-def plan(histogram: dict[int, int], size: int = 4096, rounds: int = 400, step: float = 0.5) -> list[tuple[int, int, int, int, int, int, int]]:
+def packed(lengths: np.ndarray, need: np.ndarray, size: int, passes: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations with their uses for all pieces, and how many sequences come from the programme."""
+    solved, marks = solve(lengths, need, size, passes)
+    used, of_programme, fewest = [], 0, None
+    for n, left in reversed(marks):
+        rest = best_fit(lengths, left, size)
+        mine = sum(t for _, t in solved[:n])
+        if fewest is None or mine + sum(t for _, t in rest) < fewest:
+            used, of_programme, fewest = solved[:n] + rest, mine, mine + sum(t for _, t in rest)
+    return used, of_programme
+
+
+def plan(histogram: dict[int, int], size: int = 4096, passes: int = PASSES) -> list[tuple[int, int, int, int, int, int, int]]:
     """Slots for every piece: (length, first rank, slots per sequence, first sequence, sequences, offset, last rank + 1)."""
     lengths = np.array(sorted(n for n in histogram if histogram[n]), dtype=np.int64)
     need = np.array([histogram[n] for n in lengths], dtype=np.int64)
     if not len(lengths):
         return []
-    solved = solve(lengths, need, size, rounds, step)
-    used = None
-    for kept in KEPT_SHARES:
-        part = solved[:round(kept * len(solved))]
-        left = need.copy()
-        for conf, times in part:
-            for k, n in conf.items():
-                left[k] -= n * times
-        whole = part + best_fit(lengths, left, size)
-        if used is None or sum(t for _, t in whole) < sum(t for _, t in used):
-            used = whole
+    used, _ = packed(lengths, need, size, passes)
     rows, rank, sequence = [], dict.fromkeys(range(len(lengths)), 0), 0
     for conf, times in used:
         offset = 0
@@ -261,15 +306,15 @@ def plan(histogram: dict[int, int], size: int = 4096, rounds: int = 400, step: f
     return rows
 
 
-def assign(pieces: DataFrame, size: int = 4096, rounds: int = 400) -> DataFrame:
+def assign(pieces: DataFrame, size: int = 4096, passes: int = PASSES) -> DataFrame:
     """``pieces`` (with ``length``) plus sequence_id and offset. Reads ``pieces`` twice: store it first.
 
     Only the histogram (at most ``size`` numbers) and the plan made of it pass
-    through the driver; the plan's rows are bounded by ``size`` and ``rounds``.
+    through the driver; the plan's rows are bounded by ``size`` and ``passes``.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots: dict[int, np.ndarray] = {}
-    for r in sorted(plan(histogram, size, rounds), key=lambda r: (r[0], r[1])):
+    for r in sorted(plan(histogram, size, passes), key=lambda r: (r[0], r[1])):
         slots.setdefault(r[0], []).append(r)
     slots = {k: np.array(v, dtype=np.int64) for k, v in slots.items()}
     order = [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
@@ -292,6 +337,6 @@ def assign(pieces: DataFrame, size: int = 4096, rounds: int = 400) -> DataFrame:
     return numbered.select(*fields, "__rank").mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, rounds: int = 400, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, passes: int = PASSES, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` with their ids' checksum, sequence and offset."""
-    return assign(stored(token_pieces(docs, tokenizer, size, with_ids=with_ids), "pieces"), size, rounds)
+    return assign(stored(token_pieces(docs, tokenizer, size, with_ids=with_ids), "pieces"), size, passes)

@@ -65,3 +65,27 @@ def test_edges(spark):
 @pytest.mark.parametrize("text", ["\ud800 x", "\n\n", "###", "é" * 1000, "A" * 10])
 def test_statistics_are_finite(text):
     assert np.isfinite(Q.statistics(text)).all()
+
+
+def test_whole_table_scores_equal_a_direct_computation(spark):
+    """Means, deviations, class covariances and densities over the whole table, by numpy and without Cholesky factors."""
+    import __spark_entry__ as E
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = np.array([Q.statistics(r["text"]) for r in docs])
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -Q.CLIP, Q.CLIP)
+    known = [i for i, r in enumerate(docs) if r["doc_id"] in label and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    rows = {k: z[[i for i in known if label[docs[i]["doc_id"]] == k]] for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in rows.items()}
+    n = {k: len(v) for k, v in rows.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    side = {}
+    for k, v in rows.items():
+        c = 0.95 * (0.7 * cov[k] + 0.3 * pooled) + 0.05 * np.eye(Q.D) * np.trace(pooled) / Q.D
+        d = z - v.mean(0)
+        side[k] = np.log(n[k] / len(known)) - 0.5 * np.einsum("ij,ij->i", d @ np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1]
+    words = np.array([len([w for w in (r["text"] or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w])
+                      for r in docs])
+    want = 1 / (1 + np.exp(-(words / (words + 20)) * (side[1] - side[0]) / 6))
+    got = {r["doc_id"]: r["score"] for r in E.queries()["op6_quality_discriminant"](spark, SF).collect()}
+    assert np.allclose([got[r["doc_id"]] for r in docs], want, atol=1e-9)

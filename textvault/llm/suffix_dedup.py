@@ -395,22 +395,13 @@ def refined(segs: DataFrame, length: int, size: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    cuts = segs.mapInArrow(find, schema)
-    ordered = cuts.repartition("anchor").sortWithinPartitions("anchor", "seg", "d", "th", "start")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, place = None, None
-        for b in batches:
-            kind, keep = [], []
-            for i, (a, h, *at) in enumerate(zip(*[b.column(k).to_pylist() for k in range(5)], strict=True)):
-                if (a, h) == key and at == place:
-                    continue
-                kind.append(int((a, h) == key))
-                keep.append(i)
-                key, place = (a, h), at
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), *b.take(pa.array(keep, pa.int64())).columns], ["kind", *names])
-
-    marks = stored(ordered.mapInArrow(mark, "kind byte, " + schema).drop("seg"), "suffix-cuts")
+    # A passage of very many texts is one class of as many cuts: its first place is found by partial minima, and joined to
+    # the cuts, which a skewed join may split; no task has to see a whole class.
+    place = F.struct("d", "th", "start")
+    cuts = stored(segs.mapInArrow(find, schema).dropDuplicates(["anchor", "seg", "d", "th", "start"]), "suffix-finer")
+    firsts = cuts.groupBy("anchor", "seg").agg(F.min(place).alias("first"))
+    marks = cuts.join(firsts, ["anchor", "seg"]).withColumn("kind", (place != F.col("first")).cast("byte"))
+    marks = stored(marks.select("kind", *[n for n in names if n != "seg"]), "suffix-cuts")
     several = marks.filter("kind = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
     return marks.join(several.filter("classes > 1"), "anchor", "left").filter("kind = 1 or classes > 1")
 

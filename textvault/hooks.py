@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from textvault.functions import vectors as V
-from textvault.functions.units import word_tokens
 
 
 class HashingEmbedder:
@@ -62,10 +61,6 @@ def hash_reader(prompt: Column, width: int = 16) -> Column:
     return F.concat(F.lit("R"), F.substring(F.md5(prompt), 1, width))
 
 
-def default_tokenizer(sentence: Column) -> Column:
-    return word_tokens(sentence)
-
-
 def text_extractor(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Default extractor: UTF-8 bytes are one page. Shape of any extractor hook:
     (filename, content) batches in, (filename, page_no, text) batches out."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textvault.functions.text import (basename, decode_utf8_or_empty, dirname, extension,
                                       show_text, stem_of, text_preprocess)
+from textvault.operators.outline import toc_line
 
 # File types offered for upload.
 ALLOWED_EXTENSIONS = ["pdf", "txt", "md", "py", "html", "js", "java", "h", "cpp", "c", "hpp", "json", "toml", "ipynb",
@@ -190,12 +191,6 @@ def le_int32(content: Column, offset: int | Column) -> Column:
     return F.when(u >= 2 ** 31, u - 2 ** 32).otherwise(u).cast("int")
 
 
-def le_int16(content: Column, offset: Column) -> Column:
-    b = F.hex(F.substring(content, offset + 1, 2))
-    u = F.conv(F.concat(F.substring(b, 3, 2), F.substring(b, 1, 2)), 16, 10).cast("int")
-    return F.when(u >= 2 ** 15, u - 2 ** 16).otherwise(u)
-
-
 def header_counts(df: DataFrame, content: str = "content") -> DataFrame:
     """Add fmt, page_num, toc_num (0 when the format keeps no table of contents)."""
     out = df.withColumn("fmt", container_format(F.col(content)))
@@ -227,6 +222,5 @@ def toc_entries(df: DataFrame, content: str = "content", charset: str = "UTF-8")
 
 
 def output_toc(entries: DataFrame) -> DataFrame:
-    """Indented outline line per entry: 4 spaces per level below 1, title, 4 spaces, page."""
-    return entries.select("*", F.concat(F.repeat(F.lit("    "), F.col("level") - 1), F.col("title"),
-                                        F.lit("    "), F.col("page").cast("string")).alias("line"))
+    """Entries (title, page, level) with their outline ``line``."""
+    return entries.select("*", toc_line().alias("line"))

@@ -85,3 +85,14 @@ def test_edges(spark):
     assert got == [(0, 1, 8, 1.0), (0, 2, 9, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 8, 0.0), (50, 3, 9, 0.0)]
     assert P.nearest(df.limit(0), df, 5).count() == 0
     assert P.nearest(df, df.limit(0), 5).count() == 0
+
+
+def test_more_queries_than_a_block_and_double_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert len(rows) > 4 * P.BLOCK
+    got = P.nearest(df, df, 3)
+    assert got.select("query_id").distinct().count() == 1500
+    e = [(i, np.array(v)) for i, v in rows]
+    check([r for r in got.collect() if r["query_id"] % 10 == 0], brute(e, e[::10], 3), 3)

@@ -269,16 +269,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sure: float = 0.
         for b in batches:
             if not b.num_rows:
                 continue
-            for b, s in ((b.slice(a, BLOCK), s) for a in range(0, b.num_rows, BLOCK) for s in range(int(salts.max()))):
-                best = b.column(2).to_numpy(zero_copy_only=False)
-                if s == 0:                        # a block of queries against the boxes, whatever the batch holds
-                    bound = outside(unit(column_matrix(b.column(1))) @ matrix, low, high)
-                    at_home = np.zeros(bound.shape, bool)
-                    at_home[np.arange(len(bound)), bound.argmin(1)] = True
-                    who, to = np.nonzero(at_home if home else ~at_home & (bound <= far * best[:, None]))
-                on = salts[to] > s
-                yield pa.RecordBatch.from_arrays([pa.array(number[to[on]]), pa.array(np.full(on.sum(), s, np.int32)), b.column(0).take(pa.array(who[on])),
-                                                  b.column(1).take(pa.array(who[on])), pa.array(best[who[on]])], ["cell", "salt", "query_id", "vector", "best"])
+            for part in (b.slice(a, BLOCK) for a in range(0, b.num_rows, BLOCK)):      # against all boxes, whatever the batch holds
+                best = part.column(2).to_numpy(zero_copy_only=False)
+                bound = outside(unit(column_matrix(part.column(1))) @ matrix, low, high)
+                at_home = np.zeros(bound.shape, bool)
+                at_home[np.arange(len(bound)), bound.argmin(1)] = True
+                who, to = np.nonzero(at_home if home else ~at_home & (bound <= far * best[:, None]))
+                for s in range(int(salts.max())):
+                    on = salts[to] > s
+                    yield pa.RecordBatch.from_arrays([pa.array(number[to[on]]), pa.array(np.full(on.sum(), s, np.int32)), part.column(0).take(pa.array(who[on])),
+                                                      part.column(1).take(pa.array(who[on])), pa.array(best[who[on]])], ["cell", "salt", "query_id", "vector", "best"])
 
     to = f"cell long, salt int, query_id long, vector {asked.schema['vector'].dataType.simpleString()}, best double"
     asked = stored(asked.withColumn("best", F.lit(float("inf"))), "projected-queries")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textvault.functions.units import explode_items
 from textvault.session import scratch_path
 
 
@@ -44,6 +45,6 @@ def progress(status: DataFrame) -> DataFrame:
 
 def chunk_progress(docs: DataFrame, chunks_col: str = "chunks", text_col: str = "text") -> DataFrame:
     """(filename, chunk_no, line): ``[no + 1/number of chunks]`` and the file's length, per chunk of (filename, text, chunks)."""
-    length = F.length(text_col).cast("string")
-    each = docs.select("filename", F.size(chunks_col).alias("total"), length.alias("length"), F.posexplode(chunks_col).alias("chunk_no", "chunk"))
+    sizes = docs.select("filename", chunks_col, F.size(chunks_col).alias("total"), F.length(text_col).cast("string").alias("length"))
+    each = explode_items(sizes, F.col(chunks_col), "chunk_no", "chunk", "filename", "total", "length")
     return each.select("filename", "chunk_no", F.concat(label(F.col("chunk_no") + 1, F.col("total")), F.lit(" 字符数="), "length").alias("line"))

@@ -41,3 +41,22 @@ def test_empty_dictionary_and_empty_table(spark):
     got = {r["n"]: (list(r["tokens"]), r["rest"]) for r in D.text_to_tokens(lines, none).collect()}
     assert got == {1: (["a", "b"], 2), 2: ([], 0)}
     assert D.text_to_tokens(lines.limit(0), spark.createDataFrame([("a",)], "word string")).collect() == []
+
+
+def test_dealt_lines_travel_once(spark):
+    """As many buckets as characters would be needed; long words, long runs, odd characters and other columns."""
+    r = random.Random(5)
+    words = {"".join(r.choice("ab-]^\\é😀") for _ in range(r.randrange(1, 40))) for _ in range(1500)} | {"a" * 300}
+    texts = ["".join(r.choice("ab-]^\\é😀 x\t") for _ in range(r.randrange(0, 80))) for _ in range(60)]
+    texts += ["".join(r.choice("ab") for _ in range(1500)), "a" * 700, "", "xx"]
+    d = spark.createDataFrame([(w,) for w in words], "word string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    out = D.occurrences(lines, d, budget=1)
+    assert out.columns == ["id", "text", "found"]
+    longest = max(map(len, words))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(0," not in plan              # no line is sent past every bucket
+    for row in out.collect():
+        t = texts[row["id"]]
+        want = [(i, n) for i in range(len(t)) for n in range(1, min(longest, len(t) - i) + 1) if t[i:i + n] in words]
+        assert row["text"] == t and [(f["start"], f["length"]) for f in row["found"]] == want

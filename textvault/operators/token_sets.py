@@ -17,6 +17,8 @@ be unique and not null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from textvault.session import scratch_path
 
 FREQUENT = 200_000                   # tokens whose order is by their frequency
 ROUNDS = (0.5, 0.2, 0.0)             # similarities a top-k search asks for, one after the other
+PART = 256                           # sets a Python worker holds as lists at a time
 EMPTY = ""                           # stands for the first token of a set without any
 
 
@@ -46,14 +49,16 @@ def _clean(tokens: Column) -> Column:
 
 def by_frequency(rows: DataFrame, tokens_col: str, frequent: int = FREQUENT):
     """A Column function that puts the tokens of a set in the global order of ``rows``."""
-    counts = rows.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(F.explode_outer(tokens_col).alias("token")).filter("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(frequent).collect()          # bounded by ``frequent``
     place = rows.sparkSession.sparkContext.broadcast({r["token"]: r["n"] for r in top})
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def order(sets: pd.Series) -> pd.Series:
+    def order(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         n = place.value
-        return pd.Series([sorted(s, key=lambda t: (n.get(t, 0), t)) for s in sets], dtype=object)
+        for sets in batches:
+            for a in range(0, len(sets), PART):
+                yield pd.Series([sorted(s, key=lambda t: (n.get(t, 0), t)) for s in sets[a:a + PART]], dtype=object)
 
     return order
 

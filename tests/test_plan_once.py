@@ -13,7 +13,7 @@ def _docs(spark):
 
 def _uses(df) -> int:
     """Number of places in the plan where texts are cut into lines."""
-    return df._jdf.queryExecution().executedPlan().toString().count("split(")
+    return df._jdf.queryExecution().executedPlan().toString().count("split(coalesce(")
 
 
 def test_chunk_progress_cuts_a_text_once(spark):

@@ -60,3 +60,36 @@ def test_dealt_lines_travel_once(spark):
         t = texts[row["id"]]
         want = [(i, n) for i in range(len(t)) for n in range(1, min(longest, len(t) - i) + 1) if t[i:i + n] in words]
         assert row["text"] == t and [(f["start"], f["length"]) for f in row["found"]] == want
+
+
+def test_dealt_way_with_small_blocks(spark, monkeypatch):
+    """Equal rows are one, words with one long beginning are told apart, and a block gets the words that it has."""
+    monkeypatch.setattr(D, "BLOCK", 40)
+    r = random.Random(8)
+    words = {"abcdefghijklmnopq" + x for x in ("r", "s", "rs", "rst")} | {"ab", "中文", "qrs", "a", "pqrst"} | {"".join(r.choice("ab中文é") for _ in range(r.randint(1, 5))) for _ in range(40)}
+    texts = ["abcdefghijklmnopqrst abcdefghijklmnopq", "中文 abcdefghijklmnopqs", "x", ""] + ["".join(r.choice("ab中文é -") for _ in range(r.randint(0, 50))) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (9, texts[9]), (9, texts[9])]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    got = D.text_to_tokens(spark.createDataFrame(rows, "n int, text string").repartition(2), table, 1).collect()
+    assert sorted(x["n"] for x in got) == list(range(len(texts)))
+    for x in got:
+        assert (list(x["tokens"]), x["rest"]) == naive_cut(texts[x["n"]], words)
+
+
+def test_one_python_pass_makes_the_tokens(spark):
+    """What is found does not go to the JVM and back, word by word, before it becomes tokens."""
+    lines = spark.createDataFrame([(1, "abab")], "n int, text string")
+    for budget in (D.DEFAULT_BUDGET, 1):
+        plan = D.text_to_tokens(lines, spark.createDataFrame([("ab",), ("ba",)], "word string"), budget)._jdf.queryExecution().optimizedPlan().toString()
+        assert "EvalPython" not in plan
+
+
+def test_distinct_lines_are_shuffled_once(spark, monkeypatch):
+    """Only rows of repeated hashes travel to find equal rows; a block's words travel, not its pieces with all that is found in them."""
+    plans, written = {}, D._written
+    monkeypatch.setattr(D, "_written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and written(df, name))
+    lines = spark.createDataFrame([(i, f"ab {i} ba") for i in range(50)], "n int, text string")
+    out = D.occurrences(lines, spark.createDataFrame([("ab",), ("ba",)], "word string"), 1)
+    assert "Aggregate" not in plans["cut-lines"] and "Join" not in plans["cut-lines"]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["n"] for r in out.collect()) == list(range(50))

@@ -105,3 +105,32 @@ def test_knowledge_computes_a_text_once(spark, tmp_path):
     assert seen.value == 30
     want = B.chunk_rows(docs).select("filename_md5_no", "chunk_md5", "embedding")
     assert sorted(map(tuple, kb.chunks().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_refresh_writes_chunks_once(spark, tmp_path, monkeypatch):
+    """Other chunk parameters: chunks are made where they are written, not set aside and dealt with their vectors; chunks without a file in any listing stay."""
+    from textvault.operators import store as ST
+    from textvault.plans import build as B
+    from textvault.plans import sync as SY
+
+    set_aside, scratch = [], SY.scratch_path
+    monkeypatch.setattr(SY, "scratch_path", lambda s, name: set_aside.append(name) or scratch(s, name))
+    listing = lambda rows: spark.createDataFrame(rows, "filename string, text string")
+    old = [(f"f{i}.txt", f"Some words of file {i}. " * 20) for i in range(6)] + [("gone.txt", "It went. " * 20), ("lost.txt", "No file row. " * 20)]
+    new = [(n, t + " More." if n == "f1.txt" else t) for n, t in old[:6]] + [("f9.txt", "A new one. " * 20), ("f2.txt", old[2][1]), ("none.txt", None)]
+    small = B.BuildParams(chunk_size=60)
+    for lost in (False, True):
+        store = ST.KnowledgeStore(spark, str(tmp_path / f"store-{lost}"))
+        SY.sync_store(store, listing(old[:7] + old[7:] * lost), B.BuildParams())
+        if lost:
+            files, chunks = (spark.createDataFrame(x.drop("bucket").collect(), x.drop("bucket").schema) for x in (store.files(), store.chunks()))
+            store.commit(files.filter("filename <> 'lost.txt'"), chunks, None, params=B.BuildParams().fingerprint())
+        set_aside.clear()
+        SY.sync_store(store, listing(new), small)
+        assert ("refresh-chunks" in set_aside) == lost
+        want = {r["filename_md5_no"]: (r["chunk_md5"], r["embedding"]) for r in B.chunk_rows(listing(sorted({(n, t or "") for n, t in new})), small).collect()}
+        got = [r for r in store.chunks().collect() if r["filename"] != "lost.txt"]
+        assert {r["filename_md5_no"]: (r["chunk_md5"], r["embedding"]) for r in got} == want and len(got) == len(want)
+        kept = {r["chunk_md5"] for r in store.chunks().filter("filename = 'lost.txt'").collect()}
+        assert kept == ({r["chunk_md5"] for r in B.chunk_rows(listing(old[7:])).collect()} if lost else set())
+        assert sorted(r["filename"] for r in store.files().collect()) == sorted({n for n, _ in new})
